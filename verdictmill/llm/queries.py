@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, mixing, near_dedup, packing
 from .common import table
 
 
@@ -16,9 +16,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op6_mixing, op9_packing)}
+QUERIES = {f.__name__: f for f in (op5_exact_dedup, op6_mixing, op7_near_dedup, op9_packing)}
 ORACLES: dict[str, str] = {}
