@@ -146,7 +146,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = look_up(new, index, shards)
     known = old.select("digest", "keep_id", "n", F.lit(True).alias("member")).unionByName(found)
     verdicts = known.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.max("member").alias("known"))
-    out = rows.join(verdicts, "digest")
+    out = rows.join(scratch.keep(verdicts), "digest")  # both sides as tables: the join may split a digest with very many rows
     keep = F.when(F.col("keep_id") < no_id, F.col("keep_id"))
     return out.select(
         F.col("id").alias(id_col), keep.alias("keep_id"), "group_size", F.col("id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"), "known"
