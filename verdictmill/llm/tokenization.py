@@ -34,7 +34,7 @@ def _bytes_of() -> dict[str, int]:
 
 
 class ByteBpe:
-    """Encodes texts; ``chars[id]`` is the number of characters that begin in the token."""
+    """Encodes texts; ``chars[id]``: how many characters begin in the token, ``inner[id]``: 1 if it begins inside one."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -50,9 +50,11 @@ class ByteBpe:
         self.slow = Tokenizer.from_file(path)
         self.slow.encode_special_tokens = True
         self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=raw, special_tokens={})
-        self.chars = np.zeros(max(spec["model"]["vocab"].values()) + 2, np.int64)
+        n = max(spec["model"]["vocab"].values()) + 2
+        self.chars, self.inner = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for token, k in raw.items():
             self.chars[k] = sum(b & 0xC0 != 0x80 for b in token)
+            self.inner[k] = token[0] & 0xC0 == 0x80
 
     def encode(self, text: str) -> np.ndarray:
         if _SAME.match(text) and _SPECIAL not in text:
