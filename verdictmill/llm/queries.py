@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, html_text, line_dedup, mixing, near_dedup, packing, token_counts
+from . import ann, exact_dedup, html_text, kneser_ney, line_dedup, mixing, near_dedup, packing, token_counts
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_main_text, op3_ann, op5_exact_dedup, op6_mixing, op7_near_dedup, op8_token_counts, op9_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_main_text, op3_ann, op4_kneser_ney, op5_exact_dedup, op6_mixing, op7_near_dedup, op8_token_counts, op9_packing, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
