@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, html_text, kneser_ney, line_dedup, mixing, near_dedup, packing, token_counts
+from . import ann, exact_dedup, html_text, kneser_ney, line_dedup, mixing, near_dedup, packing, pii, token_counts
 from .common import table
 
 
+#: Of the registered query alone; who publishes a corpus passes a secret.
+DEMONSTRATION_KEY = b"verdictmill demonstration"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
+
+
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -44,5 +52,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_main_text, op3_ann, op4_kneser_ney, op5_exact_dedup, op6_mixing, op7_near_dedup, op8_token_counts, op9_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_main_text, op3_ann, op4_kneser_ney, op5_exact_dedup, op6_mixing, op7_near_dedup, op8_token_counts, op9_packing, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
