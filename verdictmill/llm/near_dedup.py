@@ -26,6 +26,7 @@ SIMILAR = 85  # of 100
 BANDS = 44
 ROWS = 8
 SEED = 7
+BITS = 2048
 
 SIGNATURES = "id long, n_shingles long, k1 long, k2 long, bands array<long>"
 
@@ -77,14 +78,22 @@ def signatures(docs: DataFrame, words: int, scheme: MinMax) -> DataFrame:
     return docs.mapInPandas(sign, SIGNATURES)
 
 
+def bit_map(shingles: np.ndarray) -> np.ndarray:
+    """BITS bits as 64-bit words, one set for each shingle: two maps differ in no more bits than their sets in shingles."""
+    flags = np.zeros(BITS, bool)
+    flags[(shingles & U(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(flags).view(np.int64)
+
+
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
-                yield pd.DataFrame({"id": part["id"], "shingles": [s.view(np.int64) for s in shingle_sets(part["text"], words)]})
+                sets = list(shingle_sets(part["text"], words))
+                yield pd.DataFrame({"id": part["id"], "shingles": [s.view(np.int64) for s in sets], "bits": [bit_map(s) for s in sets]})
 
-    return docs.mapInPandas(fill, "id long, shingles array<long>")
+    return docs.mapInPandas(fill, "id long, shingles array<long>, bits array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -97,6 +106,23 @@ def confirm(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return near.withColumn("_both", both).filter(100 * F.col("_both") >= similar * (na + nb - F.col("_both"))).select("a", "b").distinct()
 
 
+def hopeful(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """The members (key, id, component) that can be near one of their bucket, with n, others and bits.
+
+    ``others`` is how many of the n shingles some other member (of any bucket) has too; a link can share no more. So
+    a copy with edits of its own falls out by itself, without a comparison with each of its thousands of siblings.
+    """
+    ids = members.select("id").distinct()
+    own = sets.join(ids, "id", "left_semi")
+    once = own.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1")
+    alone = once.groupBy("id").agg(F.count("*").alias("alone"))
+    counts = own.select("id", F.size("shingles").alias("n"), "bits").distinct().join(alone, "id", "left").select("id", "n", "bits", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("others"))
+    counted = members.join(counts, "id")
+    least = counted.groupBy("key").agg(F.min("n").alias("least"))
+    near = F.greatest(F.col("least"), F.col("others"))  # the union of a link has n and what the other adds
+    return counted.join(least, "key").filter(100 * F.col("others") >= similar * (F.col("n") + near - F.col("others"))).drop("least")
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component): the smallest id that links reach, by neighbours' labels and pointer jumping."""
     both = scratch.keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
@@ -142,9 +168,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mixed = labelled.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("key")
     open_ = scratch.keep(labelled.join(mixed, "key", "left_semi"))
     scratch.drop(shared)
+    open_ = scratch.keep(hopeful(open_, sets, similar))
     largest = open_.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"))
-    outside = open_.join(largest, "key").filter("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    across = outside.join(open_, "key").filter("component <> cx").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+    outside = open_.join(largest, "key").filter("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("others").alias("ox"), F.col("bits").alias("bx"))
+    most = F.least("others", "ox")  # shingles that the two can share
+    differ = F.aggregate(F.zip_with("bits", "bx", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
+    can = (100 * most >= similar * (F.col("n") + F.col("nx") - most)) & ((100 + similar) * differ <= (100 - similar) * (F.col("n") + F.col("nx")))
+    across = outside.join(open_, "key").filter((F.col("component") != F.col("cx")) & can).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
     more = scratch.keep(confirm(across.join(pairs, ["a", "b"], "left_anti"), sets, similar))
     if more.limit(1).count():
         found = components(links.unionByName(more), scratch)
