@@ -9,7 +9,8 @@ probability of a text is a plain sum over the n-grams that occur in it: f(x) for
 context that something follows. So the model can be cut into shards of bounded size: each shard is joined with all
 documents by itself, and the partial sums are added up. No n-gram of a document is ever shuffled.
 
-Thresholds are quantiles of the perplexity of held-out trusted documents, per language.
+Thresholds are a quantile of the perplexity of held-out trusted documents, per language. A low perplexity rejects nothing:
+documents of the training text have the lowest.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ U = np.uint64
 ORDER = 5
 #: Entries of a model shard; a shard's table takes up to 64 bytes an entry in a Python worker.
 SHARD_ENTRIES = 1_000_000
-#: Shares of the held-out trusted documents of a language that lie below the least and below the greatest perplexity accepted.
-LOW, HIGH = 0.0005, 0.999
+#: The quantile of the perplexity of a language's held-out trusted documents that is the threshold; few documents tell it
+#: badly, so the threshold is MARGIN times their median at least.
+HIGH, MARGIN = 0.999, 1.5
 #: One in so many trusted documents is held out from training.
 HELD_OUT = 5
 #: Trusted ids are broadcast up to this number (8 bytes each), joined by shuffle beyond it.
@@ -288,26 +290,26 @@ def perplexity(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str
     return scored.withColumn("perplexity", F.when((F.col("n_chars_scored") > 0) & F.col("base").isNotNull(), value))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, low: float = LOW, high: float = HIGH, shard_entries: int = SHARD_ENTRIES, with_columns: bool = False) -> DataFrame:
-    """Per document: id, language, n_chars_scored, perplexity, low, high, kept (or all columns of ``docs`` and kept).
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, high: float = HIGH, margin: float = MARGIN, shard_entries: int = SHARD_ENTRIES, with_columns: bool = False) -> DataFrame:
+    """Per document: id, language, n_chars_scored, perplexity, threshold, kept (or all columns of ``docs`` and _kept).
 
     ``labels`` (doc_id, quality, toxic) names the trusted documents, quality 1 and not toxic; all of them are used.
-    A document is kept if its perplexity lies between the two quantiles of its language. A text without a character
+    A document is kept if its perplexity is at most the threshold of its language. A text without a character
     (null, empty, white space) has no perplexity and is rejected; a language without trusted documents has no
-    thresholds and keeps what has a character. A null language is a language of its own. Repeated rows are
+    threshold and keeps what has a character. A null language is a language of its own. Repeated rows are
     judged each; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "kneser-ney")
     scored = perplexity(docs, labels, scratch, id_col, text_col, lang_col, order, shard_entries, with_columns)
     of = F.coalesce(F.col(lang_col), F.lit(NO_LANG))
-    ends = F.percentile_approx("perplexity", [low, high], 100_000)
+    ends = F.percentile_approx("perplexity", [0.5, high], 100_000)
     limits = scored.filter("_held and perplexity is not null").groupBy(of.alias("_lang")).agg(ends.alias("_ends"))
-    limits = scratch.keep(limits.select("_lang", F.col("_ends")[0].alias("low"), F.col("_ends")[1].alias("high")))
+    limits = scratch.keep(limits.select("_lang", F.greatest(F.col("_ends")[1], F.col("_ends")[0] * margin).alias("threshold")))
     judged = scored.join(limits, of == F.col("_lang"), "left")
-    kept = (F.col("n_chars_scored") > 0) & F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
+    kept = (F.col("n_chars_scored") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     if with_columns:
         return judged.withColumn("_kept", kept).select(*docs.columns, "_kept")
-    return judged.select(id_col, lang_col, "n_chars_scored", "perplexity", "low", "high", kept.alias("kept"))
+    return judged.select(id_col, lang_col, "n_chars_scored", "perplexity", "threshold", kept.alias("kept"))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
