@@ -224,24 +224,28 @@ def score_texts(texts: list[str], lang: str, table: Table, order: int) -> np.nda
     return out
 
 
-def score(docs: DataFrame, model: DataFrame, order: int, shard_entries: int, carry: list[str]) -> DataFrame:
+def _key_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        keys = np.zeros(len(pdf), U)
+        for (lang, length), rows in pdf.groupby(["lang", pdf["gram"].str.len()]).indices.items():
+            codes = np.frombuffer("".join(pdf["gram"].iloc[rows]).encode("utf-32-le"), np.uint32).reshape(len(rows), length)
+            key = np.full(len(rows), U(lang_salt(lang)))
+            for j in range(length):
+                key += _CODES[codes[:, length - 1 - j]] * _STEPS[j + 1]
+            keys[rows] = key
+        yield pd.DataFrame({"key": keys.view(np.int64), "f": pdf["f"].astype(np.float32), "g": pdf["g"].astype(np.float32)})
+
+
+def score(docs: DataFrame, model: DataFrame, order: int, shard_entries: int, carry: list[str], scratch: Scratch) -> DataFrame:
     """``docs`` (lang, text and the columns to ``carry``) with n_chars_scored and log_sum, the base left out."""
     spark = docs.sparkSession
-    n = model.count()
-    shards = max(1, math.ceil(n / shard_entries))
-    keyed = model.withColumn("shard", F.pmod(F.xxhash64("lang", "gram"), F.lit(shards)).cast("int"))
+    shards = max(1, math.ceil(model.count() / shard_entries))
+    keyed = scratch.keep(model.mapInPandas(_key_grams, "key long, f float, g float").withColumn("shard", F.pmod("key", F.lit(shards))))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     rounds = []
     for k in range(shards):
-        part = keyed.filter(F.col("shard") == k).select("lang", "gram", "f", "g").toPandas()  # bounded by shard_entries, on average
-        keys = np.zeros(len(part), U)
-        for (lang, length), rows in part.groupby(["lang", part["gram"].str.len()]).indices.items():
-            codes = np.frombuffer("".join(part["gram"].iloc[rows]).encode("utf-32-le"), np.uint32).reshape(len(rows), length)
-            key = np.full(len(rows), U(lang_salt(lang)))
-            for j in range(length):
-                key += _CODES[codes[:, length - 1 - j]] * _STEPS[j + 1]
-            keys[rows] = key
-        shard = spark.sparkContext.broadcast((keys, part["f"].to_numpy(np.float32), part["g"].to_numpy(np.float32)))
+        part = keyed.filter(F.col("shard") == k).drop("shard").toPandas()  # 16 bytes for each of about shard_entries n-grams
+        shard = spark.sparkContext.broadcast(tuple(part[c].to_numpy().tobytes() for c in ("key", "f", "g")))
         rounds.append(docs.mapInPandas(_scorer(shard, order, carry), f"{fields}, n_chars_scored long, log_sum double"))
     if shards == 1:
         return rounds[0]
@@ -259,7 +263,8 @@ def _scorer(shard, order: int, carry: list[str]):
         table = None
         for pdf in batches:
             if table is None:
-                table = Table(*shard.value)
+                keys, f, g = shard.value
+                table = Table(np.frombuffer(keys, U), np.frombuffer(f, np.float32), np.frombuffer(g, np.float32))
             texts = [clean(t) if t is not None else "" for t in pdf["text"]]
             sums = np.zeros(len(pdf))
             langs = pdf["lang"].fillna(NO_LANG).to_numpy()
@@ -283,7 +288,7 @@ def perplexity(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str
     slim = ready.select(*docs.columns, "_held") if with_columns else ready.select(id_col, lang_col, text_col, "_held")
     slim = slim.withColumnsRenamed({text_col: "text", lang_col: "lang"})
     carry = slim.columns if with_columns else [id_col, "lang", "_held"]
-    scored = scratch.keep(score(slim, model, order, shard_entries, carry))
+    scored = scratch.keep(score(slim, model, order, shard_entries, carry, scratch))
     bases = langs.withColumnRenamed("lang", "_lang")
     scored = scored.join(bases, F.coalesce(F.col("lang"), F.lit(NO_LANG)) == F.col("_lang"), "left").drop("_lang").withColumnsRenamed({"text": text_col, "lang": lang_col})
     value = F.exp(-(F.col("log_sum") / F.col("n_chars_scored") + F.col("base")))
