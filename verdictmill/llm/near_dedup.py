@@ -106,7 +106,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return near.withColumn("_both", both).filter(100 * F.col("_both") >= similar * (na + nb - F.col("_both"))).select("a", "b").distinct()
 
 
-def hopeful(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+def hopeful(members: DataFrame, sets: DataFrame, similar: int, scratch: Scratch) -> DataFrame:
     """The members (key, id, component) that can be near one of their bucket, with n, others and bits.
 
     ``others`` is how many of the n shingles some other member (of any bucket) has too; a link can share no more. So
@@ -117,10 +117,10 @@ def hopeful(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     once = own.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1")
     alone = once.groupBy("id").agg(F.count("*").alias("alone"))
     counts = own.select("id", F.size("shingles").alias("n"), "bits").distinct().join(alone, "id", "left").select("id", "n", "bits", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("others"))
-    counted = members.join(counts, "id")
+    counted = scratch.keep(members.join(counts, "id"))
     least = counted.groupBy("key").agg(F.min("n").alias("least"))
     near = F.greatest(F.col("least"), F.col("others"))  # the union of a link has n and what the other adds
-    return counted.join(least, "key").filter(100 * F.col("others") >= similar * (F.col("n") + near - F.col("others"))).drop("least")
+    return counted.join(scratch.keep(least), "key").filter(100 * F.col("others") >= similar * (F.col("n") + near - F.col("others"))).drop("least")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -166,11 +166,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     labelled = shared.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("key")
+    mixed = scratch.keep(mixed)  # as tables, here and below: the joins may then split a bucket with very many members
     open_ = scratch.keep(labelled.join(mixed, "key", "left_semi"))
     scratch.drop(shared)
-    open_ = scratch.keep(hopeful(open_, sets, similar))
+    open_ = scratch.keep(hopeful(open_, sets, similar, scratch))
     largest = open_.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"))
-    outside = open_.join(largest, "key").filter("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("others").alias("ox"), F.col("bits").alias("bx"))
+    outside = open_.join(scratch.keep(largest), "key").filter("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("others").alias("ox"), F.col("bits").alias("bx"))
     most = F.least("others", "ox")  # shingles that the two can share
     differ = F.aggregate(F.zip_with("bits", "bx", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
     can = (100 * most >= similar * (F.col("n") + F.col("nx") - most)) & ((100 + similar) * differ <= (100 - similar) * (F.col("n") + F.col("nx")))
