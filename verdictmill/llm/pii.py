@@ -59,6 +59,10 @@ _ALL = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
 _GROUP = {kind: _ALL.groupindex[kind] for kind in PATTERNS}
 
 
+#: Documents with an entity that needed a further attempt are few; up to this number (some 100 bytes each) they are broadcast.
+BROADCAST_ROWS = 100_000
+
+
 class Mention:
     """A stretch of a text: its entity (kind and canonical form) and how it is written."""
 
@@ -285,6 +289,9 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
         ready = base.withColumn("again", F.lit(None).cast("array<struct<kind:string,canonical:string,attempt:int>>"))
     else:
         own = found.join(again, ["kind", "canonical"]).distinct().groupBy("id").agg(F.collect_list(F.struct("kind", "canonical", F.col("attempt").cast("int").alias("attempt"))).alias("again"))
+        own = scratch.keep(own)
+        if own.count() <= BROADCAST_ROWS:
+            own = F.broadcast(own)
         ready = base.alias("b").join(own.alias("o"), F.col("b.id").eqNullSafe(F.col("o.id")), "left").select("b.id", "b.text", "o.again")
 
     def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
