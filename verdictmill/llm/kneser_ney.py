@@ -244,7 +244,7 @@ def score(docs: DataFrame, model: DataFrame, order: int, shard_entries: int, car
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     rounds = []
     for k in range(shards):
-        part = keyed.filter(F.col("shard") == k).drop("shard").toPandas()  # 16 bytes for each of about shard_entries n-grams
+        part = keyed.filter(F.col("shard") == k).drop("shard").toArrow()  # 16 bytes for each of about shard_entries n-grams
         shard = spark.sparkContext.broadcast(tuple(part[c].to_numpy().tobytes() for c in ("key", "f", "g")))
         rounds.append(docs.mapInPandas(_scorer(shard, order, carry), f"{fields}, n_chars_scored long, log_sum double"))
     if shards == 1:
