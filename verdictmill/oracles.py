@@ -1,3 +1,6 @@
 """The SQL that each registered query must agree with, by the query's name."""
 
-SQL: dict[str, str] = {}
+from . import plans  # noqa: F401
+from .plans.registry import SQL
+
+__all__ = ["SQL"]

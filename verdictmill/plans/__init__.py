@@ -1,3 +1,6 @@
 """The registered queries over the given tables, by family."""
 
-QUERIES: dict = {}
+from . import analysis, inference, records, scorecards, texts  # noqa: F401
+from .registry import QUERIES
+
+__all__ = ["QUERIES"]
