@@ -11,7 +11,7 @@ BANDS = ("critical", "high", "moderate", "low", "none")
 def sections(text: Column, names: tuple[str, ...] = ("CONDITIONS", "EXPOSURE", "MISSING", "ACTIONS")) -> Column:
     """Struct of the text below each heading line, up to the next heading; empty without it."""
     any_name = "|".join(names)
-    return F.struct(*[F.trim(F.regexp_extract(text, rf"(?ims)^\W*{n}\W*$\s*(.*?)(?=^\W*(?:{any_name})\W*$|\z)", 1)).alias(n.lower()) for n in names])
+    return F.struct(*[F.regexp_replace(F.regexp_extract(text, rf"(?ims)^\W*{n}\W*$\s*(.*?)(?=^\W*(?:{any_name})\W*$|\z)", 1), r"^\s+|\s+$", "").alias(n.lower()) for n in names])
 
 
 def references(text: Column, pattern: str = r"(?i)\b(A\d+)\b") -> Column:

@@ -5,52 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.guards import require
 
 #: Shapes of the records that the operators read; all columns may be null but the keys.
-VERDICT = T._parse_datatype_string(
+VERDICT = (
     "`case` string, repeat int, fired boolean, procedure string, covers boolean, set_version int, model string, backend string, contract string, skill_version string, in_situ boolean, "
     "p_fire double, should_fire boolean, route string, routes array<string>, band string, triple string, domain string, stakes string, ask string, kind string, raw string"
 )
-RUN = T._parse_datatype_string(
+RUN = (
     "item_id string, template_id string, arm string, model string, n_distractors int, position string, expected string, parsed string, parse_status string, correct boolean, zero_cause string, cost_usd double, prompt_tokens int, output_tokens int, duration_ms long, response string"
 )
-SHARDED = T._parse_datatype_string(
+SHARDED = (
     "task_id string, task string, condition string, model string, n_turns int, final_response string, turn_responses array<string>, prompt_tokens_by_turn array<int>, output_tokens_by_turn array<int>, cost_usd double, duration_ms long, conversation_id string, schema_version int, error string, final_turn string, system_prompt string"
 )
-NODE = T._parse_datatype_string(
+NODE = (
     "conversation_id string, node_name string, node_id string, parent_node_id string, operation string, model string, prompt string, response string, report_seen_by_parent string, prompt_tokens int, output_tokens int, cost_usd double, duration_ms long, schema_version int, attributes map<string,string>"
 )
-LEDGER = T._parse_datatype_string("`case` string, judge int, adjudicated boolean, label boolean, band string, triple string, kind string, model string, raw string")
-EVENT = T._parse_datatype_string("triplet_id string, repeat int, q_base double, q_governing double, q_matched double")
-CORRECTION = T._parse_datatype_string("kind string, to_version int, date string, reason string, decision string, item string, old_label boolean, new_label boolean, adjudicator string")
+LEDGER = "`case` string, judge int, adjudicated boolean, label boolean, band string, triple string, kind string, model string, raw string"
+EVENT = "triplet_id string, repeat int, q_base double, q_governing double, q_matched double"
+CORRECTION = "kind string, to_version int, date string, reason string, decision string, item string, old_label boolean, new_label boolean, adjudicator string"
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Any line that does not parse fails the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_readable(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_readable(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines that do not parse are left out."""
-    bad = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    rows = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     return rows.withColumn("_ok", F.col("_bad").isNull()).filter("_ok").drop("_bad", "_ok")
 
 
-def completed_keys(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+def completed_keys(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
     return read_readable(spark, path, schema).select(*keys).distinct()
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line) of the non-blank lines; files are read whole, for their order."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).filter(F.trim("line") != "")
 
 
-def read_checkpoint(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records with their line_no; the last line of a file may be torn and is left out, a torn one before it is refused."""
     lines = numbered_lines(spark, path)
     parsed = lines.select("path", "line_no", F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("line").isNotNull().alias("ok"), F.max("line_no").over(W.partitionBy("path")).alias("end"))
@@ -78,7 +76,7 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(task_id, task, shards, payload) of a JSON array; a shard may be a string or an object with a ``shard`` text."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.explode(F.expr("cast(parse_json(value) as array<variant>)")).alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.expr("cast(parse_json(value) as array<variant>)")).alias("v"))
     shard = lambda s: F.coalesce(F.try_variant_get(s, "$.shard", "string"), F.try_variant_get(s, "$", "string"))
     return whole.select(F.variant_get("v", "$.task_id", "string").alias("task_id"), F.variant_get("v", "$.task", "string").alias("task"), F.transform(F.variant_get("v", "$.shards", "array<variant>"), shard).alias("shards"), F.to_json("v").alias("payload"))
 
