@@ -61,3 +61,14 @@ class Scratch:
 def md5_part(text: Column, first: int, digits: int) -> Column:
     """A number of ``digits`` (at most 15) hexadecimal digits of an MD5: the same in any engine."""
     return F.conv(F.substring(F.md5(text), first, digits), 16, 10).cast("long")
+
+
+#: Ids that are broadcast at most: 8 bytes each. More are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, scratch: Scratch) -> DataFrame:
+    """The documents whose id is not in ``gone`` (its one column); a few ids are broadcast, so that texts stay where they are."""
+    ids = scratch.keep(gone.toDF("_gone").distinct())
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(few, F.col(id_col) == F.col("_gone"), "left_anti")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Scratch
+from .common import WHITE, Scratch, without
 
 #: Average keys of a shard.
 SHARD_KEYS = 1024
@@ -155,5 +155,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_keys: int = SHARD_KEYS) -> DataFrame:
     """The documents that stay, with all their columns."""
-    gone = exact_dedup(docs, id_col, text_col, shard_keys).filter("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = exact_dedup(docs, id_col, text_col, shard_keys).filter("not kept").select(id_col)
+    return without(docs, gone, id_col, Scratch(docs.sparkSession, "kept"))

@@ -24,22 +24,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import BROADCAST_IDS, Scratch, without
 
 U = np.uint64
 ORDER = 5
-#: Entries of a model shard; a shard's table takes up to 64 bytes an entry in a Python worker.
-SHARD_ENTRIES = 1_000_000
+#: Entries of a model shard; a shard's table takes up to 52 bytes an entry in a Python worker.
+SHARD_ENTRIES = 2_500_000
 #: The quantile of the perplexity of a language's held-out trusted documents that is the threshold; few documents tell it
 #: badly, so the threshold is MARGIN times their median at least.
 HIGH, MARGIN = 0.999, 1.5
 #: One in so many trusted documents is held out from training.
 HELD_OUT = 5
-#: Trusted ids are broadcast up to this number (8 bytes each), joined by shuffle beyond it.
-BROADCAST_IDS = 1_000_000
 NO_LANG = ""
 _START = "\x02"
-_WHITE = re.compile(r"\s+")
+_WHITE = re.compile(r"\s\s+|[^\S ]")
 _BLOCK = 1 << 18
 
 
@@ -166,43 +164,42 @@ def lang_salt(lang: str) -> int:
 
 
 class Table:
-    """An open hash table of a shard: keys, and f and g of each."""
+    """An open hash table of a shard. A row has a key and, in the bits of one word, its f and g; 0 is no key."""
 
     def __init__(self, keys: np.ndarray, f: np.ndarray, g: np.ndarray):
-        self.bits = max(4, math.ceil(math.log2(3 * len(keys) + 1)))
+        self.bits = max(4, math.ceil(math.log2(1.6 * len(keys) + 1)))
         size = 1 << self.bits
-        self.keys = np.zeros(size, U)
-        self.values = np.zeros((size, 2), np.float32)
+        self.rows = np.zeros((size, 2), U)
+        values = np.stack([f, g], axis=1).astype(np.float32).view(U).ravel()
         left, at = np.arange(len(keys)), self._place(keys)
         while len(left):
-            free = self.keys[at] == 0
+            free = self.rows[at, 0] == 0
             spots, first = np.unique(at[free], return_index=True)
             won = np.flatnonzero(free)[first]
-            self.keys[spots] = keys[left[won]]
-            self.values[spots, 0], self.values[spots, 1] = f[left[won]], g[left[won]]
+            self.rows[spots, 0], self.rows[spots, 1] = keys[left[won]], values[left[won]]
             lost = np.ones(len(left), bool)
             lost[won] = False
             left, at = left[lost], (at[lost] + 1) & (size - 1)
 
     def _place(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
+        return ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).view(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """f and g of each key, zeros where it is absent."""
         at = self._place(keys)
-        there = self.keys[at]
-        hit = there == keys
-        out = self.values[at] * hit[:, None]
-        open_ = np.flatnonzero(~hit & (there != 0))
+        there = np.take(self.rows, at, axis=0, mode="wrap")
+        hit = there[:, 0] == keys
+        out = there[:, 1] * hit  # zero bits are two zeros
+        open_ = np.flatnonzero(~hit & (there[:, 0] != 0))
         at = at[open_]
         while len(open_):
-            at = (at + 1) & (len(self.keys) - 1)
-            there = self.keys[at]
-            hit = there == keys[open_]
-            out[open_[hit]] = self.values[at[hit]]
-            on = ~hit & (there != 0)
+            at = (at + 1) & (len(self.rows) - 1)
+            there = self.rows[at]
+            hit = there[:, 0] == keys[open_]
+            out[open_[hit]] = there[hit, 1]
+            on = ~hit & (there[:, 0] != 0)
             open_, at = open_[on], at[on]
-        return out
+        return out.view(np.float32).reshape(-1, 2)
 
 
 def score_texts(texts: list[str], lang: str, table: Table, order: int) -> np.ndarray:
@@ -212,12 +209,13 @@ def score_texts(texts: list[str], lang: str, table: Table, order: int) -> np.nda
     for a, b in _blocks(texts):
         codes, real = points(texts[a:b], order)
         followed = np.append(real[1:], False)
-        total = np.zeros(len(codes), np.float64)
+        own, ahead = np.zeros(len(codes), np.float32), np.zeros(len(codes), np.float32)
         for n, keys in enumerate(gram_keys(codes, order, salt), 1):
             found = table.find(keys)
-            total += found[:, 0] * real
+            own += found[:, 0]
             if n < order:
-                total += found[:, 1] * followed
+                ahead += found[:, 1]
+        total = (own * real).astype(np.float64) + ahead * followed
         n = np.array([len(t) for t in texts[a:b]], np.int64) + order - 1
         starts = np.cumsum(n) - n
         out[a:b] = np.add.reduceat(total, starts) if len(n) else 0
@@ -253,8 +251,7 @@ def score(docs: DataFrame, model: DataFrame, order: int, shard_entries: int, car
     for more in rounds[1:]:
         both = both.unionByName(more)
     # A row that occurs several times comes several times from each round.
-    names = [c for c in carry if c != "text"] + (["text"] if "text" in carry else [])
-    summed = both.groupBy(*names, "n_chars_scored").agg((F.sum("log_sum") / F.count("*") * shards).alias("log_sum"), (F.count("*") / shards).cast("int").alias("_rows"))
+    summed = both.groupBy(*carry, "n_chars_scored").agg((F.sum("log_sum") / F.count("*") * shards).alias("log_sum"), (F.count("*") / shards).cast("int").alias("_rows"))
     return summed.withColumn("_row", F.explode(F.sequence(F.lit(1), "_rows"))).drop("_row", "_rows")
 
 
@@ -276,8 +273,8 @@ def _scorer(shard, order: int, carry: list[str]):
     return run
 
 
-def perplexity(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, shard_entries: int = SHARD_ENTRIES, with_columns: bool = False) -> DataFrame:
-    """Documents (id and language, or with all columns) with n_chars_scored, perplexity, trusted and held_out."""
+def perplexity(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+    """Documents (id and language) with n_chars_scored, perplexity, and _held: null if not trusted, true if held out."""
     lang = F.coalesce(F.col(lang_col), F.lit(NO_LANG))
     good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(F.col("doc_id").cast("long").alias("_id")).filter("_id is not null").distinct()
     good = scratch.keep(good.withColumn("_held", F.pmod(F.xxhash64("_id"), F.lit(HELD_OUT)) == 0))
@@ -285,18 +282,17 @@ def perplexity(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str
     ids = F.broadcast(good) if small else good
     ready = docs.withColumns({"_key": F.col(id_col).cast("long")}).join(ids.withColumnRenamed("_id", "_key"), "_key", "left").drop("_key")
     model, langs = train(ready.filter("_held = false").filter(F.col(text_col).isNotNull()).select(lang.alias("lang"), F.col(text_col).alias("text")), order, scratch)
-    slim = ready.select(*docs.columns, "_held") if with_columns else ready.select(id_col, lang_col, text_col, "_held")
-    slim = slim.withColumnsRenamed({text_col: "text", lang_col: "lang"})
-    carry = slim.columns if with_columns else [id_col, "lang", "_held"]
+    slim = ready.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), "_held", F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    carry = ["id", "lang", "_held", "hash"]
     scored = scratch.keep(score(slim, model, order, shard_entries, carry, scratch))
     bases = langs.withColumnRenamed("lang", "_lang")
-    scored = scored.join(bases, F.coalesce(F.col("lang"), F.lit(NO_LANG)) == F.col("_lang"), "left").drop("_lang").withColumnsRenamed({"text": text_col, "lang": lang_col})
+    scored = scored.join(bases, F.coalesce(F.col("lang"), F.lit(NO_LANG)) == F.col("_lang"), "left").drop("_lang", "hash").withColumnsRenamed({"id": id_col, "lang": lang_col})
     value = F.exp(-(F.col("log_sum") / F.col("n_chars_scored") + F.col("base")))
     return scored.withColumn("perplexity", F.when((F.col("n_chars_scored") > 0) & F.col("base").isNotNull(), value))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, high: float = HIGH, margin: float = MARGIN, shard_entries: int = SHARD_ENTRIES, with_columns: bool = False) -> DataFrame:
-    """Per document: id, language, n_chars_scored, perplexity, threshold, kept (or all columns of ``docs`` and _kept).
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, high: float = HIGH, margin: float = MARGIN, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+    """Per document: id, language, n_chars_scored, perplexity, threshold, kept.
 
     ``labels`` (doc_id, quality, toxic) names the trusted documents, quality 1 and not toxic; all of them are used.
     A document is kept if its perplexity is at most the threshold of its language. A text without a character
@@ -305,18 +301,17 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     judged each; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "kneser-ney")
-    scored = perplexity(docs, labels, scratch, id_col, text_col, lang_col, order, shard_entries, with_columns)
+    scored = perplexity(docs, labels, scratch, id_col, text_col, lang_col, order, shard_entries)
     of = F.coalesce(F.col(lang_col), F.lit(NO_LANG))
     ends = F.percentile_approx("perplexity", [0.5, high], 100_000)
     limits = scored.filter("_held and perplexity is not null").groupBy(of.alias("_lang")).agg(ends.alias("_ends"))
     limits = scratch.keep(limits.select("_lang", F.greatest(F.col("_ends")[1], F.col("_ends")[0] * margin).alias("threshold")))
     judged = scored.join(limits, of == F.col("_lang"), "left")
     kept = (F.col("n_chars_scored") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    if with_columns:
-        return judged.withColumn("_kept", kept).select(*docs.columns, "_kept")
     return judged.select(id_col, lang_col, "n_chars_scored", "perplexity", "threshold", kept.alias("kept"))
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The documents that are kept, with all their columns. The text passes the tasks once, beside its score."""
-    return classify(docs, labels, with_columns=True, **how).filter("_kept").drop("_kept")
+def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The documents that are kept, with all their columns; those without an id are."""
+    gone = classify(docs, labels, id_col, **how).filter("not kept").select(id_col)
+    return without(docs, gone, id_col, Scratch(docs.sparkSession, "kept"))

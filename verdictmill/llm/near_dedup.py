@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, without
 from .shingles import U, mix, shingle_sets
 
 WORDS = 5
@@ -190,5 +190,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents that stay, one of each group, with all their columns."""
-    gone = near_dedup(docs, id_col, text_col, **how).filter("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = near_dedup(docs, id_col, text_col, **how).filter("not kept").select(id_col)
+    return without(docs, gone, id_col, Scratch(docs.sparkSession, "kept"))
