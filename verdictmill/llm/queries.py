@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, exact_dedup, html_text, kneser_ney, line_dedup, mixing, near_dedup, packing, pii, token_counts
 from .common import table
+from .oracles import SQL
 
 
 #: Of the registered query alone; who publishes a corpus passes a secret.
@@ -49,8 +51,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    """What was removed is told as start:length:keep_id in the original text."""
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.withColumn("removed", F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"), s["keep_id"].cast("string"))), " "))
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_main_text, op3_ann, op4_kneser_ney, op5_exact_dedup, op6_mixing, op7_near_dedup, op8_token_counts, op9_packing, op10_line_dedup)}
-ORACLES: dict[str, str] = {}
+ORACLES = SQL
