@@ -45,8 +45,8 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 k AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT x, y FROM k JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * common >= 85 * (p.n + q.n - common)),
 u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
-c(doc_id, at) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.doc_id, u.y FROM c JOIN u ON u.x = c.at),
-m AS (SELECT doc_id, min(at) AS component_id FROM c GROUP BY 1)
+c(doc_id, got) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.doc_id, u.y FROM c JOIN u ON u.x = c.got),
+m AS (SELECT doc_id, min(got) AS component_id FROM c GROUP BY 1)
 SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n ON n.doc_id = m.doc_id"""
 
 LINES = rf"""
