@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import table  # noqa: F401
+
 #: The white space of the contracts: a space and the control characters from tab to carriage return.
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of ``sf_dir``. Python workers on this machine get to import the package from where it lies."""
-    home, known = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
-    if home not in known.get("PYTHONPATH", "").split(os.pathsep):
-        known["PYTHONPATH"] = os.pathsep.join(filter(None, [home, known.get("PYTHONPATH", "")]))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset (tests on one machine), a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
