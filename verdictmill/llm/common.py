@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +67,10 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str, scratch: Scratch) ->
     ids = scratch.keep(gone.toDF("_gone").distinct())
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     return docs.join(few, F.col(id_col) == F.col("_gone"), "left_anti")
+
+
+def slices(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """The rows of a task in small frames: what is made of a frame is passed on before the next, so batches of long texts need little memory."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows].reset_index(drop=True)

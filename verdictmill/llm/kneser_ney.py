@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Scratch, without
+from .common import BROADCAST_IDS, Scratch, slices, without
 
 U = np.uint64
 ORDER = 5
@@ -73,7 +73,7 @@ def count_grams(trusted: DataFrame, order: int) -> DataFrame:
     """(lang, gram, c): occurrences of each top-order n-gram. Tasks count their documents before the shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches, 4096):
             for lang, part in pdf.groupby("lang"):
                 texts = [clean(t) for t in part["text"]]
                 sums: list[tuple[np.ndarray, np.ndarray]] = []
@@ -258,7 +258,7 @@ def score(docs: DataFrame, model: DataFrame, order: int, shard_entries: int, car
 def _scorer(shard, order: int, carry: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = None
-        for pdf in batches:
+        for pdf in slices(batches):
             if table is None:
                 keys, f, g = shard.value
                 table = Table(np.frombuffer(keys, U), np.frombuffer(f, np.float32), np.frombuffer(g, np.float32))

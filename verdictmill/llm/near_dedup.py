@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, without
+from .common import Scratch, slices, without
 from .shingles import U, mix, shingle_sets
 
 WORDS = 5
@@ -63,15 +63,13 @@ def signatures(docs: DataFrame, words: int, scheme: MinMax) -> DataFrame:
     """Per document (id, text): the size of its shingle set, two keys of the whole set, and its bucket keys."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches):
             n, k1, k2, sigs = [], [], [], []
             for s in shingle_sets(pdf["text"], words):
                 n.append(len(s))
                 k1.append(mix(s + U(1)).sum(dtype=U))
                 k2.append(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U))
                 sigs.append(scheme.signature(s))
-            if not n:
-                continue
             keys = scheme.keys(np.array(sigs))
             yield pd.DataFrame({"id": pdf["id"], "n_shingles": n, "k1": np.array(k1, U).view(np.int64), "k2": np.array(k2, U).view(np.int64), "bands": [k if m else k[:0] for k, m in zip(keys, n, strict=True)]})
 
@@ -87,11 +85,9 @@ def bit_map(shingles: np.ndarray) -> np.ndarray:
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                sets = list(shingle_sets(part["text"], words))
-                yield pd.DataFrame({"id": part["id"], "shingles": [s.view(np.int64) for s in sets], "bits": [bit_map(s) for s in sets]})
+        for pdf in slices(batches):
+            sets = list(shingle_sets(pdf["text"], words))
+            yield pd.DataFrame({"id": pdf["id"], "shingles": [s.view(np.int64) for s in sets], "bits": [bit_map(s) for s in sets]})
 
     return docs.mapInPandas(fill, "id long, shingles array<long>, bits array<long>")
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, slices
 from .tokenization import default_path, tokenizer
 
 SEQUENCE = 2048
@@ -42,7 +42,7 @@ def tokenized_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = tokenizer(path)
-        for pdf in batches:
+        for pdf in slices(batches, 1024):
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 ids = np.append(bpe.encode(text), np.uint32(END_ID)).astype("<u4")

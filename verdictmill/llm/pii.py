@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, slices
 
 # Forms of address and the gender they tell.
 ADDRESS = {
@@ -295,7 +295,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
         ready = base.alias("b").join(own.alias("o"), F.col("b.id").eqNullSafe(F.col("o.id")), "left").select("b.id", "b.text", "o.again")
 
     def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches):
             texts, spans = [], []
             for text, more in zip(pdf["text"], pdf["again"], strict=True):
                 at = {(x["kind"], x["canonical"]): x["attempt"] for x in more} if more is not None else {}
