@@ -49,10 +49,11 @@ PATTERNS = {
     "email": r"(?<![\w.%+\-])[\w.%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
     "secret": r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]{0,31}[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])|(?<=[\"'])(?=[\w+/\-]{0,40}\d)[\w+/\-]{20,128}={0,2}(?=[\"'])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
+    "ip6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w\-])[3-6]\d{3}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{1,7}(?![\w\-])|(?<![\w\-])3\d{3}[ \-]?\d{6}[ \-]?\d{5}(?![\w\-])",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-    "phone": r"(?<![\w+(.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}(?![\w\-])|(?<![\w+])\+\d{8,15}(?!\w)",
+    "phone": r"(?<![\w+(.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{4}|\d{3}[ .\-]\d{3}[ .\-]\d{4})(?![\w\-])|(?<![\w+])\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,6}(?!\w)",
     "name": r"(?<!\w)(?i:(" + "|".join(re.escape(x) for x in sorted(ADDRESS, key=len, reverse=True)) + rf"))\.?[  ]{{1,3}}({_NAME})(?:[  ]{{1,3}}({_NAME}))?",
 }
 _ALL = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
@@ -122,7 +123,7 @@ def _in_line(line: str, at: int) -> list[Mention]:
             if kind == "card" and not 13 <= len(canonical) <= 19 or kind == "phone" and not 7 <= len(canonical) <= 15:
                 continue
         else:
-            canonical = {"email": raw.lower(), "iban": raw.replace(" ", ""), "secret": raw}.get(kind, raw)
+            canonical = {"email": raw.lower(), "ip6": raw.lower(), "iban": raw.replace(" ", ""), "secret": raw}.get(kind, raw)
         out.append(Mention(at + m.start(), at + m.end(), kind, canonical, raw))
     return out
 
@@ -208,6 +209,7 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     makers: dict[str, Callable[[], str]] = {
         "email": lambda: _email(draw, canonical),
         "ip": lambda: _ip(draw, canonical, attempt),
+        "ip6": lambda: ":".join(["fd00", *(f"{draw.below(65536):x}" for _ in range(7))]),
         "card": lambda: _card(draw, canonical),
         "iban": lambda: _iban(draw, canonical),
         "ssn": lambda: _number(draw, canonical, 0),
