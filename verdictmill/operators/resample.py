@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.rates import design_effect
 from .guards import require
 
 
@@ -71,6 +72,21 @@ def intraclass_correlation(rows: DataFrame, value: str, cluster: str) -> DataFra
     return t.select(icc.alias("icc"), F.col("N").alias("n_items"), F.col("k").alias("n_clusters"), (F.col("N") / F.col("k")).alias("mean_size"))
 
 
+def bootstrap_rate(verdicts: DataFrame, cluster: str, replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """Accuracy by item with a cluster bootstrap, the ICC of items in clusters, the design effect and the effective number of items."""
+    items = verdicts.groupBy(cluster, "case").agg(F.avg((F.col("fired") == F.col("should_fire")).cast("int")).alias("v")).filter("v is not null")
+    icc = intraclass_correlation(items, "v", cluster).select("icc", "mean_size")
+    out = bootstrap_mean(items, "v", cluster, replicates, seed).join(icc)
+    return out.withColumn("deff", design_effect(F.col("mean_size"), F.col("icc"))).withColumn("n_effective", F.col("n_items") / F.col("deff")).drop("mean_size")
+
+
+def bootstrap_rate_difference(control: DataFrame, treatment: DataFrame, cluster: str, replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """Difference of two groups of items; a case in both is refused."""
+    require(control.select("case").distinct().join(treatment.select("case").distinct(), "case"), case_in_both_groups=F.lit(True))
+    items = lambda df: df.groupBy(cluster, "case").agg(F.avg((F.col("fired") == F.col("should_fire")).cast("int")).alias("v")).filter("v is not null")
+    return bootstrap_two_sample(items(control), items(treatment), "v", cluster, replicates, seed)
+
+
 def permutation_test(rows: DataFrame, diff: str, item: str, replicates: int = 1000, seed: int = 0, alternative: str = "greater") -> DataFrame:
     """Sign flips of paired differences: observed mean and p = (hits + 1) / (replicates + 1)."""
     d = F.col(diff).cast("double")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rates as forms
 from ..operators import inference, movement, resample
+from .analysis import icc_sql
 from .proxies import DOCS_SQL, doc_verdicts
 from .registry import Tables, query, r
 
@@ -22,6 +23,20 @@ def boot_sql(source: str, value: str, cluster: str, seed: str, name: str = "") -
 
 
 ENDS = f"{r('quantile_cont(mean, 0.025)')} AS low, {r('quantile_cont(mean, 0.975)')} AS high, {r('stddev_samp(mean)')} AS se"
+ITEMS_SQL = "it AS (SELECT source AS c, doc_id, avg((fired = should_fire)::INT) AS v FROM docv GROUP BY 1, 2 HAVING count(fired) > 0)"
+
+
+@query(f"WITH {DOCS_SQL}, {ITEMS_SQL}, {boot_sql('it', 'v', 'c', '11')}, {icc_sql('it', 'v', 'c')}, p AS (SELECT avg(v) AS point, count(v) AS n_items, count(DISTINCT c) AS n_clusters FROM it) SELECT {r('any_value(point)')} AS point, any_value(n_items) AS n_items, any_value(n_clusters) AS n_clusters, {ENDS}, {r('any_value(icc)')} AS icc, {r('1 + (any_value(nn / k) - 1) * any_value(icc)')} AS deff, {r('any_value(n_items) / (1 + (any_value(nn / k) - 1) * any_value(icc))')} AS n_effective FROM rm, p, ic")
+def boot_rate(t: Tables) -> DataFrame:
+    return resample.bootstrap_rate(doc_verdicts(t), "source", REPLICATES, 11)
+
+
+@query(f"WITH {DOCS_SQL}, {ITEMS_SQL}, a AS (SELECT v, c FROM it JOIN documents USING (doc_id) WHERE lang = 'en'), b AS (SELECT v, c FROM it JOIN documents USING (doc_id) WHERE lang <> 'en'), {boot_sql('a', 'v', 'c', '12c', '1')}, {boot_sql('b', 'v', 'c', '12t', '2')}, m AS (SELECT x.r, y.mean - x.mean AS mean FROM rm1 x JOIN rm2 y USING (r)), p AS (SELECT (SELECT avg(v) FROM b) - (SELECT avg(v) FROM a) AS point) SELECT {r('any_value(point)')} AS point, {ENDS} FROM m, p")
+def boot_rate_difference(t: Tables) -> DataFrame:
+    rows = doc_verdicts(t)
+    return resample.bootstrap_rate_difference(rows.filter("lang = 'en'"), rows.filter("lang <> 'en'"), "source", REPLICATES, 12)
+
+
 DIFF_SQL = "df AS (SELECT (l_linestatus = 'O')::INT - (l_returnflag = 'R')::INT AS d, l_suppkey AS c FROM lineitem)"
 
 
