@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.expressions import compile_expression
 from .resample import draw
 
 
@@ -34,6 +35,42 @@ def answer_target(options: Column, variant: Column) -> Column:
     return F.element_at(options, (variant % F.size(options) + 1).cast("int"))
 
 
+def draw_variable(spec: Sequence, *parts: Column | str | int) -> Column:
+    """One of a list of choices, or for ``("range", low, high)`` a whole number of the range, by keyed hash."""
+    if spec[0] == "range":
+        return F.lit(spec[1]) + draw(*parts) % (spec[2] - spec[1] + 1)
+    return F.element_at(F.array(*map(F.lit, spec)), (draw(*parts) % len(spec) + 1).cast("int"))
+
+
+def sample_for_target(items: DataFrame, key: str, target: str, variables: Mapping[str, Sequence], constraints: Sequence[str], solution: str, attempts: int = 500, seed: int = 0) -> DataFrame:
+    """Per item the first attempt whose variables meet all constraints and solve to the item's target: (key, attempt, variables).
+
+    An item that no attempt serves is left out; compare the counts to find such templates.
+    """
+    tried = items.select(key, target).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    drawn = tried.withColumns({name: draw_variable(spec, seed, F.col(key), F.col("attempt"), name) for name, spec in variables.items()})
+    columns = {name: F.col(name) for name in variables}
+    served = drawn.filter(compile_expression(solution, columns) == F.col(target))
+    for rule in constraints:
+        served = served.filter(compile_expression(rule, columns))
+    first = served.groupBy(key).agg(F.min(F.struct("attempt", *variables)).alias("_first"))
+    return first.select(key, "_first.*")
+
+
+def swap_changes_answer(solution: str, columns: Mapping[str, Column], swaps: Mapping[str, Column]) -> Column:
+    """Whether putting any one of the colliding values in changes the answer each time."""
+    answer = compile_expression(solution, columns)
+    changed = [compile_expression(solution, {**columns, name: value}) != answer for name, value in swaps.items()]
+    return F.forall(F.array(*changed), lambda c: c) if changed else F.lit(True)
+
+
+def stable_nearby(solution: str, columns: Mapping[str, Column], integers: Sequence[str]) -> Column:
+    """Whether the answer stays when any one whole number moves by one."""
+    answer = compile_expression(solution, columns)
+    near = [compile_expression(solution, {**columns, name: columns[name] + step}) == answer for name in integers for step in (-1, 1)]
+    return F.forall(F.array(*near), lambda c: c) if near else F.lit(True)
+
+
 def render(template: Column, values: Column) -> Column:
     """Fills ``{name}`` placeholders from a map; unknown ones stay."""
     return F.aggregate(F.map_entries(values), template, lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))

@@ -130,6 +130,20 @@ def derived_seeds(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", generate.derive_seed(F.col("p_brand"), F.lit(1), F.col("p_size")).alias("seed"))
 
 
+GEN = "('0x' || substr(md5('2:' || p_partkey || ':' || attempt || ':{name}'), 1, 8))::BIGINT"
+
+
+@query(
+    f"""WITH t AS (SELECT p_partkey, p_partkey % 2 AS odd, attempt, 1 + {GEN.format(name="x")} % 20 AS x, [2, 3, 5][{GEN.format(name="y")} % 3 + 1] AS y FROM part, (SELECT unnest(range(0, 40)) AS attempt)),
+ f AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY attempt) AS n FROM t WHERE x % 2 = odd AND x % y = 0 AND x > y)
+ SELECT p_partkey, attempt::INT AS attempt, x, y, CASE WHEN (x + 1 > 10) = (x > 10) AND (x - 1 > 10) = (x > 10) THEN true ELSE false END AS stable FROM f WHERE n = 1"""
+)
+def sampled_variables(t: Tables) -> DataFrame:
+    items = t.part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, "even").otherwise("odd").alias("want"))
+    out = generate.sample_for_target(items, "p_partkey", "want", {"x": ("range", 1, 20), "y": (2, 3, 5)}, ["x % y == 0", "x > y"], "'even' if x % 2 == 0 else 'odd'", 40, 2)
+    return out.withColumn("stable", generate.stable_nearby("'big' if x > 10 else 'small'", {"x": F.col("x")}, ["x"]))
+
+
 @query("WITH g AS (SELECT n_nationkey, n_regionkey, ntile(3) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS grp, n_name FROM nation) SELECT n_regionkey, grp::INT AS \"group\", string_agg(n_name, '|' ORDER BY n_nationkey) AS names FROM g GROUP BY 1, 2")
 def contiguous_groups(t: Tables) -> DataFrame:
     out = generate.partition_entries(t.nation, "n_nationkey", "n_name", 3, ["n_regionkey"])
