@@ -62,11 +62,21 @@ def md5_part(text: Column, first: int, digits: int) -> Column:
 BROADCAST_IDS = 1_000_000
 
 
+def _by_id(docs: DataFrame, ids: DataFrame, id_col: str, scratch: Scratch, how: str) -> DataFrame:
+    """A semi or anti join with a column of ids; a few are broadcast, so that texts stay where they are."""
+    table = scratch.keep(ids.toDF("_other").distinct())
+    few = F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+    return docs.join(few, F.col(id_col) == F.col("_other"), how)
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str, scratch: Scratch) -> DataFrame:
-    """The documents whose id is not in ``gone`` (its one column); a few ids are broadcast, so that texts stay where they are."""
-    ids = scratch.keep(gone.toDF("_gone").distinct())
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(few, F.col(id_col) == F.col("_gone"), "left_anti")
+    """The documents whose id is not among those of ``gone`` (its one column)."""
+    return _by_id(docs, gone, id_col, scratch, "left_anti")
+
+
+def only(docs: DataFrame, wanted: DataFrame, id_col: str, scratch: Scratch) -> DataFrame:
+    """The documents whose id is among those of ``wanted`` (its one column)."""
+    return _by_id(docs, wanted, id_col, scratch, "left_semi")
 
 
 def slices(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:

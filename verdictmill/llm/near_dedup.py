@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, without
+from .common import Scratch, only, slices, without
 from .shingles import U, mix, shingle_sets
 
 WORDS = 5
@@ -155,8 +155,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = scratch.keep(dealt.join(stars, "key"))
     scratch.drop(dealt)
     pairs = scratch.keep(shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    wanted = scratch.keep(shared.select("id").distinct())
-    sets = scratch.keep(full_sets(base.join(wanted, "id", "left_semi"), words))
+    sets = scratch.keep(full_sets(only(base, shared.select("id"), "id", scratch), words))
     links = scratch.keep(confirm(pairs, sets, similar))
     found = components(links, scratch)
 
