@@ -135,6 +135,22 @@ def test_mix_odd_rows(odd, empty):
     assert {r.doc_id: len(r.text.split()) for r in out.collect()} == sizes
 
 
+def test_apply_mix_gives_each_taken_row_once(spark):
+    text = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    data = [(None, text(k, 20), "a") for k in range(6)] + [(None, text(0, 20), "a")] * 3 + [(7, text(7, 30), "b")] * 5 + [(7, text(8, 11), "b"), (7, text(7, 30), None), (9, text(9, 40), "c")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    for volume in (0.6, 1.0, 1.5):
+        plan = mixing.mix(df, volume=volume).filter("taken > 0").collect()
+        got = mixing.apply_mix(df, volume=volume).collect()
+        assert len(got) == len(plan)
+        count = lambda rows: collections.Counter(map(str, rows))
+        assert count((r.doc_id, r.source, len(r.text.split())) for r in got) == count((r.doc_id, r.source, r.taken) for r in plan)
+        texts = collections.defaultdict(set)
+        for i, t, s in data:
+            texts[i, s].add(t)
+        assert all(any((t + " " + t).startswith(" ".join(r.text.split())) for t in texts[r.doc_id, r.source]) for r in got)
+
+
 # --- near-deduplication
 
 

@@ -68,16 +68,28 @@ def source_targets(sources: DataFrame, volume: float = 1.5, most: float = 2.0) -
     )
 
 
+def _row_key(id_col: Column, source: Column, text: Column) -> Column:
+    """A 128-bit key, never null, that tells rows apart by id, source and text; rows that share it can stand for each other."""
+    marked = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    return F.md5(F.concat_ws("|", F.md5(marked(id_col)), F.md5(marked(source)), F.md5(text)))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", volume: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, seed: int = 42) -> DataFrame:
     """One row per document: id, source, size, source_size, target, taken, passes, rest.
 
     A document is taken ``passes`` times as a whole and then with its first ``rest`` words. A null text has size
     0 and is never taken; null sources form one source, the last; repeated rows are documents of their own,
-    ordered by id; an empty table gives an empty result. Further columns are not read.
+    ordered by id and then by source and text; an empty table gives an empty result. Further columns are not read.
     """
+    return _plan(docs, id_col, text_col, source_col, volume, most, block, shard_rows, seed).drop("_key")
+
+
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, volume: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, seed: int = 42) -> DataFrame:
+    """``mix`` with the key of each row beside it."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    base = scratch.keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")))
+    row_key = _row_key(F.col(id_col), F.col(source_col), F.col(text_col)).alias("_key")
+    base = scratch.keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), row_key))
     sources = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     targets = source_targets(sources, volume, most).withColumns({"_all": F.floor(F.col("_total") / block + 0.5).cast("long"), "one": F.lit(0), "shards": F.ceil(F.col("_rows") / shard_rows).cast("long")})
     slim = targets.select("one", "no", "source", "source_size", "target", "shards", "_all")
@@ -88,24 +100,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = scratch.keep(placed)
     shards = placed.groupBy("no", "shard").agg(F.sum("size").alias("words"))
     shards = apportion(shards.join(quotas.select("no", "source_size", "target", F.col("quota").alias("seats")), "no"), ["no"], "shard", "words", "seats")
-    before = F.coalesce(F.sum("size").over(W.partitionBy("no", "shard").orderBy("_order", "id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("size").over(W.partitionBy("no", "shard").orderBy("_order", "id", "_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     out = placed.withColumn("_before", before).join(shards.select("no", "shard", "words", "source_size", "target", (F.col("quota") * block).alias("_take")), ["no", "shard"])
     passes = F.when(F.col("words") > 0, F.floor(F.col("_take") / F.col("words"))).otherwise(F.lit(0)).cast("long")
     out = out.withColumn("passes", F.least(passes, F.lit(int(most))))
     rest = F.when(F.col("passes") >= int(most), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.col("size"), F.col("_take") - F.col("passes") * F.col("words") - F.col("_before")))).cast("long")
     out = out.withColumn("rest", rest)
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("rest")).alias("taken"), "passes", "rest")
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("rest")).alias("taken"), "passes", "rest", "_key")
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix as documents: a text once, twice or in part, as ``mix`` takes it; the columns of ``docs``."""
-    plan = mix(docs, id_col, text_col, source_col, **how).filter("taken > 0").select(F.col(id_col).alias("_id"), "passes", "rest", F.col("size").alias("_size"))
+    """The mix as documents: a text once, twice or in part, as ``mix`` takes it; the columns of ``docs``.
+
+    Every row that ``mix`` takes gives one row, with a null id too. Rows that repeat an id are documents of their
+    own: each gets the part of its own text; those that repeat id, source and text share what the mix takes of them.
+    """
+    plan = _plan(docs, id_col, text_col, source_col, **how).filter("taken > 0")
+    # Rows of one key stand next to each other in one shard: all are taken equally often as a whole, and the rest fills them in turn.
+    plan = plan.groupBy("_key").agg(F.max("passes").alias("_passes"), F.sum("rest").alias("_rests"), F.max("size").alias("_size"))
     text = F.col(text_col)
-    words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), 0), 1, F.col("rest").cast("int")), " ")
-    part = F.when(F.col("rest") == F.col("_size"), text).when(F.col("rest") > 0, words)
-    whole = F.when(F.col("passes") >= 2, F.concat(text, F.lit("\n"), text)).when(F.col("passes") == 1, text)
-    joined = docs.join(plan, F.col(id_col) == F.col("_id"))
-    taken = joined.withColumn(text_col, F.concat_ws("\n", whole, part))
+    joined = docs.withColumn("_key", _row_key(F.col(id_col), F.col(source_col), text)).join(plan, "_key")
+    before = F.row_number().over(W.partitionBy("_key").orderBy(F.lit(0))) - 1
+    filled = joined.withColumn("_rest", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rests") - before * F.col("_size"))))
+    filled = filled.filter("_passes > 0 or _rest > 0")
+    words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), 0), 1, F.col("_rest").cast("int")), " ")
+    part = F.when(F.col("_rest") == F.col("_size"), text).when(F.col("_rest") > 0, words)
+    whole = F.when(F.col("_passes") >= 2, F.concat(text, F.lit("\n"), text)).when(F.col("_passes") == 1, text)
+    taken = filled.withColumn(text_col, F.concat_ws("\n", whole, part))
     if "n_chars" in docs.columns:
         taken = taken.withColumn("n_chars", F.length(text_col).cast("long"))
     return taken.select(*docs.columns)
