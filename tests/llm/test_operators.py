@@ -306,6 +306,19 @@ def test_fast_ids_are_the_tokenizers_ids(texts):
         assert bpe.encode(t).tolist() == bpe.slow.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_are_those_of_the_file_as_loaded(texts):
+    from tokenizers import Tokenizer
+
+    fresh, bpe = Tokenizer.from_file(default_path()), ByteBpe(default_path())
+    assert bpe.encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    for t in [*texts.values(), *(t for _, t, *_ in ODD if t), "<|endoftext|>", "é<|endoftext|>\n<|endoftext|", "<|endoftext|><|endoftext|>中"]:
+        whole = fresh.encode(t, add_special_tokens=False)
+        ids = bpe.encode(t)
+        assert ids.tolist() == whole.ids
+        starts, ends = token_counts.token_spans(ids, bpe.chars, bpe.inner)
+        assert ends[-1] == len(t) and starts.tolist() == [a for a, _ in whole.offsets]
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts_brute_force(documents, texts, rule):
     from tokenizers import Tokenizer

@@ -1,8 +1,8 @@
 """Token ids of the public byte-level BPE inside tasks.
 
-The ids are those of the ``tokenizers`` file. The same vocabulary as ranks goes through ``tiktoken``, several
-times as fast; a text with a character outside the ranges where both libraries cut words alike, or with the
-text of a special token, goes through ``tokenizers`` itself.
+The ids are those of the ``tokenizers`` file as the library loads it: the text of a special token is that token.
+The same vocabulary as ranks goes through ``tiktoken``, several times as fast; a text with a character outside the
+ranges where both libraries cut words alike, or with the text of a special token, goes through ``tokenizers`` itself.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import numpy as np
 
 #: Characters that both libraries are known to class alike: printable ASCII, Latin letters, common punctuation.
 _SAME = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ʯ‐-‧‰-⁞€]*\Z")
-_SPECIAL = "<|"
 
 
 def default_path() -> str:
@@ -45,19 +44,21 @@ class ByteBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte = _bytes_of()
-        special = {x["content"] for x in spec.get("added_tokens", [])}
-        raw = {bytes(byte[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
+        added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        raw = {bytes(byte[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in added}
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=raw, special_tokens={})
-        n = max(spec["model"]["vocab"].values()) + 2
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        n = max(*spec["model"]["vocab"].values(), *added.values()) + 2
         self.chars, self.inner = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for token, k in raw.items():
             self.chars[k] = sum(b & 0xC0 != 0x80 for b in token)
             self.inner[k] = token[0] & 0xC0 == 0x80
+        for token, k in added.items():
+            self.chars[k] = len(token)
 
     def encode(self, text: str) -> np.ndarray:
-        if _SAME.match(text) and _SPECIAL not in text:
+        if _SAME.match(text) and not (self.special and self.special.search(text)):
             return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
