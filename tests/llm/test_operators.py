@@ -396,6 +396,31 @@ def test_surrogates_keep_format_gender_and_coreference():
     assert put("A clean text of 12 words, version 3.14 on 2024-01-02.") == "A clean text of 12 words, version 3.14 on 2024-01-02."
 
 
+def test_the_quick_search_loses_no_name():
+    for t in ["“Mr. Smith said", "„Herr Müller", "[Dr. Meyer", "—Mrs. Jones", "Prof./Dr. Meyer", "«Г-Н Иванов", "mRſ Jones", "Κύριος Νίκος"]:
+        want = [(m.start, m.end, m.kind) for m in pii._in_line(t, 0)]
+        assert want and [(m.start, m.end, m.kind) for m in pii.mentions(t)] == want
+        assert [m.start for m in pii.mentions(t + " 1")] == [m.start for m in pii.mentions(t)]
+    assert pii.mentions("Medr. Smith, a dr smith and the mr.") == []
+
+
+def test_names_are_replaced_without_a_form_of_address_too():
+    text = "Anna came.\nMrs. Anna Smith met “Mr. Smith”. Smith said: SMITH's blacksmith, smith, Smithson, a.Smith@mail.com."
+    out = "".join(_pieces(text, b"k"))
+    new = re.search(r"Mrs\. (\w+) (\w+) met", out)
+    assert new[1] != "Anna" and out.startswith(f"{new[1]} came.") and f"“Mr. {new[2]}”. {new[2]} said: {new[2].upper()}'s blacksmith, smith, Smithson, " in out
+    assert "Smith@" not in out
+
+
+def test_short_addresses_of_eight_groups():
+    found = lambda t: [(m.text, m.canonical) for m in pii.mentions(t) if m.kind == "ip6"]
+    full = "2001:0db8:0000:0000:0000:0000:0000:0001"
+    assert found("at 2001:db8::1, 2001:DB8:0:0:0:0:0:1: or host:2001:db8::1/64.") == [("2001:db8::1", full), ("2001:DB8:0:0:0:0:0:1", full), ("2001:db8::1", full)]
+    assert found("::ffff:93.144.223.50 and fe80::") == [("::ffff:93.144.223.50", "0000:0000:0000:0000:0000:ffff:5d90:df32"), ("fe80::", "fe80" + ":0000" * 7)]
+    assert found("std::vector1 face::add 12:30:45 1::2::3 ::") == []
+    assert "93.144" not in "".join(_pieces("::ffff:93.144.223.50", b"k")) and "db8" not in "".join(_pieces("2001:db8::1", b"k"))
+
+
 def _pieces(text, key):
     at = 0
     for m in pii.mentions(text):

@@ -10,6 +10,7 @@ a further attempt travel back to their documents.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -39,17 +40,17 @@ ENDINGS = {
     "GREEK": {"f": "να λια ρινα σια ττα ρα".split(), "m": "νος ρης ρδος σος κος νης".split(), "u": "λη ρη μι νη".split(), "family": "ιδης πουλος ακης ογλου ατος ελης".split()},
 }
 
-_HINT = re.compile(r"[0-9@]")
-#: Forms of address as words of a text, with the marks that may stand beside them.
-_ADDRESSED = frozenset(mark + word + dot for x in ADDRESS for word in (x, x.capitalize(), x.upper()) for dot in ("", ".") for mark in ("", "(", '"', "'", "«", "¿", "¡"))
+#: Every kind but names has a digit or an @.
+_HINT = re.compile(r"[\d@]")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_DOTTED, _HEX = rf"(?:{_OCTET}\.){{3}}{_OCTET}", r"[0-9A-Fa-f]{1,4}"
 _NAME = r"[^\W\d_][^\W\d_'’\-]{1,30}(?:[\-'’][^\W\d_]{2,30})?"
 #: In order; of overlapping matches the first kind counts.
 PATTERNS = {
     "email": r"(?<![\w.%+\-])[\w.%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
     "secret": r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]{0,31}[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])|(?<=[\"'])(?=[\w+/\-]{0,40}\d)[\w+/\-]{20,128}={0,2}(?=[\"'])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
-    "ip6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
+    "ip6": rf"(?<!\w)(?<![0-9A-Fa-f:]:)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{6}}{_DOTTED}|(?=[A-Fa-f:]*\d)(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:(?:{_HEX}:){{0,6}}(?:{_DOTTED}|{_HEX}))?)(?!\w|:[\w:]|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w\-])[3-6]\d{3}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{1,7}(?![\w\-])|(?<![\w\-])3\d{3}[ \-]?\d{6}[ \-]?\d{5}(?![\w\-])",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
@@ -60,6 +61,21 @@ _ALL = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
 _GROUP = {kind: _ALL.groupindex[kind] for kind in PATTERNS}
 
 
+def _addressed() -> re.Pattern:
+    """What the pattern of names begins with, for a quick search: a set of first characters, then the rest of each form of address.
+
+    The cases of a letter are those that the pattern's own flag takes for equal.
+    """
+    letters = sorted(set("".join(ADDRESS)))
+    near = re.findall("(?i:[" + re.escape("".join(letters)) + "])", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x20000)])))
+    cases = {c: "[" + re.escape("".join(x for x in near if re.fullmatch(re.escape(c), x, re.I))) + "]" for c in letters}
+    firsts = sorted({x[0] for x in ADDRESS})
+    rests = ["(?<=" + cases[c] + ")(?:" + "|".join("".join(cases[k] for k in x[1:]) for x in ADDRESS if x[0] == c) + ")" for c in firsts]
+    return re.compile("[" + "".join(cases[c][1:-1] for c in firsts) + r"](?<!\w.)(?:" + "|".join(rests) + r")\.?[  ]{1,3}[^\W\d_]")
+
+
+_ADDRESSED = _addressed()
+
 #: Documents with an entity that needed a further attempt are few; up to this number (some 100 bytes each) they are broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -83,20 +99,59 @@ def _iban_ok(text: str) -> bool:
     return len(raw) >= 15 and int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97 == 1
 
 
+def _address6(text: str) -> str | None:
+    """All eight groups of an address in full; null if it is none."""
+    try:
+        digits = f"{int(ipaddress.IPv6Address(text)):032x}"
+    except ValueError:
+        return None
+    return ":".join(digits[k : k + 4] for k in range(0, 32, 4))
+
+
 def script(text: str) -> str:
     names = [unicodedata.name(c, "").split(" ")[0] for c in text if c.isalpha()]
     return max(set(names), key=names.count) if names else "LATIN"
 
 
 def mentions(text: str) -> list[Mention]:
-    """All mentions in a text, in order, none overlapping. None goes beyond a line, so only lines with a hint are searched."""
-    if not _HINT.search(text) and _ADDRESSED.isdisjoint(text.split()):
+    """All mentions in a text, in order, none overlapping. None goes beyond a line, so only lines with a hint are searched;
+    names found after a form of address are then found all over the text, with a capital."""
+    if not _HINT.search(text) and not _ADDRESSED.search(text):
         return []
     out, at = [], 0
     for line in text.splitlines(keepends=True):
-        if _HINT.search(line) or not _ADDRESSED.isdisjoint(line.split()):
+        if _HINT.search(line) or _ADDRESSED.search(line):
             out += _in_line(line, at)
         at += len(line)
+    return _with_bare_names(text, out)
+
+
+def _with_bare_names(text: str, found: list[Mention]) -> list[Mention]:
+    """The mentions found, and those of their names without a form of address. A name that is both is a family name."""
+    names: dict[str, tuple[str, str]] = {}
+    for m in found:
+        if ":" in m.kind:
+            for form in (m.text, m.text.upper(), m.text[:1].upper() + m.text[1:].lower()):
+                if form not in names or m.kind.startswith("family"):
+                    names[form] = (m.kind, m.canonical)
+    if not names:
+        return found
+    taken = {(m.start, m.end) for m in found if ":" in m.kind}
+    bare = []
+    for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)", text):
+        if m.span() not in taken:
+            bare.append(Mention(*m.span(), *names[m.group()], m.group()))
+    if not bare:
+        return found
+    out: list[Mention] = []
+    for m in sorted(found + bare, key=lambda m: (m.start, m.end)):
+        inside = out and m.start < out[-1].end
+        if not inside:
+            out.append(m)
+        elif out[-1].kind in ("email", "secret") or m.end <= out[-1].end:
+            continue
+        else:
+            out[-1] = m
     return out
 
 
@@ -108,7 +163,8 @@ def _in_line(line: str, at: int) -> list[Mention]:
             kind = next(k for k, g in _GROUP.items() if m.group(g) is not None)
         if kind == "name":
             g = _GROUP["name"]
-            gender, one, two = ADDRESS[m.group(g + 1).lower()], g + 2, g + 3
+            form = m.group(g + 1)
+            gender, one, two = ADDRESS.get(form.lower()) or ADDRESS.get(form.casefold(), "u"), g + 2, g + 3
             if m.group(one)[0].islower():
                 continue
             both = m.group(two) is not None and not m.group(two)[0].islower()
@@ -116,14 +172,14 @@ def _in_line(line: str, at: int) -> list[Mention]:
                 name = m.group(part)
                 out.append(Mention(at + m.start(part), at + m.end(part), f"{role}:{script(name)}", name.casefold(), name))
             continue
-        if kind == "iban" and not _iban_ok(raw):
+        if kind == "iban" and not _iban_ok(raw) or kind == "ip6" and not _address6(raw):
             continue
         if kind in ("card", "ssn", "phone"):
             canonical = re.sub(r"\D", "", raw)
             if kind == "card" and not 13 <= len(canonical) <= 19 or kind == "phone" and not 7 <= len(canonical) <= 15:
                 continue
         else:
-            canonical = {"email": raw.lower(), "ip6": raw.lower(), "iban": raw.replace(" ", ""), "secret": raw}.get(kind, raw)
+            canonical = _address6(raw) if kind == "ip6" else {"email": raw.lower(), "iban": raw.replace(" ", "")}.get(kind, raw)
         out.append(Mention(at + m.start(), at + m.end(), kind, canonical, raw))
     return out
 
@@ -209,7 +265,7 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     makers: dict[str, Callable[[], str]] = {
         "email": lambda: _email(draw, canonical),
         "ip": lambda: _ip(draw, canonical, attempt),
-        "ip6": lambda: ":".join(["fd00", *(f"{draw.below(65536):x}" for _ in range(7))]),
+        "ip6": lambda: ":".join(["fd00", *(f"{draw.below(65536):04x}" for _ in range(7))]),
         "card": lambda: _card(draw, canonical),
         "iban": lambda: _iban(draw, canonical),
         "ssn": lambda: _number(draw, canonical, 0),
@@ -226,6 +282,9 @@ def written_as(canonical: str, kind: str, text: str) -> str:
         return "".join(next(left, "") if c.isalnum() else c for c in text)
     if kind == "email":
         return canonical.upper() if text.isupper() else canonical
+    if kind == "ip6":
+        made = canonical if len(text) == 39 else ipaddress.IPv6Address(canonical).compressed
+        return made.upper() if text.isupper() else made
     if ":" in kind:
         return canonical.upper() if len(text) > 1 and text.isupper() else canonical[:1].upper() + canonical[1:]
     return canonical
