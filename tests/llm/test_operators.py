@@ -475,6 +475,25 @@ def test_main_text_without_an_article_element():
     assert html_text.main_text(page).split("\n") == ["A long first paragraph, with commas, and stops. More of it.", "Another long paragraph, again, with much to say. Indeed.", "Short."]
 
 
+def test_main_text_keeps_what_stands_beside_most_of_it():
+    long = "A long paragraph, with commas, and stops. More of it, and more. "
+    body = "".join(f"<p>{long}{k}</p>" for k in range(12))
+    want = [" ".join(f"{long}{k}".split()) for k in range(12)]
+    lines = lambda page: html_text.main_text(page).split("\n")
+    beside = lines(f"<body><nav><a>Home</a></nav><div><h1>The headline, of it all</h1><p>A lead, which is short.</p><div class=body>{body}</div><p>The end, at last.</p></div></body>")
+    assert beside == ["The headline, of it all", "A lead, which is short.", *want, "The end, at last."]
+    items = "".join(f"<li>Item {k}, with some words, and a stop.</li>" for k in range(60))
+    listed = lines(f"<body><div><p>Before the list, a word.</p><ul>{items}</ul><p>After the list, a word.</p></div><footer>Foot</footer></body>")
+    assert len(listed) == 62 and listed[0] == "Before the list, a word." and listed[-1] == "After the list, a word."
+    two = lines(f"<body><main><article>{body}</article><article><p>Another, shorter, text. It counts too.</p></article></main></body>")
+    assert two == [*want, "Another, shorter, text. It counts too."]
+    for open_ in ("<body class=has-sidebar><article>", "<body><article class='post no-header'>", "<html class='menu no-ads'><body><main id=related><article>", "<body><div class='page with-sidebar'><article>"):
+        assert lines(f"{open_}{body}</article><div class=sidebar>Side, notes.</div>") == want
+    assert lines(f"<article><p>Short, but it is all.</p></article><div class=comments>{body}</div>") == ["Short, but it is all."]
+    assert "x = 1" in html_text.main_text(f"<article>{body}<p>so <math><mi>x</mi> = <mn>1</mn></math>, as said.</p></article>")
+    assert html_text.main_text(f"<body hidden>{body}") == ""
+
+
 def test_main_text_of_the_pages(spark, small):
     import html
 

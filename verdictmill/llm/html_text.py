@@ -3,9 +3,10 @@
 A page is read into text nodes, each with its root-to-leaf tag path. Per path the length of its text and its
 punctuation are summed up over its nodes; the text ratio (characters per node) and the punctuation ratio are
 smoothed over the nodes in page order and fused into one score. Paths whose score reaches a share of the mean
-are content paths; their nodes mark the content region, the smallest element that holds nearly all their text (or the article
-element around them). The main text is every text node in the region that no menu, header, footer, sidebar,
-notice, advert, form, or comment element holds.
+are content paths; their nodes mark the content region, the smallest element that holds all of them (or, if all
+of them are in article elements, these). The main text is every text node in the region that no menu, header, footer,
+sidebar, notice, advert, form, or comment element holds. Words of class, id or role say nothing of html, body, main and
+article, nor of an element that holds most of the text and all articles and headings of the first level.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ BLOCK = frozenset(
 #: Elements that end an open element of the second kind when they start.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "body": {"head"}}
 #: Elements that are never main text, and words of class, id or role that mark such elements.
-ASIDE = frozenset("nav header footer aside form button select dialog menu label input svg canvas object audio video math head".split())
+ASIDE = frozenset("nav header footer aside form button select dialog menu label input svg canvas object audio video head".split())
+#: Elements that words of class, id or role do not make aside.
+WHOLE = frozenset("html body main article".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side aside rail header masthead topbar footer foot bottombar "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search searchbox form comment comments commentlist disqus respond reply replies discussion share sharing social related "
@@ -49,13 +52,15 @@ _DEEP = 400
 
 @dataclass
 class Node:
-    """A text node: its path, the elements around it (numbers, outermost first), its block, and whether an aside element holds it."""
+    """A text node: its path, the elements around it (numbers, outermost first), its block, whether an aside element holds it,
+    and which of the elements around it have marks."""
 
     path: str
     around: tuple[int, ...]
     block: int
     aside: bool
     text: str
+    marked: tuple[int, ...] = ()
 
 
 @dataclass
@@ -65,15 +70,21 @@ class _Open:
     path: str
     aside: bool
     around: tuple[int, ...] = field(default=())
+    marked: tuple[int, ...] = ()
 
 
-def _marked(attributes: str) -> bool:
+def _hidden(attributes: str) -> bool:
     for m in _MARK.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
         name = m[1].lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id", "role") and any(part in MARKS for part in _PART.findall(value)):
+    return False
+
+
+def _marked(attributes: str) -> bool:
+    for m in _MARK.finditer(attributes):
+        if m[1].lower() in ("class", "id", "role") and any(part in MARKS for part in _PART.findall((m[2] or m[3] or m[4] or "").lower())):
             return True
     return False
 
@@ -88,7 +99,7 @@ def text_nodes(page: str) -> tuple[list[Node], dict[int, str]]:
     def add(raw: str) -> None:
         if raw and not raw.isspace():
             top = stack[-1]
-            nodes.append(Node(top.path, top.around, block, top.aside, html.unescape(raw)))
+            nodes.append(Node(top.path, top.around, block, top.aside, html.unescape(raw), top.marked))
         elif raw and nodes and nodes[-1].block == block:
             nodes[-1].text += " "
 
@@ -140,12 +151,29 @@ def text_nodes(page: str) -> tuple[list[Node], dict[int, str]]:
         top = stack[-1]
         number = len(names)
         names[number] = name
-        opened = _Open(name, number, f"{top.path}/{name}", top.aside or name in ASIDE or _marked(m[4]))
+        opened = _Open(name, number, f"{top.path}/{name}", top.aside or name in ASIDE or _hidden(m[4]))
         opened.around = (*top.around, number) if len(top.around) < _DEEP else top.around
+        opened.marked = (*top.marked, number) if name not in WHOLE and _marked(m[4]) else top.marked
         stack.append(opened) if len(stack) < _DEEP else None
+    _set_aside(nodes, names)
     return nodes, names
 
 
+def _set_aside(nodes: list[Node], names: dict[int, str]) -> None:
+    """Marked elements are aside, but for those that hold most of the text and all of what is in article, main or h1
+    elements: there the words tell of the page."""
+    held, chief, total, chiefs = defaultdict(int), defaultdict(int), 0, 0
+    for x in nodes:
+        if not x.aside:
+            is_chief = any(names[e] in ("article", "main", "h1") for e in x.around)
+            total, chiefs = total + len(x.text), chiefs + is_chief
+            for e in x.marked:
+                held[e] += len(x.text)
+                chief[e] += is_chief
+    for x in nodes:
+        x.aside = x.aside or any(2 * held[e] <= total or chief[e] < chiefs for e in x.marked)
+
+
 def path_scores(nodes: list[Node], width: float = 1.0) -> np.ndarray:
     """Score of each node: its path's smoothed text ratio times its smoothed punctuation ratio."""
     length, stops, count = defaultdict(int), defaultdict(int), defaultdict(int)
@@ -162,30 +190,26 @@ def path_scores(nodes: list[Node], width: float = 1.0) -> np.ndarray:
     return np.sqrt(smooth(text) * (1.0 + smooth(mark)))
 
 
-def content_region(nodes: list[Node], names: dict[int, str], share: float = 0.5, whole: float = 0.9) -> int | None:
-    """The number of the element that holds the content: of those that hold ``whole`` of the content paths' text, the smallest."""
+def content_region(nodes: list[Node], names: dict[int, str], share: float = 0.5) -> frozenset[int]:
+    """The numbers of the elements that hold the content: the articles, if every content node is in one, else the smallest
+    element around all content nodes."""
     open_ = [x for x in nodes if not x.aside]
     if not open_:
-        return None
+        return frozenset()
     scores = path_scores(open_)
     by_path = defaultdict(list)
     for x, s in zip(open_, scores, strict=True):
         by_path[x.path].append(s)
     limit = share * float(scores.mean())
-    content = {p for p, s in by_path.items() if np.mean(s) >= limit}
-    held, total = defaultdict(int), 0
-    for x in open_:
-        if x.path in content:
-            total += len(x.text)
-            for e in x.around:
-                held[e] += len(x.text)
-    for name in ("article", "main"):
-        named = [e for e in held if names[e] == name and held[e] >= 0.5 * total]
-        if named:
-            return min(named)
-    full = [e for e in held if held[e] >= whole * total]
-    region = max(full)  # elements are numbered from the outside in
-    return region if names[region] not in ("p", "span", "b", "i", "em", "strong", "a", "font") else max([e for e in full if names[e] not in ("p", "span", "b", "i", "em", "strong", "a", "font")], default=0)
+    content = [x for x in open_ if np.mean(by_path[x.path]) >= limit]
+    articles = [next((e for e in x.around if names[e] == "article"), None) for x in content]
+    if None not in articles:
+        return frozenset(articles)
+    common = content[0].around
+    for x in content[1:]:
+        n = next((k for k, (a, b) in enumerate(zip(common, x.around, strict=False)) if a != b), min(len(common), len(x.around)))
+        common = common[:n]
+    return frozenset({next((e for e in reversed(common) if names[e] not in ("p", "span", "b", "i", "em", "strong", "a", "font")), 0)})
 
 
 def main_text(page: str) -> str:
@@ -193,7 +217,7 @@ def main_text(page: str) -> str:
     region = content_region(nodes, names)
     blocks: dict[int, list[str]] = defaultdict(list)
     for x in nodes:
-        if not x.aside and region is not None and region in x.around:
+        if not x.aside and not region.isdisjoint(x.around):
             blocks[x.block].append(x.text)
     return "\n".join(filter(None, (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))))
 
