@@ -376,6 +376,14 @@ def test_line_dedup_odd_rows(odd, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_of_texts_that_share_an_id(spark):
+    line = "a line of six words here"
+    data = [(1, f"{line}\nfirst"), (2, f"the second one begins\n{line}\nand ends"), (2, f"{line}\nother"), (2, f"{line}\nother"), (3, f"three\n{line} too, and more"), (3, f"{line} too, and more\nlast")]
+    got = collections.Counter(r.text for r in line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert got["the second one begins\nand ends"] == 1 and got["other"] == 2 and got[f"{line}\nfirst"] == 1
+    assert sum(f"{line} too" in t for t in got.elements()) == 1
+
+
 # --- personal data
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 MIN_WORDS = 6
-UNITS = "id long, digest binary, start long, length long, gap long, again boolean"
+UNITS = "id long, hash long, digest binary, start long, length long, gap long, again boolean"
 COLUMNS = [x.split()[0] for x in UNITS.split(", ")]
 #: What separates units; the separator belongs to no unit.
 SEPARATORS = {"line": r"\n", "paragraph": r"\n[\x20\x09-\x0D]*\n"}
@@ -40,7 +40,7 @@ def digest(unit: str, min_words: int) -> bytes | None:
 
 
 def unit_digests(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
-    """(id, digest, start, length, gap, again) of the units: ``gap`` is the length of the separator that follows,
+    """(id, hash, digest, start, length, gap, again) of the units of documents (id, hash of the text, text): ``gap`` is the length of the separator that follows,
     ``again`` says that the same document had the unit before."""
     pattern = SEPARATORS[unit]
 
@@ -48,11 +48,11 @@ def unit_digests(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
         separator = re.compile(pattern)
         for pdf in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(pdf["id"], pdf["text"], strict=True):
+            for doc_id, hash_, text in zip(pdf["id"], pdf["hash"], pdf["text"], strict=True):
                 seen: set[bytes] = set()
                 for a, b, c in unit_spans(text, separator):
                     if (d := digest(text[a:b], min_words)) is not None:
-                        rows.append((doc_id, d, a, b - a, c - b, d in seen))
+                        rows.append((doc_id, hash_, d, a, b - a, c - b, d in seen))
                         seen.add(d)
                 if len(rows) >= 50_000:
                     yield pd.DataFrame(rows, columns=COLUMNS)
@@ -67,16 +67,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``removed`` has the offsets in the original text, in order; ``keep_id`` is the document that keeps the unit.
     With a unit goes the separator that follows it. A null text stays null; rows without an id pass unchanged; rows that repeat an id
-    and a text are one document; an empty table gives an empty result; further columns are not read.
+    and a text are one document, those that repeat an id with different texts are several, of which one keeps the unit; an empty table gives an empty result; further columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     units = scratch.keep(unit_digests(base.filter("id is not null and text is not null"), unit, min_words))
-    first = scratch.keep(units.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    gone = scratch.keep(units.join(first, "digest").filter("id <> keep_id or again").select("id", F.struct("start", "length", "keep_id", "gap").alias("span")))
-    spans = scratch.keep(gone.groupBy("id").agg(F.array_sort(F.collect_set("span")).alias("spans")))
+    first = scratch.keep(units.groupBy("digest").agg(F.min("id").alias("keep_id"), F.min_by("hash", "id").alias("keep_hash"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    gone = scratch.keep(units.join(first, "digest").filter("id <> keep_id or hash <> keep_hash or again").select("id", "hash", F.struct("start", "length", "keep_id", "gap").alias("span")))
+    spans = scratch.keep(gone.groupBy("id", "hash").agg(F.array_sort(F.collect_set("span")).alias("spans")))
     scratch.drop(units, first, gone)
-    both = base.join(spans, "id", "left")
+    both = base.join(spans, ["id", "hash"], "left")
     # What stays lies between the spans, each with the separator that follows it; before a removed end, the separator goes too.
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["start"] + s["length"] + s["gap"]))
     starts = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.length("text").cast("long")))
