@@ -635,6 +635,20 @@ def test_classifier_keeps_good_and_rejects_junk(spark):
     assert kept[1] > 0.98 and kept[0] < 0.2
 
 
+def test_classifier_judges_small_languages_and_repetition(spark, texts):
+    rng = np.random.default_rng(4)
+    pool = [t for t in texts.values() if 300 < len(t) < 4000 and len(set(t.split())) > 0.5 * len(t.split())][:60]
+    data = [(i, pool[i % len(pool)][:1500] + f" {i}", "en") for i in range(200)]
+    noise = ["".join(chr(k) for k in rng.integers(33, 1000, 600)) for _ in range(4)]
+    word = pool[0].split()[0]
+    data += [(1000 + k, t, lang) for k, (t, lang) in enumerate(zip(noise, ("en", "rare", None, "rare"), strict=True))]
+    data += [(2000 + k, t, lang) for k, (t, lang) in enumerate([(" ".join([word] * 300), "en"), (" ".join([word, "and"] * 300), "rare"), (pool[1][:1500], "rare"), (pool[2][:1500], None)])]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in kneser_ney.classify(spark.createDataFrame(data, "doc_id long, text string, lang string"), labels, order=3).collect()}
+    assert len(got) == len(data) and not any(got[1000 + k] for k in range(4))
+    assert [got[2000 + k] for k in range(4)] == [False, False, True, True]
+
+
 def test_classifier_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (6, 1, None), (None, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
     got = {(r.doc_id, r.kept) for r in kneser_ney.classify(odd, labels).collect()}

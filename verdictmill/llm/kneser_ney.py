@@ -9,14 +9,16 @@ probability of a text is a plain sum over the n-grams that occur in it: f(x) for
 context that something follows. So the model can be cut into shards of bounded size: each shard is joined with all
 documents by itself, and the partial sums are added up. No n-gram of a document is ever shuffled.
 
-Thresholds are a quantile of the perplexity of held-out trusted documents, per language. A low perplexity rejects nothing:
-documents of the training text have the lowest.
+Thresholds are a quantile of the perplexity of held-out trusted documents, per language; languages with few of them share
+a model and a threshold of all trusted documents. A low perplexity rejects nothing, as documents of the training text have the
+lowest; repetition is measured by itself, as the share to which a text can be compressed, against a low quantile of trusted text.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +32,17 @@ U = np.uint64
 ORDER = 5
 #: Entries of a model shard; a shard's table takes up to 52 bytes an entry in a Python worker.
 SHARD_ENTRIES = 2_500_000
-#: The quantile of the perplexity of a language's held-out trusted documents that is the threshold; few documents tell it
-#: badly, so the threshold is MARGIN times their median at least.
-HIGH, MARGIN = 0.999, 1.5
+#: The quantile of the perplexity of held-out trusted documents that is the threshold.
+HIGH = 0.999
+#: A language with fewer held-out trusted documents shares the common model and threshold.
+ENOUGH = 20
+#: Fewer than 1 / (1 - HIGH) documents cannot tell the quantile, their greatest value lies below it; then, and only then, the
+#: threshold is MARGIN times their median at least.
+MARGIN = 1.5
+#: The quantile of the compressed share of trusted documents below which a text is too repetitive; it is measured in pieces of PIECE characters.
+LOW, PIECE = 0.001, 1000
+#: The key of the common model; no language has it.
+COMMON = "\x00common"
 #: One in so many trusted documents is held out from training.
 HELD_OUT = 5
 NO_LANG = ""
@@ -235,7 +245,7 @@ def _key_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def score(docs: DataFrame, model: DataFrame, order: int, shard_entries: int, carry: list[str], scratch: Scratch) -> DataFrame:
-    """``docs`` (lang, text and the columns to ``carry``) with n_chars_scored and log_sum, the base left out."""
+    """``docs`` (lang, the model's key; text and the columns to ``carry``) with n_chars_scored, log_sum (the base left out) and share."""
     spark = docs.sparkSession
     shards = max(1, math.ceil(model.count() / shard_entries))
     keyed = scratch.keep(model.mapInPandas(_key_grams, "key long, f float, g float").withColumn("shard", F.pmod("key", F.lit(shards))))
@@ -244,18 +254,24 @@ def score(docs: DataFrame, model: DataFrame, order: int, shard_entries: int, car
     for k in range(shards):
         part = keyed.filter(F.col("shard") == k).drop("shard").toArrow()  # 16 bytes for each of about shard_entries n-grams
         shard = spark.sparkContext.broadcast(tuple(part[c].to_numpy().tobytes() for c in ("key", "f", "g")))
-        rounds.append(docs.mapInPandas(_scorer(shard, order, carry), f"{fields}, n_chars_scored long, log_sum double"))
+        rounds.append(docs.mapInPandas(_scorer(shard, order, carry, k == 0), f"{fields}, n_chars_scored long, log_sum double, share double"))
     if shards == 1:
         return rounds[0]
     both = rounds[0]
     for more in rounds[1:]:
         both = both.unionByName(more)
     # A row that occurs several times comes several times from each round.
-    summed = both.groupBy(*carry, "n_chars_scored").agg((F.sum("log_sum") / F.count("*") * shards).alias("log_sum"), (F.count("*") / shards).cast("int").alias("_rows"))
+    summed = both.groupBy(*carry, "n_chars_scored").agg(*[(F.sum(c) / F.count("*") * shards).alias(c) for c in ("log_sum", "share")], (F.count("*") / shards).cast("int").alias("_rows"))
     return summed.withColumn("_row", F.explode(F.sequence(F.lit(1), "_rows"))).drop("_row", "_rows")
 
 
-def _scorer(shard, order: int, carry: list[str]):
+def compressed_share(text: str) -> float:
+    """Bytes of the pieces of a cleaned text when compressed, of all its bytes: low for repeated words and phrases. A short piece has a higher share."""
+    pieces = [text[k : k + PIECE].encode() for k in range(0, len(text), PIECE)]
+    return sum(len(zlib.compress(x, 1)) for x in pieces) / max(1, sum(map(len, pieces)))
+
+
+def _scorer(shard, order: int, carry: list[str], first: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = None
         for pdf in slices(batches):
@@ -268,25 +284,38 @@ def _scorer(shard, order: int, carry: list[str]):
             for lang in np.unique(langs.astype(str)):
                 rows = np.flatnonzero(langs == lang)
                 sums[rows] = score_texts([texts[i] for i in rows], lang, table, order)
-            yield pdf[carry].assign(n_chars_scored=[len(t) for t in texts], log_sum=sums)
+            yield pdf[carry].assign(n_chars_scored=[len(t) for t in texts], log_sum=sums, share=[compressed_share(t) if first else 0.0 for t in texts])
 
     return run
 
 
 def perplexity(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """Documents (id and language) with n_chars_scored, perplexity, and _held: null if not trusted, true if held out."""
+    """Documents (id and language) with n_chars_scored, perplexity, share, _held: null if not trusted, true if held out, and _model: the key of
+    their model. Held-out documents come once more (_extra) where a common model is needed."""
     lang = F.coalesce(F.col(lang_col), F.lit(NO_LANG))
     good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(F.col("doc_id").cast("long").alias("_id")).filter("_id is not null").distinct()
     good = scratch.keep(good.withColumn("_held", F.pmod(F.xxhash64("_id"), F.lit(HELD_OUT)) == 0))
     small = good.count() <= BROADCAST_IDS
     ids = F.broadcast(good) if small else good
     ready = docs.withColumns({"_key": F.col(id_col).cast("long")}).join(ids.withColumnRenamed("_id", "_key"), "_key", "left").drop("_key")
-    model, langs = train(ready.filter("_held = false").filter(F.col(text_col).isNotNull()).select(lang.alias("lang"), F.col(text_col).alias("text")), order, scratch)
-    slim = ready.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), "_held", F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    carry = ["id", "lang", "_held", "hash"]
+    told = F.coalesce(F.col("_held") & F.col(text_col).rlike(r"\S"), F.lit(False))
+    taught = F.coalesce(~F.col("_held") & F.col(text_col).rlike(r"\S"), F.lit(False))
+    own = ready.groupBy(lang.alias("_lang")).agg(F.count_if(told).alias("told"), F.count_if(taught).alias("taught"))
+    own = scratch.keep(own.select("_lang", ((F.col("told") >= ENOUGH) & (F.col("taught") > 0)).alias("own")))  # a row per language
+    common = own.filter("not own").limit(1).count() > 0
+    model_of = F.when(F.col("own"), F.col("_lang")).otherwise(F.lit(COMMON))
+    few = F.broadcast(own) if own.count() <= 10_000 else own
+    slim = ready.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), lang.alias("_lang"), "_held", F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    slim = slim.join(few, "_lang").select("id", F.col("lang").alias("_of"), model_of.alias("lang"), "_held", "hash", F.lit(False).alias("_extra"), "text")
+    trusted = slim.filter("_held = false and text is not null").select("lang", "text")
+    if common:
+        more = lambda df: df.filter(F.col("lang") != COMMON).withColumn("lang", F.lit(COMMON))
+        trusted = trusted.unionByName(more(trusted))
+        slim = slim.unionByName(more(slim.filter("_held")).withColumn("_extra", F.lit(True)))
+    model, langs = train(trusted, order, scratch)
+    carry = ["id", "_of", "lang", "_held", "hash", "_extra"]
     scored = scratch.keep(score(slim, model, order, shard_entries, carry, scratch))
-    bases = langs.withColumnRenamed("lang", "_lang")
-    scored = scored.join(bases, F.coalesce(F.col("lang"), F.lit(NO_LANG)) == F.col("_lang"), "left").drop("_lang", "hash").withColumnsRenamed({"id": id_col, "lang": lang_col})
+    scored = scored.withColumnRenamed("lang", "_model").join(langs.withColumnRenamed("lang", "_model"), "_model", "left").drop("hash").withColumnsRenamed({"id": id_col, "_of": lang_col})
     value = F.exp(-(F.col("log_sum") / F.col("n_chars_scored") + F.col("base")))
     return scored.withColumn("perplexity", F.when((F.col("n_chars_scored") > 0) & F.col("base").isNotNull(), value))
 
@@ -295,19 +324,22 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """Per document: id, language, n_chars_scored, perplexity, threshold, kept.
 
     ``labels`` (doc_id, quality, toxic) names the trusted documents, quality 1 and not toxic; all of them are used.
-    A document is kept if its perplexity is at most the threshold of its language. A text without a character
-    (null, empty, white space) has no perplexity and is rejected; a language without trusted documents has no
-    threshold and keeps what has a character. A null language is a language of its own. Repeated rows are
-    judged each; an empty table gives an empty result.
+    A document is kept if its perplexity is at most the threshold of its language and its compressed share at least that of
+    its language. A language with fewer than ENOUGH held-out trusted documents, or none, has the common model and thresholds of
+    all trusted documents; only where none at all is held out, or all are, everything that has a character is kept. A text without
+    a character (null, empty, white space) has no perplexity and is rejected. A null language is a language of its own.
+    Repeated rows are judged each; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "kneser-ney")
     scored = perplexity(docs, labels, scratch, id_col, text_col, lang_col, order, shard_entries)
-    of = F.coalesce(F.col(lang_col), F.lit(NO_LANG))
-    ends = F.percentile_approx("perplexity", [0.5, high], 100_000)
-    limits = scored.filter("_held and perplexity is not null").groupBy(of.alias("_lang")).agg(ends.alias("_ends"))
-    limits = scratch.keep(limits.select("_lang", F.greatest(F.col("_ends")[1], F.col("_ends")[0] * margin).alias("threshold")))
-    judged = scored.join(limits, of == F.col("_lang"), "left")
-    kept = (F.col("n_chars_scored") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    ends = F.percentile_approx(F.when(F.col("_held"), F.col("perplexity")), [0.5, high], 100_000)
+    told = scored.filter("_held is not null and perplexity is not null").groupBy("_model")
+    limits = told.agg(ends.alias("_ends"), F.count_if("_held").alias("_n"), F.percentile_approx("share", LOW, 100_000).alias("_least"))
+    threshold = F.when(F.col("_n") * (1 - high) >= 1 - 1e-9, F.col("_ends")[1]).otherwise(F.greatest(F.col("_ends")[1], F.col("_ends")[0] * margin))
+    limits = scratch.keep(limits.filter("_n > 0").select("_model", threshold.alias("threshold"), "_least"))
+    judged = scored.filter("not _extra").join(limits, "_model", "left")
+    likely, varied = F.col("perplexity") <= F.col("threshold"), F.col("share") >= F.col("_least")
+    kept = (F.col("n_chars_scored") > 0) & F.coalesce(likely & varied, F.lit(True))
     return judged.select(id_col, lang_col, "n_chars_scored", "perplexity", "threshold", kept.alias("kept"))
 
 
