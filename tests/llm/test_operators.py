@@ -384,6 +384,72 @@ def test_line_dedup_of_texts_that_share_an_id(spark):
     assert sum(f"{line} too" in t for t in got.elements()) == 1
 
 
+def brute_sentences(texts, min_words, run_words):
+    """{id: (text, removed)} by two plain passes over all sentences in the order of ids."""
+    first, out = {}, {}
+    for i in sorted(texts):
+        units = [(m.start(), m.group()) for m in re.finditer(r"(?s).+?(?:[.!?…]+[\x20\x09-\x0D]+|[。！？]+[\x20\x09-\x0D]*|\n|\Z)", texts[i])]
+        marked = []
+        for a, u in units:
+            body = u.rstrip(" \t\n\v\f\r")
+            key = " ".join(x for x in re.split(r"[\x20\x09-\x0D]+", u.lower()) if x)
+            words = len(re.findall(r"[฀-໿぀-ヿ㐀-鿿豈-﫿]|[^\x20\x09-\x0D฀-໿぀-ヿ㐀-鿿豈-﫿]+", key))
+            marked.append((a, body, u[len(body) :], first[key] if key in first else None, words, bool(key)))
+            if key:
+                first.setdefault(key, i)
+        gone, run = set(), []
+        for k, (_, _, _, keep, _, has) in enumerate([*marked, (0, "", "", None, 0, True)]):
+            if has and keep is None:
+                if sum(marked[x][4] for x in run if marked[x][4] >= min_words) >= run_words:
+                    gone |= set(run)
+                run = []
+            elif has:
+                run.append(k)
+        kept, text = [k for k in range(len(marked)) if k not in gone], ""
+        for n, k in enumerate(kept):
+            gap, next_ = marked[k][2], kept[n + 1] if n + 1 < len(kept) else None
+            if next_ is None:
+                gap = gap if k == len(marked) - 1 else ""
+            elif next_ > k + 1 and "\n" not in gap and "\n" in marked[next_ - 1][2]:
+                gap = "\n"
+            text += marked[k][1] + gap
+        out[i] = (text, [(marked[k][0], len(marked[k][1]), marked[k][3]) for k in sorted(gone)])
+    return out
+
+
+@pytest.mark.parametrize("run_words", [5, 30])
+def test_sentence_runs_brute_force(spark, documents, texts, run_words):
+    want = brute_sentences(texts, 4, run_words)
+    got = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in line_dedup.line_dedup(documents, unit="sentence", min_words=4, run_words=run_words).collect()}
+    assert got == want and any(x for _, x in want.values())
+
+
+def test_sentence_runs_of_odd_shapes(spark):
+    rng = np.random.default_rng(9)
+    pool = ["One sentence of six words here.", "Another of them, is it not?", "Short!", "No mark at the end", "中文一句话在这里说。", "第二句话也在这里！", "And… more words, of it, here.", "  led by blanks, it is. "]
+    texts = {}
+    for i in range(120):
+        parts = [pool[k] if k < len(pool) else f"own {i} words {k} here." for k in rng.integers(0, len(pool) + 6, rng.integers(0, 9))]
+        texts[i] = "".join(p + ("", " ", "\n", "\n\n", " \t\n ")[rng.integers(0, 5)] for p in parts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for run_words in (1, 12):
+        got = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in line_dedup.line_dedup(df, unit="sentence", min_words=4, run_words=run_words).collect()}
+        assert got == brute_sentences(texts, 4, run_words)
+
+
+def test_sentence_runs_find_a_passage_within_lines(spark):
+    passage = " ".join(f"Sentence {k} of the passage has these nine words." for k in range(8))
+    data = [(1, f"The first begins\nand {passage} Then it ends."), (2, f"Here, amid a line, {passage} The rest of it.\nNew line."), (2, f"{passage}\nanother text"), (None, passage), (4, f"A document with one shared sentence only. {passage[:47]} And it stays."), (5, None), (6, "")]
+    df = spark.createDataFrame([(i, t, "x", 3) for i, t in data], "doc_id long, text string, keep_id string, n_removed int")
+    sentence = dict(unit="sentence", min_words=line_dedup.SENTENCE_WORDS, run_words=line_dedup.RUN_WORDS)
+    got = {(r.doc_id, r.text) for r in line_dedup.line_dedup(df, **sentence).collect()}
+    assert len(got) == len(data) and {data[0], data[3], data[4], data[5], data[6]} <= got
+    cut = {t for i, t in got if i == 2}
+    first = passage[: passage.index(".") + 1]
+    assert cut == {f"Here, amid a line, {first} The rest of it.\nNew line.", f"{first}\nanother text"}
+    assert line_dedup.line_dedup(df.limit(0), **sentence).count() == 0
+
+
 # --- personal data
 
 

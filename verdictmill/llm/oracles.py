@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .line_dedup import MIN_WORDS
+from .line_dedup import RUN_WORDS, SENTENCE, SENTENCE_WORDS, WORDS
 from .mixing import BLOCK_WORDS, SHARD_ROWS
 
 EXACT = r"""
@@ -49,12 +49,19 @@ c(doc_id, got) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.doc_id, u
 m AS (SELECT doc_id, min(got) AS component_id FROM c GROUP BY 1)
 SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n ON n.doc_id = m.doc_id"""
 
+#: Sentences with the white space that follows them; repeated neighbours in runs.
 LINES = rf"""
-WITH l AS (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents),
-p AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM l),
-k AS (SELECT doc_id, i, line, array_to_string(list_filter(string_split_regex(lower(line), '\s+'), lambda x: x <> ''), ' ') AS key, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p),
-f AS (SELECT *, len(string_split(key, ' ')) >= {MIN_WORDS} AND key <> '' AS long, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS nth FROM k WINDOW w AS (PARTITION BY key ORDER BY doc_id, i)),
-g AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT long OR nth = 1), '') AS text, count(*) FILTER (WHERE long AND nth > 1) AS n_removed, coalesce(string_agg(start || ':' || length(line) || ':' || keep_id, ' ' ORDER BY i) FILTER (WHERE long AND nth > 1), '') AS removed FROM f GROUP BY doc_id)
-SELECT doc_id, text, n_removed, removed FROM g"""
+WITH p AS (SELECT doc_id, regexp_extract_all(text, '{SENTENCE}') AS us FROM documents WHERE text <> ''),
+u AS (SELECT doc_id, unnest(us) AS u, unnest(range(1, len(us) + 1)) AS i FROM p),
+k AS (SELECT *, regexp_replace(u, '[\x20\x09-\x0D]+\z', '') AS unit, coalesce(sum(length(u)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+  trim(regexp_replace(lower(u), '[\x20\x09-\x0D]+', ' ', 'g')) AS key FROM u),
+f AS (SELECT *, len(regexp_extract_all(key, '{WORDS}')) AS words, substr(u, length(unit) + 1) AS gap, key <> '' AND row_number() OVER w > 1 AS again, first_value(doc_id) OVER w AS keep_id,
+  count(CASE WHEN key <> '' THEN 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM k WINDOW w AS (PARTITION BY key ORDER BY doc_id, i)),
+g AS (SELECT *, CASE WHEN again THEN j - row_number() OVER (PARTITION BY doc_id, again ORDER BY i) END AS run FROM f),
+h AS (SELECT *, again AND coalesce(sum(CASE WHEN words >= {SENTENCE_WORDS} THEN words END) OVER (PARTITION BY doc_id, again, run), 0) >= {RUN_WORDS} AS gone, lag(gap) OVER (PARTITION BY doc_id ORDER BY i) AS before, max(i) OVER (PARTITION BY doc_id) AS n FROM g),
+s AS (SELECT *, lead(before) OVER (PARTITION BY doc_id, gone ORDER BY i) AS broke, lead(i) OVER (PARTITION BY doc_id, gone ORDER BY i) AS next FROM h),
+t AS (SELECT doc_id, coalesce(string_agg(unit || CASE WHEN next IS NULL AND i < n THEN '' WHEN next > i + 1 AND NOT contains(gap, chr(10)) AND contains(broke, chr(10)) THEN chr(10) ELSE gap END, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS text,
+  count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(start || ':' || length(unit) || ':' || keep_id, ' ' ORDER BY i) FILTER (WHERE gone), '') AS removed FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t.text, d.text) AS text, coalesce(t.n_removed, 0) AS n_removed, coalesce(t.removed, '') AS removed FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id"""
 
 SQL = {"op5_exact_dedup": EXACT, "op6_mixing": MIXING, "op7_near_dedup": NEAR, "op10_line_dedup": LINES}

@@ -51,8 +51,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What was removed is told as start:length:keep_id in the original text."""
-    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    """Runs of repeated sentences; what was removed is told as start:length:keep_id in the original text."""
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"), unit="sentence", min_words=line_dedup.SENTENCE_WORDS, run_words=line_dedup.RUN_WORDS)
     return out.withColumn("removed", F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"), s["keep_id"].cast("string"))), " "))
 
 
