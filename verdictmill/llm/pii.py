@@ -3,7 +3,7 @@
 An entity has a kind and a canonical form (an e-mail address in lower case, the digits of a number), so that all its
 mentions get one surrogate, each in the format of the mention. A surrogate is drawn from a keyed hash of kind, canonical form and
 attempt; without the key it tells nothing about the original. Over all distinct entities of the corpus, a surrogate
-that another entity has already, or that is itself an original, is drawn again with the next attempt. Only the entities that needed
+that another entity of its kind has already, or that is itself an original, is drawn again with the next attempt. Only the entities that needed
 a further attempt travel back to their documents.
 """
 
@@ -47,8 +47,8 @@ _DOTTED, _HEX = rf"(?:{_OCTET}\.){{3}}{_OCTET}", r"[0-9A-Fa-f]{1,4}"
 _NAME = r"[^\W\d_][^\W\d_'’\-]{1,30}(?:[\-'’][^\W\d_]{2,30})?"
 #: In order; of overlapping matches the first kind counts.
 PATTERNS = {
-    "email": r"(?<![\w.%+\-])[\w.%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
-    "secret": r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]{0,31}[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])|(?<=[\"'])(?=[\w+/\-]{0,40}\d)[\w+/\-]{20,128}={0,2}(?=[\"'])",
+    "email": r"(?<![\w.%+\-])[\w.%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
+    "secret": r"(?<![0-9A-Za-z])(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])|(?<=[\"'])(?=[\w+/\-]*\d)[\w+/\-]{20,}={0,2}(?=[\"'])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
     "ip6": rf"(?<!\w)(?<![0-9A-Fa-f:]:)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{6}}{_DOTTED}|(?=[A-Fa-f:]*\d)(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:(?:{_HEX}:){{0,6}}(?:{_DOTTED}|{_HEX}))?)(?!\w|:[\w:]|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
@@ -76,6 +76,8 @@ def _addressed() -> re.Pattern:
 
 _ADDRESSED = _addressed()
 
+#: Digits of a telephone number that tell it; those before are a country code, which a surrogate keeps.
+NATIONAL = 10
 #: Documents with an entity that needed a further attempt are few; up to this number (some 100 bytes each) they are broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -178,6 +180,8 @@ def _in_line(line: str, at: int) -> list[Mention]:
             canonical = re.sub(r"\D", "", raw)
             if kind == "card" and not 13 <= len(canonical) <= 19 or kind == "phone" and not 7 <= len(canonical) <= 15:
                 continue
+            if kind == "phone":  # with and without a country code it is one number
+                canonical = canonical[-NATIONAL:]
         else:
             canonical = _address6(raw) if kind == "ip6" else {"email": raw.lower(), "iban": raw.replace(" ", "")}.get(kind, raw)
         out.append(Mention(at + m.start(), at + m.end(), kind, canonical, raw))
@@ -269,7 +273,7 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
         "card": lambda: _card(draw, canonical),
         "iban": lambda: _iban(draw, canonical),
         "ssn": lambda: _number(draw, canonical, 0),
-        "phone": lambda: _number(draw, canonical, max(0, len(canonical) - 10)),
+        "phone": lambda: _number(draw, canonical, 0),
         "secret": lambda: _hex(draw, canonical),
     }
     return makers[kind]() if kind in makers else _name(draw, kind, canonical, attempt)
@@ -278,7 +282,8 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
 def written_as(canonical: str, kind: str, text: str) -> str:
     """A surrogate in the format of a mention: its separators, its grouping, its case."""
     if kind in ("card", "ssn", "phone", "iban"):
-        left = iter(canonical)
+        code = max(0, sum(c.isdigit() for c in text) - len(canonical)) if kind == "phone" else 0
+        left = iter("".join(c for c in text if c.isdigit())[:code] + canonical)
         return "".join(next(left, "") if c.isalnum() else c for c in text)
     if kind == "email":
         return canonical.upper() if text.isupper() else canonical
