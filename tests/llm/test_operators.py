@@ -83,6 +83,28 @@ def test_exact_dedup_odd_rows(odd, empty):
     assert exact_dedup.drop_repeats(odd).columns == odd.columns
 
 
+def test_winners_and_counts_come_from_the_slots(spark, monkeypatch):
+    texts = ["a", "b", "a", "c", "a", "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda: sorted((r.doc_id, r.keep_id, r.group_size, r.known) for r in exact_dedup.exact_dedup(df).collect())
+    assert found() == [(0, 0, 3, True), (1, 1, 2, True), (2, 0, 3, True), (3, 3, 1, False), (4, 0, 3, True), (5, 1, 2, True)]
+    monkeypatch.setattr(exact_dedup, "members", lambda words, shard: (np.full(len(words), -1), np.zeros(len(words), bool)))
+    assert found() != [(0, 0, 3, True), (1, 1, 2, True), (2, 0, 3, True), (3, 3, 1, False), (4, 0, 3, True), (5, 1, 2, True)]
+
+
+#: Null and repeated ids: equal texts, different ones, and the same text and id twice.
+TWICE = [(None, "only without an id", "a"), (None, "only without an id", "a"), (3, "A  text", "a"), (5, "A text", "b"), (5, "a text of its own", "b"), (5, "a text of its own", "b"), (None, "A text", "c"), (None, "", "c"), (7, None, "c")]
+
+
+def test_exact_stage_loses_no_text(spark):
+    df = spark.createDataFrame([(*r, "x", 1) for r in TWICE], "doc_id long, text string, source string, keep_id string, n long")
+    out = exact_dedup.drop_repeats(df)
+    assert out.columns == df.columns
+    got = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    assert got == collections.Counter([(None, "only without an id"), (3, "A  text"), (5, "a text of its own"), (7, None)])
+    assert exact_dedup.drop_repeats(df.limit(0)).count() == 0
+
+
 # --- mixing
 
 
@@ -210,6 +232,18 @@ def test_near_dedup_odd_rows(odd, empty):
     assert kept.columns == odd.columns and 5 not in [r.doc_id for r in kept.collect()]
 
 
+def test_near_stage_tells_texts_of_one_id_apart(spark):
+    copies = edited(6, 3, words=80)
+    near, own = copies[0], " ".join(f"own{k}" for k in range(40))
+    data = [(3, near), (5, near + " x"), (5, own), (9, own + " y"), (None, near), (None, own), (11, "of five words or so"), (11, "of five words or so"), (11, None)]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in data], "doc_id long, text string, component_id string, kept int")
+    got = collections.Counter((r.doc_id, r.text) for r in near_dedup.drop_near_copies(df).collect())
+    assert got[(3, near)] == 1 and got[(5, near + " x")] == 0 and got[(None, near)] == 1 and got[(None, own)] == 1
+    assert got[(5, own)] + got[(9, own + " y")] == 1 and got[(11, "of five words or so")] == 2 and got[(11, None)] == 1
+    judged = near_dedup.near_dedup(df)
+    assert judged.count() == len(data) and {r.component_id for r in judged.collect()} <= {None, 3, 5, 9, 11}
+
+
 def test_min_max_signature_estimates_jaccard():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)
@@ -513,6 +547,44 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
         assert len(set(after)) == len(set(before)) and not set(after) & set(before)
 
 
+def test_surrogates_of_random_texts(spark):
+    """Texts made of known entities: none stays, each has one surrogate wherever and however it is written, different ones differ, the rest is as it was."""
+    rng = np.random.default_rng(11)
+    number = lambda k: (f"212{k:03d}4567", lambda d: [f"+1 {d[:3]}-{d[3:6]}-{d[6:]}", f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}"])
+    kinds = {
+        "mail": [[f"user{k}.x@mail{k % 3}.com", f"User{k}.X@mail{k % 3}.com"] for k in range(9)] + [["a" * 90 + "@mail.org"]],
+        "phone": [make(d) for d, make in map(number, range(200, 209))],
+        "card": [[f"4{k}11 1111 1111 1111", f"4{k}11-1111-1111-1111", f"4{k}11111111111111"] for k in range(5)],
+        "key": [[f"{k:x}" * 40 + "0f1e" * 40] for k in range(3)],
+        "name": [[f"Mr. {n}", f"Herr {n}"] for n in ("Smith", "Brown", "Novak", "Weber")],
+    }
+    plain = "and then of the all some words here".split()
+    data, used = {}, {}
+    for i in range(80):
+        parts = []
+        for _ in range(rng.integers(0, 12)):
+            kind = list(kinds)[rng.integers(0, len(kinds))]
+            e = int(rng.integers(0, len(kinds[kind])))
+            forms = kinds[kind][e]
+            parts += [str(rng.choice(plain)), (kind, e, str(rng.choice(forms)))]
+        data[i], used[i] = "".join((p if isinstance(p, str) else p[2]) + " | " for p in parts), parts
+    out = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(list(data.items()), "doc_id long, text string"), b"k").collect()}
+    of = collections.defaultdict(set)
+    for i, parts in used.items():
+        got = out[i].split(" | ")[:-1] if parts else []
+        assert len(got) == len(parts)
+        for p, g in zip(parts, got, strict=True):
+            if isinstance(p, str):
+                assert p == g
+            else:
+                kind, e, form = p
+                said = form.split()[-1] if kind == "name" else form
+                same = g.split()[-1] if kind == "name" else g.lower() if kind == "mail" else re.sub(r"\W", "", g)[-10 if kind == "phone" else 0 :]
+                assert said not in g and (kind == "mail" or [c.isalnum() for c in g] == [c.isalnum() for c in form] or kind == "name")
+                of[kind, e].add(same)
+    assert all(len(x) == 1 for x in of.values()) and len(set.union(*of.values())) == len(of)
+
+
 def test_settling_resolves_collisions(spark):
     entities = spark.createDataFrame([("ssn", f"{k:03d}") for k in range(0, 900, 2)], "kind string, canonical string")
     from verdictmill.llm.common import Scratch
@@ -586,6 +658,48 @@ def test_main_text_odd_rows(spark):
     assert html_text.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_ratios_choose_the_nodes_where_no_element_tells(monkeypatch):
+    links = "".join(f"<a href=/{k}>Topic {k}</a> " for k in range(9))
+    body = "".join(f"<p>Paragraph {k} of the text, with commas, and stops. More of it, and more, and so on, to its end.</p>" for k in range(6))
+    page = f"<body><div>{links}</div><div><h1>Headline</h1><div>{body}<ul><li>short</ul></div></div><div>{links}</div></body>"
+    want = ["Headline", *(f"Paragraph {k} of the text, with commas, and stops. More of it, and more, and so on, to its end." for k in range(6)), "short"]
+    assert html_text.main_text(page).split("\n") == want
+    monkeypatch.setattr(html_text, "path_scores", lambda paths, texts, width=1.0: np.ones(len(paths)))
+    assert len(html_text.main_text(page).split("\n")) == len(want) + 2
+
+
+def test_ratios_cut_links_off_pages_without_semantic_elements(spark, small):
+    for r in spark.read.parquet(f"{small}/pages.parquet").collect():
+        if len(html_text.main_text(r.html)) < 500:  # a few words do not differ from links
+            continue
+        plain = re.sub(r"</?(article|nav|footer)\b[^>]*>", lambda m: "</div>" if m[0][1] == "/" else "<div>", r.html).replace('<div class="ad">', "<div>")
+        lines, links = html_text.main_text(plain).split("\n"), re.findall(r"<li><a[^>]*>(.*?)</a></li>", r.html)
+        assert set(html_text.main_text(r.html).split("\n")) <= set(lines) and len(set(lines) & set(links)) <= 1
+
+
+def test_names_of_elements_exclude_only_what_they_say():
+    body = "".join(f"<p>Paragraph {k}, with commas, and stops. More of it.</p>" for k in range(4))
+    lines = lambda page: html_text.main_text(page).split("\n")
+    assert "Of its history, a word." in lines(f"<article>{body}<div class=social-history><p>Of its history, a word.</p></div></article>")
+    assert "Title" in lines(f"<body><header><h1>The site</h1></header><article><header><h1>Title</h1></header>{body}</article>")
+    for name in ("side-bar sidebar", "cookieNotice", "site-nav", "page-footer-2", "commentList"):
+        assert "Not this, please. No." not in lines(f"<article>{body}<div class='{name}'><p>Not this, please. No.</p></div></article>"), name
+
+
+@pytest.mark.parametrize("page", ["<a x " * 200_000, '<a x="' * 150_000, "<div>" * 100_000 + "</b>" * 100_000, "<p><table><td>" * 30_000 + "<div>" * 50_000, "x" + "<br>" * 200_000, "<script>" + "</script x" * 100_000, "&#" + "9" * 100_000 + ";", "<!--" * 200_000])
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    assert len(html_text.main_text(page)) <= 1
+    assert time.perf_counter() - began < 20
+
+
+def test_no_depth_is_too_deep():
+    page = "<article><p>Before, it, was. So it was.</p>" + "<div>" * 600 + "<nav>Menu, of, all</nav>" + "</div>" * 600 + "<p>After, it, is. So it is.</p></article>"
+    assert html_text.main_text(page) == "Before, it, was. So it was.\nAfter, it, is. So it is."
+
+
 # --- nearest neighbours
 
 
@@ -722,3 +836,16 @@ def test_classifier_odd_rows(spark, odd, empty):
     assert kneser_ney.classify(odd, labels).count() == len(ODD)
     assert kneser_ney.classify(empty, labels).count() == 0 and kneser_ney.classify(odd, labels.limit(0)).filter("kept").count() == len(ODD) - 3
     assert kneser_ney.drop_rejected(odd, labels).columns == odd.columns
+
+
+def test_quality_stage_judges_rows_of_one_id_by_themselves(spark, texts):
+    pool = [t for t in texts.values() if 300 < len(t) < 4000 and len(set(t.split())) > 0.5 * len(t.split())][:40]
+    junk = "".join(chr(k) for k in np.random.default_rng(4).integers(33, 1000, 600))
+    data = [(i, pool[i % len(pool)][:1500] + f" {i}", "en") for i in range(200)] + [(250, junk, "en"), (250, pool[1][:1500], "en"), (None, junk, "en"), (None, pool[0][:1500], "en"), (300, junk, None), (None, None, None)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame([(*r, 0.5) for r in data], "doc_id long, text string, lang string, perplexity double")
+    out = kneser_ney.drop_rejected(df, labels, order=3)
+    got = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    assert out.columns == df.columns and got[(250, pool[1][:1500])] == 1 and got[(None, pool[0][:1500])] == 1
+    assert not any(got[x] for x in [(250, junk), (None, junk), (300, junk), (None, None)])
+    assert kneser_ney.drop_rejected(df.limit(0), labels).count() == 0

@@ -32,3 +32,20 @@ def test_registered(spark, small):
     names = entry.queries()
     assert {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in names if x.startswith("op")} and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_stages_on_odd_rows(spark, small):
+    """Null and repeated ids, equal and different texts, long and empty ones: each stage gives its columns, and loses no text but by its decision."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    some = [r.text for r in docs.orderBy("doc_id").limit(12).collect()]
+    rows = [(None, some[0], "en", "a", 1), (None, some[0], "en", "a", 1), (None, some[1], None, None, None), (3, some[2], "en", "a", 1), (3, some[3], "en", "b", 1), (3, some[3], "en", "b", 1), (4, "", "en", "a", 0), (5, None, None, None, None), (6, some[4] * 60, "en", "a", 1)]
+    odd = spark.createDataFrame(rows, docs.schema)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out, none = stage(spark, odd, small), stage(spark, odd.limit(0), small)
+        assert none.count() == 0, name
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == odd.columns
+        ids = {r.doc_id for r in out.select("doc_id").collect()}
+        assert ids <= {None, 3, 4, 5, 6} and {None, 3, 6} <= ids, name
+    exact = [(r.doc_id, r.text) for r in corpus_pipeline.STAGES[1][1](spark, odd, small).collect()]
+    assert len(exact) == len(set(exact)) == 6 and {t for _, t in exact if t} == {t for _, t, *_ in rows if t}

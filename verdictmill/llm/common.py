@@ -18,9 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests on one machine), a temporary one."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a temporary one, on one machine alone: a cluster has to name its shared folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="verdictmill-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -62,21 +64,25 @@ def md5_part(text: Column, first: int, digits: int) -> Column:
 BROADCAST_IDS = 1_000_000
 
 
-def _by_id(docs: DataFrame, ids: DataFrame, id_col: str, scratch: Scratch, how: str) -> DataFrame:
-    """A semi or anti join with a column of ids; a few are broadcast, so that texts stay where they are."""
-    table = scratch.keep(ids.toDF("_other").distinct())
-    few = F.broadcast(table) if table.count() <= BROADCAST_IDS else table
-    return docs.join(few, F.col(id_col) == F.col("_other"), how)
+def _few(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str, scratch: Scratch) -> DataFrame:
-    """The documents whose id is not among those of ``gone`` (its one column)."""
-    return _by_id(docs, gone, id_col, scratch, "left_anti")
+def only(docs: DataFrame, wanted: DataFrame, id_col: str, scratch: Scratch) -> DataFrame:
+    """The documents whose id is among those of ``wanted`` (its one column); a few are broadcast, so that texts stay where they are."""
+    table = scratch.keep(wanted.toDF("_other").distinct())
+    return docs.join(_few(table), F.col(id_col) == F.col("_other"), "left_semi")
 
 
-def only(docs: DataFrame, wanted: DataFrame, id_col: str, scratch: Scratch) -> DataFrame:
-    """The documents whose id is among those of ``wanted`` (its one column)."""
-    return _by_id(docs, wanted, id_col, scratch, "left_semi")
+def row_hash(*columns: str) -> Column:
+    """Beside its id, what tells a row apart from others of the same id, or without one."""
+    return F.xxhash64(*columns)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, hash_: Column, scratch: Scratch) -> DataFrame:
+    """The documents without those of ``gone`` (id, hash): other texts of the same id stay, and null ids are equal to each other."""
+    table = scratch.keep(gone.toDF("_other", "_hash").distinct())
+    return docs.join(_few(table), F.col(id_col).cast("long").eqNullSafe(F.col("_other")) & (hash_ == F.col("_hash")), "left_anti")
 
 
 def slices(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:

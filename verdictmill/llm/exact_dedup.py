@@ -1,9 +1,9 @@
 """Exact deduplication through a minimal perfect hash over the historical distinct digests.
 
 The corpus comes in two batches: *history* and *new*. History's distinct digests are dealt to shards by their
-first bits; each shard gets a minimal perfect hash whose slots hold the full 32-byte digest and the locator of
-the winner (the smallest id with that text). A new digest looks its slot up and compares all bytes: equal, it
-is a repeat of history; otherwise it is no member and is grouped among the new ones.
+first bits; each shard gets a minimal perfect hash whose slots hold the full 32-byte digest, the locator of
+the winner (the smallest id with that text, and the hash of its row) and a count. A new digest looks its slot up and compares all bytes: equal, it
+is a repeat of history, whose winner is the slot's and whose rows are added to the slot's count; otherwise it is no member and stands by itself.
 
 Both sides are reduced to one row per digest before they meet, so a text that holds a third of all rows
 costs one slot and one lookup. Shards have about ``shard_keys`` keys at any size of the corpus.
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Scratch, without
+from .common import WHITE, Scratch, row_hash, without_rows
 
 #: Average keys of a shard.
 SHARD_KEYS = 1024
@@ -73,28 +73,31 @@ def slot_of(words: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-INDEX = "shard int, n_keys int, level_bits array<int>, levels binary, slots binary, winners binary"
+INDEX = "shard int, level_bits array<int>, levels binary, slots binary, winners binary, hashes binary, counts binary"
+NO_ID = 2**63 - 1
 
 
 def build_index(distinct: DataFrame, shards: int) -> DataFrame:
-    """One row per shard from (digest, keep_id): the levels, and by slot the full digest and the winner."""
+    """One row per shard from (digest, keep_id, keep_hash, n): the levels, and by slot the full digest, the winner's locator and the count."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         words = _words(pdf["digest"])
         levels = build_levels(words)
         order = np.argsort(slot_of(words, levels))
+        by_slot = lambda c: [pdf[c].to_numpy(np.int64)[order].tobytes()]
         return pd.DataFrame(
             {
                 "shard": [int(pdf["shard"].iloc[0])],
-                "n_keys": [len(pdf)],
                 "level_bits": [[len(x) for x in levels]],
                 "levels": [b"".join(np.packbits(x).tobytes() for x in levels)],
                 "slots": [words[order].tobytes()],
-                "winners": [pdf["keep_id"].to_numpy(np.int64)[order].tobytes()],
+                "winners": by_slot("keep_id"),
+                "hashes": by_slot("keep_hash"),
+                "counts": by_slot("n"),
             }
         )
 
-    return distinct.select(_shard(F.col("digest"), shards).alias("shard"), "digest", "keep_id").groupBy("shard").applyInPandas(build, INDEX)
+    return distinct.select(_shard(F.col("digest"), shards).alias("shard"), "digest", "keep_id", "keep_hash", "n").groupBy("shard").applyInPandas(build, INDEX)
 
 
 def _levels(packed: bytes, sizes: list[int]) -> Iterator[np.ndarray]:
@@ -105,22 +108,49 @@ def _levels(packed: bytes, sizes: list[int]) -> Iterator[np.ndarray]:
         at += n
 
 
-def look_up(distinct: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """(digest, n, keep_id, member): for a member, keep_id is the locator in its slot, byte-checked."""
+def members(words: np.ndarray, shard: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of each key in a shard, and whether the slot holds all its bytes."""
+    at = slot_of(words, list(_levels(shard["levels"], list(shard["level_bits"]))))
+    slots = np.frombuffer(shard["slots"], dtype="<u8").reshape(-1, 4)
+    return at, (at >= 0) & (slots[np.maximum(at, 0)] == words).all(axis=1)
 
-    def probe(keys: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        keep, member = keys["keep_id"].to_numpy(np.int64).copy(), np.zeros(len(keys), bool)
-        if len(shard) and len(keys):
-            row, words = shard.iloc[0], _words(keys["digest"])
-            slots = np.frombuffer(row["slots"], dtype="<u8").reshape(-1, 4)
-            winners = np.frombuffer(row["winners"], dtype=np.int64)
-            at = slot_of(words, list(_levels(row["levels"], list(row["level_bits"]))))
-            member = (at >= 0) & (slots[np.maximum(at, 0)] == words).all(axis=1)
-            keep[member] = winners[at[member]]
-        return pd.DataFrame({"digest": keys["digest"], "n": keys["n"], "keep_id": keep, "member": member})
 
-    keyed = distinct.select(_shard(F.col("digest"), shards).alias("shard"), "digest", "n", "keep_id")
-    return keyed.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(probe, "digest string, n long, keep_id long, member boolean")
+VERDICTS = "digest string, keep_id long, keep_hash long, n long, known boolean"
+
+
+def settle(distinct: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """(digest, keep_id, keep_hash, n, known) of history's digests, from their slots with the repeats among the new ones counted, and of the new digests that are no members."""
+
+    def probe(keys: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        parts, fresh = [], keys
+        if len(shard):
+            row = shard.iloc[0]
+            numbers = {c: np.frombuffer(row[of], dtype=np.int64) for c, of in (("keep_id", "winners"), ("keep_hash", "hashes"), ("n", "counts"))}
+            if len(keys):
+                at, member = members(_words(keys["digest"]), row)
+                numbers["n"] = numbers["n"] + np.bincount(at[member], keys["n"].to_numpy()[member], len(numbers["n"])).astype(np.int64)
+                fresh = keys[~member]
+            names = [row["slots"][k : k + 32].hex() for k in range(0, len(row["slots"]), 32)]
+            parts.append(pd.DataFrame({"digest": names, **numbers, "known": True}))
+        parts.append(fresh[["digest", "keep_id", "keep_hash", "n"]].assign(known=False))
+        return pd.concat(parts) if len(parts) > 1 and len(parts[1]) else parts[0]
+
+    keyed = distinct.select(_shard(F.col("digest"), shards).alias("shard"), "digest", "keep_id", "keep_hash", "n")
+    return keyed.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(probe, VERDICTS)
+
+
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, shard_keys: int, scratch: Scratch) -> DataFrame:
+    """(id, hash, digest, keep_id, keep_hash, n, known) of each row; NO_ID stands for a null keep_id."""
+    rows = scratch.keep(docs.select(F.col(id_col).cast("long").alias("id"), row_hash(text_col).alias("hash"), text_digest(F.col(text_col)).alias("digest")))
+    low, high, n = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
+    middle = low + (high - low) // 2 if low is not None else 0
+    number = F.coalesce(F.col("id"), F.lit(NO_ID))
+    once = rows.groupBy("digest", (number <= middle).alias("old")).agg(F.min(F.struct(number.alias("id"), "hash")).alias("keep"), F.count("*").alias("n"))
+    once = scratch.keep(once.select("digest", "old", F.col("keep.id").alias("keep_id"), F.col("keep.hash").alias("keep_hash"), "n"))
+    shards = max(1, math.ceil(n / 2 / shard_keys))
+    index = scratch.keep(build_index(once.filter("old"), shards))
+    verdicts = scratch.keep(settle(once.filter("not old"), index, shards))
+    return rows.join(verdicts, "digest")  # both sides as tables: the join may split a digest with very many rows
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_keys: int = SHARD_KEYS) -> DataFrame:
@@ -131,29 +161,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whose id is null never wins over one with an id; texts that only such rows have keep them. An empty table
     gives an empty result; further columns are not read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact-dedup")
-    no_id = F.lit(2**63 - 1)
-    rows = scratch.keep(docs.select(F.col(id_col).cast("long").alias("id"), text_digest(F.col(text_col)).alias("digest")))
-    low, high, n = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    middle = low + (high - low) // 2 if low is not None else 0
-    once = scratch.keep(
-        rows.groupBy("digest", (F.coalesce(F.col("id"), no_id) <= middle).alias("old")).agg(F.min(F.coalesce(F.col("id"), no_id)).alias("keep_id"), F.count("*").alias("n"))
-    )
-    shards = max(1, math.ceil(n / 2 / shard_keys))
-    old, new = once.filter("old"), once.filter("not old")
-    index = scratch.keep(build_index(old, shards))
-    found = look_up(new, index, shards)
-    known = old.select("digest", "keep_id", "n", F.lit(True).alias("member")).unionByName(found)
-    verdicts = known.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.max("member").alias("known"))
-    out = rows.join(scratch.keep(verdicts), "digest")  # both sides as tables: the join may split a digest with very many rows
-    keep = F.when(F.col("keep_id") < no_id, F.col("keep_id"))
+    out = _verdicts(docs, id_col, text_col, shard_keys, Scratch(docs.sparkSession, "exact-dedup"))
+    keep = F.when(F.col("keep_id") < NO_ID, F.col("keep_id"))
     return out.select(
-        F.col("id").alias(id_col), keep.alias("keep_id"), "group_size", F.col("id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"), "known"
+        F.col("id").alias(id_col), keep.alias("keep_id"), F.col("n").alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"), "known"
     )
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    gone = exact_dedup(docs, id_col, text_col, shard_keys).filter("not kept").select(id_col)
-    return without(docs, gone, id_col, Scratch(docs.sparkSession, "kept"))
+    """One row of each text, with all its columns: that of the smallest id, a null id last.
+
+    Rows that repeat an id with different texts are told apart; of rows that repeat id and text, one stays. Null and empty texts
+    are equal. An empty table gives an empty one; further columns pass unread.
+    """
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    found = _verdicts(docs, id_col, text_col, shard_keys, scratch)
+    stays = (F.coalesce(F.col("id"), F.lit(NO_ID)) == F.col("keep_id")) & (F.col("hash") == F.col("keep_hash"))
+    judged = scratch.keep(found.select("id", "hash", "n", stays.alias("stays")))
+    left = without_rows(docs, judged.filter("not stays").select("id", "hash"), id_col, row_hash(text_col), scratch)
+    twice = scratch.keep(judged.filter("stays and n > 1").groupBy("id", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("id", "hash"))
+    if not twice.limit(1).count():
+        return left
+    several = left.join(twice.toDF("_other", "_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("_other")) & (row_hash(text_col) == F.col("_hash")), "left_semi")
+    one = several.groupBy(F.col(id_col).alias("_id"), row_hash(text_col).alias("_hash")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+    return without_rows(left, twice, id_col, row_hash(text_col), scratch).unionByName(one.select("_row.*"))

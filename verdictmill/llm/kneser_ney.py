@@ -7,7 +7,8 @@ order below, all hash-partitioned by n-gram.
 With backoff weight g(c) of a context c and f(x) = ln p(x) - ln g(context of x) - ln p(suffix of x), the log
 probability of a text is a plain sum over the n-grams that occur in it: f(x) for each n-gram of the model, and ln g(c) for each
 context that something follows. So the model can be cut into shards of bounded size: each shard is joined with all
-documents by itself, and the partial sums are added up. No n-gram of a document is ever shuffled.
+documents by itself, given up before the next is read, and the partial sums are added up. No n-gram of a document is ever shuffled.
+N-grams are joined by 64-bit keys without a look at the n-gram: of a model of 100 million, one lookup in 10^11 of an absent n-gram finds another.
 
 Thresholds are a quantile of the perplexity of held-out trusted documents, per language; languages with few of them share
 a model and a threshold of all trusted documents. A low perplexity rejects nothing, as documents of the training text have the
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import statistics
 import zlib
 from collections.abc import Iterator
 
@@ -26,19 +28,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Scratch, slices, without
+from .common import BROADCAST_IDS, Scratch, row_hash, slices, without_rows
 
 U = np.uint64
 ORDER = 5
 #: Entries of a model shard; a shard's table takes up to 52 bytes an entry in a Python worker.
 SHARD_ENTRIES = 2_500_000
-#: The quantile of the perplexity of held-out trusted documents that is the threshold.
+#: The quantile of the perplexity of held-out trusted documents that is the threshold. Fewer than 1 / (1 - HIGH) documents cannot hold it: their
+#: greatest value lies below it as a rule, and it is estimated by the normal distribution of their log perplexities, at their greatest value at least.
 HIGH = 0.999
 #: A language with fewer held-out trusted documents shares the common model and threshold.
 ENOUGH = 20
-#: Fewer than 1 / (1 - HIGH) documents cannot tell the quantile, their greatest value lies below it; then, and only then, the
-#: threshold is MARGIN times their median at least.
-MARGIN = 1.5
 #: The quantile of the compressed share of trusted documents below which a text is too repetitive; it is measured in pieces of PIECE characters.
 LOW, PIECE = 0.001, 1000
 #: The key of the common model; no language has it.
@@ -250,18 +250,21 @@ def score(docs: DataFrame, model: DataFrame, order: int, shard_entries: int, car
     shards = max(1, math.ceil(model.count() / shard_entries))
     keyed = scratch.keep(model.mapInPandas(_key_grams, "key long, f float, g float").withColumn("shard", F.pmod("key", F.lit(shards))))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    rounds = []
+    summed = None
     for k in range(shards):
-        part = keyed.filter(F.col("shard") == k).drop("shard").toArrow()  # 16 bytes for each of about shard_entries n-grams
+        # One shard at a time: about shard_entries n-grams of 16 bytes pass, and are given up before the next is read.
+        part = keyed.filter(F.col("shard") == k).drop("shard").toArrow()
         shard = spark.sparkContext.broadcast(tuple(part[c].to_numpy().tobytes() for c in ("key", "f", "g")))
-        rounds.append(docs.mapInPandas(_scorer(shard, order, carry, k == 0), f"{fields}, n_chars_scored long, log_sum double, share double"))
+        del part
+        one = docs.mapInPandas(_scorer(shard, order, carry, k == 0), f"{fields}, n_chars_scored long, log_sum double, share double")
+        one = scratch.keep(one)
+        shard.destroy()
+        summed = one if summed is None else summed.unionByName(one)
+    scratch.drop(keyed)
     if shards == 1:
-        return rounds[0]
-    both = rounds[0]
-    for more in rounds[1:]:
-        both = both.unionByName(more)
+        return summed
     # A row that occurs several times comes several times from each round.
-    summed = both.groupBy(*carry, "n_chars_scored").agg(*[(F.sum(c) / F.count("*") * shards).alias(c) for c in ("log_sum", "share")], (F.count("*") / shards).cast("int").alias("_rows"))
+    summed = summed.groupBy(*carry, "n_chars_scored").agg(*[(F.sum(c) / F.count("*") * shards).alias(c) for c in ("log_sum", "share")], (F.count("*") / shards).cast("int").alias("_rows"))
     return summed.withColumn("_row", F.explode(F.sequence(F.lit(1), "_rows"))).drop("_row", "_rows")
 
 
@@ -305,7 +308,7 @@ def perplexity(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str
     common = own.filter("not own").limit(1).count() > 0
     model_of = F.when(F.col("own"), F.col("_lang")).otherwise(F.lit(COMMON))
     few = F.broadcast(own) if own.count() <= 10_000 else own
-    slim = ready.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), lang.alias("_lang"), "_held", F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    slim = ready.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), lang.alias("_lang"), "_held", row_hash(text_col, lang_col).alias("hash"), F.col(text_col).alias("text"))
     slim = slim.join(few, "_lang").select("id", F.col("lang").alias("_of"), model_of.alias("lang"), "_held", "hash", F.lit(False).alias("_extra"), "text")
     trusted = slim.filter("_held = false and text is not null").select("lang", "text")
     if common:
@@ -315,12 +318,26 @@ def perplexity(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str
     model, langs = train(trusted, order, scratch)
     carry = ["id", "_of", "lang", "_held", "hash", "_extra"]
     scored = scratch.keep(score(slim, model, order, shard_entries, carry, scratch))
-    scored = scored.withColumnRenamed("lang", "_model").join(langs.withColumnRenamed("lang", "_model"), "_model", "left").drop("hash").withColumnsRenamed({"id": id_col, "_of": lang_col})
+    scored = scored.withColumnRenamed("lang", "_model").join(langs.withColumnRenamed("lang", "_model"), "_model", "left").withColumnsRenamed({"id": id_col, "_of": lang_col})
     value = F.exp(-(F.col("log_sum") / F.col("n_chars_scored") + F.col("base")))
     return scored.withColumn("perplexity", F.when((F.col("n_chars_scored") > 0) & F.col("base").isNotNull(), value))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, high: float = HIGH, margin: float = MARGIN, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+def _judged(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, text_col: str, lang_col: str, order: int, high: float, shard_entries: int) -> DataFrame:
+    scored = perplexity(docs, labels, scratch, id_col, text_col, lang_col, order, shard_entries)
+    held = F.when(F.col("_held"), F.col("perplexity"))
+    told = scored.filter("_held is not null and perplexity is not null").groupBy("_model")
+    limits = told.agg(F.percentile_approx(held, high, 100_000).alias("_at"), F.count_if("_held").alias("_n"), F.avg(F.ln(held)).alias("_mean"), F.coalesce(F.stddev_samp(F.ln(held)), F.lit(0.0)).alias("_sd"), F.percentile_approx("share", LOW, 100_000).alias("_least"))
+    fitted = F.exp(F.col("_mean") + statistics.NormalDist().inv_cdf(high) * F.col("_sd"))
+    threshold = F.when(F.col("_n") * (1 - high) >= 1 - 1e-9, F.col("_at")).otherwise(F.greatest("_at", fitted))
+    limits = scratch.keep(limits.filter("_n > 0").select("_model", threshold.alias("threshold"), "_least"))
+    judged = scored.filter("not _extra").join(limits, "_model", "left")
+    likely, varied = F.col("perplexity") <= F.col("threshold"), F.col("share") >= F.col("_least")
+    kept = (F.col("n_chars_scored") > 0) & F.coalesce(likely & varied, F.lit(True))
+    return judged.select(id_col, lang_col, "hash", "n_chars_scored", "perplexity", "threshold", kept.alias("kept"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, high: float = HIGH, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """Per document: id, language, n_chars_scored, perplexity, threshold, kept.
 
     ``labels`` (doc_id, quality, toxic) names the trusted documents, quality 1 and not toxic; all of them are used.
@@ -330,20 +347,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     a character (null, empty, white space) has no perplexity and is rejected. A null language is a language of its own.
     Repeated rows are judged each; an empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "kneser-ney")
-    scored = perplexity(docs, labels, scratch, id_col, text_col, lang_col, order, shard_entries)
-    ends = F.percentile_approx(F.when(F.col("_held"), F.col("perplexity")), [0.5, high], 100_000)
-    told = scored.filter("_held is not null and perplexity is not null").groupBy("_model")
-    limits = told.agg(ends.alias("_ends"), F.count_if("_held").alias("_n"), F.percentile_approx("share", LOW, 100_000).alias("_least"))
-    threshold = F.when(F.col("_n") * (1 - high) >= 1 - 1e-9, F.col("_ends")[1]).otherwise(F.greatest(F.col("_ends")[1], F.col("_ends")[0] * margin))
-    limits = scratch.keep(limits.filter("_n > 0").select("_model", threshold.alias("threshold"), "_least"))
-    judged = scored.filter("not _extra").join(limits, "_model", "left")
-    likely, varied = F.col("perplexity") <= F.col("threshold"), F.col("share") >= F.col("_least")
-    kept = (F.col("n_chars_scored") > 0) & F.coalesce(likely & varied, F.lit(True))
-    return judged.select(id_col, lang_col, "n_chars_scored", "perplexity", "threshold", kept.alias("kept"))
+    return _judged(docs, labels, Scratch(docs.sparkSession, "kneser-ney"), id_col, text_col, lang_col, order, high, shard_entries).drop("hash")
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents that are kept, with all their columns; those without an id are."""
-    gone = classify(docs, labels, id_col, **how).filter("not kept").select(id_col)
-    return without(docs, gone, id_col, Scratch(docs.sparkSession, "kept"))
+def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, high: float = HIGH, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+    """The documents that are kept, with all their columns: each row as it is judged, whatever other rows of its id or without one are."""
+    scratch = Scratch(docs.sparkSession, "kneser-ney")
+    gone = _judged(docs, labels, scratch, id_col, text_col, lang_col, order, high, shard_entries).filter("not kept").select(F.col(id_col).cast("long"), "hash")
+    return without_rows(docs, gone, id_col, row_hash(text_col, lang_col), scratch)

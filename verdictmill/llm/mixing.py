@@ -20,6 +20,8 @@ from .common import WORD, Scratch, md5_part
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 16
+#: A word with the white space before it, so that a part of a text keeps its lines.
+SPACED_WORD = rf"[\x20\x09-\x0D]*{WORD}"
 SHARD_ROWS = 1024
 
 
@@ -94,7 +96,7 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, volume:
     targets = source_targets(sources, volume, most).withColumns({"_all": F.floor(F.col("_total") / block + 0.5).cast("long"), "one": F.lit(0), "shards": F.ceil(F.col("_rows") / shard_rows).cast("long")})
     slim = targets.select("one", "no", "source", "source_size", "target", "shards", "_all")
     quotas = scratch.keep(apportion(slim, ["one"], "no", "target", "_all").drop("one", "_all"))
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null")))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.col("_key")))
     by_source = F.broadcast(quotas) if quotas.count() <= 10_000 else quotas  # a row each, well under 1 MB
     placed = base.alias("b").join(by_source.alias("q"), F.col("b.source").eqNullSafe(F.col("q.source"))).select("b.*", "q.no", F.pmod(md5_part(key, 1, 8), F.col("q.shards")).alias("shard"), F.substring(F.md5(key), 9, 24).alias("_order"))
     placed = scratch.keep(placed)
@@ -123,7 +125,7 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     before = F.row_number().over(W.partitionBy("_key").orderBy(F.lit(0))) - 1
     filled = joined.withColumn("_rest", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rests") - before * F.col("_size"))))
     filled = filled.filter("_passes > 0 or _rest > 0")
-    words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), 0), 1, F.col("_rest").cast("int")), " ")
+    words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(SPACED_WORD), 0), 1, F.col("_rest").cast("int")), "")
     part = F.when(F.col("_rest") == F.col("_size"), text).when(F.col("_rest") > 0, words)
     whole = F.when(F.col("_passes") >= 2, F.concat(text, F.lit("\n"), text)).when(F.col("_passes") == 1, text)
     taken = filled.withColumn(text_col, F.concat_ws("\n", whole, part))

@@ -16,9 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, only, slices, without
+from .common import Scratch, only, row_hash, slices, without_rows
 from .shingles import U, mix, shingle_sets
 
 WORDS = 5
@@ -28,7 +29,7 @@ ROWS = 8
 SEED = 7
 BITS = 2048
 
-SIGNATURES = "id long, n_shingles long, k1 long, k2 long, bands array<long>"
+SIGNATURES = "id long, hash long, n_shingles long, k1 long, k2 long, bands array<long>"
 
 
 class MinMax:
@@ -60,7 +61,7 @@ class MinMax:
 
 
 def signatures(docs: DataFrame, words: int, scheme: MinMax) -> DataFrame:
-    """Per document (id, text): the size of its shingle set, two keys of the whole set, and its bucket keys."""
+    """Per document (id, hash, text): the size of its shingle set, two keys of the whole set, and its bucket keys."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(batches):
@@ -71,7 +72,7 @@ def signatures(docs: DataFrame, words: int, scheme: MinMax) -> DataFrame:
                 k2.append(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U))
                 sigs.append(scheme.signature(s))
             keys = scheme.keys(np.array(sigs))
-            yield pd.DataFrame({"id": pdf["id"], "n_shingles": n, "k1": np.array(k1, U).view(np.int64), "k2": np.array(k2, U).view(np.int64), "bands": [k if m else k[:0] for k, m in zip(keys, n, strict=True)]})
+            yield pd.DataFrame({"id": pdf["id"], "hash": pdf["hash"], "n_shingles": n, "k1": np.array(k1, U).view(np.int64), "k2": np.array(k2, U).view(np.int64), "bands": [k if m else k[:0] for k, m in zip(keys, n, strict=True)]})
 
     return docs.mapInPandas(sign, SIGNATURES)
 
@@ -136,17 +137,31 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("id", F.col("label").alias("component"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept.
+def further_texts(signed: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(id, hash, node) of the texts of an id after its first (by hash): they are documents of their own, and get numbers above all ids. None if no id has several."""
+    ids = signed.filter("id is not null")
+    twice = scratch.keep(ids.groupBy("id").agg(F.min("hash").alias("first"), F.max("hash").alias("_last")).filter("first < _last").drop("_last"))
+    if not twice.limit(1).count():
+        return None
+    parts = 1024
+    own = ids.join(twice, "id").filter("hash <> first").select("id", "hash").distinct().withColumn("_part", F.pmod("hash", F.lit(parts)))
+    number = F.row_number().over(W.partitionBy("_part").orderBy("id", "hash"))
+    return scratch.keep(own.select("id", "hash", (F.lit(ids.agg(F.max("id")).first()[0]) + (number - 1) * parts + F.col("_part") + 1).alias("node")))
 
-    A null or empty text, or one of white space alone, has no shingles and stays alone. Repeated rows of an id
-    are one document. Rows without an id are kept, with a null component. An empty table gives an empty result;
-    further columns are not read.
-    """
-    scratch = Scratch(docs.sparkSession, "near-dedup")
-    scheme = MinMax(bands, rows, seed)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = scratch.keep(signatures(base, words, scheme))
+
+def _numbered(df: DataFrame, more: DataFrame | None) -> DataFrame:
+    """``df`` with the number of its document in ``node``."""
+    return df.withColumn("node", F.col("id")) if more is None else df.join(more, ["id", "hash"], "left").withColumn("node", F.coalesce("node", "id"))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, similar: int, scheme: MinMax, scratch: Scratch) -> DataFrame:
+    """(id, hash, n_shingles, component_id, kept) of each row."""
+    base = docs.select(F.col(id_col).cast("long").alias("id"), row_hash(text_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    by_id = scratch.keep(signatures(base, words, scheme))
+    further = further_texts(by_id, scratch)
+    rows = _numbered(by_id.drop("bands"), further)
+    signed = _numbered(by_id, further).drop("id").withColumnRenamed("node", "id")
+    base = _numbered(base, further).select(F.col("node").alias("id"), "text")
     named = signed.filter("n_shingles > 0 and id is not null")
     classes = scratch.keep(named.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("rep")))
     heads = named.join(classes.select(F.col("rep").alias("id"), "k1", "k2", "n_shingles"), ["id", "k1", "k2", "n_shingles"], "left_semi")
@@ -176,14 +191,28 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = components(links.unionByName(more), scratch)
     scratch.drop(sets, open_)
 
-    keyed = signed.join(classes, ["k1", "k2", "n_shingles"], "left")
-    rep = F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("id"))
-    out = keyed.select("id", "n_shingles", rep.alias("rep")).join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    rep = F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("node"))
+    out = rows.join(classes, ["k1", "k2", "n_shingles"], "left").select("id", "hash", "node", "n_shingles", rep.alias("rep")).join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    out = out.withColumn("component_id", F.when(F.col("node").isNotNull(), F.coalesce("component", "rep")))
+    kept = F.col("node").eqNullSafe(F.col("component_id"))
+    if further is not None:  # a component of further texts alone has the id of its first
+        out = out.join(further.select(F.col("node").alias("component_id"), F.col("id").alias("_of")), "component_id", "left")
+        return out.select("id", "hash", "n_shingles", F.coalesce("_of", "component_id").alias("component_id"), kept.alias("kept"))
+    return out.select("id", "hash", "n_shingles", "component_id", kept.alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents that stay, one of each group, with all their columns."""
-    gone = near_dedup(docs, id_col, text_col, **how).filter("not kept").select(id_col)
-    return without(docs, gone, id_col, Scratch(docs.sparkSession, "kept"))
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, kept.
+
+    A null or empty text, or one of white space alone, has no shingles and stays alone. Repeated rows of an id and a text
+    are one document; further texts of an id are documents of their own, which come after all ids where one of a group is kept. Rows without an id
+    are kept, with a null component. An empty table gives an empty result; further columns are not read.
+    """
+    return _judged(docs, id_col, text_col, words, similar, MinMax(bands, rows, seed), Scratch(docs.sparkSession, "near-dedup")).drop("hash").withColumnRenamed("id", id_col)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
+    """The documents that stay, one of each group, with all their columns; what ``near_dedup`` says of odd rows holds."""
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    judged = _judged(docs, id_col, text_col, words, similar, MinMax(bands, rows, seed), scratch)
+    return without_rows(docs, judged.filter("not kept").select("id", "hash"), id_col, row_hash(text_col), scratch)
