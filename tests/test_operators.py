@@ -270,7 +270,10 @@ def test_last_write_wins_and_reachability(spark):
 
 
 def test_generation(spark):
-    assert [value(spark, generate.arrange(F.array(F.lit("r")), F.array(*map(F.lit, "abc")), F.lit(p))) for p in ("early", "late", "middle")] == [["r", "a", "b", "c"], ["a", "b", "c", "r"], ["a", "r", "b", "c"]]
+    placed = lambda p, d="xy": "".join(value(spark, generate.arrange(F.array(*map(F.lit, "abc")), F.array(*map(F.lit, d)) if d else F.array().cast("array<string>"), F.lit(p))))
+    assert [placed(p) for p in ("early", "late", "middle")] == ["xyabc", "abcxy", "axybc"] and placed("middle", "") == "abc"
+    with pytest.raises(Exception, match="unknown position"):
+        placed("centre")
     import hashlib
 
     want = str(int.from_bytes(hashlib.sha256(b"t:1:2").digest()[:8], "big"))
@@ -286,6 +289,7 @@ def test_expressions(spark):
     names = {"x": F.lit(-7), "y": F.lit(2.5), "s": F.lit("ab")}
     for e in ("x // 2 + x % 3", "max(x, 3, y) if not x > 0 and y != 2 else 0", "abs(x) ** 2", "round(y)", "len(s) in (2, 3)", "min([x, 1]) - -y", "1 < y <= 2.5", "int(y) * float(x)"):
         assert value(spark, expressions.compile_expression(e, names)) == eval(e, {}, {"x": -7, "y": 2.5, "s": "ab"}), e  # noqa: S307
+    assert value(spark, expressions.compile_expression("round(y * 1.05, 1)", names)) == 2.6 and value(spark, expressions.compile_expression("sorted([3, 1, x])", names)) == [-7, 1, 3]
     for e in ("x.real", "__import__('os')", "[k for k in s]", "lambda: 1", "x[0]", "unknown + 1", "max(x, key=abs)", "f'{x}'", "x +"):
         with pytest.raises(expressions.UnsafeExpression):
             expressions.compile_expression(e, names)
@@ -309,15 +313,26 @@ def test_answers(spark):
     assert told("ANSWER: never") == ("unlisted_option", None, "never") and told("no")[0] == "no_answer_line"
     assert value(spark, parsing.last_number(F.lit("from $1,200.50 to 3"))) == 3.0 and value(spark, parsing.gold_answer(F.lit("x #### 1,234"))) == 1234.0
     assert value(spark, parsing.first_select(F.lit("```sql\nSELECT a\nFROM t; more"))) == "SELECT a\nFROM t"
+    assert told("so\nANSWER:\n  wait\n")[:2] == ("parsed", "wait")
+    assert [value(spark, parsing.parse_number(F.lit(x))) for x in ("1 2", "$1,234.5", " 7", "x")] == [None, 1234.5, 7.0, None]
+    flat = lambda q: value(spark, parsing.normalise_sql(F.lit(q)))
+    assert flat('SELECT  "A"\n FROM `b`;;') == "select 'a' from 'b'" and flat("a = b") != flat("a = 'b'") and flat('a = "b"') == flat("a = 'B' ") == "a = 'b'"
     assert value(spark, parsing.last_line_vote(F.lit("VERDICT: real\nx\nverdict: Composed"))) == "composed"
     assert [value(spark, parsing.confidence(F.lit(x))) for x in ("0.4", "true", '"0.4"', "1.5", "x")] == [0.4, None, None, None, None]
 
 
-def test_calls():
+def test_calls(spark):
+    outcome = lambda reply, key: value(spark, calls.match_calls(F.lit(reply), F.lit(key)))
     key = '[{"f": {"a": [1], "b": ["x", "y"], "c": ["", 2]}}, {"f": {"a": [2], "b": ["z"]}}]'
     reply = 'ok [{"name": "f", "arguments": {"a": 2, "b": " Z"}}, {"name": "f", "arguments": {"a": 1.0, "b": "Y"}}]'
-    assert calls.outcome(reply, key) == "matched" and calls.outcome(reply.replace("1.0", "true"), key) == "wrong"
-    assert calls.outcome("none", key) == "unreadable" and calls.outcome('[{"name": "f"}]', key) == "wrong"
+    assert outcome(reply, key) == "matched" and outcome(reply.replace("1.0", "true"), key) == "wrong"
+    assert outcome("none", key) == "unreadable" and outcome('[{"name": "f"}]', key) == "wrong" and outcome(None, key) == "unreadable"
+    assert outcome('[{"name": "f", "arguments": 3}]', key) == outcome('[{"nam": "f"}]', key) == "unreadable"
+    assert outcome('[{"name": " g", "arguments": {"v": [1.0, ["A ", true]]}}]', '[{"g": {"v": [[1, ["a", true]]]}}]') == "matched"
+    assert outcome('[{"name": "g", "arguments": {"v": [1, true]}}]', '[{"g": {"v": [[1, 1]]}}]') == "wrong"
+    assert outcome('[{"name": "g", "arguments": {"v": 1, "z": 1}}]', '[{"g": {"v": [1]}}]') == "wrong"
+    two = '[{"name": "g", "arguments": {"v": 1}}, {"name": "g", "arguments": {"v": 1}}]'
+    assert outcome(two, '[{"g": {"v": [1]}}, {"g": {"v": [1, 2]}}]') == "matched" and outcome(two, '[{"g": {"v": [1]}}, {"g": {"v": [2]}}]') == "wrong"
 
 
 def test_text_features(spark):
@@ -326,8 +341,8 @@ def test_text_features(spark):
     assert get(text.FEATURES["first_person_rate"], "I'm here, we go") == 0.5 and get(text.FEATURES["imperative_opener"], "Fix it") == 1.0 and get(text.FEATURES["imperative_opener"], "") == 0.0
     assert get(text.FEATURES["says_should_i"], "What SHOULD we do") == 1.0 and get(text.FEATURES["terminal_question"], "so? \n") == 1.0
     assert get(text.load_bearing_tokens, "See § 4.2, by 2024-01-02, pay 1,500 to Acme Ltd, not 12.") == sorted(["§ 4.2", "2024-01-02", "1,500", "Acme Ltd", "2024"])
-    names = spark.createDataFrame([("s10",), ("s2",), ("a",)], "n string")
-    assert [r.n for r in names.orderBy(text.natural_key(F.col("n"))).collect()] == ["a", "s2", "s10"]
+    names = spark.createDataFrame([("s10",), ("s2",), ("a",), ("s",), ("s0",), ("s123456789012345678901",), ("s123456789012345678900",), ("s10b",)], "n string")
+    assert [r.n for r in names.orderBy(text.natural_key(F.col("n"))).collect()] == ["a", "s", "s0", "s2", "s10", "s10b", "s123456789012345678900", "s123456789012345678901"]
 
 
 def test_shared_bodies(spark):
@@ -352,7 +367,7 @@ def test_documents(spark):
     assert [tuple(r) for r in documents.register_entries(register).collect()] == [("2026-01-02", "First one", ["abcdef1", "1234567"])]
     bib = documents.bib_entries(spark.createDataFrame([("@misc{a,\n eprint = {2401.00001},\n quote = {x}\n}\n@misc{b,\n eprint={2401.00001}}\n@misc{c,\n eprint={2401.00002}}\n",)], "text string"))
     assert {(r.arxiv, r.key, r.has_quote) for r in bib.collect()} == {("2401.00001", "a", True), ("2401.00002", "c", False)}
-    text_ = spark.createDataFrame([("d", "It is 40% (2401.00001).\n\nNo number (2401.00002).\n\nBut 7 (2401.00002), 2401.00003.")], "path string, text string")
+    text_ = spark.createDataFrame([("d", "It is 40% (2401.00001).\n\nNo number (2401.00002).\n\nBut 7% (2401.00002), 2401.00003.")], "path string, text string")
     assert {tuple(r)[1:] for r in documents.uncited_numbers(text_, bib).collect()} == {("2401.00002", "number without a quote"), ("2401.00003", "unknown paper")}
     table = value(spark, documents.router_rows(F.lit("| a | b | c |\n|---|---|---|\n| `x` | when | out |\n")))
     assert [tuple(x) for x in table] == [("x", "when", "out")]
@@ -397,11 +412,13 @@ def test_registers(spark, tmp_path):
         records.verify_file(spark, str(path), 3, "00")
 
 
-def test_keys(spark):
+def test_keys(spark, tmp_path):
     cases, issues = keys.load_key(spark, "version: 3\nshould_fire:\n- {id: a, turn: go, routes: [p, p]}\nshould_not_fire:\n- {id: b, turn: stop, route: p}\n- {id: a, turn: ''}\n")
     assert cases.count() == 3 and {r.set_version for r in cases.collect()} == {3}
     assert {tuple(r) for r in issues.collect()} == {("a", "duplicate route"), ("b", "a negative has a route"), ("a", "duplicate id"), ("a", "no turn")}
-    assert keys.parse_only("a, b # c\n#d\ne") == ("a", "b", "e")
+    assert keys.parse_only("a, b#1 ,,c") == ("a", "b#1", "c")
+    (tmp_path / "ids.txt").write_text("a, b\n# c\n\n d #e\n")
+    assert keys.parse_only(f"@{tmp_path}/ids.txt", spark) == ("a, b", "d #e")
     only = spark.createDataFrame([("zz",)], "id string")
     with pytest.raises(guards.Refused):
         keys.select_cases(cases, only)
@@ -415,3 +432,33 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     got = {tuple(r) for r in streams.stream_last_write_wins(stream, ["k"], "at").collect()}
     assert got == {("a", 5, "y"), ("b", 2, "z")}
+
+
+def test_claim_numbers_are_not_any_digit(spark):
+    told = lambda line: value(spark, documents.asserts_a_number(F.lit(line)))
+    assert all(map(told, ["up +16.6pp on it", "39%", "-1.3 pp", "kappa = 0.88", "κ: .7", "AUC 0.679", "auc=.9", "2605.23950 has 5 %"]))
+    assert not any(map(told, ["12 runs", "in 2024", "v3.1", "see https://x.org/5%", "arXiv:2605.23950", "3 pp. of notes", "kappa is high", "AUC of it"]))
+
+
+def test_falsifier_battery_counts_each_verdict_by_itself(spark):
+    half = spark.createDataFrame([(0.5,)], "threshold double")
+    rows = [("a", 1.0, 2.0, 2.0, True, False), ("b", 1.0, 2.0, 2.0, True, False)]
+    df = spark.createDataFrame(rows, "triplet_id string, q_base double, q_governing double, q_matched double, expect_governing_change boolean, expect_matched_change boolean")
+    assert tuple(movement.falsifier_battery(df, half).first()) == (2, 1.0, 0.0, False)
+    with pytest.raises(guards.Refused):
+        movement.falsifier_battery(df.limit(0), half)
+
+
+def test_draws_from_a_library_that_is_too_small_are_refused(spark):
+    library = spark.createDataFrame([(k, 10) for k in range(10)], "id long, size long")
+    assert generate.budget_draw(library, "id", "size", 35, 1, max_share=0.5).count() == 4
+    for budget, share in ((101, 1.0), (35, 0.3)):
+        with pytest.raises(guards.Refused):
+            generate.budget_draw(library, "id", "size", budget, 1, max_share=share)
+
+
+def test_casefile_diagnosis(spark):
+    schema = "recommended array<string>, traps array<string>, unjustified array<string>, missing string, pivot_present boolean, pivot_accepts array<string>, exposure string, exposure_band string, first_order_band string, blocks_found array<string>"
+    rows = [(["A1"], ["A1"], [], "The Lease date is open", True, ["lease DATE"], "high", "high", "low", ["CONDITIONS", "EXPOSURE", "MISSING", "ACTIONS"]), (["A2"], [], ["A2"], "None.", None, None, "low", "high", "low", ["ACTIONS"])]
+    out = casefiles.diagnose(spark.createDataFrame(rows, schema)).select("trap_hit", "unjustified_hit", "pivot_ok", "named_an_unknown", "exposure_ok", "exposure_first_order", "blocks_complete").collect()
+    assert [tuple(r) for r in out] == [(True, False, True, True, True, False, True), (False, True, True, False, False, True, False)]

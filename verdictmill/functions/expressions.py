@@ -34,6 +34,7 @@ _CALLS: dict[str, Callable[[list[Column]], Column]] = {
     "max": lambda a: _many(a, F.greatest),
     "min": lambda a: _many(a, F.least),
     "round": lambda a: F.bround(a[0], 0),
+    "sorted": lambda a: F.array_sort(F.array(*a)),
     "str": lambda a: a[0].cast("string"),
     "sum": lambda a: reduce(operator.add, a),
 }
@@ -75,6 +76,8 @@ def compile_expression(expression: str, variables: Mapping[str, Column]) -> Colu
                 return reduce(operator.and_, [compare(a, op, b) for a, op, b in zip(sides, ops, rights, strict=False)])
             case ast.IfExp(test=test, body=a, orelse=b):
                 return F.when(build(test), build(a)).otherwise(build(b))
+            case ast.Call(func=ast.Name(id="round"), args=[number, ast.Constant(value=int() as digits)], keywords=[]):
+                return F.bround(build(number), digits)
             case ast.Call(func=ast.Name(id=name), args=args, keywords=[]) if name in _CALLS and args:
                 inner = args[0].elts if len(args) == 1 and isinstance(args[0], ast.List | ast.Tuple) else args
                 return _CALLS[name]([build(a) for a in inner])

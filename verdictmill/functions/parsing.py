@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 #: A flat JSON object; the first one counts.
 FLAT_OBJECT = r"\{[^{}]*\}"
-ANSWER_LINE = r"(?im)^[\s>*\-]*(?:\*\*|__|`)?\s*ANSWER\s*(?:\*\*|__|`)?\s*:[^\S\n]*(\S.*?)[^\S\n]*$"
+#: An answer line (what is told may stand on the next line), its decoration, a number.
+ANSWER_LINE = r"(?imd)^[\s>*\-]*(?:\*\*|__|`)?\s*ANSWER\s*(?:\*\*|__|`)?\s*:\s*(.+?)\s*$"
 NUMBER = r"-?\$?\d[\d,]*(?:\.\d+)?"
 
 
@@ -51,7 +52,8 @@ def zero_cause(correct: Column, parsed: Column, infrastructure_error: Column) ->
 
 
 def parse_number(text: Column) -> Column:
-    return F.regexp_replace(text, r"[,$\s]", "").try_cast("double")
+    """A number without its commas and dollar signs; white space within is none of it."""
+    return F.regexp_replace(text, "[,$]", "").try_cast("double")
 
 
 def last_number(text: Column) -> Column:
@@ -59,15 +61,17 @@ def last_number(text: Column) -> Column:
 
 
 def gold_answer(text: Column) -> Column:
-    return parse_number(F.nullif(F.regexp_extract(text, r"####\s*(-?[\d,.]+)", 1), F.lit("")))
+    return parse_number(F.nullif(F.regexp_extract(text, r"####\s*(-?[\d,]+(?:\.\d+)?)", 1), F.lit("")))
 
 
 def normalise_sql(query: Column) -> Column:
-    return F.rtrim(F.trim(F.regexp_replace(F.regexp_replace(F.lower(query), r"[\"`']", ""), r"\s+", " ")), F.lit("; "))
+    """White space, case and kinds of quotes alone: double quotes and back-ticks are single quotes; closing semicolons go."""
+    flat = F.rtrim(F.trim(F.regexp_replace(query, r"\s+", " ")), F.lit(";"))
+    return F.translate(F.lower(flat), '"`', "''")
 
 
 def first_select(text: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(text, r"(?is)(select\b.*?\bfrom\b.*?)(?:;|```|$)", 1)), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(text, r"(?is)(\bselect\b.+?\bfrom\b.*?)(?:;|\n```|\z)", 1)), F.lit(""))
 
 
 def last_line_vote(text: Column, label: str = "VERDICT") -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -93,3 +93,18 @@ def relative_movement(base: Column, variant: Column) -> Column:
 
 def interval_state(low: Column, high: Column, threshold: float = 0.70) -> Column:
     return F.when(low >= threshold, "closes").when(high < threshold, "survives").otherwise("indeterminate")
+
+
+def clustering_is_inert(n_items: Column, n_clusters: Column) -> Column:
+    """Every cluster has one item: the interval is that of items."""
+    return n_items == n_clusters
+
+
+def within(point: Column, low: float, high: float) -> Column:
+    return point.between(low, high)
+
+
+def power_grid(spark: SparkSession, pairs: tuple[int, ...] = (50, 100, 200, 400, 800, 1600), discordant: tuple[float, ...] = (0.05, 0.10, 0.20, 0.30, 0.40), deff: float = 1.0, alpha: float = 0.05, power: float = 0.8) -> DataFrame:
+    """(pairs, discordant, effect): the detectable effect over a grid, in percentage points; null where none is detectable."""
+    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, pairs))).alias("pairs")).withColumn("discordant", F.explode(F.array(*map(F.lit, discordant))))
+    return grid.withColumn("effect", 100 * detectable_effect(F.col("pairs") / deff, F.col("discordant"), alpha, power))

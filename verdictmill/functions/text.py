@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values of the feature battery.
+# Fixed values of the feature battery, and the names of its features (FEATURES, DELTA_FEATURES).
 FIRST_PERSON = ("i", "i'm", "i've", "i'd", "i'll", "me", "my", "mine", "we", "our")
 IMPERATIVES = (
     "add brainstorm check convert draft explain fix generate give implement list make rank reformat refactor rename review rewrite summarise summarize tell validate write"
@@ -42,15 +42,15 @@ def word_count(text: Column) -> Column:
 
 
 def first_person_rate(text: Column) -> Column:
-    return share(F.size(F.filter(words(text), lambda w: w.isin(*FIRST_PERSON))), F.size(words(text)))
+    return WORD_FEATURES["first_person_rate"](words(text))
 
 
 def type_token_ratio(text: Column) -> Column:
-    return share(F.size(F.array_distinct(words(text))), F.size(words(text)))
+    return WORD_FEATURES["type_token_ratio"](words(text))
 
 
 def imperative_opener(text: Column) -> Column:
-    return F.coalesce(F.try_element_at(words(text), F.lit(1)).isin(*IMPERATIVES).cast("double"), F.lit(0.0))
+    return WORD_FEATURES["imperative_opener"](words(text))
 
 
 def sentences(text: Column) -> Column:
@@ -92,6 +92,21 @@ VIEWS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: Features of the words of a text, which are found once for all of them.
+WORD_FEATURES: dict[str, Callable[[Column], Column]] = {
+    "first_person_rate": lambda w: share(F.size(F.filter(w, lambda x: x.isin(*FIRST_PERSON))), F.size(w)),
+    "imperative_opener": lambda w: F.coalesce(F.try_element_at(w, F.lit(1)).isin(*IMPERATIVES).cast("double"), F.lit(0.0)),
+    "type_token_ratio": lambda w: share(F.size(F.array_distinct(w)), F.size(w)),
+}
+
+
+def featured(rows: DataFrame, text: str, registry: dict[str, Callable[[Column], Column]] = FEATURES) -> DataFrame:
+    """Adds the features of a column of texts."""
+    found = rows.withColumn("_words", words(F.col(text)))
+    made = {n: WORD_FEATURES[n](F.col("_words")) if n in WORD_FEATURES and make is FEATURES.get(n) else make(F.col(text)) for n, make in registry.items()}
+    return found.withColumns(made).drop("_words")
+
+
 def features(text: Column, registry: dict[str, Callable[[Column], Column]] = FEATURES) -> list[Column]:
     return [make(text).alias(name) for name, make in registry.items()]
 
@@ -124,11 +139,14 @@ def load_bearing_tokens(text: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sorts s2 before s10: the prefix, the number, the rest."""
+    """Sorts s2 before s10, and s before s0: the prefix, the number (none before all, then by length and digits, whatever its size), the rest."""
+    digits = F.regexp_extract(name, r"^\D*(\d*)", 1)
+    number = F.regexp_replace(digits, "^0+", "")
     return F.struct(
         F.regexp_extract(name, r"^(\D*)", 1).alias("prefix"),
-        F.coalesce(F.try_to_number(F.regexp_extract(name, r"^\D*(\d{1,9})", 1), F.lit("999999999")).cast("int"), F.lit(0)).alias("number"),
-        F.regexp_extract(name, r"^\D*\d*(.*)$", 1).alias("rest"),
+        F.when(digits == "", -1).otherwise(F.length(number)).alias("size"),
+        number.alias("number"),
+        F.regexp_extract(name, r"(?s)^\D*\d*(.*)$", 1).alias("rest"),
     )
 
 

@@ -7,9 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import FEATURES, sentences, word_count
+from ..functions.text import DELTA_FEATURES, FEATURES, featured, sentences, word_count
 from .guards import union_issues
-from .ranks import auc, folded, long_form, matched
+from .ranks import attainable_auc, auc, folded, long_form, matched
 from .resample import draw
 
 # Word limits of the bands, the band of an AUC that tells nothing, the z that tells something.
@@ -48,15 +48,52 @@ def with_views(turns: DataFrame, triple: str = "triple", text: str = "turn") ->
 
 def battery(turns: DataFrame, label: str = "should_fire", triple: str = "triple", text: str = "turn") -> DataFrame:
     """(view, feature, auc, folded, leaks, matched_auc, z, matched_leaks, cancels) for every view and feature, in one pass over the texts."""
-    views = with_views(turns, triple, text).withColumnRenamed(text, "turn")
-    rows = views.select(label, triple, F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.col(v).alias("t")) for v in VIEWS])).alias("x")).select(label, triple, "x.*")
-    valued = rows.select(label, triple, "view", *[make(F.col("t")).alias(n) for n, make in FEATURES.items()])
-    long = long_form(valued, list(FEATURES), "view", label, triple)
+    long = long_form(viewed(turns.drop("band"), label, triple, text), list(FEATURES), "view", label, triple)
     pooled = auc(long, "value", label, ["view", "feature"]).select("view", "feature", "auc", folded(F.col("auc")).alias("folded"), (~F.col("auc").between(*BAND)).alias("leaks"))
     pairs = matched(long, "value", label, triple, ["view", "feature"]).select("view", "feature", "matched_auc", "z", (F.col("z") > Z_LEAK).alias("matched_leaks"), (F.col("dispersion_z") > Z_LEAK).alias("cancels"))
     return pooled.join(pairs, ["view", "feature"], "left")
 
 
+def inert(low: Column, high: Column, null_se: Column, matched_low: Column, matched_high: Column) -> Column:
+    """Neither statistic could have left its band, whatever the labels: a pass of such a check says nothing."""
+    reach = F.greatest(F.abs(matched_low - 0.5), F.abs(matched_high - 0.5))
+    return (low >= BAND[0]) & (high <= BAND[1]) & ((F.coalesce(null_se, F.lit(0.0)) == 0) | (reach <= Z_LEAK * null_se))
+
+
+def reach(rows: DataFrame, names: list[str], by: list[str], label: str = "should_fire", triple: str = "triple") -> DataFrame:
+    """(*by, feature, low, high, matched_low, matched_high, null_se, inert): what each check could have shown."""
+    long = long_form(rows, names, *by, label, triple)
+    keys = [*by, "feature"]
+    pooled = attainable_auc(long, "value", label, triple, keys)
+    pairs = matched(long, "value", label, triple, keys).select(*keys, "null_se", F.col("low").alias("matched_low"), F.col("high").alias("matched_high"))
+    out = pooled.join(pairs, keys, "left").na.fill(0.5, ["matched_low", "matched_high"]).na.fill(0.0, ["null_se"])
+    return out.withColumn("inert", inert(F.col("low"), F.col("high"), F.col("null_se"), F.col("matched_low"), F.col("matched_high")))
+
+
+def viewed(turns: DataFrame, label: str = "should_fire", triple: str = "triple", text: str = "turn") -> DataFrame:
+    """(label, triple, view, features): a row per text and view."""
+    views = with_views(turns, triple, text).withColumnRenamed(text, "turn")
+    keep = [label, triple, *(["band"] if "band" in turns.columns else [])]
+    rows = views.select(*keep, F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.col(v).alias("t")) for v in VIEWS])).alias("x")).select(*keep, "x.*")
+    return featured(rows, "t", FEATURES).drop("t")
+
+
+def inert_findings(checks: DataFrame) -> DataFrame:
+    """(key, message): features that are inert in every view (checks: view, feature, low, high, inert)."""
+    told = F.array_sort(F.collect_list(F.format_string("%s could only reach [%.3f, %.3f]", "view", "low", "high")))
+    dead = checks.groupBy("feature").agg(F.bool_and("inert").alias("dead"), F.array_join(told, "; ").alias("where")).filter("dead")
+    return dead.select(F.concat(F.lit("inert:"), F.col("feature")).alias("key"), F.col("where").alias("message"))
+
+
+def delta_battery(rows: DataFrame, delta: str = "delta", label: str = "should_fire", triple: str = "triple") -> DataFrame:
+    """(feature, auc, leaks, inert, matched_auc, z) of the delta features of one text per row."""
+    valued = featured(rows.select(label, triple, delta), delta, DELTA_FEATURES).drop(delta)
+    names = list(DELTA_FEATURES)
+    pooled = auc(long_form(valued, names, label), "value", label, ["feature"]).select("feature", "auc", (~F.col("auc").between(*BAND)).alias("leaks"))
+    pairs = matched(long_form(valued, names, label, triple), "value", label, triple, ["feature"]).select("feature", "matched_auc", "z")
+    return pooled.join(reach(valued, names, [], label, triple).select("feature", "inert"), "feature").join(pairs, "feature", "left")
+
+
 def leak_findings(checks: DataFrame, least: int = 3) -> DataFrame:
     """(key, message): each leaking feature of whole turns, and derived views in which several leak."""
     leaks = checks.filter("leaks")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .integrity import occurrences
@@ -18,20 +22,150 @@ def register_entries(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def bib_entries(docs: DataFrame, text: str = "text") -> DataFrame:
     """(key, arxiv, has_quote): one row per arXiv id, that of the first entry."""
-    entry = docs.select(F.posexplode(F.split(text, r"(?m)^@")).alias("at", "e")).filter(F.col("e").rlike(r"^\w+\{"))
-    told = entry.select("at", F.regexp_extract("e", r"^\w+\{([^,\s]+)", 1).alias("key"), F.regexp_extract("e", r"\b(\d{4}\.\d{4,5})\b", 1).alias("arxiv"), F.col("e").rlike(r"(?m)^\s*quote\s*=").alias("has_quote"))
+    bare = F.regexp_replace(text, r"(?m)^[ \t]*%[^\n]*$", "")  # comments
+    entry = docs.select(F.posexplode(F.split(bare, r"(?m)^@")).alias("at", "e")).filter(F.col("e").rlike(r"^\w+\{"))
+    told = entry.select("at", F.regexp_extract("e", r"^\w+\{([^,\s]+)", 1).alias("key"), F.regexp_extract("e", r"\b(\d{4}\.\d{4,5})\b", 1).alias("arxiv"), F.col("e").rlike(r"(?mi)^\s*quote(?:_body)?\s*=").alias("has_quote"))
     return told.filter("arxiv <> ''").groupBy("arxiv").agg(F.min_by("key", "at").alias("key"), F.min_by("has_quote", "at").alias("has_quote"))
 
 
+#: What a claim number looks like (a percentage, percentage points, kappa, AUC), and what is no claim (links, paper ids).
+CLAIM_NUMBER = r"(?i)[+-]?\d+(?:\.\d+)?\s*(?:pp(?![\p{L}\p{N}_.])|%)|(?<![\p{L}\p{N}_])(?:kappa|κ)\s*[=:]\s*\d?\.\d+|(?<![\p{L}\p{N}_])AUC\s*[=:]?\s*\d?\.\d+"
+NO_CLAIM = r"(?i)https?://\S+|arxiv[:/]\S+|\b\d{4}\.\d{4,5}\b"
+
+
 def asserts_a_number(line: Column) -> Column:
-    """A number stands in the line, links and paper ids aside."""
-    bare = F.regexp_replace(F.regexp_replace(line, r"https?://\S+", " "), r"\b\d{4}\.\d{4,5}\b", " ")
-    return bare.rlike(r"\d")
+    """A claim number stands in the line, links and paper ids aside; not any digit."""
+    return F.regexp_replace(line, NO_CLAIM, " ").rlike(CLAIM_NUMBER)
+
+
+# Fixed values of Markdown.
+_FENCE, _HEADING, _RULE = re.compile(r"\s{0,3}(`{3,}|~{3,})"), re.compile(r"\s{0,3}#{1,6}\s"), re.compile(r"\s{0,3}(?:-{3,}|\*{3,}|_{3,}|={3,})\s*$")
+_ROW, _DELIMITER = re.compile(r"\s*\|"), re.compile(r"\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*$")
+_STARTS, _ORDERED, _QUOTE = re.compile(r"\s*[-*+]\s+|\s{0,3}\[[^\]]{1,200}\]:\s"), re.compile(r"\s*(\d{1,9})[.)]\s+"), re.compile(r"(?:\s{0,3}>\s?)+")
+
+
+def _fences(lines: list[str]) -> dict[int, int]:
+    """Where each fenced part starts and ends; none if the last one stays open."""
+    out, k = {}, 0
+    while k < len(lines):
+        if m := _FENCE.match(lines[k]):
+            closes = lambda x, mark=m[1]: (c := _FENCE.match(x)) and c[1][0] == mark[0] and len(c[1]) >= len(mark) and not x[c.end() :].strip()
+            end = next((j for j in range(k + 1, len(lines)) if closes(lines[j])), None)
+            if end is None:
+                return {}
+            out[k], k = end, end
+        k += 1
+    return out
+
+
+def block_starts(text: str) -> list[tuple[int, int]]:
+    """(first, last) line, from 0, of the blocks of a Markdown text: paragraphs, list items, definitions, fenced parts, and headings, rules and rows of tables by themselves."""
+    lines = text.splitlines()
+    fences, out, open_, table = _fences(lines), [], None, False
+    k = 0
+    while k < len(lines):
+        bare = _QUOTE.sub("", lines[k], count=1) if _QUOTE.match(lines[k]) else lines[k]
+        last, alone, begins = k, False, False
+        if k in fences:
+            last, alone, table = fences[k], True, False
+        elif not bare.strip():
+            open_, table = None, False
+            k += 1
+            continue
+        elif _DELIMITER.match(bare):
+            alone = table = True
+            if open_ is not None and out[open_][0] < k - 1:  # the line before is the table's head, by itself
+                out[open_] = (out[open_][0], k - 2)
+                out.append((k - 1, k - 1))
+        elif _ROW.match(bare) or table and "|" in bare:
+            alone = table = True
+        else:
+            table = False
+            alone = bool(_HEADING.match(bare) or _RULE.match(bare))
+            number = _ORDERED.match(bare)
+            begins = bool(_STARTS.match(bare)) or number is not None and (open_ is None or number[1] == "1")
+        if alone or begins or open_ is None:
+            out.append((k, last))
+            open_ = None if alone else len(out) - 1
+        else:
+            out[open_] = (out[open_][0], k)
+        k = last + 1
+    return out
+
+
+def markdown_blocks(docs: DataFrame, text: str = "text", doc_id: str = "path") -> DataFrame:
+    """(path, line, block): the blocks of Markdown texts with the number (from 1) of their first line."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, a + 1, "\n".join(t.splitlines()[a : b + 1])) for i, t in zip(pdf["id"], pdf["text"], strict=True) if t for a, b in block_starts(t)]
+            yield pd.DataFrame(rows, columns=["id", "line", "block"])
+
+    slim = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"))
+    return slim.mapInPandas(cut, "id string, line int, block string").withColumnRenamed("id", doc_id)
+
+
+#: A field of an entry with a body of braces, nested three deep at most.
+FIELD = r"(?m)^[ \t]*([A-Za-z][A-Za-z0-9_-]*)\s*=\s*\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
+
+
+def _fields(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(path, arxiv, name, body, line) of the fields of bibliography entries; ``line`` is that of the field in the file."""
+    entries = docs.select(doc_id, F.posexplode(F.split(text, r"(?m)^@")).alias("at", "e"), F.split(text, r"(?m)^@").alias("all")).filter("at > 0")
+    before = F.length(F.regexp_replace(F.array_join(F.slice("all", 1, F.col("at")), "@"), r"[^\n]", ""))
+    found = entries.select(doc_id, before.alias("before"), "e", F.nullif(F.regexp_extract("e", r"\b(\d{4}\.\d{4,5})\b", 1), F.lit("")).alias("arxiv"), F.explode(F.regexp_extract_all("e", F.lit(FIELD), F.lit(0))).alias("f"))
+    ahead = F.length(F.regexp_replace(F.substr(F.col("e"), F.lit(1), F.position(F.col("f"), F.col("e")) - 1), r"[^\n]", ""))
+    return found.select(doc_id, F.coalesce("arxiv", F.lit("-")).alias("arxiv"), F.regexp_extract("f", FIELD, 1).alias("name"), F.regexp_extract("f", FIELD, 2).alias("body"), (F.col("before") + ahead + 1).alias("line"))
+
+
+def bare_percents(docs: DataFrame, text: str = "text", doc_id: str = "path") -> DataFrame:
+    """(path, arxiv, name, line): percent signs of fields that are not escaped, one row each."""
+    parts = F.split("body", r"(?<!\\)%", -1)
+    cuts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.length(F.regexp_replace(F.array_join(F.slice(parts, 1, k), "%"), r"[^\n]", "")))
+    fields = _fields(docs, text, doc_id).filter(F.size(parts) > 1)
+    return fields.select(doc_id, "arxiv", "name", "line", F.explode(cuts).alias("_ahead")).select(doc_id, "arxiv", "name", (F.col("line") + F.col("_ahead")).alias("line"))
+
+
+def unknown_quote_fields(docs: DataFrame, text: str = "text", doc_id: str = "path") -> DataFrame:
+    """(path, arxiv, name, line): fields that begin with quote and are neither quote nor quote_body, so that they prove nothing."""
+    low = F.lower("name")
+    return _fields(docs, text, doc_id).filter(low.startswith("quote") & ~low.isin("quote", "quote_body")).drop("body")
+
+
+def published_ids(docs: DataFrame, pattern: str = r"\b(?:claim|shown)\(\s*['\"]([a-z0-9-]+)['\"]\s*\)", text: str = "text", doc_id: str = "path") -> DataFrame:
+    """(claim_id, documents): where each claim is published."""
+    ids = docs.select(doc_id, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))).alias("claim_id"))
+    return ids.groupBy("claim_id").agg(F.array_sort(F.collect_set(doc_id)).alias("documents"))
+
+
+def load_claims(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(claims, retractions) of a JSON document; entries that lack a field are left out."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "claims array<map<string,string>>, retractions array<map<string,string>>").alias("v"))
+
+    def section(name: str, needed: tuple[str, ...], more: tuple[str, ...] = ()) -> DataFrame:
+        rows = whole.select(F.explode(f"v.{name}").alias("e"))
+        return rows.filter(F.forall(F.array(*map(F.lit, needed)), lambda k: F.try_element_at(F.col("e"), k).isNotNull())).select(*[F.try_element_at(F.col("e"), F.lit(k)).alias(k) for k in (*needed, *more)])
+
+    return section("claims", ("id", "value", "source", "quote", "why"), ("rounded", "latest")), section("retractions", ("phrase", "source", "quote", "why"))
+
+
+def dependencies(docs: DataFrame, files: DataFrame, pattern: str, text: str = "text", doc_id: str = "path", not_mechanisms: tuple[str, ...] = (".md",)) -> DataFrame:
+    """(path, depends_on): files (path) that a document names, itself and other documents left out."""
+    named = docs.select(doc_id, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))).alias("depends_on"))
+    own = named.filter(F.col("depends_on") != F.col(doc_id).cast("string"))
+    for suffix in not_mechanisms:
+        own = own.filter(~F.col("depends_on").endswith(suffix))
+    return own.join(files.select(F.col("path").alias("depends_on")).distinct(), "depends_on", "left_semi").select(doc_id, "depends_on")
+
+
+def worklist(movements: DataFrame) -> DataFrame:
+    """Documents (document, commits) with something to read again, the furthest behind first."""
+    return movements.filter(F.coalesce("commits", F.lit(-1)) != 0).orderBy(F.desc_nulls_last("commits"), "document")
 
 
 def uncited_numbers(docs: DataFrame, bib: DataFrame, text: str = "text", doc_id: str = "path") -> DataFrame:
     """(path, arxiv, message): paragraphs that cite an unknown paper, or state a number of one without a quote."""
-    blocks = docs.select(doc_id, F.explode(F.split(text, r"\n\s*\n")).alias("b"))
+    blocks = markdown_blocks(docs, text, doc_id).select(doc_id, F.col("block").alias("b"))
     cited = blocks.select(doc_id, asserts_a_number(F.col("b")).alias("number"), F.explode(F.array_distinct(F.regexp_extract_all("b", F.lit(r"\b(\d{4}\.\d{4,5})\b"), F.lit(1)))).alias("arxiv"))
     joined = cited.join(bib.select("arxiv", "has_quote"), "arxiv", "left")
     why = F.when(F.col("has_quote").isNull(), "unknown paper").when(F.col("number") & ~F.col("has_quote"), "number without a quote")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import compile_expression
+from .guards import require
 from .resample import draw
 
 
@@ -24,11 +25,13 @@ def strata(spark: SparkSession, counts: Sequence[int], positions: Sequence[str])
 
 
 def arrange(relevant: Column, distractors: Column, position: Column) -> Column:
-    """Relevant facts before, after or in the middle of the distractors."""
-    half = F.floor(F.size(distractors) / 2).cast("int")
-    rest = F.slice(distractors, half + 1, F.greatest(F.lit(0), F.size(distractors) - half))
-    middle = F.concat(F.slice(distractors, F.lit(1), half), relevant, rest)
-    return F.when(position == "early", F.concat(relevant, distractors)).when(position == "late", F.concat(distractors, relevant)).otherwise(middle)
+    """The distractors before (early), after (late) or in the middle of the relevant facts; another position is refused."""
+    half = F.floor(F.size(relevant) / 2).cast("int")
+    rest = F.slice(relevant, half + 1, F.greatest(F.lit(0), F.size(relevant) - half))
+    middle = F.concat(F.slice(relevant, F.lit(1), half), distractors, rest)
+    refused = F.raise_error(F.concat(F.lit("unknown position "), F.coalesce(position, F.lit("null")))).cast("array<string>")
+    placed = F.when(position == "early", F.concat(distractors, relevant)).when(position == "late", F.concat(relevant, distractors)).when(position == "middle", middle)
+    return F.when(F.size(distractors) == 0, relevant).otherwise(F.coalesce(placed, refused))
 
 
 def answer_target(options: Column, variant: Column) -> Column:
@@ -83,8 +86,16 @@ def partition_entries(rows: DataFrame, order: str, name: str, n: int, by: Sequen
     return placed.groupBy(*by, "group").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, name))), lambda s: s[name]).alias("names"))
 
 
-def budget_draw(library: DataFrame, doc_id: str, size: str, budget: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """Documents in seeded order until their sizes reach the budget (the one that reaches it is taken)."""
+def budget_draw(library: DataFrame, doc_id: str, size: str, budget: int, seed: int, by: Sequence[str] = (), max_share: float | None = None) -> DataFrame:
+    """Documents in seeded order until their sizes reach the budget (the one that reaches it is taken).
+
+    With ``max_share``, a library that cannot fill the budget, or of which the draw takes a greater share, is refused; without it, it is drawn as far as it goes.
+    """
+    if max_share is not None:
+        drawn = budget_draw(library, doc_id, size, budget, seed, by).groupBy(*by).agg(F.count("*").alias("_taken"), F.sum(size).alias("_filled"))
+        have = library.groupBy(*by).agg(F.count("*").alias("_all"))
+        both = have.join(drawn, list(by), "left") if by else have.join(drawn)
+        require(both, library_too_small=F.coalesce(F.col("_filled"), F.lit(0)) < budget, share_too_large=F.col("_taken") > max_share * F.col("_all"))
     key = draw(seed, F.col(doc_id))
     w = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("_key", doc_id).rowsBetween(W.unboundedPreceding, -1)
     return library.withColumn("_key", key).withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0))).filter(F.col("before") < budget).drop("_key")
@@ -117,3 +128,34 @@ def within_band(prompt: Column, marks: Column, low: float = 0.30, high: float =
 
 def assemble(core: Column, padding: Column, question: Column) -> Column:
     return F.concat_ws("\n\n", core, F.array_join(padding, "\n\n"), question)
+
+
+def ablate(padding: Column, question: Column, rule: str = "=" * 60) -> Column:
+    """The prompt without its core: padding and question alone."""
+    return F.concat(F.array_join(F.transform(padding, lambda p: F.concat(p, F.lit("\n"))), ""), F.lit(f"\n\n{rule}\n\n"), question, F.lit("\n"))
+
+
+def weave(core: Column, padding: Column, low: float = 0.30, high: float = 0.60) -> Column:
+    """Core documents laid into the depth band, padding before, between and after: each core document is aimed at the middle of its slice of the band, and padding goes
+    before it while it fits below that. Arrays of rendered documents in, one array in order out; a document takes its length and a line feed."""
+    size = lambda d: F.length(d) + 1
+    total = F.aggregate(F.concat(core, padding), F.lit(0), lambda n, d: n + size(d)).cast("double")
+    target = lambda i: low * total + (high - low) * total * (i + 0.5) / F.size(core)
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("used"), F.lit(0).alias("next"))
+
+    def place(state: Column, at: Column) -> Column:
+        left = F.slice(padding, state["next"] + 1, F.greatest(F.lit(0), F.size(padding) - state["next"]))
+        # Padding is taken while the running size stays at or below the target.
+        fit = F.aggregate(left, F.struct(state["used"].alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open")), lambda s, d: F.when(s["open"] & (s["used"] + size(d) <= target(at)), F.struct((s["used"] + size(d)).alias("used"), (s["n"] + 1).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(s["used"].alias("used"), s["n"].alias("n"), F.lit(False).alias("open"))))
+        one = core[at]
+        return F.struct(F.concat(state["out"], F.slice(left, F.lit(1), fit["n"]), F.array(one)).alias("out"), (fit["used"] + size(one)).alias("used"), (state["next"] + fit["n"]).alias("next"))
+
+    woven = F.aggregate(F.sequence(F.lit(0), F.size(core) - 1), start, place)
+    rest = F.slice(padding, woven["next"] + 1, F.greatest(F.lit(0), F.size(padding) - woven["next"]))
+    return F.when(F.size(core) > 0, F.concat(woven["out"], rest)).otherwise(padding)
+
+
+def audited(distractors: DataFrame) -> DataFrame:
+    """Adds ``inert`` and ``accepted`` to rows (distractor_id, shared array, votes array of booleans or nulls): shared variables refuse it whatever the votes; else two votes at least, all in favour."""
+    free = F.size("shared") == 0
+    return distractors.withColumns({"inert": free, "accepted": free & (F.size("votes") >= 2) & F.forall("votes", lambda v: F.coalesce(v, F.lit(False)))})

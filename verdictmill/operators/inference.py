@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,11 +26,30 @@ def mcnemar(pairs: DataFrame, control: str, treatment: str, alternative: str = "
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", key: str = "key", q: float = 0.1) -> DataFrame:
-    """Adds rank, q_value and rejected; ties by key."""
-    all_ = W.partitionBy(F.lit(0))
-    ranked = tests.withColumns({"rank": F.row_number().over(all_.orderBy(p, key)), "_m": F.count("*").over(all_)})
-    down = all_.orderBy(F.desc("rank")).rowsBetween(W.unboundedPreceding, 0)
-    return ranked.withColumn("q_value", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("rank")).over(down))).withColumn("rejected", F.col("q_value") <= q).drop("_m")
+    """Adds rank, q_value and rejected; ties by key.
+
+    Tests are put in parts by quantiles of p: a rank is one within the part and the tests of the parts below, and the least value from a rank on
+    is that of the rest of the part and of the parts above. So no task sorts all tests.
+    """
+    cut, totals = in_parts(tests, p)
+    few = W.partitionBy(F.lit(0)).orderBy("_part")  # at most as many rows as parts
+    counts = totals.withColumn("_ahead", F.coalesce(F.sum("_n").over(few.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_m", F.sum("_n").over(W.partitionBy(F.lit(0))))
+    own = W.partitionBy("_part")
+    ranked = cut.join(F.broadcast(counts), "_part").withColumn("rank", (F.row_number().over(own.orderBy(p, key)) + F.col("_ahead")).cast("int"))
+    raw = ranked.withColumn("_raw", F.col(p) * F.col("_m") / F.col("rank"))
+    least = raw.groupBy("_part").agg(F.min("_raw").alias("_least"))
+    above = least.select("_part", F.min("_least").over(few.rowsBetween(1, W.unboundedFollowing)).alias("_above"))
+    rest = F.min("_raw").over(own.orderBy(F.desc("rank")).rowsBetween(W.unboundedPreceding, 0))
+    out = raw.withColumn("_rest", rest).join(F.broadcast(above), "_part").withColumn("q_value", F.least(F.lit(1.0), F.col("_rest"), F.col("_above")))
+    return out.withColumn("rejected", F.col("q_value") <= q).select(*tests.columns, "rank", "q_value", "rejected")
+
+
+def in_parts(rows: DataFrame, order: str, parts: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``_part``, ascending with a number by its quantiles, and (_part, _n)."""
+    cuts = sorted({float(x) for x in rows.approxQuantile(order, [k / parts for k in range(1, parts)], 0.01)})
+    part = reduce(lambda a, b: a + b, [(F.col(order) > c).cast("int") for c in cuts], F.lit(0))
+    cut = rows.withColumn("_part", part)
+    return cut, cut.groupBy("_part").agg(F.count("*").alias("_n"))
 
 
 def normal_cdf(x: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .guards import require
+
 
 def respondent_grid(verdicts: DataFrame) -> DataFrame:
     """(case, respondent, correct) of the parsed verdicts; nothing is imputed."""
@@ -36,8 +38,14 @@ def broken_items(grid: DataFrame) -> DataFrame:
     return rated.filter("p = 0 or p = 1").groupBy("label", F.col("p").cast("int").alias("p")).agg(F.count("*").alias("n_items"))
 
 
+def broken_item_list(grid: DataFrame) -> DataFrame:
+    """(case, label, p, n) of the items that all (p = 1) or none (p = 0) got right."""
+    return grid.groupBy("case").agg(F.bool_or("should_fire").alias("label"), F.avg("correct").alias("p"), F.count("*").alias("n")).filter("p = 0 or p = 1")
+
+
 def triple_joint(grid: DataFrame, triples: DataFrame) -> DataFrame:
-    """Per triple, among respondents who answered all its items, the share that got all right; null if there is none."""
+    """Per triple, among respondents who answered all its items, the share that got all right; null if there is none. A row without a triple is refused."""
+    require(triples, case_without_triple=F.col("triple").isNull())
     sizes = triples.groupBy("triple").agg(F.count_distinct("case").alias("size"))
     per = grid.join(triples.select("case", "triple").distinct(), "case").groupBy("triple", "respondent").agg(F.count_distinct("case").alias("answered"), F.min("correct").alias("all_right"))
     joined = per.join(sizes, "triple")

@@ -29,9 +29,12 @@ def changes(events: DataFrame, threshold: DataFrame) -> DataFrame:
 
 
 def falsifier_battery(cases: DataFrame, threshold: DataFrame) -> DataFrame:
-    """(sensitivity, specificity, passed) over planted cases with expected changes."""
-    told = changes(cases, threshold).select(F.explode(F.array(F.struct(F.col("governing").alias("got"), F.col("expect_governing_change").alias("want")), F.struct(F.col("matched").alias("got"), F.col("expect_matched_change").alias("want")))).alias("c")).select("c.*")
-    out = told.agg(F.avg(F.when(F.col("want"), F.col("got").cast("int"))).alias("sensitivity"), F.avg(F.when(~F.col("want"), (~F.col("got")).cast("int"))).alias("specificity"))
+    """(n_cases, sensitivity, specificity, passed) over planted cases: the share whose governing verdict is as expected, and the same
+    of the matched one. No case is refused."""
+    told = changes(cases, threshold)
+    as_wanted = lambda c: F.avg((F.col(c) == F.col(f"expect_{c}_change")).cast("int"))
+    out = told.agg(F.count("*").alias("n_cases"), as_wanted("governing").alias("sensitivity"), as_wanted("matched").alias("specificity"))
+    out = require(out, no_case=F.col("n_cases") == 0)
     return out.withColumn("passed", (F.col("sensitivity") == 1.0) & (F.col("specificity") == 1.0))
 
 
@@ -40,3 +43,18 @@ def youden_j(events: DataFrame, threshold: DataFrame, replicates: int = 1000, se
     diff = changes(events, threshold).withColumn("d", F.col("governing").cast("int") - F.col("matched").cast("int"))
     out = bootstrap_mean(diff, "d", "triplet_id", replicates, seed)
     return out.select(F.col("point").alias("j"), "low", "high", "se", (F.col("point") >= kill).alias("kill"), interval_state(F.col("low"), F.col("high"), kill).alias("state"))
+
+
+def disposition(results: DataFrame, kill: float = 0.70, adequate: float = 0.85) -> DataFrame:
+    """Adds ``kill``, ``least`` and ``disposition`` to rows (j, low, high, sensitivity, specificity): J is never told without the lesser of the two."""
+    least = F.least("sensitivity", "specificity")
+    base = F.format_string("J = %.3f [%.3f, %.3f], min(sensitivity, specificity) = %.3f", "j", "low", "high", least)
+    end = F.when(F.col("j") < kill, "the venue survives").when(least < adequate, "killed, but not both arms are adequate").otherwise("the venue closes")
+    return results.withColumns({"kill": F.col("j") >= kill, "least": least, "disposition": F.concat(base, F.lit(": "), end)})
+
+
+def rates_of_change(events: DataFrame, threshold: DataFrame) -> DataFrame:
+    """(n, n_governing, n_matched, sensitivity, specificity, j) of events."""
+    told = changes(events, threshold).agg(F.count("*").alias("n"), F.count_if("governing").alias("n_governing"), F.count_if("matched").alias("n_matched"))
+    sensitivity, specificity = F.col("n_governing") / F.col("n"), 1 - F.col("n_matched") / F.col("n")
+    return told.withColumns({"sensitivity": sensitivity, "specificity": specificity, "j": sensitivity + specificity - 1})

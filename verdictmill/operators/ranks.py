@@ -43,21 +43,21 @@ def folded(column: Column) -> Column:
     return F.greatest(column, 1 - column)
 
 
-def attainable_auc(rows: DataFrame, value: str, label: str, cluster: str) -> DataFrame:
-    """The range of the AUC over relabellings within clusters: only pairs of clusters of one value each are fixed.
+def attainable_auc(rows: DataFrame, value: str, label: str, cluster: str, by: Sequence[str] = ()) -> DataFrame:
+    """The range of the AUC over relabellings within clusters, per group: only pairs of clusters of one value each are fixed.
 
     A row without a cluster leaves everything attainable, (0, 1). Clusters of one value are summed by that value, so
     no pairs of clusters are formed.
     """
-    per = rows.groupBy(cluster).agg(F.min(value).alias("v"), (F.min(value) == F.max(value)).alias("still"), F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q"))
-    total = per.agg((F.sum("p") * F.sum("q")).alias("total"), F.bool_or(F.col(cluster).isNull()).alias("loose"), (F.sum(F.when(F.col("still"), F.col("p"))) * F.sum(F.when(F.col("still"), F.col("q")))).alias("fixed_pairs"))
-    at = per.filter("still").groupBy("v").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    fixed = running(at, (), "v", "q").agg(F.sum(F.col("p") * (F.col("q_below") + F.col("q") * 0.5)).alias("fixed"))
+    per = rows.groupBy(*by, cluster).agg(F.min(value).alias("v"), (F.min(value) == F.max(value)).alias("still"), F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q"))
+    total = per.groupBy(*by).agg((F.sum("p") * F.sum("q")).alias("total"), F.bool_or(F.col(cluster).isNull()).alias("loose"), (F.sum(F.when(F.col("still"), F.col("p"))) * F.sum(F.when(F.col("still"), F.col("q")))).alias("fixed_pairs"))
+    at = per.filter("still").groupBy(*by, "v").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    fixed = running(at, by, "v", "q").groupBy(*by).agg(F.sum(F.col("p") * (F.col("q_below") + F.col("q") * 0.5)).alias("fixed"))
     low = F.coalesce(F.col("fixed"), F.lit(0.0)) / F.col("total")
     high = (F.coalesce(F.col("fixed"), F.lit(0.0)) + F.col("total") - F.coalesce(F.col("fixed_pairs"), F.lit(0))) / F.col("total")
-    joined = total.join(fixed)  # one row each
+    joined = total.join(fixed, list(by), "left") if by else total.join(fixed)  # one row each
     pick = lambda x, loose: F.when(F.coalesce("loose", F.lit(False)), F.lit(loose)).when(F.coalesce("total", F.lit(0)) == 0, F.lit(0.5)).otherwise(x)
-    return joined.select(pick(low, 0.0).alias("low"), pick(high, 1.0).alias("high"))
+    return joined.select(*by, pick(low, 0.0).alias("low"), pick(high, 1.0).alias("high"))
 
 
 def candidate_scores(rows: DataFrame, value: str, label: str, cluster: str) -> DataFrame:
@@ -103,8 +103,7 @@ def depth1(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def stump(rows: DataFrame, names: Sequence[str], label: str, row_id: str, outer_cuts: int = 16) -> DataFrame:
     """(n, majority, depth1, depth2): accuracies of the best stumps. Outer cuts are at each n // 16th row where the value changes.
 
-    The sort of the outer split is by value, then row; one window per feature gives all its cuts, and the sides of all
-    cuts are then searched at once as groups of ``depth1``.
+    Counts by value give all cuts of a feature, and the sides of all cuts are then searched at once as groups of ``depth1``.
     """
     slim = rows.select(row_id, F.col(label).alias("label"), *names)
     n = slim.count()
@@ -112,9 +111,10 @@ def stump(rows: DataFrame, names: Sequence[str], label: str, row_id: str, outer_
         return rows.sparkSession.createDataFrame([], "n long, majority double, depth1 double, depth2 double")
     long = long_form(slim, names, row_id, "label")
     step = max(1, n // outer_cuts)
-    w = W.partitionBy("feature").orderBy("value", row_id)
-    placed = long.withColumns({"at": F.row_number().over(w), "next": F.lead("value").over(w)})
-    cuts = placed.filter((F.col("at") % step == 0) & (F.col("at") < n) & (F.col("value") != F.col("next"))).select(F.col("feature").alias("outer"), F.col("value").alias("edge"))
+    # The row after which the value changes is the last of its value: its place is the number of rows up to the value.
+    up_to = F.sum("c").over(W.partitionBy("feature").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    counted = long.groupBy("feature", "value").agg(F.count("*").alias("c")).withColumn("at", up_to)
+    cuts = counted.filter((F.col("at") % step == 0) & (F.col("at") < n)).select(F.col("feature").alias("outer"), F.col("value").alias("edge"))
     # At most 2 * outer_cuts cuts a feature: a small table, met by each row once per cut.
     sides = slim.join(F.broadcast(cuts), F.lit(True)).withColumn("left", F.element_at(F.create_map(*[x for c in names for x in (F.lit(c), F.col(c).cast("double"))]), F.col("outer")) <= F.col("edge"))
     inner = depth1(long_form(sides, names, "outer", "edge", "left", "label"), ["outer", "edge", "left"])

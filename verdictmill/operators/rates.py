@@ -143,3 +143,43 @@ def votes(ledger: DataFrame) -> DataFrame:
     moves = (F.col("n_votes") > 0) & (2 * F.col("agree") < F.col("n_votes"))
     unanimous = (F.col("agree") == F.col("n_judges")) & (F.col("n_judges") > 0)
     return per.withColumns({"moves": moves, "unanimous": unanimous}).withColumn("contested", ~F.col("moves") & ~F.col("unanimous"))
+
+
+def separated(kinds: DataFrame) -> DataFrame:
+    """(kind, other): pairs of kinds (kind, fpr, low, high; a row each, few) where the rate of the other lies outside the kind's interval."""
+    other = kinds.select(F.col("kind").alias("other"), F.col("fpr").alias("_fpr"))
+    pairs = kinds.join(F.broadcast(other), F.col("kind") != F.col("other"))
+    return pairs.filter(~F.col("_fpr").between(F.col("low"), F.col("high"))).select("kind", "other")
+
+
+def mean_confidence(rows: DataFrame, verdict: str = "verdict", confidence: str = "confidence") -> DataFrame:
+    """Mean of the confidences that are given, per verdict; null where none is."""
+    return rows.filter(F.col(verdict).isNotNull()).groupBy(verdict).agg(F.avg(confidence).alias("confidence"), F.count(confidence).alias("n"))
+
+
+def losses(rows: DataFrame, by: str) -> DataFrame:
+    """(by, lost, n): rows without a readable verdict of each slice, over all rows."""
+    return rows.groupBy(F.coalesce(F.col(by).cast("string"), F.lit("None")).alias(by)).agg(F.count_if(F.col("fired").isNull()).alias("lost"), F.count("*").alias("n"))
+
+
+def calibration_gate(records: DataFrame, floor: float = 0.95, band: tuple[float, float] = (0.35, 0.75)) -> DataFrame:
+    """Two gates over records (template_id, n_distractors, position, correct, parsed), as rows (scope, name, clean, loaded, n, passes).
+
+    Every template's records without distractors have to reach the floor, the rest as a whole has to lie in the band. One pass, by grouping sets.
+    """
+    right = F.coalesce(F.col("correct").cast("int"), F.lit(0))
+    clean, loaded = F.avg(F.when(F.col("n_distractors") == 0, right)), F.avg(F.when(F.col("n_distractors") > 0, right))
+    sets = records.select("template_id", F.col("n_distractors").cast("string").alias("n_distractors"), F.when(F.col("n_distractors") > 0, F.col("position")).alias("position"), right.alias("right"), (F.col("n_distractors") == 0).alias("is_clean"))
+    clean, loaded = F.avg(F.when(F.col("is_clean"), F.col("right"))), F.avg(F.when(~F.col("is_clean"), F.col("right")))
+    keys = ["template_id", "n_distractors", "position"]
+    out = sets.groupingSets([[F.col(k)] for k in keys] + [[]], *keys).agg(F.grouping_id().alias("g"), clean.alias("clean"), loaded.alias("loaded"), F.count("*").alias("n"))
+    scope = F.when(F.col("g") == 3, "template").when(F.col("g") == 5, "distractors").when(F.col("g") == 6, "position").otherwise("all")
+    passes = F.when(F.col("g") == 3, F.coalesce(F.col("clean") >= floor, F.lit(True))).when(F.col("g") == 7, F.col("loaded").between(*band))
+    named = F.when(F.col("g") == 3, F.col("template_id")).when(F.col("g") == 5, F.col("n_distractors")).when(F.col("g") == 6, F.col("position"))
+    return out.filter("g <> 6 or position is not null").select(scope.alias("scope"), named.alias("name"), "clean", "loaded", "n", passes.alias("passes"))
+
+
+def template_spread(records: DataFrame) -> DataFrame:
+    """(n_templates, spread): standard deviation of the templates' accuracies; null for one."""
+    per = records.groupBy("template_id").agg(F.avg(F.coalesce(F.col("correct").cast("int"), F.lit(0))).alias("a"))
+    return per.agg(F.count("*").alias("n_templates"), F.stddev_samp("a").alias("spread"))

@@ -6,6 +6,9 @@ clusters, so (sum, n) per cluster is all that is resampled.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,17 +23,39 @@ def draw(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+#: Up to so many clusters, their sums (24 bytes each) are numbered and broadcast, and each replicate draws as many as there are; beyond, see ``replicate_means``.
+DRAWN = 100_000
+
+
 def cluster_sums(rows: DataFrame, value: str, cluster: str) -> DataFrame:
-    """(k, s, n): clusters numbered from 0 in order, with the sum and number of their values."""
-    per = rows.groupBy(F.col(cluster).alias("cluster")).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("n"))
-    return per.withColumn("k", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("cluster")) - 1)
+    """(cluster, s, n): the sum and number of the values of each cluster."""
+    return rows.groupBy(F.col(cluster).alias("cluster")).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("n"))
+
+
+def poisson_weight(u: Column, most: int = 12) -> Column:
+    """How often a Poisson variable of mean 1 is drawn at a uniform ``u`` in [0, 1): its quantile."""
+    steps, p, total = [], math.exp(-1), 0.0
+    for k in range(most):
+        total += p
+        steps.append(F.when(u >= total, 1).otherwise(0))
+        p /= k + 1
+    return reduce(lambda a, b: a + b, steps)
+
 
+def replicate_means(rows: DataFrame, value: str, cluster: str, replicates: int, seed: int | str, drawn: int = DRAWN) -> DataFrame:
+    """(r, mean) of the bootstrap replicates: K of K clusters with replacement, item-weighted. Refused below two clusters.
 
-def replicate_means(rows: DataFrame, value: str, cluster: str, replicates: int, seed: int | str) -> DataFrame:
-    """(r, mean) of the bootstrap replicates: K of K clusters with replacement, item-weighted. Refused below two clusters."""
-    sums = cluster_sums(rows, value, cluster).persist()
+    With more than ``drawn`` clusters, each takes part in a replicate a Poisson number of times, of mean 1, by its own keyed hash: for many clusters the same
+    distribution, in one pass over the clusters, without numbers, a join or a shuffle of the draws.
+    """
+    sums = cluster_sums(rows, value, cluster)
     n = sums.count()
     require(rows.sparkSession.range(1), fewer_than_two_clusters=F.lit(n < 2))
+    if n > drawn:
+        spread = sums.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+        weighted = spread.withColumn("w", poisson_weight(draw(seed, F.col("r"), F.col("cluster")) / F.lit(2.0**32)))
+        return weighted.groupBy(F.col("r").cast("long").alias("r")).agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
+    sums = F.broadcast(sums.withColumn("k", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("cluster")) - 1))
     draws = rows.sparkSession.range(replicates).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
     chosen = draws.select("r", F.pmod(draw(seed, F.col("r"), F.col("j")), F.lit(n)).alias("k"))
     return chosen.join(sums.select("k", "s", "n"), "k").groupBy("r").agg((F.sum("s") / F.sum("n")).alias("mean"))

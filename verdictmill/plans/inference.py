@@ -143,10 +143,10 @@ def youden_j(t: Tables) -> DataFrame:
     return movement.youden_j(_events(t), half, REPLICATES, 9)
 
 
-@query(f"WITH {MOVE_SQL}, c AS (SELECT abs(g - b) / abs(b) > 0.5 AS got, true AS want FROM ev UNION ALL SELECT abs(m - b) / abs(b) > 0.5, false FROM ev), s AS (SELECT avg(got::INT) FILTER (WHERE want) AS sens, avg((NOT got)::INT) FILTER (WHERE NOT want) AS spec FROM c) SELECT {r('sens')} AS sensitivity, {r('spec')} AS specificity, sens = 1.0 AND spec = 1.0 AS passed FROM s")
+@query(f"WITH {MOVE_SQL}, s AS (SELECT count(*) AS n_cases, avg(((abs(g - b) / abs(b) > 0.5) = (id % 2 = 0))::INT) AS sens, avg(((abs(m - b) / abs(b) > 0.5) = (id % 3 = 0))::INT) AS spec FROM ev) SELECT n_cases, {r('sens')} AS sensitivity, {r('spec')} AS specificity, sens = 1.0 AND spec = 1.0 AS passed FROM s")
 def falsifier_battery(t: Tables) -> DataFrame:
     half = t.spark.range(1).select(F.lit(0.5).alias("threshold"))
-    return movement.falsifier_battery(_events(t).withColumns({"expect_governing_change": F.lit(True), "expect_matched_change": F.lit(False)}), half)
+    return movement.falsifier_battery(_events(t).withColumns({"expect_governing_change": F.col("triplet_id") % 2 == 0, "expect_matched_change": F.col("triplet_id") % 3 == 0}), half)
 
 
 @query(f"WITH {DOCS_SQL}, s AS (SELECT source, avg((fired = should_fire)::INT) AS icc FROM docv WHERE fired IS NOT NULL GROUP BY 1), u AS (SELECT source, 0.3 + 0.4 * icc AS icc FROM s) SELECT source, {r('4 * icc / (1 + 3 * icc)')} AS reliability_of_4, {r('icc')} AS icc FROM u")

@@ -32,9 +32,9 @@ def stream_daily_counts(t: Tables) -> DataFrame:
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 3)")
 def resume_pending(t: Tables) -> DataFrame:
-    return integrity.pending(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return integrity.pending(t.orders.select("o_orderkey"), t.lineitem.filter("l_linenumber > 3").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
 
 
 @query(
@@ -162,10 +162,10 @@ def sizes_climb(t: Tables) -> DataFrame:
     return sizes.select("conv_id", (F.array_sort("sizes") == F.col("sizes")).alias("climbs"))
 
 
-@query("SELECT n_name, CASE n_regionkey % 3 WHEN 0 THEN [n_name, 'a', 'b', 'c'] WHEN 1 THEN ['a', 'b', 'c', n_name] ELSE ['a', n_name, 'b', 'c'] END AS facts FROM nation")
+@query("SELECT n_name, CASE n_regionkey % 3 WHEN 0 THEN ['a', 'b', 'c', n_name, 'k', 'l'] WHEN 1 THEN [n_name, 'k', 'l', 'a', 'b', 'c'] ELSE [n_name, 'a', 'b', 'c', 'k', 'l'] END AS facts FROM nation")
 def arranged_facts(t: Tables) -> DataFrame:
     position = F.when(F.col("n_regionkey") % 3 == 0, "early").when(F.col("n_regionkey") % 3 == 1, "late").otherwise("middle")
-    return t.nation.select("n_name", generate.arrange(F.array("n_name"), F.array(F.lit("a"), F.lit("b"), F.lit("c")), position).alias("facts"))
+    return t.nation.select("n_name", generate.arrange(F.array(F.col("n_name"), F.lit("k"), F.lit("l")), F.array(F.lit("a"), F.lit("b"), F.lit("c")), position).alias("facts"))
 
 
 @query(f"SELECT o_custkey, count(*) AS n, {_draw(8, 'o_custkey')} % 100 AS bucket FROM orders GROUP BY 1")

@@ -135,9 +135,17 @@ def compiled_expressions(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", expressions.compile_expression("'low' if size % 3 == 0 and not size > 40 else 'high'", names).alias("answer"), expressions.compile_expression("max(price - size * 2, 7) / 4", names).alias("value"))
 
 
-@query("SELECT source, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '\\d')) AS with_number FROM documents GROUP BY 1")
+CLAIM_SQL = r"(?i)[+-]?\d+(?:\.\d+)?\s*(?:pp(?:$|[^\p{L}\p{N}_.])|%)|(?:^|[^\p{L}\p{N}_])(?:kappa|κ)\s*[=:]\s*\d?\.\d+|(?:^|[^\p{L}\p{N}_])AUC\s*[=:]?\s*\d?\.\d+"
+SAID_SQL = "p_name || [' at ' || p_size || ' % of', ' by +' || p_size || 'pp', ' with ' || p_size || ' parts', ' in 3 pp. of', ' κ = .' || p_size, ' AUC 0.' || p_size, ' see https://x.org/' || p_size || '% and arXiv:1234.56789'][p_partkey % 7 + 1]"
+
+
+@query(f"WITH s AS (SELECT p_brand, {SAID_SQL} AS line FROM part UNION ALL SELECT source, text FROM documents) SELECT p_brand AS source, count(*) AS n, count(*) FILTER (WHERE regexp_matches(regexp_replace(line, '(?i)https?://\\S+|arxiv[:/]\\S+|\\b\\d{{4}}\\.\\d{{4,5}}\\b', ' ', 'g'), '{CLAIM_SQL}')) AS with_number FROM s GROUP BY 1")
 def number_assertions(t: Tables) -> DataFrame:
-    return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.count_if(documents.asserts_a_number(F.col("text"))).alias("with_number"))
+    size = F.col("p_size").cast("string")
+    forms = F.array(F.concat(F.lit(" at "), size, F.lit(" % of")), F.concat(F.lit(" by +"), size, F.lit("pp")), F.concat(F.lit(" with "), size, F.lit(" parts")), F.lit(" in 3 pp. of"), F.concat(F.lit(" κ = ."), size), F.concat(F.lit(" AUC 0."), size), F.concat(F.lit(" see https://x.org/"), size, F.lit("% and arXiv:1234.56789")))
+    said = t.part.select(F.col("p_brand").alias("source"), F.concat("p_name", F.element_at(forms, (F.col("p_partkey") % 7 + 1).cast("int"))).alias("line"))
+    lines = said.unionByName(t.documents.select("source", F.col("text").alias("line")))
+    return lines.groupBy("source").agg(F.count("*").alias("n"), F.count_if(documents.asserts_a_number(F.col("line"))).alias("with_number"))
 
 
 @query(f"WITH {DOCS_SQL}, c AS (SELECT count(*) FILTER (WHERE fired AND should_fire) AS tp, count(*) FILTER (WHERE fired AND NOT should_fire) AS fp, count(*) FILTER (WHERE NOT fired AND NOT should_fire) AS tn, count(*) FILTER (WHERE NOT fired AND should_fire) AS fn FROM docv) SELECT 0 AS at, format('{{:<12}}{{:>10}}{{:>10}}', '', 'fires', 'silent') AS line FROM c UNION ALL SELECT 1, format('{{:<12}}{{:>10.1f}}{{:>10.1f}}', 'should', tp::DOUBLE, fn::DOUBLE) FROM c UNION ALL SELECT 2, format('{{:<12}}{{:>10.1f}}{{:>10.1f}}', 'should not', fp::DOUBLE, tn::DOUBLE) FROM c")

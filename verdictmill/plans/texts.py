@@ -59,7 +59,7 @@ LONG_SQL = "lf AS (UNPIVOT ft ON " + ", ".join(FEATURES_SQL) + " INTO NAME featu
 
 
 def _features(t: Tables, *keep: str) -> DataFrame:
-    return doc_verdicts(t).select("doc_id", "should_fire", *keep, *text.features(F.col("text")))
+    return text.featured(doc_verdicts(t).select("doc_id", "should_fire", *keep, "text"), "text").drop("text")
 
 
 @query(
@@ -100,7 +100,7 @@ REPLY = "'I think {\"fire\": ' || CASE event_id % 4 WHEN 0 THEN 'true' WHEN 1 TH
 def _replies(t: Tables) -> DataFrame:
     e = F.col("event_id")
     flag = F.when(e % 4 == 0, "true").when(e % 4 == 1, "false").when(e % 4 == 2, '"yes"').otherwise("true,")
-    parts = [F.lit('I think {"fire": '), flag, F.lit(', "procedure": "'), F.col("event_type"), F.lit('", "p_fire": '), ((e % 13) / F.lit(10.0)).cast("string"), F.lit("} so\n**ANSWER**: "), F.col("event_type"), F.lit(". \nTotal $"), F.round(F.col("value") * 100).cast("long").cast("string")]
+    parts = [F.lit('I think {"fire": '), flag, F.lit(', "procedure": "'), F.col("event_type"), F.lit('", "p_fire": '), ((e % 13) / F.lit(10.0)).cast("string"), F.lit("} so\n**ANSWER**:"), F.when(e % 5 == 0, "\n ").otherwise(" "), F.col("event_type"), F.lit(". \nTotal $"), F.round(F.col("value") * 100).cast("long").cast("string")]
     return t.events.select("event_id", "event_type", F.concat(*parts).alias("reply"))
 
 
@@ -120,11 +120,10 @@ def last_numbers(t: Tables) -> DataFrame:
     return _replies(t).select("event_id", parsing.last_number(F.col("reply")).alias("number"))
 
 
-@query("SELECT p_partkey, regexp_extract(lower(p_name || ' ' || p_type || ' ' || p_size), '(\\d+)$', 1)::INT AS number, lower(p_brand) AS brand FROM part")
+@query("SELECT p_partkey, 'select ''name'' from ''x'' where n = ' || p_size || ' and b = ' || chr(39) || lower(p_brand) || chr(39) AS flat FROM part")
 def normalised_queries(t: Tables) -> DataFrame:
-    sql = F.concat(F.lit("SELECT  \"Name\"\n FROM `x`  WHERE n = "), F.col("p_size").cast("string"), F.lit(" AND b = '"), F.col("p_brand"), F.lit("' ;"))
-    flat = parsing.normalise_sql(sql)
-    return t.part.select("p_partkey", F.regexp_extract(flat, r"n = (\d+)", 1).cast("int").alias("number"), F.regexp_extract(flat, r"b = (\S+)$", 1).alias("brand"))
+    sql = F.concat(F.lit("Try SELECT  \"Name\"\n FROM `x`  WHERE n = "), F.col("p_size").cast("string"), F.lit(" AND b = '"), F.col("p_brand"), F.lit("'; or not"))
+    return t.part.select("p_partkey", parsing.normalise_sql(parsing.first_select(sql)).alias("flat"))
 
 
 @query("SELECT source, " + r("avg((regexp_matches(text, '[A-Z]{4}'))::INT)") + " AS capitals, " + r("avg((contains(text, '|'))::INT)") + " AS bars, count(*) AS n FROM documents GROUP BY 1")

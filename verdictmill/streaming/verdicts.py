@@ -13,7 +13,10 @@ from ..operators.integrity import last_write_wins
 
 
 def _shared(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="verdictmill-")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
+    where = where or tempfile.mkdtemp(prefix="verdictmill-")
     return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
 
 
