@@ -328,6 +328,20 @@ def test_packing_repacks_partitions_with_gaps(spark):
     assert more.select("sequence_id").distinct().count() <= once and more.count() == 300
 
 
+def test_packing_is_near_the_bound_of_the_whole_table(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.best_fit_packing(documents, group_rows=512).select("length", "sequence_id").collect()
+    bound = packing.lower_bound(np.array([r.length for r in got]), packing.SEQUENCE)
+    assert bound <= len({r.sequence_id for r in got}) <= 1.01 * bound + 1
+
+
+def test_packing_spreads_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, f"word {k} " * 300) for k in range(60)], "doc_id long, text string")
+    pieces = packing.tokenized_pieces(df, "doc_id", "text", packing.SEQUENCE, None)
+    dealt = packing.pack_groups(pieces, 4, 0, packing.SEQUENCE)
+    assert dealt.select((F.col("bin") / 2**24).cast("long").alias("g")).distinct().count() == 4 and dealt.count() == 60
+
+
 def test_packing_odd_rows(odd, empty):
     got = collections.Counter((r.doc_id, r.length) for r in packing.best_fit_packing(odd).collect())
     assert got[(2, 1)] == 1 and got[(3, 1)] == 1 and sum(n for (i, _), n in got.items() if i == 5) == 2
@@ -372,6 +386,27 @@ def test_token_counts_brute_force(documents, texts, rule):
         assert got[i] == {k: (s, e - s, n) for k, (s, e, n) in enumerate(zip(at, ends, want, strict=True))}
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts_of_fields(spark, documents, texts, rule):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(default_path())
+    rows = documents.orderBy("doc_id").limit(40).select("doc_id", "lang", F.when(F.col("doc_id") % 5 > 0, F.substring("text", 1, 300)).alias("text"), "source", F.lit(1).alias("n_tokens"))
+    got = collections.defaultdict(dict)
+    for r in token_counts.field_token_counts(rows, ["lang", "text", "source"], rule=rule, separator=" ").collect():
+        got[r.doc_id][r.section] = (r.start, r.length, r.n_tokens)
+    for r in rows.collect():
+        parts = [x or "" for x in (r.lang, r.text, r.source)]
+        whole = " ".join(parts)
+        at = [0, len(parts[0]) + 1, len(parts[0]) + len(parts[1]) + 2]
+        ends, want = [*at[1:], len(whole)], [0, 0, 0]
+        for a, b in tokenizer.encode(whole, add_special_tokens=False).offsets:
+            inside = [max(0, min(b, e) - max(a, s)) for s, e in zip(at, ends, strict=True)]
+            first = max(k for k, s in enumerate(at) if s <= a)
+            want[{"first": first, "last": max(k for k, s in enumerate(at) if s <= max(a, b - 1)), "most": inside.index(max(inside)) if max(inside) else first}[rule]] += 1
+        assert got[r.doc_id] == {k: (s, e - s, n) for k, (s, e, n) in enumerate(zip(at, ends, want, strict=True))}
+
+
 def test_token_counts_odd_rows(odd, empty):
     got = token_counts.token_counts(odd).collect()
     assert {(2, 0, 0), (3, 0, 0)} <= {(r.doc_id, r.length, r.n_tokens) for r in got} and sum(r.doc_id == 5 for r in got) == 4
@@ -723,6 +758,11 @@ def test_neighbours_recall_and_order(spark, small):
     assert hits >= 0.9 * 10 * len(got)
 
 
+def test_neighbours_with_clashing_columns(spark):
+    df = spark.createDataFrame([(k, [float(k), 1.0], 7, "x", 0.5) for k in (0, 1, 2, 100)], "vec_id long, embedding array<double>, rank int, query_id string, score double")
+    assert rows(ann.neighbours(df)) == rows(ann.neighbours(df.select("vec_id", "embedding"))) and ann.neighbours(df).count() == 6
+
+
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     good = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 3.0]), (3, [0.0, 3.0])]

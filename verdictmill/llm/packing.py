@@ -115,7 +115,8 @@ def pack_groups(pieces: DataFrame, groups: int, salt: int, most: int) -> DataFra
         offset[order] = ends - lengths[order] - base
         return pdf.drop(columns="group").assign(bin=(salt << 56) + (group << 24) + bins, offset=offset, room=left[bins], bins=len(left), bound=lower_bound(lengths, most))
 
-    group = F.pmod(F.xxhash64(F.lit(salt), "doc_id", "piece", "start"), F.lit(groups)).alias("group")
+    # By content too: rows without an id, and those that repeat one, do not all meet in one partition.
+    group = F.pmod(F.xxhash64(F.lit(salt), "doc_id", "piece", "start", "length", "ids_crc32"), F.lit(groups)).alias("group")
     return pieces.select(group, "doc_id", "piece", "start", "length", "ids_crc32").groupBy("group").applyInPandas(pack, PACKED)
 
 

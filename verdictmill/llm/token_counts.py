@@ -61,6 +61,27 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text is empty; an empty text has one section without tokens. A null id stays null, repeated rows are
     counted each; an empty table gives an empty result; further columns are not read.
     """
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return _counted(whole, rule, path, lambda row: sections(row[1]))
+
+
+def field_token_counts(docs: DataFrame, fields: list[str], id_col: str = "doc_id", rule: str = "first", separator: str = "\n", path: str | None = None) -> DataFrame:
+    """One row per field: doc_id, section (the field's place in ``fields``), start, length, n_tokens.
+
+    A document is its fields in order with the separator between them, encoded once as a whole; a separator belongs to the field before it. A null field is
+    an empty one; what ``token_counts`` says of odd rows holds.
+    """
+    texts = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
+    starts, at = [], F.lit(0)
+    for k, t in enumerate(texts):
+        starts.append(at)
+        at = at + F.length(t) + (len(separator) if k + 1 < len(texts) else 0)
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.concat_ws(separator, *texts).alias("text"), F.array(*starts).alias("starts"))
+    return _counted(whole, rule, path, lambda row: np.asarray(row[2], np.int64))
+
+
+def _counted(docs: DataFrame, rule: str, path: str | None, sections: Callable[[tuple], np.ndarray]) -> DataFrame:
+    """Counts of rows (doc_id, text, ...) by the ascending starts that ``sections`` gives of a row."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}, not {rule!r}")
     path = path or default_path()
@@ -69,8 +90,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         bpe = tokenizer(path)
         for pdf in batches:
             parts, size = [], 0
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                at, ids = sections(text), bpe.encode(text)
+            for row in pdf.itertuples(index=False, name=None):
+                doc_id, text = row[:2]
+                at, ids = sections(row), bpe.encode(text)
                 of = attribute(*token_spans(ids, bpe.chars, bpe.inner), at, rule)
                 parts.append((doc_id, at, np.diff(np.append(at, len(text))), np.bincount(of, minlength=len(at))))
                 size += len(at)
@@ -80,7 +102,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if parts:
                 yield _rows(parts)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(count, COUNTS)
+    return docs.mapInPandas(count, COUNTS)
 
 
 def _rows(parts: list[tuple]) -> pd.DataFrame:
