@@ -24,8 +24,8 @@ def references(text: Column, pattern: str = r"(?i)\b(A\d+)\b") -> Column:
 
 
 def first_band(text: Column, bands: tuple[str, ...] = BANDS) -> Column:
-    """The most severe band that the text names."""
-    return F.filter(F.array(*map(F.lit, bands)), lambda b: F.contains(F.lower(text), b))[0]
+    """The most severe band that the text names; null if it names none."""
+    return F.try_element_at(F.filter(F.array(*map(F.lit, bands)), lambda b: F.contains(F.lower(text), b)), F.lit(1))
 
 
 def score(rows: DataFrame) -> DataFrame:

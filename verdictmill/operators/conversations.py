@@ -159,14 +159,13 @@ def database_report(pairs: DataFrame, reference: str, left: str = "full", right:
 
 def actions_report(pairs: DataFrame, key: str, left: str = "full", right: str = "sharded") -> DataFrame:
     """One row: per condition the outcomes of matching calls, and the share of the key's functions that the reply names."""
-    names = called_names(F.col(key))
-    outs = []
-    for c in (left, right):
-        told = match_calls(F.col(c), F.col(key))
-        reply = F.col(c)
-        named = F.size(F.filter(names, lambda n: F.contains(reply, n))) / F.size(names)  # noqa: B023
-        outs += [F.count_if(told == o).alias(f"{c}_{o}") for o in ("matched", "wrong", "unreadable")] + [F.avg(named).alias(f"{c}_naming")]
-    return pairs.agg(F.count("*").alias("n"), *outs)
+    def named(reply: Column) -> Column:
+        names = called_names(F.col(key))
+        return F.size(F.filter(names, lambda n: F.contains(reply, n))) / F.size(names)
+
+    told = pairs.select(*[x for c in (left, right) for x in (match_calls(F.col(c), F.col(key)).alias(f"{c}_told"), named(F.col(c)).alias(f"{c}_named"))])
+    counts = lambda c: [F.count_if(F.col(f"{c}_told") == o).alias(f"{c}_{o}") for o in ("matched", "wrong", "unreadable")]
+    return told.agg(F.count("*").alias("n"), *counts(left), F.avg(f"{left}_named").alias(f"{left}_naming"), *counts(right), F.avg(f"{right}_named").alias(f"{right}_naming"))
 
 
 def items_by_arms(items: DataFrame, arms: tuple[str, ...], order: str) -> DataFrame:

@@ -198,5 +198,5 @@ def router_rows(text: Column) -> Column:
 
 
 def covering(entries: Column, procedure: Column) -> Column:
-    """The first entry whose hyphenated name contains the procedure."""
-    return F.filter(entries, lambda n: F.array_contains(F.split(n, "-"), procedure))[0]
+    """The first entry whose hyphenated name contains the procedure; null without one."""
+    return F.try_element_at(F.filter(entries, lambda n: F.array_contains(F.split(n, "-"), procedure)), F.lit(1))

@@ -97,8 +97,12 @@ def budget_draw(library: DataFrame, doc_id: str, size: str, budget: int, seed: i
         both = have.join(drawn, list(by), "left") if by else have.join(drawn)
         require(both, library_too_small=F.coalesce(F.col("_filled"), F.lit(0)) < budget, share_too_large=F.col("_taken") > max_share * F.col("_all"))
     key = draw(seed, F.col(doc_id))
-    w = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("_key", doc_id).rowsBetween(W.unboundedPreceding, -1)
-    return library.withColumn("_key", key).withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0))).filter(F.col("before") < budget).drop("_key")
+    below = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    keyed = library.withColumns({"_key": key, "_part": F.shiftright(key, 26)})  # draws are even over 32 bits, so 64 parts of the order are too
+    ahead = keyed.groupBy(*by, "_part").agg(F.sum(size).alias("_size")).withColumn("_ahead", below(W.partitionBy(*by or [F.lit(0)]).orderBy("_part"), "_size")).filter(F.col("_ahead") < budget)
+    at = [*by, "_part"]
+    drawn = keyed.join(ahead.select(*at, "_ahead"), at).withColumn("before", below(W.partitionBy(*at).orderBy("_key", doc_id), size) + F.col("_ahead"))
+    return drawn.filter(F.col("before") < budget).select(*library.columns, "before")
 
 
 def sample_per_group(rows: DataFrame, group: str, row_id: str, k: int, seed: int) -> DataFrame:

@@ -326,7 +326,7 @@ def separated_kinds(t: Tables) -> DataFrame:
     return rates.separated(rates.fpr_by_kind(doc_verdicts(t)))
 
 
-@query(f"WITH {KIND_SQL}, {WILSON_SQL} SELECT kind, format('{{:<16}}{{:>6}}', kind, n) || printf('%6.1f%%', f * 100) || '  [' || printf('%6.1f%%', lo * 100) || ',' || printf('%6.1f%%', hi * 100) || ']' AS line FROM kw")
+@query(f"WITH {KIND_SQL}, {WILSON_SQL} SELECT kind, format('{{:<16}}{{:>6}}', kind, n) || printf('%6.1f%%', round(f * 100, 1)) || '  [' || printf('%6.1f%%', round(lo * 100, 1)) || ',' || printf('%6.1f%%', round(hi * 100, 1)) || ']' AS line FROM kw")
 def kind_report(t: Tables) -> DataFrame:
     return reports.kind_lines(rates.fpr_by_kind(doc_verdicts(t)))
 

@@ -76,7 +76,12 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(task_id, task, shards, payload) of a JSON array; a shard may be a string or an object with a ``shard`` text."""
-    whole = spark.read.text(path, wholetext=True).select(F.explode(F.expr("cast(parse_json(value) as array<variant>)")).alias("v"))
+    return corpus_rows(spark.read.text(path, wholetext=True))
+
+
+def corpus_rows(arrays: DataFrame) -> DataFrame:
+    """The same of JSON arrays (value)."""
+    whole = arrays.select(F.explode(F.expr("cast(parse_json(value) as array<variant>)")).alias("v"))
     shard = lambda s: F.coalesce(F.try_variant_get(s, "$.shard", "string"), F.try_variant_get(s, "$", "string"))
     return whole.select(F.variant_get("v", "$.task_id", "string").alias("task_id"), F.variant_get("v", "$.task", "string").alias("task"), F.transform(F.variant_get("v", "$.shards", "array<variant>"), shard).alias("shards"), F.to_json("v").alias("payload"))
 
