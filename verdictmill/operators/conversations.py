@@ -160,12 +160,17 @@ def database_report(pairs: DataFrame, reference: str, left: str = "full", right:
 def actions_report(pairs: DataFrame, key: str, left: str = "full", right: str = "sharded") -> DataFrame:
     """One row: per condition the outcomes of matching calls, and the share of the key's functions that the reply names."""
     def named(reply: Column) -> Column:
-        names = called_names(F.col(key))
+        names = called_names(F.col("key"))
         return F.size(F.filter(names, lambda n: F.contains(reply, n))) / F.size(names)
 
-    told = pairs.select(*[x for c in (left, right) for x in (match_calls(F.col(c), F.col(key)).alias(f"{c}_told"), named(F.col(c)).alias(f"{c}_named"))])
-    counts = lambda c: [F.count_if(F.col(f"{c}_told") == o).alias(f"{c}_{o}") for o in ("matched", "wrong", "unreadable")]
-    return told.agg(F.count("*").alias("n"), *counts(left), F.avg(f"{left}_named").alias(f"{left}_naming"), *counts(right), F.avg(f"{right}_named").alias(f"{right}_naming"))
+    # A row per pair and condition, so that each reply is matched once.
+    sides = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("reply"), F.col(key).alias("key")) for c in (left, right)])
+    said = pairs.select(F.explode(sides).alias("x")).select("x.*")
+    told = said.select("c", F.explode(F.array(match_calls(F.col("reply"), F.col("key")))).alias("told"), F.when(F.col("key").isNotNull(), named(F.col("reply"))).alias("named"))
+    at = lambda c: F.col("c") == c
+    counts = lambda c: [F.count_if(at(c) & (F.col("told") == o)).alias(f"{c}_{o}") for o in ("matched", "wrong", "unreadable")]
+    share = lambda c: F.avg(F.when(at(c), F.col("named"))).alias(f"{c}_naming")
+    return told.agg(F.count_if(at(left)).alias("n"), *counts(left), share(left), *counts(right), share(right))
 
 
 def items_by_arms(items: DataFrame, arms: tuple[str, ...], order: str) -> DataFrame:
