@@ -169,3 +169,27 @@ def test_power_grid_and_bounds(spark):
 def test_calibration_needs_ten_forecasts(spark):
     few = spark.createDataFrame([(0.5, True, True)] * 9, "p_fire double, fired boolean, should_fire boolean")
     assert calibration.calibration_report(few).first().brier is None and calibration.calibration_report(few.union(few)).first().brier == 0.25
+
+
+def test_corpus_check_puts_everything_together(spark):
+    from verdictmill.operators import corpus
+
+    rows = []
+    for k in range(12):
+        body = f"A body of case {k} that all members of it begin with, word for word.\n"
+        rows += [(f"{k}p", str(k), "m", True, body + "Should I go there now? " * 10), (f"{k}a", str(k), "m", False, body + "They went there then. " * 10), (f"{k}b", str(k), "m", False, body + "They came back again. " * (11 if k else 40))]
+    df = spark.createDataFrame(rows, "id string, triple string, band string, should_fire boolean, turn string")
+    got = {r.key for r in corpus.check_corpus(df).collect()}
+    assert "leak:turn:question_marks" in got and "matched:turn:question_marks" in got and "stump" in got and "0b" in got and "0" in got
+    assert any(k.startswith("inert:") for k in got) and "m" not in got
+
+
+def test_complete_ratings(spark):
+    from verdictmill.operators import agreement
+
+    make = lambda rows: spark.createDataFrame(rows, "unit int, rater int, label string")
+    good = [(u, k, "a") for u in range(3) for k in range(2)]
+    assert agreement.complete(make(good)).count() == 6
+    for bad in (good + [(0, 2, "a")], good[:-1] + [(2, 1, None)], [(0, 0, "a"), (1, 0, "a")]):
+        with pytest.raises(guards.Refused):
+            agreement.complete(make(bad))

@@ -92,3 +92,9 @@ def compile_expression(expression: str, variables: Mapping[str, Column]) -> Colu
         raise UnsafeExpression(f"{type(op).__name__} may not be used in {expression!r}")
 
     return build(_parse(expression))
+
+
+def shared_variables(text: Column, expression: str) -> Column:
+    """The placeholders of a text that the expression reads: a distractor with any is no distractor."""
+    named = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\{(\w+)\}"), F.lit(1)))
+    return F.array_sort(F.array_intersect(named, F.array(*map(F.lit, sorted(names_in(expression)))).cast("array<string>")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A flat JSON object; the first one counts.
@@ -90,3 +90,18 @@ def confidence(value: Column) -> Column:
     number = F.try_variant_get(F.try_parse_json(value), "$", "double")
     plain = ~F.lower(F.trim(value)).isin("true", "false") & ~value.startswith('"')
     return F.when(plain & number.between(0.0, 1.0), number)
+
+
+def scored_items(replies: DataFrame, reply: str, options: str, answer: str, infrastructure_error: Column | None = None) -> DataFrame:
+    """Adds status, value, is_correct and zero_cause to replies with options (array) and the answer."""
+    parsed = replies.withColumn("_a", parse_answer(F.col(reply), F.col(options)))
+    ok = (F.col("_a.status") == "parsed") & (F.col("_a.value") == F.col(answer))
+    right = F.coalesce(ok, F.lit(False))
+    cause = zero_cause(right, F.col("_a.status") == "parsed", F.coalesce(infrastructure_error, F.lit(False)) if infrastructure_error is not None else F.lit(False))
+    return parsed.select(*replies.columns, F.col("_a.status").alias("status"), F.col("_a.value").alias("value"), right.alias("is_correct"), cause.alias("zero_cause"))
+
+
+def score_summary(scored: DataFrame, *by: str) -> DataFrame:
+    """(by, total, correct, parse_failures, accuracy) of scored items."""
+    out = scored.groupBy(*by).agg(F.count("*").alias("total"), F.count_if("is_correct").alias("correct"), F.count_if(F.col("status") != "parsed").alias("parse_failures"))
+    return out.withColumn("accuracy", F.col("correct") / F.col("total"))

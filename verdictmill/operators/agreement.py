@@ -62,3 +62,11 @@ def krippendorff_alpha(ratings: DataFrame) -> DataFrame:
     expected = (F.col("n") * F.col("n") - F.col("cc")) / (F.col("n") - 1)
     out = disagree.join(pooled).join(units)
     return out.select("n_units", (F.col("all_units") - F.col("n_units")).alias("n_dropped"), F.when(expected > 0, 1 - F.col("off") / expected).alias("alpha"))
+
+
+def complete(ratings: DataFrame) -> DataFrame:
+    """The ratings, if none is missing and all units have as many raters, two at least; else refused."""
+    sizes = ratings.groupBy("unit").agg(F.count("*").alias("n"), F.count_if(F.col("label").isNull()).alias("gaps"))
+    ends = sizes.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.sum("gaps").alias("gaps"))
+    require(ends, missing_rating=F.col("gaps") > 0, ragged_units=F.col("low") != F.col("high"), fewer_than_two_raters=F.col("low") < 2)
+    return ratings

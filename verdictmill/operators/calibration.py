@@ -85,3 +85,8 @@ def calibration_report(rows: DataFrame, least: int = 10) -> DataFrame:
     both = counts.join(murphy(ready), how="left").join(expected_calibration_error(ready), how="left").join(smooth_calibration_error(ready), how="left")
     enough = F.col("n") >= least
     return both.select("n", "n_all", *[F.when(enough, F.col(c)).alias(c) for c in ("brier", "reliability", "resolution", "uncertainty", "skill", "ece", "smooth_ce")])
+
+
+def identity_residual(rows: DataFrame) -> DataFrame:
+    """(residual): the Brier score less what its decomposition makes of it; 0 but for the digits."""
+    return brier(rows).join(murphy(rows).select("reliability", "resolution", "uncertainty")).select((F.col("brier") - (F.col("reliability") - F.col("resolution") + F.col("uncertainty"))).alias("residual"))

@@ -137,3 +137,31 @@ def null_leak_rate(rows: DataFrame, names: list[str], label: str, triple: str, d
     found = auc(long_form(chosen, names, "r", "label"), "value", "label", ["r", "feature"])
     per = found.groupBy("r").agg(F.count_if(~F.col("auc").between(*BAND)).alias("n"))
     return per.agg(F.count("*").alias("draws"), F.avg((F.col("n") >= leaks).cast("int")).alias("rate"))
+
+
+def matched_findings(checks: DataFrame) -> DataFrame:
+    """(key, message): features whose rank within a triple tells the positive, and those that only go to its extremes."""
+    told = F.format_string("matched %.3f, %.2f standard errors from chance", "matched_auc", "z")
+    leaks = checks.filter("matched_leaks").select(F.concat_ws(":", F.lit("matched"), "view", "feature").alias("key"), told.alias("message"))
+    return leaks.unionByName(checks.filter("cancels and not matched_leaks").select(F.concat_ws(":", F.lit("cancel"), "view", "feature").alias("key"), told.alias("message")))
+
+
+def length_finding(sets: DataFrame, target: float = 0.70) -> DataFrame:
+    """(key, message) of sets (key, auc, ceiling, banded): length alone separates the labels above the set's ceiling, or above the target without one; banded sets have checks of their own."""
+    limit = F.coalesce(F.col("ceiling") + 1e-9, F.lit(target))
+    bad = sets.filter(~F.coalesce("banded", F.lit(False)) & (F.col("auc") > limit))
+    why = F.when(F.col("ceiling").isNull(), "above the target and no ceiling is declared").otherwise("above its ceiling")
+    return bad.select("key", F.concat(F.format_string("AUC %.3f, ", "auc"), why).alias("message"))
+
+
+def check_corpus(turns: DataFrame, max_lift: float = 0.05, text: str = "turn") -> DataFrame:
+    """(key, message): everything wrong with a corpus of triples (id, triple, band, should_fire, turn): bands, shape, ratio, leaks, matched leaks, inert features, and a stump that does too well."""
+    from .ranks import stump
+
+    checks = battery(turns, text=text)
+    structure = [f(turns) for f in (band_findings, triple_findings, ratio_findings)]
+    seen = reach(viewed(turns.drop("band"), text=text), list(FEATURES), ["view"])
+    valued = featured(turns.select("id", "should_fire", text), text, FEATURES)
+    lift = stump(valued, list(FEATURES), "should_fire", "id").withColumn("lift", F.greatest("depth1", "depth2") - F.col("majority"))
+    over = lift.filter(F.col("lift") > max_lift + 1e-9).select(F.lit("stump").alias("key"), F.format_string("a lift of %.3f over the majority", "lift").alias("message"))
+    return union_issues(*structure, leak_findings(checks), matched_findings(checks), inert_findings(seen), over)

@@ -163,3 +163,23 @@ def audited(distractors: DataFrame) -> DataFrame:
     """Adds ``inert`` and ``accepted`` to rows (distractor_id, shared array, votes array of booleans or nulls): shared variables refuse it whatever the votes; else two votes at least, all in favour."""
     free = F.size("shared") == 0
     return distractors.withColumns({"inert": free, "accepted": free & (F.size("votes") >= 2) & F.forall("votes", lambda v: F.coalesce(v, F.lit(False)))})
+
+
+def draw_pool(facts: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+    """(key, pool): at most k distractors (key, fact_id, text, collides) of each template, those that collide with what decides first, in seeded order within both kinds."""
+    own = F.struct((~F.col("collides")).alias("inert"), draw(seed, F.col(key), F.col("fact_id")).alias("at"), "fact_id", "text")
+    return facts.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(own)), 1, k).alias("_p")).select(key, F.transform("_p", lambda x: F.struct(x["fact_id"].alias("fact_id"), x["text"].alias("text"))).alias("pool"))
+
+
+def items(templates: DataFrame, pools: DataFrame, grid: DataFrame, key: str, variants: int) -> DataFrame:
+    """One row per template (key, facts array), variant and stratum (n_distractors, position): item_id, facts in order, distractor_ids. The strata are few and travel with the plan."""
+    made = templates.join(pools, key, "left").withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(variants - 1)))).join(F.broadcast(grid))
+    chosen = F.slice(F.coalesce("pool", F.array().cast("array<struct<fact_id:string,text:string>>")), F.lit(1), F.col("n_distractors"))
+    name = F.format_string("%s#v%d-d%d-%s", F.col(key).cast("string"), "variant", "n_distractors", "position")
+    return made.select(key, "variant", "n_distractors", "position", name.alias("item_id"), arrange(F.col("facts"), F.transform(chosen, lambda x: x["text"]), F.col("position")).alias("facts"), F.transform(chosen, lambda x: x["fact_id"]).alias("distractor_ids"))
+
+
+def select_per_family(rows: DataFrame, family: str, row_id: str, k: int, seed: int, families: Sequence[str] | None = None) -> DataFrame:
+    """min(k, n) rows of each family; families are picked after the draw, so that it does not depend on them."""
+    drawn = sample_per_group(rows, family, row_id, k, seed)
+    return drawn.filter(F.col(family).isin(*families)) if families is not None else drawn

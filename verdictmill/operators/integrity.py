@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .guards import require
+from .guards import require, union_issues
 
 
 def last_write_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -145,3 +145,16 @@ def sparse_attributes(*columns: str) -> Column:
 
 def occurrences(text: Column, quote: Column) -> Column:
     return F.when(F.length(quote) > 0, (F.length(text) - F.length(F.replace(text, quote, F.lit("")))) / F.length(quote)).otherwise(F.lit(0)).cast("long")
+
+
+def adjudication_findings(keys: DataFrame, runs: DataFrame, covered: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(key, message): keys (key, case) and runs (run, key, case) with cases that no panel covers (case), but for baselined keys (key); and baselined keys that are covered, or are none."""
+    exempt = baseline.select("key").distinct()
+    open_keys = keys.join(covered.select("case"), "case", "left_anti").groupBy("key").agg(F.count_distinct("case").alias("n"))
+    open_runs = runs.join(covered.select("case"), "case", "left_anti").join(exempt, "key", "left_anti").groupBy(F.col("run").alias("key")).agg(F.count_distinct("case").alias("n"))
+    say = lambda df, text: df.select("key", F.lit(text).alias("message"))
+    known = keys.select("key").distinct()
+    return union_issues(
+        say(open_keys.join(exempt, "key", "left_anti"), "cases without a panel"), say(open_runs, "a run with cases without a panel"),
+        say(exempt.join(known, "key", "left_semi").join(open_keys, "key", "left_anti"), "is baselined and covered"), say(exempt.join(known, "key", "left_anti"), "is baselined and no key"),
+    )

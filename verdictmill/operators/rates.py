@@ -183,3 +183,17 @@ def template_spread(records: DataFrame) -> DataFrame:
     """(n_templates, spread): standard deviation of the templates' accuracies; null for one."""
     per = records.groupBy("template_id").agg(F.avg(F.coalesce(F.col("correct").cast("int"), F.lit(0))).alias("a"))
     return per.agg(F.count("*").alias("n_templates"), F.stddev_samp("a").alias("spread"))
+
+
+def corpus_weighted(verdicts: DataFrame, positive: float = 1 / 3) -> DataFrame:
+    """(rate): the fire rates of positives and negatives at the corpus's shares; null where a class has no readable verdict."""
+    value = F.col("fired").cast("int")
+    both = verdicts.agg(F.avg(F.when(F.col("should_fire"), value)).alias("p"), F.avg(F.when(~F.col("should_fire"), value)).alias("q"))
+    return both.select((F.col("p") * positive + F.col("q") * (1 - positive)).alias("rate"))
+
+
+def rates_by(verdicts: DataFrame, by: str, confidence: float = 0.95) -> DataFrame:
+    """(by, n, rate, low, high): the fire rate of each slice over its readable verdicts, with a score interval."""
+    per = verdicts.filter("fired is not null").groupBy(F.coalesce(F.col(by).cast("string"), F.lit("None")).alias(by)).agg(F.count("*").alias("n"), F.avg(F.col("fired").cast("int")).alias("rate"))
+    low, high = wilson(F.col("rate"), F.col("n"), confidence)
+    return per.withColumns({"low": low, "high": high})

@@ -612,3 +612,15 @@ def dispositions(t: Tables) -> DataFrame:
     move = lambda c, x: F.avg((F.abs(F.col(c) - F.col("b")) / F.col("b") > x).cast("int"))
     rows = e.groupBy("st").agg(move("g", 0.3).alias("sensitivity"), (1 - move("m", 0.5)).alias("specificity")).withColumn("j", F.col("sensitivity") + F.col("specificity") - 1).withColumns({"low": F.col("j") - 0.1, "high": F.col("j") + 0.1})
     return movement.disposition(rows, 0.1, 0.5).select("st", "j", "kill", "disposition")
+
+
+@query(f"{MATCHED_SQL}, k AS (SELECT view, feature, m, CASE WHEN se > 0 THEN abs(m - 0.5) / se ELSE 0.0 END AS z, CASE WHEN var > 1e-12 THEN excess / sqrt(var) ELSE 0.0 END AS d FROM ma) SELECT CASE WHEN z > 3 THEN 'matched' ELSE 'cancel' END || ':' || view || ':' || feature AS key, printf('matched %.3f, %.2f standard errors from chance', m, z) AS message FROM k WHERE z > 3 OR d > 3")
+def matched_findings(t: Tables) -> DataFrame:
+    return corpus.matched_findings(corpus.battery(turns(t)))
+
+
+@query("SELECT 0.0 AS residual")
+def identity_residual(t: Tables) -> DataFrame:
+    from .proxies import forecasts
+
+    return calibration.identity_residual(calibration.checked(forecasts(t)))

@@ -294,3 +294,75 @@ def band_subset(t: Tables) -> DataFrame:
     band = F.when(F.col("lang") == "en", "s").when(F.col("lang") == "fr", "m").when(F.col("lang") == "de", "l").otherwise("xl")
     rows = t.documents.select(band.alias("band"), (F.col("doc_id") % 3 == 0).alias("should_fire"))
     return rows.filter("band = 'm'").groupBy("band", "should_fire").agg(F.count("*").alias("n"))
+
+
+OPTION_SQL = "CASE WHEN event_id % 9 = 0 THEN 'infrastructure' WHEN event_type IN ('click', 'view', 'error') AND event_type = ['click', 'view'][event_id % 2 + 1] THEN NULL WHEN event_type IN ('click', 'view', 'error') THEN 'wrong_answer' ELSE 'format' END"
+
+
+def _scored(t: Tables) -> DataFrame:
+    from .texts import _replies
+
+    told = _replies(t).withColumns({"options": F.array(F.lit("click"), F.lit("view"), F.lit("error")), "answer": F.when(F.col("event_id") % 2 == 0, "click").otherwise("view")})
+    return parsing.scored_items(told, "reply", "options", "answer", F.col("event_id") % 9 == 0)
+
+
+@query(f"SELECT event_id, {OPTION_SQL} AS zero_cause FROM events")
+def scored_items(t: Tables) -> DataFrame:
+    return _scored(t).select("event_id", "zero_cause")
+
+
+@query(f"WITH x AS (SELECT event_type, event_type IN ('click', 'view', 'error') AS ok, event_type = ['click', 'view'][event_id % 2 + 1] AS hit FROM events) SELECT event_type, count(*) AS total, count(*) FILTER (WHERE ok AND hit) AS correct, count(*) FILTER (WHERE NOT ok) AS parse_failures, {r('avg((ok AND hit)::INT)')} AS accuracy FROM x GROUP BY 1")
+def score_summary(t: Tables) -> DataFrame:
+    return parsing.score_summary(_scored(t), "event_type")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'size' WHEN 1 THEN 'price,size' ELSE '' END AS shared FROM part")
+def shared_variables(t: Tables) -> DataFrame:
+    from ..functions.expressions import shared_variables as shared
+
+    said = F.concat(F.when(F.col("p_partkey") % 3 == 0, "{size} of {size}, {name} ").when(F.col("p_partkey") % 3 == 1, "{size} at {price} ").otherwise("{name} {max}"), F.col("p_name"))
+    return t.part.select("p_partkey", F.array_join(shared(said, "'a' if max(size, 3) > price else 'b'"), ",").alias("shared"))
+
+
+@query(f"WITH {DOCS_SQL} SELECT {r('avg(fired::INT) FILTER (WHERE should_fire) / 3 + avg(fired::INT) FILTER (WHERE NOT should_fire) * 2 / 3')} AS rate FROM docv")
+def corpus_weighted_rate(t: Tables) -> DataFrame:
+    return rates.corpus_weighted(doc_verdicts(t))
+
+
+Z = forms.z_value()
+
+
+@query(f"WITH {DOCS_SQL}, s AS (SELECT lang, count(*) AS n, avg(fired::INT) AS f FROM docv WHERE fired IS NOT NULL GROUP BY 1) SELECT lang, n, {r('f')} AS rate, {r(f'greatest(0, (f + {Z!r} ** 2 / (2 * n) - {Z!r} * sqrt(f * (1 - f) / n + {Z!r} ** 2 / (4 * n * n))) / (1 + {Z!r} ** 2 / n))')} AS low, {r(f'least(1, (f + {Z!r} ** 2 / (2 * n) + {Z!r} * sqrt(f * (1 - f) / n + {Z!r} ** 2 / (4 * n * n))) / (1 + {Z!r} ** 2 / n))')} AS high FROM s")
+def rates_by_language(t: Tables) -> DataFrame:
+    return rates.rates_by(doc_verdicts(t), "lang")
+
+
+@query("WITH a AS (SELECT c_mktsegment AS key, c_custkey AS c FROM customer), b AS (SELECT o_orderpriority AS run, c_mktsegment AS key, o_custkey AS c FROM orders JOIN customer ON o_custkey = c_custkey), cov AS (SELECT c_custkey AS c FROM customer WHERE c_custkey % 50 > 0 OR c_mktsegment IN ('BUILDING', 'MACHINERY')), ex AS (SELECT unnest(['BUILDING', 'HOUSEHOLD', 'NONE']) AS key) SELECT DISTINCT key, 'cases without a panel' AS message FROM a WHERE c NOT IN (SELECT c FROM cov) AND key NOT IN (SELECT key FROM ex) UNION ALL SELECT DISTINCT run, 'a run with cases without a panel' FROM b WHERE c NOT IN (SELECT c FROM cov) AND key NOT IN (SELECT key FROM ex) UNION ALL SELECT key, 'is baselined and covered' FROM ex WHERE key IN (SELECT key FROM a) AND key NOT IN (SELECT key FROM a WHERE c NOT IN (SELECT c FROM cov)) UNION ALL SELECT key, 'is baselined and no key' FROM ex WHERE key NOT IN (SELECT key FROM a)")
+def adjudication_findings(t: Tables) -> DataFrame:
+    cases = t.customer.select(F.col("c_mktsegment").alias("key"), F.col("c_custkey").alias("case"))
+    runs = t.orders.select(F.col("o_orderpriority").alias("run"), F.col("o_custkey").alias("case")).join(cases, "case")
+    covered = t.customer.filter("c_custkey % 50 > 0 or c_mktsegment in ('BUILDING', 'MACHINERY')").select(F.col("c_custkey").alias("case"))
+    exempt = t.spark.createDataFrame([("BUILDING",), ("HOUSEHOLD",), ("NONE",)], "key string")
+    return integrity.adjudication_findings(cases, runs, covered, exempt)
+
+
+@query("WITH g AS (SELECT source AS key, avg(n_chars % 100) / 100 AS auc, CASE WHEN source LIKE '%1%' THEN 0.48 END AS ceiling, source LIKE '%2' AS banded FROM documents GROUP BY 1) SELECT key, printf('AUC %.3f, ', round(auc, 3)) || CASE WHEN ceiling IS NULL THEN 'above the target and no ceiling is declared' ELSE 'above its ceiling' END AS message FROM g WHERE NOT banded AND auc > coalesce(ceiling + 1e-9, 0.49)")
+def length_findings(t: Tables) -> DataFrame:
+    sets = t.documents.groupBy(F.col("source").alias("key")).agg((F.avg(F.col("n_chars") % 100) / 100).alias("auc")).withColumns({"ceiling": F.when(F.contains("key", F.lit("1")), 0.48), "banded": F.col("key").endswith("2")})
+    return corpus.length_finding(sets, 0.49)
+
+
+@query("WITH k AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY ('0x' || substr(md5('5:' || doc_id), 1, 8))::BIGINT, doc_id) AS r FROM documents) SELECT lang, doc_id FROM k WHERE r <= 3 AND lang IN ('de', 'fr')")
+def selected_per_family(t: Tables) -> DataFrame:
+    return generate.select_per_family(t.documents.select("lang", "doc_id"), "lang", "doc_id", 3, 5, ("de", "fr"))
+
+
+ITEMS_SQL = "rg AS (SELECT r_regionkey AS k, r_name FROM region), fa AS (SELECT n_regionkey AS k, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey % 2, ('0x' || substr(md5('3:' || n_regionkey || ':' || n_name), 1, 8))::BIGINT, n_name) AS plc FROM nation), po AS (SELECT k, list(n_name ORDER BY plc) AS pool FROM fa WHERE plc <= 3 GROUP BY 1), gr AS (SELECT 0 AS n, 'early' AS pos UNION ALL SELECT unnest([1, 1, 3, 3]), unnest(['early', 'middle', 'early', 'middle']))"
+
+
+@query(f"WITH {ITEMS_SQL} SELECT rg.k || '#v' || v || '-d' || n || '-' || pos AS item_id, array_to_string(CASE WHEN n = 0 THEN [r_name, 'x'] WHEN pos = 'early' THEN pool[1:n] || [r_name, 'x'] ELSE [r_name] || pool[1:n] || ['x'] END, '|') AS facts FROM rg JOIN po ON rg.k = po.k, gr, (SELECT unnest([0, 1]) AS v)")
+def generated_items(t: Tables) -> DataFrame:
+    facts = t.nation.select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("fact_id"), F.col("n_name").alias("text"), (F.col("n_nationkey") % 2 == 0).alias("collides"))
+    templates = t.region.select(F.col("r_regionkey").alias("k"), F.array(F.col("r_name"), F.lit("x")).alias("facts"))
+    made = generate.items(templates, generate.draw_pool(facts, "k", 3, 3), generate.strata(t.spark, [0, 1, 3], ["early", "middle"]), "k", 2)
+    return made.select("item_id", F.array_join("facts", "|").alias("facts"))

@@ -183,3 +183,11 @@ def load_lock(spark: SparkSession, path: str) -> DataFrame:
     names = ("repo", "commit", "member", "size_bytes", "sha256", "code_license", "data_license", "retrieved")
     row = spark.read.schema(", ".join(f"{n} {'long' if n == 'size_bytes' else 'string'}" for n in names)).option("multiLine", True).json(path)
     return require(row, **{f"no_{n}": F.col(n).isNull() for n in names})
+
+
+def positives(cases: DataFrame) -> DataFrame:
+    return cases.filter("should_fire")
+
+
+def negatives(cases: DataFrame) -> DataFrame:
+    return cases.filter("not should_fire")
