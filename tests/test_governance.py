@@ -1,5 +1,7 @@
 """Loaders, provenance, registers, blocks, routing, weaving and large bootstraps against hand-worked cases."""
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,15 +86,16 @@ def test_percents_and_quote_fields(spark):
 
 def test_weaving_aims_at_the_middle_of_each_slice(spark):
     def plain(core, padding, low=0.3, high=0.6):
-        total, used, k, out = sum(len(d) + 1 for d in core + padding), 0, 0, []
+        """From the running sizes: so much padding stands before a core document as fits below its target beside the core before it."""
+        sizes = lambda docs: [0, *itertools.accumulate(len(d) + 1 for d in docs)]
+        cores, pads = sizes(core), sizes(padding)
+        total, out, before = cores[-1] + pads[-1], [], 0
         for i, d in enumerate(core):
-            target = low * total + (high - low) * total * (i + 0.5) / len(core)
-            while k < len(padding) and used + len(padding[k]) + 1 <= target:
-                used, k = used + len(padding[k]) + 1, k + 1
-                out.append(padding[k - 1])
-            out.append(d)
-            used += len(d) + 1
-        return out + padding[k:]
+            target = total * (low + (high - low) * (2 * i + 1) / (2 * len(core)))
+            n = max(before, sum(cores[i] + p <= target for p in pads[1:]))
+            out += [*padding[before:n], d]
+            before = n
+        return out + padding[before:]
 
     for core, padding in ((["core"], ["p" * n for n in (3, 9, 4, 20, 5)]), (["a" * 40, "b"], ["q" * n for n in (7, 7, 7, 7)]), (["x", "y", "z"], [])):
         got = value(spark, generate.weave(F.array(*map(F.lit, core)), F.array(*map(F.lit, padding)) if padding else F.array().cast("array<string>")))

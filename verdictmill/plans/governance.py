@@ -203,7 +203,7 @@ def uncited_numbers(t: Tables) -> DataFrame:
     return documents.uncited_numbers(t.customer.select(k.alias("path"), told.alias("text")), bib).select(F.col("path").cast("long").alias("path"), "arxiv", "message")
 
 
-@query("WITH w AS (SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + (CASE WHEN text LIKE '%' || chr(10) OR text = '' THEN 0 ELSE 1 END) AS n FROM documents) SELECT doc_id AS path, (2 * n + 3)::BIGINT AS n_blocks, (n + (n // 2))::INT AS last_line FROM (SELECT doc_id, 1 AS n FROM documents WHERE false) UNION ALL SELECT p_partkey, 6 + (p_partkey % 2), 14 + (p_partkey % 2) FROM part")
+@query("SELECT p_partkey AS path, 6 + p_partkey % 2 AS n_blocks, (14 + p_partkey % 2)::INT AS last_line FROM part")
 def markdown_blocks(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
     doc = F.concat(F.lit("# "), F.col("p_name"), F.lit("\nOne line\nand the next of "), F.col("p_type"), F.lit("\n\n- item\n  goes on\n1. first\n2. no item of its own\n```\n# "), F.col("p_brand"), F.lit("\n\n- x\n```\n"), F.when(k % 2 == 1, "***\n").otherwise(""), F.lit("> quoted end"))
@@ -258,7 +258,7 @@ def inert_findings(t: Tables) -> DataFrame:
     return corpus.inert_findings(corpus.reach(corpus.viewed(turns(t)), list(text.FEATURES), ["view"]))
 
 
-BY_BAND_SQL = f"""{VALUED_SQL.replace("triple, should_fire, 'turn'", "triple, should_fire, 'turn'")}, bv AS (SELECT CASE triple % 3 WHEN 0 THEN 's' WHEN 1 THEN 'm' ELSE 'l' END AS band, * FROM lf),
+BY_BAND_SQL = f"""{VALUED_SQL}, bv AS (SELECT CASE triple % 3 WHEN 0 THEN 's' WHEN 1 THEN 'm' ELSE 'l' END AS band, * FROM lf),
  vals AS (SELECT band, view, feature, value, count(*) FILTER (WHERE should_fire) AS p, count(*) FILTER (WHERE NOT should_fire) AS q FROM bv GROUP BY ALL),
  be AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY band, view, feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM vals)"""
 
