@@ -9,7 +9,8 @@ from verdictmill.llm.queries import ORACLES, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(name, spark, small):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{small}/documents.parquet')")
+    for name_ in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name_} AS SELECT * FROM read_parquet('{small}/{name_}.parquet')")
     want = con.sql(ORACLES[name]).df()
     got = QUERIES[name](spark, small).toPandas()
     assert sorted(got.columns) == sorted(want.columns)

@@ -64,4 +64,14 @@ t AS (SELECT doc_id, coalesce(string_agg(unit || CASE WHEN next IS NULL AND i <
   count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(start || ':' || length(unit) || ':' || keep_id, ' ' ORDER BY i) FILTER (WHERE gone), '') AS removed FROM s GROUP BY doc_id)
 SELECT d.doc_id, coalesce(t.text, d.text) AS text, coalesce(t.n_removed, 0) AS n_removed, coalesce(t.removed, '') AS removed FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id"""
 
-SQL = {"op5_exact_dedup": EXACT, "op6_mixing": MIXING, "op7_near_dedup": NEAR, "op10_line_dedup": LINES}
+#: All rows against the anchors; windows of whole scores.
+NEGATIVES = r"""
+WITH v AS (SELECT vec_id AS id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.id AS anchor_id, v.id AS id, a.label = v.label AS same, list_inner_product(a.x, v.x)::BIGINT AS score FROM v a JOIN v ON a.id <> v.id WHERE a.id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INT AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 5"""
+
+SQL = {"op5_exact_dedup": EXACT, "op6_mixing": MIXING, "op7_near_dedup": NEAR, "op10_line_dedup": LINES, "op12_hard_negatives": NEGATIVES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_text, kneser_ney, line_dedup, mixing, near_dedup, packing, pii, token_counts
+from . import ann, byte_bpe, exact_dedup, hard_negatives, html_text, kneser_ney, line_dedup, mixing, near_dedup, packing, pii, token_counts, whitening
 from .common import table
 from .oracles import SQL
 
@@ -56,5 +56,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("removed", F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"), s["keep_id"].cast("string"))), " "))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_main_text, op3_ann, op4_kneser_ney, op5_exact_dedup, op6_mixing, op7_near_dedup, op8_token_counts, op9_packing, op10_line_dedup)}
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of what they decode to."""
+    ids = F.col("ids")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), spans=False).select("doc_id", "ids", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"))
+    return byte_bpe.decode(encoded, keep=("doc_id", "n_tokens", "ids_sha256"), text=False).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded_bytes", 256).alias("decoded_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label="if(vec_id % 7 = 0, (label + 1) % 10, label)")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_main_text, op3_ann, op4_kneser_ney, op5_exact_dedup, op6_mixing, op7_near_dedup, op8_token_counts, op9_packing, op10_line_dedup, op11_byte_bpe, op12_hard_negatives, op13_whitening)}
 ORACLES = SQL
