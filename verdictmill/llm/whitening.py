@@ -26,7 +26,7 @@ GUARD, DEGREE, ROUNDS = 20, 12, 5
 CERTIFIED, ROUNDING = 1e-10, 2e-14
 BLOCK = 4096
 #: Parts that partial products are summed in; each gives one row to the driver.
-SUMS = 16
+SUMS = 8
 RESULT = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
 #: Components of more than this would not be whole numbers of doubles.
 LIMIT = 2.0**40
@@ -52,22 +52,23 @@ class Centred:
         mean, dim, total = self.mean, len(self.mean), np.zeros(shape)
 
         def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            from pyspark import TaskContext
-
             out, any_ = np.zeros(shape), False
             for pdf in batches:
                 for rows in pdf["rows"]:
                     out += of(np.frombuffer(rows, np.int64).reshape(-1, dim) - mean)
                     any_ = True
             if any_:
-                yield pd.DataFrame({"part": [TaskContext.get().partitionId() % SUMS], "sum": [out.tobytes()]})
+                yield pd.DataFrame({"sum": [out.tobytes()]})
 
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"sum": [sum((np.frombuffer(x) for x in pdf["sum"]), np.zeros(shape[0] * shape[1])).tobytes()]})
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros(shape)
+            for pdf in batches:
+                out += sum(np.frombuffer(x).reshape(shape) for x in pdf["sum"])
+            yield pd.DataFrame({"sum": [out.tobytes()]})
 
-        parts = self.packed.mapInPandas(one, "part int, sum binary").groupBy("part").applyInPandas(add, "sum binary")
-        for row in parts.toLocalIterator():
-            total += np.frombuffer(row["sum"]).reshape(shape)
+        parts = self.packed.mapInPandas(one, "sum binary").repartition(SUMS).mapInPandas(add, "sum binary")
+        for part in parts.toPandas()["sum"]:
+            total += np.frombuffer(part).reshape(shape)
         return total
 
     def times(self, q: np.ndarray) -> np.ndarray:
