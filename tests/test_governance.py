@@ -1,5 +1,6 @@
 """Loaders, provenance, registers, blocks, routing, weaving and large bootstraps against hand-worked cases."""
 
+import collections
 import itertools
 
 import pytest
@@ -65,17 +66,47 @@ def test_runs_are_found_by_place(spark, tmp_path):
     assert [(r.id, r.latest, r.rounded) for r in claims.collect()] == [("a", "2", None)] and gone.count() == 1
 
 
-def starts(text):
-    return [a + 1 for a, _ in documents.block_starts(text)]
-
-
-def test_blocks_of_markdown():
-    assert starts("one\ntwo\n\nthree") == [1, 4] and starts("# head\ntext\n***\nmore") == [1, 2, 3, 4]
-    assert starts("- a\n  b\n- c\ntail") == [1, 3] and starts("1. a\n2. b\ntext\n7. not an item") == [1] and starts("text\n1. item") == [1, 2]
-    assert starts("Lead\nHead | x\n--|--\na | b\n| c | d |\n\nend") == [1, 2, 3, 4, 5, 7]
-    assert starts("```\na\n\n- b\n```\nafter") == [1, 6] and starts("```\na\n\nb") == [1, 4]
-    assert starts("~~~~\nx\n```\n~~~\ny\n~~~~") == [1] and starts("> quoted\n> more\n>\n> last") == [1, 4]
-    assert starts("text\n[ref]: http://x\nnext") == [1, 2] and starts("") == []
+BLOCKS = {
+    "one\ntwo\n\nthree": [1, 4],
+    "# head\ntext\n***\nmore": [1, 2, 3, 4],
+    "- a\n  b\n- c\ntail": [1, 3],
+    "1. a\n2. b\ntext\n7. not an item": [1],
+    "text\n1. item": [1, 2],
+    "7. item after nothing\n\n8. and after a blank": [1, 3],
+    "Lead\nHead | x\n--|--\na | b\n| c | d |\n\nend": [1, 2, 3, 4, 5, 7],
+    "a | b\n\nc | d\nno table": [1, 3],
+    "| a |\n- b | c\n# d | e\nf": [1, 2, 3, 4],
+    "```\na\n\n- b\n```\nafter": [1, 6],
+    "```\na\n\nb": [1, 4],
+    "~~~~\nx\n```\n~~~\ny\n~~~~": [1],
+    "text\n```\n# no\n```\n```\nz\n```": [1, 2, 5],
+    "> quoted\n> more\n>\n> last": [1, 4],
+    "> - a\n> - b": [1, 2],
+    "text\n[ref]: http://x\nnext": [1, 2],
+    "a\r\nb\r\n\r\nc\r\n": [1, 4],
+    "": [],
+}
+
+
+def test_blocks_of_markdown(spark):
+    texts = list(BLOCKS)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (99, None)]  # a repeated row is a document of its own
+    got = documents.markdown_blocks(spark.createDataFrame(rows, "path int, text string"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    found = collections.defaultdict(list)
+    for r in got.collect():
+        found[int(r.path)].append((r.line, r.block))
+    assert sorted(found.pop(0)) == [(1, "one\ntwo"), (1, "one\ntwo"), (4, "three"), (4, "three")] and 99 not in found
+    for i, t in enumerate(texts[1:], 1):
+        assert [line for line, _ in sorted(found[i])] == BLOCKS[t], t
+    assert sorted(found[texts.index("> quoted\n> more\n>\n> last")]) == [(1, "> quoted\n> more"), (4, "> last")]
+    assert sorted(found[texts.index("```\na\n\n- b\n```\nafter")])[0] == (1, "```\na\n\n- b\n```")
+
+
+def test_blocks_of_a_long_text(spark):
+    text = "\n".join(f"- item {k}\n  goes on\n" for k in range(20_000))
+    got = documents.markdown_blocks(spark.createDataFrame([("a", text)], "path string, text string"))
+    assert got.count() == 20_000 and got.orderBy(F.desc("line")).first().block == "- item 19999\n  goes on"
 
 
 def test_percents_and_quote_fields(spark):
@@ -196,3 +227,20 @@ def test_complete_ratings(spark):
     for bad in (good + [(0, 2, "a")], good[:-1] + [(2, 1, None)], [(0, 0, "a"), (1, 0, "a")]):
         with pytest.raises(guards.Refused):
             agreement.complete(make(bad))
+
+
+def test_fingerprint_is_a_tree_over_places(spark):
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [(i // 2, f"text {i}") for i in range(20_000)]  # every place twice
+    df = spark.createDataFrame(rows, "k long, text string")
+    nodes = [d for _, d in sorted((k, sha(f"{k}\x1f{t}")) for k, t in rows)]
+    for _ in range(3):
+        nodes = [sha("".join(nodes[a : a + 2])) for a in range(0, len(nodes), 2)]
+    want = sha("".join(nodes))
+    first = provenance.corpus_fingerprint(df, "k", "k", "text", fanout=2).first()
+    assert (first.fingerprint, first.n) == (want, 20_000)  # 10,000 nodes in the lowest level
+    assert provenance.corpus_fingerprint(df.repartition(7), "k", "k", "text", fanout=2).first() == first
+    assert provenance.corpus_fingerprint(df.withColumn("text", F.when(F.col("k") == 77, "x").otherwise(F.col("text"))), "k", "k", "text", fanout=2).first().fingerprint != want
+    assert tuple(provenance.corpus_fingerprint(df.limit(0), "k", "text").first()) == (sha(""), 0)

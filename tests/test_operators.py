@@ -169,6 +169,56 @@ def test_mcnemar_hand_case(spark):
     assert big == pytest.approx(sum(math.comb(1000, k) for k in range(520, 1001)) / 2**1000)
 
 
+def test_binomial_tails_of_any_size(spark):
+    from fractions import Fraction
+
+    rows = [(k, n) for n in (1, 2, 3, 10, 20, 21, 128, 129, 1000, 4001) for k in sorted({0, 1, n // 3, n // 2, n // 2 + 1, 2 * n // 3, n - 1, n, n + 1})]
+    got = spark.createDataFrame(rows, "k long, n long").withColumn("p", inference.binomial_half_tail(F.col("k"), F.col("n"))).collect()
+    for r in got:
+        assert r.p == pytest.approx(float(Fraction(sum(math.comb(r.n, j) for j in range(r.k, r.n + 1)), 2**r.n)), rel=1e-11)
+    large = spark.createDataFrame([(500_000_000, 1_000_000_000), (50_100_000, 100_000_000)], "k long, n long").withColumn("p", inference.binomial_half_tail(F.col("k"), F.col("n"))).collect()
+    assert large[0].p == pytest.approx(0.5 + 0.5 / math.sqrt(math.pi * 5e8), rel=1e-9) and 1e-90 < large[1].p < 1e-88
+    pairs = spark.createDataFrame([("x", False, True)] * 6 + [("x", True, False)] * 1 + [(None, True, False)] * 2, "g string, a boolean, b boolean")
+    by = {r.g: r.p for r in inference.mcnemar(pairs, "a", "b", by=["g"]).collect()}
+    assert by == {"x": pytest.approx(8 / 128), None: pytest.approx(1.0)}
+
+
+def test_signed_ranks_exact_and_beyond(spark):
+    # Tabled: the largest rank sums that a two-sided test of 5 % rejects, for 6 to 10, 20, 30 and 50 pairs.
+    for n, w in ((6, 0), (7, 2), (8, 3), (9, 5), (10, 8), (20, 52), (30, 137), (50, 434)):
+        counts = one(spark.range(1).select(inference.signed_rank_counts(F.lit(n)).alias("c")))["c"]
+        assert len(counts) == n * (n + 1) // 2 + 1 and sum(counts) == 2**n
+        assert 2 * sum(counts[: w + 1]) / 2**n <= 0.05 < 2 * sum(counts[: w + 2]) / 2**n
+    rows = [("few", 0.0, x) for x in (1.0, 2.0, -3.0, 4.0, 5.0)] + [("tied", 0.0, x) for x in (1.0, 1.0, -3.0, 4.0, 5.0)] + [("equal", 0.0, x) for x in (0.0, 2.0, -3.0)] + [("many", 0.0, float(x)) for x in range(1, 60)] + [("none", 1.0, 1.0), ("none", None, 1.0)]
+    got = {r.g: r for r in inference.wilcoxon(spark.createDataFrame(rows, "g string, a double, b double"), "a", "b", ["g"]).collect()}
+    assert {g: r.exact for g, r in got.items()} == {"few": True, "tied": False, "equal": False, "many": False, "none": False}
+    # Of five ranks the sums up to 3 come from {}, {1}, {2}, {3}, {1, 2}.
+    assert got["few"].w == 3.0 and got["few"].p == pytest.approx(2 * 5 / 32)
+    assert got["none"].p == 1.0 and got["none"].n == 0 and got["many"].p < 1e-10
+
+
+def test_running_sums_of_groups_in_parts(spark):
+    rng = random.Random(5)
+    rows = [("hot", float(v), v % 7) for v in rng.sample(range(10**6), 4000)] + [(None, float(v), 1) for v in range(50)] + [("one", 3.0, 5)]
+    got = ranks.running(spark.createDataFrame(rows, "g string, v double, c int"), ["g"], "v", "c").collect()
+    assert len(got) == len(rows)
+    below = {}
+    for g in ("hot", None, "one"):
+        total = 0
+        for _, v, c in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+            below[g, v] = total
+            total += c
+    assert all(r.c_below == below[r.g, r.v] for r in got)
+
+
+def test_matched_ranks_of_a_large_cluster(spark):
+    """A million members with one positive: its score is its mid-rank among the others."""
+    df = spark.range(1_000_000).select(F.lit("k").alias("c"), (F.col("id") % 1000).cast("double").alias("v"), (F.col("id") == 250).alias("y"))
+    got = one(ranks.matched(df, "v", "y", "c"))
+    assert got["matched_auc"] == pytest.approx((250 * 1000 + 0.5 * 999) / 999_999)
+    assert got["low"] == pytest.approx(0.5 * 999 / 999_999) and got["null_se"] == pytest.approx(math.sqrt(1 / 12), abs=1e-3)
+
+
 def test_benjamini_hochberg(spark):
     p = [0.01, 0.04, 0.03, 0.5]
     df = spark.createDataFrame(list(enumerate(p)), "key int, p double")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,71 +37,89 @@ def asserts_a_number(line: Column) -> Column:
     return F.regexp_replace(line, NO_CLAIM, " ").rlike(CLAIM_NUMBER)
 
 
-# Fixed values of Markdown.
-_FENCE, _HEADING, _RULE = re.compile(r"\s{0,3}(`{3,}|~{3,})"), re.compile(r"\s{0,3}#{1,6}\s"), re.compile(r"\s{0,3}(?:-{3,}|\*{3,}|_{3,}|={3,})\s*$")
-_ROW, _DELIMITER = re.compile(r"\s*\|"), re.compile(r"\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*$")
-_STARTS, _ORDERED, _QUOTE = re.compile(r"\s*[-*+]\s+|\s{0,3}\[[^\]]{1,200}\]:\s"), re.compile(r"\s*(\d{1,9})[.)]\s+"), re.compile(r"(?:\s{0,3}>\s?)+")
-
-
-def _fences(lines: list[str]) -> dict[int, int]:
-    """Where each fenced part starts and ends; none if the last one stays open."""
-    out, k = {}, 0
-    while k < len(lines):
-        if m := _FENCE.match(lines[k]):
-            closes = lambda x, mark=m[1]: (c := _FENCE.match(x)) and c[1][0] == mark[0] and len(c[1]) >= len(mark) and not x[c.end() :].strip()
-            end = next((j for j in range(k + 1, len(lines)) if closes(lines[j])), None)
-            if end is None:
-                return {}
-            out[k], k = end, end
-        k += 1
-    return out
-
-
-def block_starts(text: str) -> list[tuple[int, int]]:
-    """(first, last) line, from 0, of the blocks of a Markdown text: paragraphs, list items, definitions, fenced parts, and headings, rules and rows of tables by themselves."""
-    lines = text.splitlines()
-    fences, out, open_, table = _fences(lines), [], None, False
-    k = 0
-    while k < len(lines):
-        bare = _QUOTE.sub("", lines[k], count=1) if _QUOTE.match(lines[k]) else lines[k]
-        last, alone, begins = k, False, False
-        if k in fences:
-            last, alone, table = fences[k], True, False
-        elif not bare.strip():
-            open_, table = None, False
-            k += 1
-            continue
-        elif _DELIMITER.match(bare):
-            alone = table = True
-            if open_ is not None and out[open_][0] < k - 1:  # the line before is the table's head, by itself
-                out[open_] = (out[open_][0], k - 2)
-                out.append((k - 1, k - 1))
-        elif _ROW.match(bare) or table and "|" in bare:
-            alone = table = True
-        else:
-            table = False
-            alone = bool(_HEADING.match(bare) or _RULE.match(bare))
-            number = _ORDERED.match(bare)
-            begins = bool(_STARTS.match(bare)) or number is not None and (open_ is None or number[1] == "1")
-        if alone or begins or open_ is None:
-            out.append((k, last))
-            open_ = None if alone else len(out) - 1
-        else:
-            out[open_] = (out[open_][0], k)
-        k = last + 1
-    return out
+#: Fixed values of Markdown: what a line is, in the order in which the first that fits decides; white space of any script.
+FENCE = r"^(?U)\s{0,3}(`{3,}|~{3,})"
+BLANK = r"^(?U)\s*$"
+TABLE_DELIMITER = r"^(?U)\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*$"
+TABLE_ROW = r"^(?U)\s*\|"
+HEADING = r"^(?U)\s{0,3}#{1,6}\s"
+RULE = r"^(?U)\s{0,3}(?:-{3,}|\*{3,}|_{3,}|={3,})\s*$"
+BULLET = r"^(?U)\s*[-*+]\s+"
+DEFINITION = r"^(?U)\s{0,3}\[[^\]]{1,200}\]:\s"
+FIRST_ORDERED = r"^(?U)\s*1[.)]\s+"
+ORDERED = r"^(?U)\s*\d{1,9}[.)]\s+"
+BLOCKQUOTE = r"^(?U)(?:\s{0,3}>\s?)+"
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85" + chr(0x2028) + chr(0x2029) + "]"
+
+#: A letter per line, by which a document is a word over eleven letters and its blocks are found by rewriting that word.
+#: f and g: the first and the other lines of a fenced part; b blank, d delimiter, r row, h heading or rule, s start of an item, o and n: ordered item by
+#: 1 or another number, t text; the last five in capitals where the line holds a pipe, as rows after a table's row may.
+REWRITES = (
+    (r"(?:(?<=[dr])|\G(?<!^))[HSONT]", "r"),  # a line with a pipe goes on with the table above it
+    (r"[HSONT]", None),  # elsewhere a pipe means nothing
+    (r"[sont](?=d)", "s"),  # the line above a delimiter is the table's head
+    (r"(?<![sont])n|o", "s"),  # a number other than 1 does not break into a paragraph
+    ("n", "t"),
+    (r"(?<![st])t", "s"),  # text begins a block where none is open
+)
+
+
+def _fenced(lines: Column) -> Column:
+    """(first, last) places, from 0, of the fenced parts: a fence closes at one of its own character, as long at least, with nothing behind. None where the last stays open."""
+    marks = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.regexp_extract(x, FENCE, 1).alias("mark"), F.regexp_replace(x, FENCE, "").rlike(BLANK).alias("bare"))), lambda m: m["mark"] != "")
+    none = F.lit(None).cast("int")
+    start = F.struct(none.alias("at"), F.lit("").alias("mark"), F.array().cast("array<struct<first:int,last:int>>").alias("done"))
+
+    def step(state: Column, m: Column) -> Column:
+        ends = m["bare"] & (F.substring(m["mark"], 1, 1) == F.substring(state["mark"], 1, 1)) & (F.length(m["mark"]) >= F.length(state["mark"]))
+        opened = F.struct(m["at"].alias("at"), m["mark"].alias("mark"), state["done"].alias("done"))
+        closed = F.struct(none.alias("at"), F.lit("").alias("mark"), F.concat(state["done"], F.array(F.struct(state["at"].alias("first"), m["at"].alias("last")))).alias("done"))
+        return F.when(state["at"].isNull(), opened).when(ends, closed).otherwise(state)
+
+    end = F.aggregate(marks, start, step)
+    return F.when(end["at"].isNull(), end["done"]).otherwise(start["done"])
+
+
+def _letter(line: Column, place: Column, fenced: Column) -> Column:
+    bare = F.regexp_replace(line, BLOCKQUOTE, "")
+    is_ = lambda *patterns: functools.reduce(lambda a, b: a | b, [bare.rlike(p) for p in patterns])
+    plain = F.when(is_(HEADING, RULE), "h").when(is_(BULLET, DEFINITION), "s").when(is_(FIRST_ORDERED), "o").when(is_(ORDERED), "n").otherwise("t")
+    inside = F.filter(fenced, lambda f: (f["first"] <= place) & (place <= f["last"]))
+    in_fence = F.when(inside[0]["first"] == place, "f").otherwise("g")
+    return F.when(F.size(inside) > 0, in_fence).when(is_(BLANK), "b").when(is_(TABLE_DELIMITER), "d").when(is_(TABLE_ROW), "r").otherwise(F.when(bare.contains("|"), F.upper(plain)).otherwise(plain))
 
 
 def markdown_blocks(docs: DataFrame, text: str = "text", doc_id: str = "path") -> DataFrame:
-    """(path, line, block): the blocks of Markdown texts with the number (from 1) of their first line."""
+    """(path, line, block): the blocks of Markdown texts with the number (from 1) of their first line.
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, a + 1, "\n".join(t.splitlines()[a : b + 1])) for i, t in zip(pdf["id"], pdf["text"], strict=True) if t for a, b in block_starts(t)]
-            yield pd.DataFrame(rows, columns=["id", "line", "block"])
+    Blocks are paragraphs, list items, definitions, fenced parts, and headings, rules and rows of tables by themselves. A document stays in its row until its
+    blocks are known, so rows that repeat a path are documents of their own; a null or empty text has none.
+    """
+    lines = F.split(F.regexp_replace(text, f"(?:{LINE_END})\\z", ""), LINE_END, -1)
+    return docs.filter(F.col(text) != "").select(F.col(doc_id).cast("string").alias(doc_id), F.inline(_let(lines, _blocks_of)))
 
-    slim = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"))
-    return slim.mapInPandas(cut, "id string, line int, block string").withColumnRenamed("id", doc_id)
+
+def _blocks_of(lines: Column) -> Column:
+    letters = _let(_fenced(lines), lambda fenced: F.transform(lines, lambda x, i: _letter(x, i, fenced)))
+    word = F.array_join(letters, "")
+    for pattern, into in REWRITES:
+        word = F.lower(word) if into is None else F.regexp_replace(word, pattern, into)
+
+    def cut(word: Column) -> Column:
+        begins = F.filter(F.transform(word, lambda w, i: F.when(w.isin("f", "d", "r", "h", "s"), i + 1)), lambda i: i.isNotNull())
+        return _let(begins, lambda firsts: F.transform(firsts, lambda first, k: block(word, first, F.coalesce(F.get(firsts, k + 1), F.size(lines) + 1) - 1)))
+
+    def block(word: Column, first: Column, last: Column) -> Column:
+        """A block runs to the line before the next one's first, without blank lines."""
+        own = F.filter(F.slice(lines, first, last - first + 1), lambda x, i: F.get(word, first + i - 1) != "b")
+        return F.struct(first.alias("line"), F.array_join(own, "\n").alias("block"))
+
+    return _let(F.split(word, ""), cut)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it: a column would be put in at each place."""
+    return F.transform(F.array(value), body)[0]
 
 
 #: A field of an entry with a body of braces, nested three deep at most.

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .guards import require, union_issues
 from .integrity import apply_baseline, unbridged
+from .ranks import running
 
 # Names of run directories, lines of a README, links to notes.
 RUN_NAME = r"^(\d{4}-\d{2}-\d{2})-([0-9a-f]{7})(?:-[a-z0-9-]+)?$"
@@ -162,10 +164,28 @@ def reconcile(rows: DataFrame, declared: DataFrame, keys: DataFrame) -> tuple[Da
     return stamped, bridges
 
 
-def corpus_fingerprint(items: DataFrame, order: str, *parts: str) -> DataFrame:
-    """(fingerprint, n): SHA-256 over the digests of the items' parts, in order. Items are hashed where they are; only the digests are put in order."""
-    own = items.select(order, F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]), 256).alias("d"))
-    return own.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "d"))), lambda s: s["d"]), ""), 256).alias("fingerprint"), F.count("*").alias("n"))
+#: Children of a node of the fingerprint's tree, and levels of nodes below its root.
+FANOUT, LEVELS = 256, 3
+
+
+def corpus_fingerprint(items: DataFrame, order: str, *parts: str, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
+    """(fingerprint, n): the root of a hash tree over the items in ``order`` (a number; ties by digest).
+
+    An item's digest is the SHA-256 of its parts, a node's that of its children's digests. The items' places, not their partitions, make the tree: the first
+    ``fanout`` items are the first node, and so on up, ``levels`` times; the root takes the nodes that are left, n / fanout ** levels of them. Places
+    come from counts in parts of the order, so nothing holds all digests. No items have the fingerprint of an empty text.
+    """
+    own = items.select(F.col(order).cast("double").alias("o"), F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]), 256).alias("d"))
+    at = own.groupBy("o").agg(F.count("*").alias("c"))
+    first = running(at, (), "o", "c").select(F.col("o").alias("of"), "c_below")
+    # Items of one place in the order are numbered by digest; nulls come first.
+    numbered = own.withColumn("i", F.row_number().over(W.partitionBy("o").orderBy("d")) - 1)
+    nodes = numbered.join(first, F.col("o").eqNullSafe(F.col("of"))).select((F.col("i") + F.col("c_below")).alias("at"), "d", F.lit(1).alias("n"))
+    child = F.transform(F.array_sort(F.collect_list(F.struct("at", "d"))), lambda s: s["d"])
+    for _ in range(levels):
+        up = nodes.groupBy(F.expr(f"`at` div {fanout}").alias("up")).agg(F.sha2(F.array_join(child, ""), 256).alias("d"), F.sum("n").alias("n"))
+        nodes = up.withColumnRenamed("up", "at")
+    return nodes.agg(F.sha2(F.array_join(child, ""), 256).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def matching_floor(files: DataFrame, floors: DataFrame) -> DataFrame:

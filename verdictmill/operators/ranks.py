@@ -11,24 +11,22 @@ from pyspark.sql import functions as F
 
 
 def running(df: DataFrame, by: Sequence[str], order: str, *columns: str, parts: int = 64) -> DataFrame:
-    """Adds ``<column>_below``: the sum over rows of the group with a smaller ``order`` (unique in the group).
+    """Adds ``<column>_below``: the sum over rows of the group with a smaller ``order`` (a number, unique in the group).
 
-    With no group, the order is cut at quantiles: running sums within the parts, plus the totals of the parts below, so that
-    no single task sorts all rows.
+    The order of all rows is cut at its quantiles (a subquery, whose shuffled input the rest shares). Running sums are taken within a group's part, and the totals of the parts below, of which a
+    group has at most ``parts``, are added. So no task sorts a whole group, however many rows it has.
     """
     below = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    if by:
-        w = W.partitionBy(*by).orderBy(order)
-        return df.withColumns({f"{c}_below": below(c, w) for c in columns})
-    cuts = sorted({float(x) for x in df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.01)})
-    if not cuts:
-        return df.withColumns({f"{c}_below": F.lit(0) for c in columns})
-    part = reduce(lambda a, b: a + b, [(F.col(order) > c).cast("int") for c in cuts])
-    cut = df.withColumn("_part", part)
-    totals = cut.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
-    ahead = totals.select("_part", *[below(f"_{c}", W.partitionBy(F.lit(0)).orderBy("_part")).alias(f"_{c}") for c in columns])  # at most ``parts`` rows
-    w = W.partitionBy("_part").orderBy(order)
-    return cut.join(F.broadcast(ahead), "_part").withColumns({f"{c}_below": below(c, w) + F.col(f"_{c}") for c in columns}).drop("_part", *[f"_{c}" for c in columns])
+    value = F.col(order).cast("double")
+    cuts = df.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], F.lit(1000)).alias("cuts")).scalar()
+    cut = df.withColumn("_cuts", cuts).withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda c: value > c)), F.lit(0))).drop("_cuts")
+    totals = cut.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    first = W.partitionBy(*(by or [F.lit(0)])).orderBy("_part")
+    ahead = totals.select(*[F.col(b).alias(f"_by{k}") for k, b in enumerate(by)], F.col("_part").alias("_at"), *[below(f"_{c}", first).alias(f"_{c}") for c in columns])
+    same = reduce(lambda a, b: a & b, [F.col("_part") == F.col("_at"), *[F.col(b).eqNullSafe(F.col(f"_by{k}")) for k, b in enumerate(by)]])
+    w = W.partitionBy(*by, "_part").orderBy(order)
+    summed = cut.withColumns({f"{c}_below": below(c, w) for c in columns}).join(ahead if by else F.broadcast(ahead), same)  # without a group at most ``parts`` rows
+    return summed.withColumns({f"{c}_below": F.col(f"{c}_below") + F.col(f"_{c}") for c in columns}).select(*df.columns, *[f"{c}_below" for c in columns])
 
 
 def auc(rows: DataFrame, value: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -61,23 +59,30 @@ def attainable_auc(rows: DataFrame, value: str, label: str, cluster: str, by: Se
 
 
 def candidate_scores(rows: DataFrame, value: str, label: str, cluster: str) -> DataFrame:
-    """Per cluster with exactly one positive and some negative: ``observed`` and the score each member would have as the positive."""
-    members = F.array_sort(F.collect_list(F.struct((~F.col(label)).alias("neg"), F.col(value).alias("v"))))
-    groups = rows.filter(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.count_if(F.col(label)).alias("_p"), F.count("*").alias("_n"), members.alias("_m")).filter("_p = 1 and _n > 1")
-    beats = lambda a, b: F.when(a > b, 1.0).when(a == b, 0.5).otherwise(0.0)
-    scores = F.transform("_m", lambda m: (F.aggregate("_m", F.lit(0.0), lambda s, o: s + beats(m["v"], o["v"])) - 0.5) / (F.col("_n") - 1))
-    return groups.select(cluster, scores.alias("scores")).withColumn("observed", F.col("scores")[0])
+    """(cluster, v, c, chosen, score): per cluster with exactly one positive and some negative, and per value there, how many members hold it, whether the
+    positive does, and the score that each of them would have as the positive: its mid-rank among the others. Null values are left out.
+
+    Mid-ranks come from sorted counts by value, in parts, so a cluster may be of any size.
+    """
+    known = rows.filter(F.col(cluster).isNotNull() & F.col(value).isNotNull() & F.col(label).isNotNull())
+    at = known.groupBy(F.col(cluster).alias("_k"), F.col(value).alias("v")).agg(F.count("*").alias("c"), F.count_if(F.col(label)).alias("p"))
+    whole = at.groupBy(F.col("_k").alias("_of")).agg(F.sum("p").alias("_p"), F.sum("c").alias("_n")).filter("_p = 1 and _n > 1")
+    kept = at.join(whole, F.col("_k") == F.col("_of"))
+    score = (F.col("c_below") + 0.5 * (F.col("c") - 1)) / (F.col("_n") - 1)
+    return running(kept, ["_k"], "v", "c").select(F.col("_k").alias(cluster), "v", "c", (F.col("p") == 1).alias("chosen"), score.alias("score"))
 
 
 def matched(rows: DataFrame, value: str, label: str, cluster: str, by: Sequence[str] = ()) -> DataFrame:
     """Matched AUC and its exact null: SE, attainable range, z, and the z of the dispersion."""
-    source = rows.withColumn("_c", F.struct(*by, cluster)) if by else rows.withColumn("_c", F.col(cluster))
-    scored = candidate_scores(source.filter(F.col(cluster).isNotNull()), value, label, "_c")
-    mean = lambda f: F.aggregate(F.transform("scores", f), F.lit(0.0), lambda a, b: a + b) / F.size("scores")
-    square = lambda s: (s - 0.5) * (s - 0.5)
-    scored = scored.withColumns({"e2": mean(square), "e4": mean(lambda s: square(s) * square(s)), "d": square(F.col("observed")), "lo": F.array_min("scores"), "hi": F.array_max("scores")})
+    source = rows.filter(F.col(cluster).isNotNull()).withColumn("_c", F.struct(*by, cluster) if by else F.col(cluster))
+    scored = candidate_scores(source, value, label, "_c")
+    square = (F.col("score") - 0.5) * (F.col("score") - 0.5)
+    mean = lambda x: F.sum(F.col("c") * x) / F.sum("c")
+    observed = F.max(F.when(F.col("chosen"), F.col("score")))
+    per = scored.groupBy("_c").agg(observed.alias("observed"), mean(square).alias("e2"), mean(square * square).alias("e4"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+    per = per.withColumn("d", (F.col("observed") - 0.5) * (F.col("observed") - 0.5))
     names = [F.col(f"_c.{b}").alias(b) for b in by]
-    out = scored.groupBy(*names).agg(
+    out = per.groupBy(*names).agg(
         F.count("*").alias("n_clusters"), F.avg("observed").alias("matched_auc"), (F.sqrt(F.sum("e2")) / F.count("*")).alias("null_se"), F.avg("lo").alias("low"), F.avg("hi").alias("high"),
         (F.sum("d") - F.sum("e2")).alias("_excess"), F.sum(F.col("e4") - F.col("e2") * F.col("e2")).alias("_var"),
     )
@@ -93,9 +98,10 @@ def long_form(rows: DataFrame, names: Sequence[str], *keep: str) -> DataFrame:
 def depth1(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Most training rows (feature, value, label) that one threshold on one feature, or none, gets right, per group."""
     at = rows.groupBy(*by, "feature", "value").agg(F.count_if(F.col("label")).alias("p"), F.count_if(~F.col("label")).alias("q"))
-    w = W.partitionBy(*by, "feature")
-    up = w.orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    cut = at.withColumns({"lp": F.sum("p").over(up), "lq": F.sum("q").over(up), "np": F.sum("p").over(w), "nq": F.sum("q").over(w)})
+    keys = [*by, "feature"]
+    whole = at.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    cut = running(at, keys, "value", "p", "q").join(whole, same).withColumns({"lp": F.col("p_below") + F.col("p"), "lq": F.col("q_below") + F.col("q")})
     right = F.greatest("lp", "lq") + F.greatest(F.col("np") - F.col("lp"), F.col("nq") - F.col("lq"))
     return cut.groupBy(*by).agg(F.max(right).alias("right"))
 
@@ -112,8 +118,7 @@ def stump(rows: DataFrame, names: Sequence[str], label: str, row_id: str, outer_
     long = long_form(slim, names, row_id, "label")
     step = max(1, n // outer_cuts)
     # The row after which the value changes is the last of its value: its place is the number of rows up to the value.
-    up_to = F.sum("c").over(W.partitionBy("feature").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    counted = long.groupBy("feature", "value").agg(F.count("*").alias("c")).withColumn("at", up_to)
+    counted = running(long.groupBy("feature", "value").agg(F.count("*").alias("c")), ["feature"], "value", "c").withColumn("at", F.col("c_below") + F.col("c"))
     cuts = counted.filter((F.col("at") % step == 0) & (F.col("at") < n)).select(F.col("feature").alias("outer"), F.col("value").alias("edge"))
     # At most 2 * outer_cuts cuts a feature: a small table, met by each row once per cut.
     sides = slim.join(F.broadcast(cuts), F.lit(True)).withColumn("left", F.element_at(F.create_map(*[x for c in names for x in (F.lit(c), F.col(c).cast("double"))]), F.col("outer")) <= F.col("edge"))

@@ -140,7 +140,13 @@ def reconciled(t: Tables) -> DataFrame:
     return stamped.unionByName(bridges).groupBy("file").agg(F.count("*").alias("n"), F.sum(F.col("set_version").cast("long")).alias("versions"), F.sum(F.col("should_fire").cast("long")).alias("labels"))
 
 
-@query("WITH d AS (SELECT doc_id, sha256(concat_ws(chr(31), doc_id::VARCHAR, coalesce(text, ''), coalesce(lang, ''))) AS d FROM documents) SELECT sha256(string_agg(d, '' ORDER BY doc_id)) AS fingerprint, count(*) AS n FROM d")
+def _tree_sql(levels: int) -> str:
+    """Nodes by the places of their items, each level from the one below."""
+    up = [f"n{k + 1} AS (SELECT i // {provenance.FANOUT} AS i, sha256(string_agg(d, '' ORDER BY i)) AS d, sum(n) AS n FROM n{k} GROUP BY i // {provenance.FANOUT})" for k in range(levels)]
+    return f"n0 AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, d) - 1 AS i, d, 1 AS n FROM d), {', '.join(up)} SELECT sha256(string_agg(d, '' ORDER BY i)) AS fingerprint, sum(n)::BIGINT AS n FROM n{levels}"
+
+
+@query(f"WITH d AS (SELECT doc_id, sha256(concat_ws(chr(31), doc_id::VARCHAR, coalesce(text, ''), coalesce(lang, ''))) AS d FROM documents), {_tree_sql(provenance.LEVELS)}")
 def corpus_fingerprint(t: Tables) -> DataFrame:
     return provenance.corpus_fingerprint(t.documents, "doc_id", "doc_id", "text", "lang")
 

@@ -61,16 +61,24 @@ def permutation_test(t: Tables) -> DataFrame:
     return resample.permutation_test(rows, "d", "doc_id", REPLICATES, 5)
 
 
-#: Discordant pairs are few enough here for a table of factorials; the language makes it so at every scale.
-MCNEMAR_SQL = """pr AS (SELECT d.n_chars > 1500 AS a, l.quality = 1 AS b FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE d.lang = 'es'),
- ct AS (SELECT count(*) AS n_pairs, count(*) FILTER (WHERE NOT a AND b) AS gains, count(*) FILTER (WHERE a AND NOT b) AS losses FROM pr)"""
+PAIRS_SQL = "pr AS (SELECT d.lang, d.n_chars > 1500 AS a, l.quality = 1 AS b FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+DISCORDANT = "count(*) AS n_pairs, count(*) FILTER (WHERE NOT a AND b) AS gains, count(*) FILTER (WHERE a AND NOT b) AS losses"
 TAIL = "(SELECT sum(exp(lgamma(gains + losses + 1) - lgamma(j + 1) - lgamma(gains + losses - j + 1) - (gains + losses) * ln(2))) FROM (SELECT unnest(range({k}, gains + losses + 1)) AS j))"
+TWO_SIDED = f"CASE WHEN gains + losses = 0 THEN 1.0 ELSE least(1.0, 2 * least(1.0, {TAIL.format(k='greatest(gains, losses)')})) END"
 
 
-@query(f"WITH {MCNEMAR_SQL} SELECT n_pairs, gains, losses, {r('CASE WHEN gains + losses = 0 THEN 1.0 ELSE least(1.0, 2 * least(1.0, ' + TAIL.format(k='greatest(gains, losses)') + ')) END')} AS p FROM ct")
+def _outcomes(t: Tables) -> DataFrame:
+    return t.labels.join(t.documents.select("doc_id", "lang", "n_chars"), "doc_id").select("lang", (F.col("n_chars") > 1500).alias("a"), (F.col("quality") == 1).alias("b"))
+
+
+@query(f"WITH {PAIRS_SQL}, ct AS (SELECT {DISCORDANT} FROM pr) SELECT n_pairs, gains, losses, {r(TWO_SIDED)} AS p FROM ct")
 def mcnemar(t: Tables) -> DataFrame:
-    rows = t.labels.join(t.documents.filter("lang = 'es'").select("doc_id", "n_chars"), "doc_id").select((F.col("n_chars") > 1500).alias("a"), (F.col("quality") == 1).alias("b"))
-    return inference.mcnemar(rows, "a", "b", "two-sided")
+    return inference.mcnemar(_outcomes(t), "a", "b", "two-sided")
+
+
+@query(f"WITH {PAIRS_SQL}, ct AS (SELECT lang, {DISCORDANT} FROM pr GROUP BY lang) SELECT lang, n_pairs, gains, losses, {r(TWO_SIDED)} AS p FROM ct")
+def mcnemar_by_language(t: Tables) -> DataFrame:
+    return inference.mcnemar(_outcomes(t), "a", "b", "two-sided", ["lang"])
 
 
 BH_SQL = "p AS (SELECT l_suppkey AS key, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) ** 3 AS p FROM lineitem GROUP BY 1)"
@@ -92,7 +100,27 @@ def benjamini_hochberg(t: Tables) -> DataFrame:
 def wilcoxon(t: Tables) -> DataFrame:
     flag = lambda s: F.avg(F.when(F.col("l_linestatus") == s, F.col("l_quantity")))
     pairs = t.lineitem.groupBy("l_suppkey").agg(flag("F").alias("a"), flag("O").alias("b"))
-    return inference.wilcoxon(pairs, "a", "b").drop("p")
+    return inference.wilcoxon(pairs, "a", "b").drop("p", "exact")
+
+
+#: Pairs of a supplier: the quantities of a part's lines on either side of a status. The exact distribution has one row per rank, from the counts of the row before.
+RANKS_SQL = """RECURSIVE x(n, c) AS (SELECT 0, [1.0::DOUBLE] UNION ALL SELECT n + 1, list_transform(range(0, (n + 1) * (n + 2) // 2 + 1), lambda s: coalesce(c[s + 1], 0) + CASE WHEN s > n THEN coalesce(c[s - n], 0) ELSE 0 END) FROM x WHERE n < 50),
+ pr AS (SELECT o_orderpriority AS g, l_suppkey, round(avg(l_extendedprice) FILTER (WHERE l_linestatus = 'O') - avg(l_extendedprice) FILTER (WHERE l_linestatus = 'F'), 12) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2
+  UNION ALL SELECT 'of the part ' || l_partkey % 5, l_suppkey, round(avg(l_quantity) FILTER (WHERE l_linestatus = 'O') - avg(l_quantity) FILTER (WHERE l_linestatus = 'F'), 12) FROM lineitem WHERE l_suppkey % 7 = 0 GROUP BY 1, 2),
+ a AS (SELECT g, abs(d) AS size, count(*) AS t, count(*) FILTER (WHERE d > 0) AS up FROM pr WHERE d IS NOT NULL GROUP BY 1, 2),
+ k AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY g ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2.0::DOUBLE AS mid FROM a WHERE size > 0),
+ s AS (SELECT g, sum(t)::BIGINT AS n, least(sum(up * mid), sum((t - up) * mid)) AS w, sum(t * t * t - t) AS ties FROM k GROUP BY g),
+ e AS (SELECT s.*, n <= 50 AND ties = 0 AND NOT EXISTS (SELECT 1 FROM a WHERE a.g = s.g AND size = 0) AS exact FROM s)"""
+
+
+@query(f"WITH {RANKS_SQL} SELECT g, n, {r('w')} AS w, exact, CASE WHEN exact THEN {r('least(1.0, 2 * list_sum(x.c[1:w::INT + 1]) / 2.0::DOUBLE ** n)')} END AS p FROM e LEFT JOIN x USING (n)")
+def wilcoxon_by_group(t: Tables) -> DataFrame:
+    """Exact where a group's pairs are few and untied, the normal approximation (whose p DuckDB has no function for) elsewhere."""
+    side = lambda s, v: F.avg(F.when(F.col("l_linestatus") == s, F.col(v)))
+    lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderpriority").alias("g"), "l_suppkey").agg(side("F", "l_extendedprice").alias("a"), side("O", "l_extendedprice").alias("b"))
+    few = t.lineitem.filter("l_suppkey % 7 = 0").groupBy(F.concat(F.lit("of the part "), (F.col("l_partkey") % 5).cast("string")).alias("g"), "l_suppkey").agg(side("F", "l_quantity").alias("a"), side("O", "l_quantity").alias("b"))
+    out = inference.wilcoxon(lines.unionByName(few), "a", "b", ["g"]).filter("n > 0")
+    return out.select("g", "n", "w", "exact", F.when(F.col("exact"), F.col("p")).alias("p"))
 
 
 ZA, ZB = forms.power_quantiles(0.05, 0.8)
