@@ -68,10 +68,16 @@ def _few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
+def fresh(*names: str) -> list[str]:
+    """Column names that no table has: rows pass joins with whatever columns they have."""
+    return [f"_{n}_{uuid.uuid4().hex}" for n in names]
+
+
 def only(docs: DataFrame, wanted: DataFrame, id_col: str, scratch: Scratch) -> DataFrame:
     """The documents whose id is among those of ``wanted`` (its one column); a few are broadcast, so that texts stay where they are."""
-    table = scratch.keep(wanted.toDF("_other").distinct())
-    return docs.join(_few(table), F.col(id_col) == F.col("_other"), "left_semi")
+    [other] = fresh("id")
+    table = scratch.keep(wanted.toDF(other).distinct())
+    return docs.join(_few(table), F.col(id_col) == F.col(other), "left_semi")
 
 
 def row_hash(*columns: str) -> Column:
@@ -81,8 +87,9 @@ def row_hash(*columns: str) -> Column:
 
 def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, hash_: Column, scratch: Scratch) -> DataFrame:
     """The documents without those of ``gone`` (id, hash): other texts of the same id stay, and null ids are equal to each other."""
-    table = scratch.keep(gone.toDF("_other", "_hash").distinct())
-    return docs.join(_few(table), F.col(id_col).cast("long").eqNullSafe(F.col("_other")) & (hash_ == F.col("_hash")), "left_anti")
+    other, code = fresh("id", "hash")
+    table = scratch.keep(gone.toDF(other, code).distinct())
+    return docs.join(_few(table), F.col(id_col).cast("long").eqNullSafe(F.col(other)) & (hash_ == F.col(code)), "left_anti")
 
 
 def slices(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:

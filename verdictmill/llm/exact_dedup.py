@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Scratch, row_hash, without_rows
+from .common import WHITE, Scratch, fresh, row_hash, without_rows
 
 #: Average keys of a shard.
 SHARD_KEYS = 1024
@@ -182,6 +182,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     twice = scratch.keep(judged.filter("stays and n > 1").groupBy("id", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("id", "hash"))
     if not twice.limit(1).count():
         return left
-    several = left.join(twice.toDF("_other", "_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("_other")) & (row_hash(text_col) == F.col("_hash")), "left_semi")
+    other, code = fresh("id", "hash")
+    several = left.join(twice.toDF(other, code), F.col(id_col).cast("long").eqNullSafe(F.col(other)) & (row_hash(text_col) == F.col(code)), "left_semi")
     one = several.groupBy(F.col(id_col).alias("_id"), row_hash(text_col).alias("_hash")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
     return without_rows(left, twice, id_col, row_hash(text_col), scratch).unionByName(one.select("_row.*"))

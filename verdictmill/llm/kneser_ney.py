@@ -295,21 +295,23 @@ def _scorer(shard, order: int, carry: list[str], first: bool):
 def perplexity(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """Documents (id and language) with n_chars_scored, perplexity, share, _held: null if not trusted, true if held out, and _model: the key of
     their model. Held-out documents come once more (_extra) where a common model is needed."""
-    lang = F.coalesce(F.col(lang_col), F.lit(NO_LANG))
+    # Only these three columns are read, under names of their own.
+    docs = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("_of"), F.col(text_col).alias("text"))
+    lang = F.coalesce(F.col("_of"), F.lit(NO_LANG))
     good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(F.col("doc_id").cast("long").alias("_id")).filter("_id is not null").distinct()
     good = scratch.keep(good.withColumn("_held", F.pmod(F.xxhash64("_id"), F.lit(HELD_OUT)) == 0))
     small = good.count() <= BROADCAST_IDS
     ids = F.broadcast(good) if small else good
-    ready = docs.withColumns({"_key": F.col(id_col).cast("long")}).join(ids.withColumnRenamed("_id", "_key"), "_key", "left").drop("_key")
-    told = F.coalesce(F.col("_held") & F.col(text_col).rlike(r"\S"), F.lit(False))
-    taught = F.coalesce(~F.col("_held") & F.col(text_col).rlike(r"\S"), F.lit(False))
+    ready = docs.withColumn("_key", F.col("id").cast("long")).join(ids.withColumnRenamed("_id", "_key"), "_key", "left").drop("_key")
+    told = F.coalesce(F.col("_held") & F.col("text").rlike(r"\S"), F.lit(False))
+    taught = F.coalesce(~F.col("_held") & F.col("text").rlike(r"\S"), F.lit(False))
     own = ready.groupBy(lang.alias("_lang")).agg(F.count_if(told).alias("told"), F.count_if(taught).alias("taught"))
     own = scratch.keep(own.select("_lang", ((F.col("told") >= ENOUGH) & (F.col("taught") > 0)).alias("own")))  # a row per language
     common = own.filter("not own").limit(1).count() > 0
     model_of = F.when(F.col("own"), F.col("_lang")).otherwise(F.lit(COMMON))
     few = F.broadcast(own) if own.count() <= 10_000 else own
-    slim = ready.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), lang.alias("_lang"), "_held", row_hash(text_col, lang_col).alias("hash"), F.col(text_col).alias("text"))
-    slim = slim.join(few, "_lang").select("id", F.col("lang").alias("_of"), model_of.alias("lang"), "_held", "hash", F.lit(False).alias("_extra"), "text")
+    slim = ready.select("id", "_of", lang.alias("_lang"), "_held", row_hash("text", "_of").alias("hash"), "text")
+    slim = slim.join(few, "_lang").select("id", "_of", model_of.alias("lang"), "_held", "hash", F.lit(False).alias("_extra"), "text")
     trusted = slim.filter("_held = false and text is not null").select("lang", "text")
     if common:
         more = lambda df: df.filter(F.col("lang") != COMMON).withColumn("lang", F.lit(COMMON))

@@ -24,9 +24,9 @@ from .common import WHITE, Scratch, slices
 
 #: Of lines and paragraphs that are compared by themselves.
 MIN_WORDS = 6
-#: A passage of over 50 words loses at most its first and last sentence to what stands around it; RUN_WORDS are left of it.
-#: Sentences of fewer than SENTENCE_WORDS words do not count towards them.
-RUN_WORDS, SENTENCE_WORDS = 30, 4
+#: Repeated neighbours go from RUN_WORDS words together on: a line of that length by itself, a passage of short lines or sentences as a whole, but not a
+#: heading or a licence line. Sentences of fewer than SENTENCE_WORDS words would not count towards them.
+RUN_WORDS, SENTENCE_WORDS = 20, 1
 UNITS = "id long, hash long, digest binary, i int, words int, start long, length long, gap long, again boolean"
 COLUMNS = [x.split()[0] for x in UNITS.split(", ")]
 #: What separates units; the separator belongs to no unit.

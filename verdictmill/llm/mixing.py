@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, md5_part
+from .common import WORD, Scratch, fresh, md5_part
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -112,23 +112,24 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, volume:
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix as documents: a text once, twice or in part, as ``mix`` takes it; the columns of ``docs``.
+    """The mix as documents, the columns of ``docs``: a row per copy, so a text that ``mix`` takes twice has two rows, and one that it takes in part a row of its first words.
 
-    Every row that ``mix`` takes gives one row, with a null id too. Rows that repeat an id are documents of their
-    own: each gets the part of its own text; those that repeat id, source and text share what the mix takes of them.
+    Rows that repeat an id are documents of their own, with a null id too: each gives the copies of its own text; those that repeat id, source and text
+    share what the mix takes of them. A null or empty text has no words and goes. Where ``docs`` has ``n_chars``, it is that of the copy; other
+    columns pass unread, whatever their names. An empty table gives an empty one.
     """
     plan = _plan(docs, id_col, text_col, source_col, **how).filter("taken > 0")
+    key, passes, rests, size, rest, copy = fresh("key", "passes", "rests", "size", "rest", "copy")
     # Rows of one key stand next to each other in one shard: all are taken equally often as a whole, and the rest fills them in turn.
-    plan = plan.groupBy("_key").agg(F.max("passes").alias("_passes"), F.sum("rest").alias("_rests"), F.max("size").alias("_size"))
+    plan = plan.groupBy(F.col("_key").alias(key)).agg(F.max("passes").alias(passes), F.sum("rest").alias(rests), F.max("size").alias(size))
     text = F.col(text_col)
-    joined = docs.withColumn("_key", _row_key(F.col(id_col), F.col(source_col), text)).join(plan, "_key")
-    before = F.row_number().over(W.partitionBy("_key").orderBy(F.lit(0))) - 1
-    filled = joined.withColumn("_rest", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rests") - before * F.col("_size"))))
-    filled = filled.filter("_passes > 0 or _rest > 0")
-    words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(SPACED_WORD), 0), 1, F.col("_rest").cast("int")), "")
-    part = F.when(F.col("_rest") == F.col("_size"), text).when(F.col("_rest") > 0, words)
-    whole = F.when(F.col("_passes") >= 2, F.concat(text, F.lit("\n"), text)).when(F.col("_passes") == 1, text)
-    taken = filled.withColumn(text_col, F.concat_ws("\n", whole, part))
+    joined = docs.withColumn(key, _row_key(F.col(id_col), F.col(source_col), text)).join(plan, key)
+    before = F.row_number().over(W.partitionBy(key).orderBy(F.lit(0))) - 1
+    filled = joined.withColumn(rest, F.greatest(F.lit(0), F.least(F.col(size), F.col(rests) - before * F.col(size))))
+    words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(SPACED_WORD), 0), 1, F.col(rest).cast("int")), "")
+    part = F.when(F.col(rest) == F.col(size), text).when(F.col(rest) > 0, words)
+    copies = F.concat(F.array_repeat(text, F.col(passes).cast("int")), F.array_compact(F.array(part)))
+    taken = filled.withColumn(copy, F.explode(copies)).withColumn(text_col, F.col(copy))
     if "n_chars" in docs.columns:
         taken = taken.withColumn("n_chars", F.length(text_col).cast("long"))
     return taken.select(*docs.columns)
