@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,3 +245,175 @@ def test_fingerprint_is_a_tree_over_places(spark):
     assert provenance.corpus_fingerprint(df.repartition(7), "k", "k", "text", fanout=2).first() == first
     assert provenance.corpus_fingerprint(df.withColumn("text", F.when(F.col("k") == 77, "x").otherwise(F.col("text"))), "k", "k", "text", fanout=2).first().fingerprint != want
     assert tuple(provenance.corpus_fingerprint(df.limit(0), "k", "text").first()) == (sha(""), 0)
+
+
+# --- gates, candidates, sinks and state
+
+
+def test_balanced_objects_mind_strings_and_escapes(spark):
+    from verdictmill.functions import parsing
+
+    cases = {
+        '{"a": {"b": 1}} x {"c": 2}': ['{"a": {"b": 1}}', '{"b": 1}', '{"c": 2}'],
+        'say " and {"a": "} \\" }"} end': ['{"a": "} \\" }"}'],  # outside of objects a quote is prose
+        "} {": [],
+        "": [],
+        '{"open": {"x": 1}': ['{"x": 1}'],
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string").withColumn("o", parsing.balanced_objects(F.col("t")))
+    for row in df.collect():
+        assert [row.t[o.first : o.last + 1] for o in row.o] == cases[row.t], row.t
+    depths = spark.createDataFrame([('{"a": {"b": {}}}',)], "t string").select(parsing.balanced_objects(F.col("t")).alias("o")).first().o
+    assert [o.depth for o in depths] == [1, 2, 3]
+
+
+def test_the_first_candidate_with_a_decision_wins(spark):
+    from verdictmill.functions import parsing
+
+    cases = [
+        ('{"decision": true}', True, True),
+        ('Well: {"decision": false, "why": "x"} so', False, False),
+        ('{"decision": "yes"} or {"decision": true}', True, True),
+        ('{"decision": true, "of": {"x": 1}} since {the phrasing}', None, True),
+        ('{"decision": 1}', None, None),
+        ("[1, 2]", None, None),
+        (None, None, None),
+    ]
+    df = spark.createDataFrame([(t,) for t, *_ in cases], "t string")
+    got = df.select(parsing.boolean_decision(F.col("t")).alias("a"), parsing.boolean_decision(F.col("t"), nested=True).alias("b")).collect()
+    assert [tuple(r) for r in got] == [tuple(c[1:]) for c in cases]
+    told = spark.createDataFrame([('{"verdict": "real", "confidence": 1.2}',), ('{"verdict": "real", "confidence": "0.5"}',), ('{"verdict": "odd"} {"verdict": "real", "confidence": 0.5}',)], "t string").select(parsing.judged(F.col("t"), ["real", "made"]).alias("j")).collect()
+    assert [tuple(r.j) for r in told] == [("real", None), ("real", None), ("real", 0.5)]
+
+
+def test_case_is_folded(spark):
+    from verdictmill.functions import calls, parsing
+
+    answer = spark.createDataFrame([("ANSWER: STRASSE",), ("ANSWER: straße",), ("ANSWER: ﬁsh",)], "t string").select(parsing.parse_answer(F.col("t"), F.array(F.lit("Straße"), F.lit("FISH"))).alias("a")).collect()
+    assert [r.a.value for r in answer] == ["Straße", "Straße", "FISH"]
+    reply, key = '[{"name": "go", "arguments": {"to": "STRASSE"}}]', '[{"go": {"to": ["Straße"]}}]'
+    assert spark.range(1).select(calls.match_calls(F.lit(reply), F.lit(key)).alias("m")).first().m == "matched"
+    dotless = spark.range(1).select(parsing.normalise(F.lit("ı")).alias("a"), parsing.normalise(F.lit("I")).alias("b")).first()
+    assert dotless.a == "ı" and dotless.b == "i"
+
+
+def test_numbers_of_claims(spark):
+    from verdictmill.operators import gates
+
+    rows = [
+        ("fine", "~4.5%", "rate **~4.5%** of all", "rate ~4.5% of all", r"rate (~[\d.]+%)", "~4%"),
+        ("half up", "5.5", "is 5.5", "is 5.5", None, "6"),
+        ("half down", "4.5", "is 4.5", "is 4.5", None, "5"),
+        ("places", "2.346", "is 2.346", "is 2.346", None, "2.35"),
+        ("wrong places", "2.346", "is 2.346", "is 2.346", None, "2.34"),
+        ("thousands", "4,240", "is 4,240", "is 4,240", None, "4240"),
+        ("negative", "-1.26", "is -1.26", "is -1.26", None, "-1.3"),
+        ("no number", "many", "is many", "is many", None, "3"),
+        ("not quoted", "7", "is 8", "is 8", None, None),
+        ("superseded", "7", "is 7", "is 7; then is 8", r"is (\d)", None),
+        ("no match", "7", "is 7", "is 7", r"was (\d)", None),
+        ("bare pattern", "7", "is 7", "is 7 then 9", r"\d", None),
+        ("twice", "7", "is 7", "is 7, is 7", None, None),
+    ]
+    df = spark.createDataFrame(rows, "claim_id string, value string, quote string, source_text string, latest string, rounded string")
+    got = {r.claim_id: r.message for r in gates.claim_findings(df).collect()}
+    assert got == {"half down": "wrongly rounded", "wrong places": "wrongly rounded", "no number": "rounded is no number", "not quoted": "value not in quote", "superseded": "superseded by 8", "no match": "no match of the pattern for later figures", "bare pattern": "superseded by 9", "twice": "quote found more than once"}
+
+
+def test_closure_of_many_levels(spark):
+    from verdictmill.operators import gates, integrity
+
+    n = 60
+    edges = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).unionByName(spark.range(1).select(F.lit(None).cast("long").alias("src"), F.lit(5).cast("long").alias("dst")))
+    got = integrity.reachable(edges, spark.range(1))
+    assert {(r.id, r.depth) for r in got.collect()} == {(k, k) for k in range(n + 1)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1  # one scan, whatever the depth
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    told = gates.wiring_findings(ids(1, 2, 99, 98), edges.filter("src < 4"), ids(0), ids(98, 3, 97))
+    assert {tuple(r) for r in told.collect()} == {("99", "has a floor and no caller"), ("3", "declared unwired and reached")}
+
+
+def test_runs_that_may_not_start(spark):
+    import hashlib
+
+    from verdictmill.operators import gates
+
+    sha = hashlib.sha256(b"x").hexdigest()
+    rows = [("a", True, "x", sha, "x", sha, 0.2, 0.2, 0.9, 5.0, 5.0), ("b", None, "y", sha, "x", None, None, 0.2, 0.9, 5.0, 5.1)]
+    df = spark.createDataFrame(rows, "run string, committed boolean, skill string, skill_sha256 string, analysis string, analysis_sha256 string, baseline double, low double, high double, budget double, cost double")
+    assert [r.key for r in gates.run_findings(df).collect()] == ["b"] * 5
+    assert gates.assert_runnable(df.filter("run = 'a'")).count() == 1
+    with pytest.raises(guards.Refused):
+        gates.assert_runnable(df)
+
+
+def test_phase_result_needs_a_passed_battery(spark):
+    from verdictmill.operators import movement
+
+    events = spark.createDataFrame([(f"t{k}", 1.0, 2.0, 1.0 + 0.6 * (k % 4 == 0)) for k in range(40)], "triplet_id string, q_base double, q_governing double, q_matched double")
+    half, passed = spark.createDataFrame([(0.5,)], "threshold double"), spark.createDataFrame([(True,)], "passed boolean")
+    got = movement.phase_result(events, half, passed, 100, 1).first()
+    assert got.j == pytest.approx(0.75) and got.kill and "both arms" in got.disposition
+    for bad in (passed.select(F.lit(False).alias("passed")), passed.limit(0), passed.select(F.lit(None).cast("boolean").alias("passed"))):
+        with pytest.raises(guards.Refused):
+            movement.phase_result(events, half, bad, 100, 1)
+
+
+def test_a_killed_batch_is_appended_once(spark, tmp_path, monkeypatch):
+    from verdictmill.streaming import sinks
+
+    path, schema = str(tmp_path / "log"), "k long, v string"
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], schema)
+    commit = sinks._commit
+    monkeypatch.setattr(sinks, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):
+        sinks.append_once(rows, path, ["k"], "0")
+    assert sinks.read_appended(spark, path, schema).count() == 0  # what the attempt left is not read
+    monkeypatch.setattr(sinks, "_commit", commit)
+    assert sinks.append_once(rows, path, ["k"], "0") and not sinks.append_once(rows, path, ["k"], "0")
+    assert sinks.append_once(spark.createDataFrame([(2, "again"), (3, "c")], schema), path, ["k"], "1")
+    assert sorted(map(tuple, sinks.read_appended(spark, path, schema).collect())) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_a_stream_is_appended_once(spark, tmp_path):
+    from verdictmill.streaming import sinks
+
+    schema, source = "k long, v string", str(tmp_path / "in")
+    spark.createDataFrame([(1, "a"), (2, "b")], schema).write.json(source)
+    run = lambda: sinks.append_stream(spark.readStream.schema(schema).json(source), str(tmp_path / "out"), ["k"], str(tmp_path / "state"))
+    run()
+    spark.createDataFrame([(2, "b"), (3, "c")], schema).write.mode("append").json(source)
+    run()
+    run()
+    assert sorted(r.k for r in sinks.read_appended(spark, str(tmp_path / "out"), schema).collect()) == [1, 2, 3]
+
+
+def test_a_run_keeps_its_stamp(spark, tmp_path):
+    from verdictmill.streaming import sinks
+
+    schema, source, state = "run string, at long, version long, fingerprint string", str(tmp_path / "in"), str(tmp_path / "state")
+    spark.createDataFrame([("same", 1, 1, "f"), ("same", 2, 1, "f"), ("moved", 1, 1, "f"), ("again", 2, 1, "g"), ("again", 1, 1, "f")], schema).write.parquet(source)
+    resume = lambda: {r.run: r for r in sinks.resume(spark.readStream.schema(schema).parquet(source), "run", "at", ["version", "fingerprint"], state).collect()}
+    first = resume()
+    assert {k: r.refused for k, r in first.items()} == {"same": False, "moved": False, "again": True}  # two stamps at once
+    spark.createDataFrame([("same", 3, 1, "f"), ("moved", 2, 1, "other"), ("new", 1, 2, None)], schema).write.mode("append").parquet(source)
+    second = resume()  # the state of the first half is still known
+    assert {k: r.refused for k, r in second.items()} == {"same": False, "moved": True, "again": True, "new": False}
+    assert second["moved"].begun == first["moved"].begun and second["same"].rows == 3
+    some = spark.createDataFrame([(True,)], "refused boolean")
+    with pytest.raises(guards.Refused):
+        sinks.require_resumable(some)
+
+
+def test_corpus_check_is_the_union_of_its_parts(spark):
+    from verdictmill.operators import corpus
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefg", k=5))
+    rows = [(3 * k + j, f"t{k}", "s", j == 0, " ".join(word() for _ in range(8)) + (" please!" if j == 0 else ".")) for k in range(30) for j in range(3)]
+    turns = spark.createDataFrame(rows, "id long, triple string, band string, should_fire boolean, turn string")
+    found = {r.key for r in corpus.check_corpus(turns).collect()}
+    assert "stump" in found and any(k.startswith("leak:") for k in found)
+    assert not any(r.key == "stump" for r in corpus.stump_findings(corpus.featured(turns.select("id", "should_fire", "turn"), "turn", corpus.FEATURES), list(corpus.FEATURES), "should_fire", "id", max_lift=0.5).collect())
+    assert corpus.MAX_LIFT == 0.10

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import casefold
+
 #: A flat JSON object; the first one counts.
 FLAT_OBJECT = r"\{[^{}]*\}"
 #: An answer line (what is told may stand on the next line), its decoration, a number.
@@ -33,10 +35,67 @@ def decision(text: Column, allowed: Sequence[str]) -> Column:
     )
 
 
+def balanced_objects(text: Column) -> Column:
+    """Array of (first, last, depth) of the balanced ``{...}`` of a text, by their first character (from 0); depth 1 is outermost.
+
+    One pass over the characters with a stack: within an object, quotes begin and end strings, in which braces mean nothing and a backslash guards the
+    next character. Outside of all objects a quote is prose.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("quoted"), F.lit(False).alias("guarded"), F.array().cast("array<int>").alias("open"), F.array().cast("array<struct<first:int,last:int,depth:int>>").alias("found"))
+
+    def step(s: Column, c: Column) -> Column:
+        inside = F.size(s["open"]) > 0
+        opens, closes = (c == "{") & ~s["quoted"], (c == "}") & ~s["quoted"] & inside
+        quoted = F.when((c == '"') & inside & ~s["guarded"], ~s["quoted"]).otherwise(s["quoted"])
+        open_ = F.when(opens, F.concat(s["open"], F.array(s["at"]))).when(closes, F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)).otherwise(s["open"])
+        whole = F.struct(F.element_at(s["open"], -1).alias("first"), s["at"].alias("last"), F.size(s["open"]).alias("depth"))
+        found = F.when(closes, F.concat(s["found"], F.array(whole))).otherwise(s["found"])
+        return F.struct((s["at"] + 1).alias("at"), quoted.alias("quoted"), (s["quoted"] & ~s["guarded"] & (c == "\\")).alias("guarded"), open_.alias("open"), found.alias("found"))
+
+    return F.array_sort(F.aggregate(F.split(text, ""), start, step)["found"])
+
+
+def json_candidates(text: Column, nested: bool = False) -> Column:
+    """Array of what in a reply may be its JSON object, widest first: the whole, from the first brace to the last, then the flat objects in order.
+
+    With ``nested`` the other balanced objects follow, outermost first: they find a verdict that holds an object and has braces in the prose beside it.
+    """
+    bare = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    first, last = F.locate("{", bare), F.length(bare) - F.locate("}", F.reverse(bare)) + 1
+    slice_ = F.when((first > 0) & F.contains(bare, F.lit("}")) & (first < last), F.substr(bare, first, last - first + 1))
+    parts = [F.array(bare, slice_), F.regexp_extract_all(bare, F.lit(FLAT_OBJECT), F.lit(0))]
+    if nested:
+        balanced = F.array_sort(F.transform(balanced_objects(bare), lambda o: F.struct(o["depth"], o["first"], o["last"])))
+        parts.append(F.transform(balanced, lambda o: F.substr(bare, o["first"] + 1, o["last"] - o["first"] + 1)))
+    return F.array_compact(F.concat(*parts))
+
+
+def first_object(text: Column, accept: Callable[[Column], Column], nested: bool = False) -> Column:
+    """The first candidate, as a variant, that is a JSON object which ``accept`` takes."""
+    # The parser stops behind the first value: an object has to be the whole candidate.
+    whole = lambda c: F.exists(balanced_objects(c), lambda o: (o["first"] == 0) & (o["last"] == F.length(c) - 1))
+    objects = F.transform(F.filter(json_candidates(text, nested), whole), lambda c: F.try_parse_json(c))
+    return F.get(F.filter(objects, lambda v: F.coalesce(v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT") & accept(v), F.lit(False))), F.lit(0))
+
+
+def boolean_decision(text: Column, field: str = "decision", nested: bool = False) -> Column:
+    """The boolean ``field`` of the first candidate that has one; a text or a number is none."""
+    is_boolean = lambda v: F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant")) == "BOOLEAN"
+    return F.try_variant_get(first_object(text, is_boolean, nested), f"$.{field}", "boolean")
+
+
+def judged(text: Column, verdicts: Sequence[str], nested: bool = False) -> Column:
+    """Struct (verdict, confidence) of the first candidate whose ``verdict`` is one of ``verdicts``; the confidence is null unless a number in [0, 1]."""
+    found = first_object(text, lambda v: F.try_variant_get(v, "$.verdict", "string").isin(*verdicts), nested)
+    kind = F.schema_of_variant(F.try_variant_get(found, "$.confidence", "variant"))
+    number = F.when(~kind.isin("STRING", "BOOLEAN"), F.try_variant_get(found, "$.confidence", "double"))
+    return F.struct(F.try_variant_get(found, "$.verdict", "string").alias("verdict"), F.when(number.between(0.0, 1.0), number).alias("confidence"))
+
+
 def normalise(text: Column) -> Column:
-    """Without decoration; runs of white space, underscores and hyphens as a space; lower case."""
+    """Without decoration; runs of white space, underscores and hyphens as a space; case folded."""
     bare = F.regexp_replace(F.regexp_replace(text, r"^[\s*_`\"'\[]+", ""), r"[\s*_`\"'\].,;:!]+$", "")
-    return F.lower(F.trim(F.regexp_replace(bare, r"[\s_\-]+", " ")))
+    return casefold(F.trim(F.regexp_replace(bare, r"[\s_\-]+", " ")))
 
 
 def parse_answer(text: Column, options: Column) -> Column:

@@ -19,6 +19,13 @@ PENALTY = r"(?i)\b(?:forfeit\w*|default\w*|breach\w*|exclud\w*|void\w*|terminat\
 PROCEDURAL = r"(?i)\b(?:requir\w*|restrict\w*|must|shall|submit\w*|obtain\w*|authoris\w*|authoriz\w*|approv\w*|appl(?:y|ies|ied|ication\w*)|process\w*|notif\w*|complet\w*|follow\w*|provide\w*|document\w*)\b"
 
 
+def casefold(text: Column) -> Column:
+    """The text with its case folded: upper case first, where letters without a capital of their own (ß) become those they stand for, then lower case.
+    The dotless i, whose capital is that of the dotted one, stays apart; without a step between them, the optimizer would drop the upper case."""
+    dotless, mark = chr(0x131), chr(0xE131)
+    return F.lower(F.translate(F.upper(F.translate(text, dotless, mark)), mark, dotless))
+
+
 def words(text: Column) -> Column:
     """Runs of ASCII letters and apostrophes of the lower-cased text."""
     return F.regexp_extract_all(F.lower(text), F.lit("[A-Za-z']+"), F.lit(0))

@@ -119,3 +119,10 @@ def rescore_report(pairs: DataFrame) -> DataFrame:
     """One row over (case_id, was boolean, admissible boolean, graded): rates before and after, verdicts that flipped each way, distinct graded values."""
     was, now = F.col("was"), F.col("admissible")
     return pairs.agg(F.count("*").alias("n"), F.avg(was.cast("int")).alias("was"), F.avg(now.cast("int")).alias("now"), F.count_if(~was & now).alias("to_ok"), F.count_if(was & ~now).alias("to_fail"), F.count_distinct(F.round("graded", 3)).alias("graded_values"))
+
+
+def flipped(pairs: DataFrame) -> DataFrame:
+    """(case_id, change): the verdicts of (case_id, was boolean, admissible boolean) that a re-score turned over, or gave where there was none."""
+    was, now = F.col("was"), F.col("admissible")
+    change = F.when(was.isNull() & now.isNotNull(), "new").when(~was & now, "now admissible").when(was & ~now, "no longer admissible").when(was.isNotNull() & now.isNull(), "lost")
+    return pairs.withColumn("change", change).filter("change is not null").select("case_id", "change")

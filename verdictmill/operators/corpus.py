@@ -154,14 +154,23 @@ def length_finding(sets: DataFrame, target: float = 0.70) -> DataFrame:
     return bad.select("key", F.concat(F.format_string("AUC %.3f, ", "auc"), why).alias("message"))
 
 
-def check_corpus(turns: DataFrame, max_lift: float = 0.05, text: str = "turn") -> DataFrame:
-    """(key, message): everything wrong with a corpus of triples (id, triple, band, should_fire, turn): bands, shape, ratio, leaks, matched leaks, inert features, and a stump that does too well."""
+#: Fixed value: how far a stump may do better than the majority.
+MAX_LIFT = 0.10
+
+
+def stump_findings(valued: DataFrame, names: list[str], label: str, row_id: str, max_lift: float = MAX_LIFT) -> DataFrame:
+    """(key, message): the best stump over the features does better than the majority by more than ``max_lift``."""
     from .ranks import stump
 
+    lift = stump(valued, names, label, row_id).withColumn("lift", F.greatest("depth1", "depth2") - F.col("majority"))
+    return lift.filter(F.col("lift") > max_lift + 1e-9).select(F.lit("stump").alias("key"), F.format_string("a lift of %.3f over the majority", "lift").alias("message"))
+
+
+def check_corpus(turns: DataFrame, max_lift: float = MAX_LIFT, text: str = "turn") -> DataFrame:
+    """(key, message): everything wrong with a corpus of triples (id, triple, band, should_fire, turn): bands, shape, ratio, leaks, matched leaks, inert features, and a stump that does too well."""
     checks = battery(turns, text=text)
     structure = [f(turns) for f in (band_findings, triple_findings, ratio_findings)]
     seen = reach(viewed(turns.drop("band"), text=text), list(FEATURES), ["view"])
     valued = featured(turns.select("id", "should_fire", text), text, FEATURES)
-    lift = stump(valued, list(FEATURES), "should_fire", "id").withColumn("lift", F.greatest("depth1", "depth2") - F.col("majority"))
-    over = lift.filter(F.col("lift") > max_lift + 1e-9).select(F.lit("stump").alias("key"), F.format_string("a lift of %.3f over the majority", "lift").alias("message"))
+    over = stump_findings(valued, list(FEATURES), "should_fire", "id", max_lift)
     return union_issues(*structure, leak_findings(checks), matched_findings(checks), inert_findings(seen), over)

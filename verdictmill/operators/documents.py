@@ -85,7 +85,7 @@ def _letter(line: Column, place: Column, fenced: Column) -> Column:
     is_ = lambda *patterns: functools.reduce(lambda a, b: a | b, [bare.rlike(p) for p in patterns])
     plain = F.when(is_(HEADING, RULE), "h").when(is_(BULLET, DEFINITION), "s").when(is_(FIRST_ORDERED), "o").when(is_(ORDERED), "n").otherwise("t")
     inside = F.filter(fenced, lambda f: (f["first"] <= place) & (place <= f["last"]))
-    in_fence = F.when(inside[0]["first"] == place, "f").otherwise("g")
+    in_fence = F.when(F.get(inside, F.lit(0))["first"] == place, "f").otherwise("g")
     return F.when(F.size(inside) > 0, in_fence).when(is_(BLANK), "b").when(is_(TABLE_DELIMITER), "d").when(is_(TABLE_ROW), "r").otherwise(F.when(bare.contains("|"), F.upper(plain)).otherwise(plain))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Written
 from .guards import require, union_issues
 
 
@@ -64,13 +65,16 @@ def adjudicated_cases(ledger: DataFrame, least: int = 3) -> DataFrame:
 
 
 def unbridged(runs: DataFrame, bridges: DataFrame) -> DataFrame:
-    """Pairs of runs (name, version, case) that share cases under different versions, with no bridge (name, version) between them.
+    """(a, va, b, vb): pairs of runs (name, version, case) that share cases under different versions, with no bridge (name, version) between them.
 
-    Joined on the case, so runs without a common case never meet.
+    What a case says of two versions is the same for all runs that have it: cases are reduced to the sets of runs by version that share them, which are few,
+    before runs meet.
     """
-    a = runs.select("case", F.col("name").alias("a"), F.col("version").alias("va"))
-    b = runs.select("case", F.col("name").alias("b"), F.col("version").alias("vb"))
-    pairs = a.join(b, "case").filter((F.col("a") < F.col("b")) & (F.col("va") != F.col("vb"))).groupBy("a", "va", "b", "vb").agg(F.count("*").alias("shared"))
+    per = runs.select("case", "name", "version").distinct().groupBy("case").agg(F.array_sort(F.collect_set(F.struct("name", "version"))).alias("_runs"))
+    kinds = per.groupBy("_runs").agg(F.count("*").alias("shared"))
+    each = kinds.select("shared", "_runs", F.explode("_runs").alias("x")).select("shared", F.col("x.name").alias("a"), F.col("x.version").alias("va"), F.explode("_runs").alias("y"))
+    met = each.select("shared", "a", "va", F.col("y.name").alias("b"), F.col("y.version").alias("vb")).filter((F.col("a") < F.col("b")) & (F.col("va") != F.col("vb")))
+    pairs = met.groupBy("a", "va", "b", "vb").agg(F.sum("shared").alias("shared"))
     over = bridges.select(F.col("name").alias("a"), F.col("version").alias("vb"))
     back = bridges.select(F.col("name").alias("b"), F.col("version").alias("va"))
     return pairs.join(over, ["a", "vb"], "left_anti").join(back, ["b", "va"], "left_anti")
@@ -104,15 +108,18 @@ def agreement_share(left: DataFrame, right: DataFrame, key: str, value: str) ->
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(id, depth) that edges (src, dst) lead to from roots (id), breadth first; each id at its least depth."""
-    seen = roots.select("id").distinct().withColumn("depth", F.lit(0))
-    front, depth = seen, 0
-    while True:
+    """(id, depth) that edges (src, dst) lead to from roots (id), breadth first; each id at its least depth.
+
+    Each level is written and is the next one's front, so neither the plan nor the lineage grows with the depth. A null end of an edge leads nowhere.
+    """
+    seen = Written(edges.sparkSession, "reachable")
+    links = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
+    n, depth = seen.add(roots.select("id").filter("id is not null").distinct().withColumn("depth", F.lit(0))), 0
+    while n:
         depth += 1
-        front = front.select("id").join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)).persist()
-        if not front.limit(1).count():
-            return seen
-        seen = seen.unionByName(front)
+        ahead = seen.last.join(links, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        n = seen.add(ahead.join(seen.read().select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+    return seen.read()
 
 
 def longest_prefix(names: DataFrame, prefixes: DataFrame, name: str = "name", prefix: str = "prefix", shortest: int = 1) -> DataFrame:

@@ -45,6 +45,16 @@ def youden_j(events: DataFrame, threshold: DataFrame, replicates: int = 1000, se
     return out.select(F.col("point").alias("j"), "low", "high", "se", (F.col("point") >= kill).alias("kill"), interval_state(F.col("low"), F.col("high"), kill).alias("state"))
 
 
+def phase_result(events: DataFrame, threshold: DataFrame, battery: DataFrame, replicates: int = 1000, seed: int = 0, kill: float = 0.70, adequate: float = 0.85) -> DataFrame:
+    """(j, low, high, se, state, sensitivity, specificity, kill, least, disposition) of events; refused unless the one row of ``battery`` (passed) has passed:
+    an extractor that misses known movements measures nothing."""
+    require(battery, falsifier_battery_not_passed=~F.coalesce("passed", F.lit(False)))
+    require(battery.agg(F.count("*").alias("n")), no_falsifier_battery=F.col("n") == 0)
+    j = youden_j(events, threshold, replicates, seed, kill).drop("kill")
+    rates = rates_of_change(events, threshold).select("n", "sensitivity", "specificity")
+    return disposition(j.join(rates), kill, adequate)  # a row each
+
+
 def disposition(results: DataFrame, kill: float = 0.70, adequate: float = 0.85) -> DataFrame:
     """Adds ``kill``, ``least`` and ``disposition`` to rows (j, low, high, sensitivity, specificity): J is never told without the lesser of the two."""
     least = F.least("sensitivity", "specificity")

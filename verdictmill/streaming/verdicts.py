@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.integrity import last_write_wins
-
-
-def shared_path(spark: SparkSession, name: str = "stream") -> str:
-    """A new path in ``spark.checkpoint.dir``; where that is unset, in a temporary folder, on one machine alone."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
-    where = where or tempfile.mkdtemp(prefix="verdictmill-")
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+from ..sources.scratch import shared_path
 
 
 def run_available(stream: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,7 +17,7 @@ def run_available(stream: DataFrame, keys: list[str]) -> DataFrame:
     repeated after a failure writes the same rows again under the same number.
     """
     spark = stream.sparkSession
-    root = shared_path(spark)
+    root = shared_path(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
