@@ -163,14 +163,18 @@ def test_refusals_of_conversations(spark):
         conversations.pinned_dispatches(spark.createDataFrame([("t", "a"), ("t", "b")], "conversation_id string, node_name string"), pins, "a")
 
 
-def test_many_clusters_are_weighted_in_one_pass(spark):
+def test_many_clusters_are_weighted_in_one_pass(spark, monkeypatch):
     rows = spark.range(20_000).select((F.col("id") % 5000).alias("c"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("v"))
-    ends = lambda drawn: resample.interval(resample.replicate_means(rows, "v", "c", 300, 5, drawn)).first()
-    a, b = ends(10), ends(100_000)
+    ends = lambda scheme: resample.interval(resample.replicate_means(rows, "v", "c", 300, 5, scheme)).first()
+    a, b = ends("poisson"), ends("draws")
     assert abs(a.low - b.low) < 0.003 and abs(a.high - b.high) < 0.003 and 0.8 < a.se / b.se < 1.25
+    monkeypatch.setattr(resample, "BROADCAST_CLUSTERS", 10)
+    assert ends("draws") == pytest.approx(b)  # joined by shuffle, the same draws
+    with pytest.raises(ValueError):
+        ends("other")
     u = [0.0, 0.36, 0.37, 0.73, 0.74, 0.919, 0.92, 0.99]
     assert [value(spark, resample.poisson_weight(F.lit(x))) for x in u] == [0, 0, 1, 1, 2, 2, 3, 4]
-    plan = resample.replicate_means(rows, "v", "c", 300, 5, 10)._jdf.queryExecution().executedPlan().toString()
+    plan = resample.replicate_means(rows, "v", "c", 300, 5, "poisson")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
 
 
@@ -188,11 +192,16 @@ def test_false_discovery_over_many_parts(spark):
         assert got[k][0] == rank and got[k][1] == pytest.approx(least) and got[k][2] == (least <= 0.1)
 
 
-def test_smooth_calibration_of_many_forecasts(spark, monkeypatch):
-    rows = spark.range(3000).select((F.pmod(F.xxhash64("id"), F.lit(10**9)) / 10**9).alias("f"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2))).cast("double").alias("o"))
-    exact = calibration.smooth_calibration_error(rows).first().smooth_ce
-    monkeypatch.setattr(calibration, "GRID", 1000)
-    assert calibration.smooth_calibration_error(rows).first().smooth_ce == pytest.approx(exact, abs=1e-3)
+def test_smooth_calibration_is_that_of_all_pairs(spark):
+    import numpy as np
+
+    for n, bandwidth in ((40, None), (3000, None), (3000, 0.004), (500, 0.25)):
+        rows = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(10**9)) / 10**9).alias("f"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2))).cast("double").alias("o")).unionByName(spark.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "f double, o double"))
+        f, o = np.array([tuple(r) for r in rows.collect()]).T
+        f = f.round(12)
+        h = bandwidth or max(0.01, min(0.25, len(f) ** (-1 / 3)))
+        k = np.exp(-0.5 * ((f[:, None] - f[None]) / h) ** 2)
+        assert calibration.smooth_calibration_error(rows, bandwidth).first().smooth_ce == pytest.approx(np.abs(k @ o / k.sum(1) - f).mean(), abs=1e-11)
 
 
 def test_power_grid_and_bounds(spark):

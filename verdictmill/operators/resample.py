@@ -23,8 +23,10 @@ def draw(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-#: Up to so many clusters, their sums (24 bytes each) are numbered and broadcast, and each replicate draws as many as there are; beyond, see ``replicate_means``.
-DRAWN = 100_000
+#: Up to so many clusters, their numbered sums (24 bytes each) are broadcast to the draws; more are joined by shuffle, with the same result.
+BROADCAST_CLUSTERS = 100_000
+#: How clusters are drawn, at any number of them: ``draws`` takes K of K with replacement, ``poisson`` gives each cluster a Poisson number of mean 1.
+SCHEMES = ("draws", "poisson")
 
 
 def cluster_sums(rows: DataFrame, value: str, cluster: str) -> DataFrame:
@@ -42,23 +44,26 @@ def poisson_weight(u: Column, most: int = 12) -> Column:
     return reduce(lambda a, b: a + b, steps)
 
 
-def replicate_means(rows: DataFrame, value: str, cluster: str, replicates: int, seed: int | str, drawn: int = DRAWN) -> DataFrame:
+def replicate_means(rows: DataFrame, value: str, cluster: str, replicates: int, seed: int | str, scheme: str = "draws") -> DataFrame:
     """(r, mean) of the bootstrap replicates: K of K clusters with replacement, item-weighted. Refused below two clusters.
 
-    With more than ``drawn`` clusters, each takes part in a replicate a Poisson number of times, of mean 1, by its own keyed hash: for many clusters the same
-    distribution, in one pass over the clusters, without numbers, a join or a shuffle of the draws.
+    By the ``poisson`` scheme each takes part in a replicate a Poisson number of times, of mean 1, by its own keyed hash: for many clusters the same
+    distribution, in one pass over the clusters, without numbers, a join or a shuffle of the draws. The caller chooses; the number of clusters changes nothing.
     """
+    if scheme not in SCHEMES:
+        raise ValueError(f"scheme must be one of {SCHEMES}, not {scheme!r}")
     sums = cluster_sums(rows, value, cluster)
     n = sums.count()
     require(rows.sparkSession.range(1), fewer_than_two_clusters=F.lit(n < 2))
-    if n > drawn:
+    if scheme == "poisson":
         spread = sums.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
         weighted = spread.withColumn("w", poisson_weight(draw(seed, F.col("r"), F.col("cluster")) / F.lit(2.0**32)))
         return weighted.groupBy(F.col("r").cast("long").alias("r")).agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
-    sums = F.broadcast(sums.withColumn("k", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("cluster")) - 1))
+    numbered = sums.withColumn("k", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("cluster")) - 1)
+    numbered = F.broadcast(numbered) if n <= BROADCAST_CLUSTERS else numbered
     draws = rows.sparkSession.range(replicates).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
     chosen = draws.select("r", F.pmod(draw(seed, F.col("r"), F.col("j")), F.lit(n)).alias("k"))
-    return chosen.join(sums.select("k", "s", "n"), "k").groupBy("r").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    return chosen.join(numbered.select("k", "s", "n"), "k").groupBy("r").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
 def interval(means: DataFrame, column: str = "mean", confidence: float = 0.95) -> DataFrame:
@@ -67,16 +72,16 @@ def interval(means: DataFrame, column: str = "mean", confidence: float = 0.95) -
     return means.agg(F.percentile(column, low).alias("low"), F.percentile(column, 1 - low).alias("high"), F.coalesce(F.stddev_samp(column), F.lit(0.0)).alias("se"))
 
 
-def bootstrap_mean(rows: DataFrame, value: str, cluster: str, replicates: int = 1000, seed: int | str = 0, confidence: float = 0.95) -> DataFrame:
+def bootstrap_mean(rows: DataFrame, value: str, cluster: str, replicates: int = 1000, seed: int | str = 0, confidence: float = 0.95, scheme: str = "draws") -> DataFrame:
     """One row: point, low, high, se, n_items, n_clusters. For paired differences pass the difference as the value."""
     facts = rows.agg(F.avg(F.col(value).cast("double")).alias("point"), F.count(value).alias("n_items"), F.count_distinct(cluster).alias("n_clusters"))
-    return facts.join(interval(replicate_means(rows, value, cluster, replicates, seed), confidence=confidence))
+    return facts.join(interval(replicate_means(rows, value, cluster, replicates, seed, scheme), confidence=confidence))
 
 
-def bootstrap_two_sample(control: DataFrame, treatment: DataFrame, value: str, cluster: str, replicates: int = 1000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
+def bootstrap_two_sample(control: DataFrame, treatment: DataFrame, value: str, cluster: str, replicates: int = 1000, seed: int = 0, confidence: float = 0.95, scheme: str = "draws") -> DataFrame:
     """Difference of two disjoint groups, each resampled by itself."""
-    a = replicate_means(control, value, cluster, replicates, f"{seed}c").withColumnRenamed("mean", "a")
-    b = replicate_means(treatment, value, cluster, replicates, f"{seed}t").withColumnRenamed("mean", "b")
+    a = replicate_means(control, value, cluster, replicates, f"{seed}c", scheme).withColumnRenamed("mean", "a")
+    b = replicate_means(treatment, value, cluster, replicates, f"{seed}t", scheme).withColumnRenamed("mean", "b")
     both = a.join(b, "r").select((F.col("b") - F.col("a")).alias("mean"))
     mean = lambda df, name: df.agg(F.avg(F.col(value).cast("double")).alias(name))
     point = mean(control, "a").join(mean(treatment, "b")).select((F.col("b") - F.col("a")).alias("point"))

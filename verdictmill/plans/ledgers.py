@@ -220,11 +220,19 @@ def leak_findings(t: Tables) -> DataFrame:
     return corpus.leak_findings(corpus.battery(turns(t)))
 
 
-@query("SELECT l_shipdate::DATE::VARCHAR AS day, count(*) AS n FROM lineitem GROUP BY 1")
+@query("SELECT 'day' AS guard, EXISTS (SELECT l_shipdate FROM lineitem GROUP BY l_shipdate HAVING count(DISTINCT strftime(l_shipdate, '%Y-%m-%d')) > 1) AS refused UNION ALL SELECT 'order', EXISTS (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1) UNION ALL SELECT 'gap', EXISTS (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_or(l_linenumber > 1))")
 def one_value_per_day(t: Tables) -> DataFrame:
-    rows = t.lineitem.select(F.to_date("l_shipdate").alias("day"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("name"))
-    guards.one_value_per(rows, "day", "name")
-    return rows.groupBy(F.col("name").alias("day")).agg(F.count("*").alias("n"))
+    """What the guard makes of a day's name, of an order's suppliers, and of a value that some lines of an order lack."""
+
+    def refused(key: str, value: Column) -> bool:
+        try:
+            guards.one_value_per(t.lineitem.select(F.col(key).alias("key"), value.alias("value")), "key", "value")
+        except guards.Refused:
+            return True
+        return False
+
+    told = {"day": refused("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd")), "order": refused("l_orderkey", F.col("l_suppkey")), "gap": refused("l_orderkey", F.when(F.col("l_linenumber") == 1, 1))}
+    return t.spark.createDataFrame(list(told.items()), "guard string, refused boolean")
 
 
 @query("SELECT n, target, greatest(1, ceil(target * (1 - icc) / (icc * (1 - target)) - 1e-9))::BIGINT AS repeats, greatest(2, ceil(1 + 1 / (2 * icc * icc)))::BIGINT AS for_scatter FROM (SELECT DISTINCT l_linenumber AS n, 0.5 + 0.05::DOUBLE * l_linenumber AS target, 0.1::DOUBLE * l_linenumber AS icc FROM lineitem)".replace("SELECT n, target,", f"SELECT n, {r('target')} AS target,"))
@@ -269,10 +277,18 @@ def band_report(t: Tables) -> DataFrame:
     return reports.rate_lines(rates.summarise(doc_verdicts(t), ["band"]), "band")
 
 
-@query("SELECT p_brand, printf('%s %.4f [%.4f, %.4f]', p_brand, avg(p_size), min(p_size)::DOUBLE, max(p_size)::DOUBLE) AS line FROM part GROUP BY 1")
+Z95 = forms.z_value()
+
+
+@query(
+    f"""WITH g AS (SELECT p_brand, avg((p_size > 25)::INT) AS p, count(*) AS n FROM part GROUP BY 1), w AS (SELECT *, (p + {Z95 * Z95!r} / (2 * n)) / (1 + {Z95 * Z95!r} / n) AS c, {Z95!r} * sqrt(p * (1 - p) / n + {Z95 * Z95!r} / (4.0::DOUBLE * n * n)) / (1 + {Z95 * Z95!r} / n) AS h FROM g)
+ SELECT p_brand, printf('%s %.4f [%.4f, %.4f]', p_brand, p, greatest(0, c - h), least(1, c + h)) AS line FROM w"""
+)
 def interval_report(t: Tables) -> DataFrame:
-    rows = t.part.groupBy("p_brand").agg(F.avg("p_size").alias("point"), F.min("p_size").cast("double").alias("low"), F.max("p_size").cast("double").alias("high"))
-    return reports.interval_lines(rows, "p_brand")
+    """The share of large parts of a brand with its score interval."""
+    per = t.part.groupBy("p_brand").agg(F.avg((F.col("p_size") > 25).cast("int")).alias("point"), F.count("*").alias("n"))
+    low, high = forms.wilson(F.col("point"), F.col("n"))
+    return reports.interval_lines(per.withColumns({"low": low, "high": high}).drop("n"), "p_brand")
 
 
 @query("SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey <> 3")
