@@ -174,6 +174,17 @@ def test_apply_mix_gives_each_taken_row_once(spark):
         assert all(any(t.startswith(" ".join(r.text.split())) for t in texts[r.doc_id, r.source]) for r in got)
 
 
+@pytest.mark.parametrize("mark", ['class="reader-comments"', 'id="user-comments"', 'class="post-comments"', 'id="blog-reviews"', 'class="inline-ad"', 'class="cookie-message"', 'class="sponsored-story"'])
+def test_names_that_end_in_the_thing_exclude(mark):
+    article = "".join(f"<p>{'A sentence of the article that runs on, with commas, and ends here. ' * 4}</p>" for _ in range(4))
+    block = f"<div {mark}><p>{'Somebody wrote this, and it is long enough, to look like text. ' * 3}</p></div>"
+    for page in (f"<html><body><article><h1>Title</h1>{article}{block}</article></body></html>", f"<html><body><div class=\"story\"><h1>Title</h1>{article}</div>{block}</body></html>"):
+        text = html_text.main_text(page)
+        assert text.count("A sentence of the article") == 16 and text.startswith("Title") and "Somebody" not in text
+    whole = html_text.main_text(f'<html><body><div class="comments-on-the-news"><h1>Title</h1>{article}</div></body></html>')
+    assert whole.count("A sentence of the article") == 16  # what holds the page's text is no aside
+
+
 # --- near-deduplication
 
 

@@ -9,7 +9,8 @@ paragraphs), those between the first and the last content node unless they are l
 headline of the first level before them.
 
 Tags only exclude: what a menu, header, footer, sidebar, notice, advert, form, or comment element holds is read no further. A class,
-id or role that says so and nothing else excludes too; one that says more leaves the decision to the ratios. Such words say nothing of
+id or role that says so and nothing else excludes too, and one that ends in such a thing or begins with such a kind (reader-comments, cookie-message); one
+that says more leaves the decision to the ratios. Such words say nothing of
 html, body, main and article, nor of an element that holds most of the text and all articles and headings of the first level.
 Where nearly all content stands in article elements (or, without these, in main), what is outside of them goes.
 """
@@ -46,6 +47,9 @@ MARKS = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search searchbox form comment comments commentlist disqus respond reply replies discussion share sharing social related "
     "recommended recommendations widget widgets toolbar pager pagination tags copyright legal disclaimer skip hidden complementary contentinfo".split()
 )
+#: Words that say so whatever stands beside them: what ends a name is the thing, what begins it is the kind of thing.
+LAST = frozenset("ad ads advert adverts advertisement comment comments commentlist discussion replies reviews sidebar navbar popup modal disclaimer newsletter paywall".split())
+FIRST = frozenset("ad ads advert advertisement cookie cookies consent gdpr comment comments disqus newsletter sponsored promo paywall".split())
 #: Words that may stand beside MARKS in a name without changing what it says.
 PLAIN = frozenset("site page main top bottom left right inner outer upper lower global local primary secondary bar area box block wrapper wrap container list item items link links button buttons section slot unit panel group row col column layer module region zone id".split())
 #: Elements that a node stands directly in, for what is added to content nodes.
@@ -69,8 +73,10 @@ def _says(attributes: str) -> tuple[bool, bool, bool]:
         if name in ("class", "id", "role"):
             for token in value.split():
                 parts = [p.lower() for p in _PART.findall(token)]
-                if any(p in MARKS for p in parts):
-                    only = all(p in MARKS or p in PLAIN or p.isdigit() for p in parts)
+                named = [p for p in parts if p not in PLAIN and not p.isdigit()]
+                loud = bool(named) and (named[-1] in LAST or named[0] in FIRST)
+                if loud or any(p in MARKS for p in parts):
+                    only = loud or all(p in MARKS or p in PLAIN or p.isdigit() for p in parts)
                     strict, weak = strict or only, weak or not only
         else:
             hidden = hidden or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.lower().replace(" ", "")
