@@ -26,6 +26,11 @@ def casefold(text: Column) -> Column:
     return F.lower(F.translate(F.upper(F.translate(text, dotless, mark)), mark, dotless))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it: a column would be put in at each place."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Runs of ASCII letters and apostrophes of the lower-cased text."""
     return F.regexp_extract_all(F.lower(text), F.lit("[A-Za-z']+"), F.lit(0))
@@ -62,8 +67,15 @@ def imperative_opener(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Parts that end with ``.``, ``!`` or ``?`` before white space, blank ones left out; never empty."""
-    parts = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
+    return let(_parts(text), lambda parts: F.when(F.size(parts) > 0, parts).otherwise(F.array(text)))
+
+
+def _parts(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
+
+
+def sentence_count(text: Column) -> Column:
+    return F.greatest(F.lit(1.0), F.size(_parts(text)).cast("double"))
 
 
 def penalty_gap(text: Column) -> Column:
@@ -81,7 +93,7 @@ FEATURES: dict[str, Callable[[Column], Column]] = {
     "type_token_ratio": type_token_ratio,
     "terminal_question": lambda t: has(t, r"\?\s*$"),
     "declines_advice": lambda t: has(t, DECLINES),
-    "sentence_count": lambda t: F.size(sentences(t)).cast("double"),
+    "sentence_count": sentence_count,
 }
 
 DELTA_FEATURES: dict[str, Callable[[Column], Column]] = {
@@ -107,15 +119,16 @@ WORD_FEATURES: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def featured(rows: DataFrame, text: str, registry: dict[str, Callable[[Column], Column]] = FEATURES) -> DataFrame:
-    """Adds the features of a column of texts."""
-    found = rows.withColumn("_words", words(F.col(text)))
-    made = {n: WORD_FEATURES[n](F.col("_words")) if n in WORD_FEATURES and make is FEATURES.get(n) else make(F.col(text)) for n, make in registry.items()}
-    return found.withColumns(made).drop("_words")
+def features(text: Column, registry: dict[str, Callable[[Column], Column]] = FEATURES) -> list[Column]:
+    """The features of a text; those of its words are made together, from words that are found once."""
+    shared = [n for n, make in registry.items() if n in WORD_FEATURES and make is FEATURES.get(n)]
+    of_words = let(words(text), lambda w: F.struct(*[WORD_FEATURES[n](w).alias(n) for n in shared])) if shared else None
+    return [(of_words[n] if n in shared else make(text)).alias(n) for n, make in registry.items()]
 
 
-def features(text: Column, registry: dict[str, Callable[[Column], Column]] = FEATURES) -> list[Column]:
-    return [make(text).alias(name) for name, make in registry.items()]
+def featured(rows: DataFrame, text: str, registry: dict[str, Callable[[Column], Column]] = FEATURES) -> DataFrame:
+    """Adds the features of a column of texts."""
+    return rows.select("*", *features(F.col(text), registry))
 
 
 def standardised_ttr(tokens: Column, window: int = 100) -> Column:

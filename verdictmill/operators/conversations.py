@@ -121,10 +121,14 @@ def final_responses(nodes: DataFrame, root: str = "orchestrator", order: str = "
     return said.select("conversation_id", "r.response")
 
 
-def render_reports(names: Column, reports: Column, ablated: str = "(no report)") -> Column:
-    """The reports under a heading each; an ablated one (null) keeps its heading. Null if the two arrays differ in length."""
+#: Fixed value: what stands for a report that was left out.
+ABLATED = "[no report was returned by this sub-agent]"
+
+
+def render_reports(names: Column, reports: Column, ablated: str = ABLATED) -> Column:
+    """The reports under a heading each; an ablated one (null) keeps its heading. Arrays of different lengths are refused: they are put together by place."""
     blocks = F.transform(F.arrays_zip(names.alias("n"), reports.alias("r")), lambda x: F.concat(F.lit("## Report from "), x["n"], F.lit("\n\n"), F.coalesce(x["r"], F.lit(ablated))))
-    return F.when(F.size(names) == F.size(reports), F.array_join(blocks, "\n\n"))
+    return F.when(F.size(names) == F.size(reports), F.array_join(blocks, "\n\n")).otherwise(F.raise_error(F.lit("as many reports as dispatches are needed")))
 
 
 def pinned_dispatches(dispatches: DataFrame, pinned: DataFrame, ablate: str) -> DataFrame:

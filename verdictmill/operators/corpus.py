@@ -154,6 +154,32 @@ def length_finding(sets: DataFrame, target: float = 0.70) -> DataFrame:
     return bad.select("key", F.concat(F.format_string("AUC %.3f, ", "auc"), why).alias("message"))
 
 
+#: The arms of a triplet of prompts.
+ARMS = ("base", "governing", "matched")
+
+
+def delta_cases(triplets: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cases, warnings) of triplets (id, files: array of paths) and files (path, arm, prompt, error or null).
+
+    A triplet whose list is not of three, one of whose files is missing or does not read, or that lacks an arm is left out with a warning (id, message), the first
+    that applies; each of the others gives two cases (id, triple, should_fire, delta): what the governing and the matched prompt insert into the base.
+    """
+    from ..functions.prompts import extract_delta
+
+    listed = triplets.select("id", F.explode_outer("files").alias("path"), F.coalesce(F.size("files"), F.lit(-1)).alias("_n"))
+    read = listed.join(files.select("path", F.lit(True).alias("_there"), "arm", "prompt", "error"), "path", "left")
+    bad = F.when(F.col("_there").isNull(), F.concat(F.lit("no file "), F.col("path"))).when(F.col("error").isNotNull(), F.concat(F.col("path"), F.lit(": "), F.col("error"))).when(F.col("arm").isNull() | F.col("prompt").isNull(), F.concat(F.col("path"), F.lit(": no arm or prompt")))
+    pick = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("prompt"))).alias(arm)
+    per = read.groupBy("id").agg(F.max("_n").alias("_n"), F.min(bad).alias("_bad"), *[pick(a) for a in ARMS])
+    missing = F.array_join(F.array_compact(F.array(*[F.when(F.col(a).isNull(), a) for a in ARMS])), ", ")
+    why = F.when(F.col("_n") != 3, "not three files").when(F.col("_bad").isNotNull(), F.col("_bad")).when(missing != "", F.concat(F.lit("missing arms: "), missing))
+    told = per.withColumn("message", why)
+    arm = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(a).alias("prompt")) for a in ARMS[1:]])).alias("v")
+    sound = told.filter("message is null").select("id", "base", arm)
+    cases = sound.select(F.concat_ws("-", "id", "v.arm").alias("id"), F.col("id").alias("triple"), (F.col("v.arm") == ARMS[1]).alias("should_fire"), extract_delta(F.col("base"), F.col("v.prompt")).alias("delta"))
+    return cases, told.filter("message is not null").select("id", "message")
+
+
 #: Fixed value: how far a stump may do better than the majority.
 MAX_LIFT = 0.10
 

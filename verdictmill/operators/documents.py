@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .integrity import occurrences
 
 
@@ -96,30 +96,25 @@ def markdown_blocks(docs: DataFrame, text: str = "text", doc_id: str = "path") -
     blocks are known, so rows that repeat a path are documents of their own; a null or empty text has none.
     """
     lines = F.split(F.regexp_replace(text, f"(?:{LINE_END})\\z", ""), LINE_END, -1)
-    return docs.filter(F.col(text) != "").select(F.col(doc_id).cast("string").alias(doc_id), F.inline(_let(lines, _blocks_of)))
+    return docs.filter(F.col(text) != "").select(F.col(doc_id).cast("string").alias(doc_id), F.inline(let(lines, _blocks_of)))
 
 
 def _blocks_of(lines: Column) -> Column:
-    letters = _let(_fenced(lines), lambda fenced: F.transform(lines, lambda x, i: _letter(x, i, fenced)))
+    letters = let(_fenced(lines), lambda fenced: F.transform(lines, lambda x, i: _letter(x, i, fenced)))
     word = F.array_join(letters, "")
     for pattern, into in REWRITES:
         word = F.lower(word) if into is None else F.regexp_replace(word, pattern, into)
 
     def cut(word: Column) -> Column:
         begins = F.filter(F.transform(word, lambda w, i: F.when(w.isin("f", "d", "r", "h", "s"), i + 1)), lambda i: i.isNotNull())
-        return _let(begins, lambda firsts: F.transform(firsts, lambda first, k: block(word, first, F.coalesce(F.get(firsts, k + 1), F.size(lines) + 1) - 1)))
+        return let(begins, lambda firsts: F.transform(firsts, lambda first, k: block(word, first, F.coalesce(F.get(firsts, k + 1), F.size(lines) + 1) - 1)))
 
     def block(word: Column, first: Column, last: Column) -> Column:
         """A block runs to the line before the next one's first, without blank lines."""
         own = F.filter(F.slice(lines, first, last - first + 1), lambda x, i: F.get(word, first + i - 1) != "b")
         return F.struct(first.alias("line"), F.array_join(own, "\n").alias("block"))
 
-    return _let(F.split(word, ""), cut)
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it: a column would be put in at each place."""
-    return F.transform(F.array(value), body)[0]
+    return let(F.split(word, ""), cut)
 
 
 #: A field of an entry with a body of braces, nested three deep at most.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import compile_expression
 from .guards import require
+from .ranks import running
 from .resample import draw
 
 
@@ -80,9 +81,20 @@ def render(template: Column, values: Column) -> Column:
 
 
 def partition_entries(rows: DataFrame, order: str, name: str, n: int, by: Sequence[str] = ()) -> DataFrame:
-    """n contiguous groups in order, the first ones longer by one: (group, names)."""
-    tile = F.ntile(n).over((W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(order))
-    placed = rows.withColumn("group", tile)
+    """n contiguous groups in order (unique), the first ones longer by one: (group, names).
+
+    Of all rows, the places come from counts in parts of the order (a number), so no task sorts them all.
+    """
+    if by:
+        placed = rows.withColumn("group", F.ntile(n).over(W.partitionBy(*by).orderBy(order)))
+    else:
+        slim = rows.select(order, name).withColumn("_one", F.lit(1))
+        at = running(slim, (), order, "_one")
+        size = slim.agg(F.count("*").alias("_size"))
+        short, longer = F.floor(F.col("_size") / n), F.col("_size") % n
+        edge = longer * (short + 1)
+        k = F.when(F.col("_one_below") < edge, F.floor(F.col("_one_below") / (short + 1))).otherwise(longer + F.floor((F.col("_one_below") - edge) / F.greatest(short, F.lit(1))))
+        placed = at.join(F.broadcast(size)).withColumn("group", (k + 1).cast("int"))  # one row
     return placed.groupBy(*by, "group").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, name))), lambda s: s[name]).alias("names"))
 
 
@@ -165,6 +177,11 @@ def audited(distractors: DataFrame) -> DataFrame:
     return distractors.withColumns({"inert": free, "accepted": free & (F.size("votes") >= 2) & F.forall("votes", lambda v: F.coalesce(v, F.lit(False)))})
 
 
+def audit_summary(audited_: DataFrame) -> DataFrame:
+    """(considered, accepted, refused, rate) of audited distractors; the rate is 0 where none was considered."""
+    return audited_.agg(F.count("*").alias("considered"), F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("refused"), F.coalesce(F.avg(F.col("accepted").cast("int")), F.lit(0.0)).alias("rate"))
+
+
 def draw_pool(facts: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """(key, pool): at most k distractors (key, fact_id, text, collides) of each template, those that collide with what decides first, in seeded order within both kinds."""
     own = F.struct((~F.col("collides")).alias("inert"), draw(seed, F.col(key), F.col("fact_id")).alias("at"), "fact_id", "text")

@@ -9,17 +9,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 
-def running(df: DataFrame, by: Sequence[str], order: str, *columns: str, parts: int = 64) -> DataFrame:
+
+def running(df: DataFrame, by: Sequence[str], order: str, *columns: str, parts: int = 64, once: bool = True) -> DataFrame:
     """Adds ``<column>_below``: the sum over rows of the group with a smaller ``order`` (a number, unique in the group).
 
-    The order of all rows is cut at its quantiles (a subquery, whose shuffled input the rest shares). Running sums are taken within a group's part, and the totals of the parts below, of which a
-    group has at most ``parts``, are added. So no task sorts a whole group, however many rows it has.
+    The order of all rows is cut at its quantiles. Running sums are taken within a group's part, and the totals of the parts below, of which a
+    group has at most ``parts``, are added. So no task sorts a whole group, however many rows it has. ``once``: the rows are written first, since quantiles,
+    totals and sums each read them; not needed where they are.
     """
+    df = written(df, "running") if once else df
     below = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     value = F.col(order).cast("double")
-    cuts = df.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], F.lit(1000)).alias("cuts")).scalar()
-    cut = df.withColumn("_cuts", cuts).withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda c: value > c)), F.lit(0))).drop("_cuts")
+    cuts = sorted({float(x) for x in df.select(value.alias("o")).approxQuantile("o", [k / parts for k in range(1, parts)], 0.01)})
+    if not cuts:
+        return df.withColumns({f"{c}_below": F.lit(0) for c in columns})
+    cut = df.withColumn("_part", reduce(lambda a, b: a + b, [F.coalesce(value > c, F.lit(False)).cast("int") for c in cuts]))
     totals = cut.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
     first = W.partitionBy(*(by or [F.lit(0)])).orderBy("_part")
     ahead = totals.select(*[F.col(b).alias(f"_by{k}") for k, b in enumerate(by)], F.col("_part").alias("_at"), *[below(f"_{c}", first).alias(f"_{c}") for c in columns])
@@ -97,11 +103,11 @@ def long_form(rows: DataFrame, names: Sequence[str], *keep: str) -> DataFrame:
 
 def depth1(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Most training rows (feature, value, label) that one threshold on one feature, or none, gets right, per group."""
-    at = rows.groupBy(*by, "feature", "value").agg(F.count_if(F.col("label")).alias("p"), F.count_if(~F.col("label")).alias("q"))
+    at = written(rows.groupBy(*by, "feature", "value").agg(F.count_if(F.col("label")).alias("p"), F.count_if(~F.col("label")).alias("q")), "depth1")
     keys = [*by, "feature"]
     whole = at.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    cut = running(at, keys, "value", "p", "q").join(whole, same).withColumns({"lp": F.col("p_below") + F.col("p"), "lq": F.col("q_below") + F.col("q")})
+    cut = running(at, keys, "value", "p", "q", once=False).join(whole, same).withColumns({"lp": F.col("p_below") + F.col("p"), "lq": F.col("q_below") + F.col("q")})
     right = F.greatest("lp", "lq") + F.greatest(F.col("np") - F.col("lp"), F.col("nq") - F.col("lq"))
     return cut.groupBy(*by).agg(F.max(right).alias("right"))
 
@@ -111,7 +117,7 @@ def stump(rows: DataFrame, names: Sequence[str], label: str, row_id: str, outer_
 
     Counts by value give all cuts of a feature, and the sides of all cuts are then searched at once as groups of ``depth1``.
     """
-    slim = rows.select(row_id, F.col(label).alias("label"), *names)
+    slim = written(rows.select(row_id, F.col(label).alias("label"), *names), "stump")  # read four times
     n = slim.count()
     if not n:
         return rows.sparkSession.createDataFrame([], "n long, majority double, depth1 double, depth2 double")

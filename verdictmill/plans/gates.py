@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing, text
-from ..operators import casefiles, corpus, gates
+from ..operators import casefiles, corpus, gates, generate
 from ..sources.scratch import shared_path
 from ..streaming import sinks
 from .proxies import doc_verdicts
@@ -147,3 +147,32 @@ def resumed_runs(t: Tables) -> DataFrame:
     t.events.select("event_type", "event_id", stamp.alias("version")).write.parquet(root)
     stream = t.spark.readStream.schema("event_type string, event_id long, version long").parquet(root)
     return sinks.resume(stream, "event_type", "event_id", ["version"]).select("run", "rows", "refused")
+
+
+#: Parts are triplets of prompts; some lists are short, some files missing, broken, or of one arm twice.
+@query("SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 6 = 1 THEN 'not three files' WHEN p_partkey % 6 = 2 THEN 'no file ' || p_partkey || '/2' WHEN p_partkey % 6 = 3 THEN p_partkey || '/1: torn' ELSE 'missing arms: matched' END AS message FROM part WHERE p_partkey % 6 BETWEEN 1 AND 4")
+def delta_warnings(t: Tables) -> DataFrame:
+    return corpus.delta_cases(*_triplets(t))[1]
+
+
+@query("SELECT p_partkey || '-' || arm AS id, should_fire, CASE WHEN should_fire THEN 'governs ' ELSE 'matches ' END || p_brand AS delta FROM part, (VALUES ('governing', true), ('matched', false)) v(arm, should_fire) WHERE p_partkey % 6 IN (0, 5)")
+def delta_cases(t: Tables) -> DataFrame:
+    return corpus.delta_cases(*_triplets(t))[0].drop("triple")
+
+
+def _triplets(t: Tables) -> tuple[DataFrame, DataFrame]:
+    k, how = F.col("p_partkey"), F.col("p_partkey") % 6
+    path = lambda i: F.concat(s("p_partkey"), F.lit(f"/{i}"))
+    triplets = t.part.select(s("p_partkey").alias("id"), F.when(how == 1, F.array(path(0), path(1))).otherwise(F.array(path(0), path(1), path(2))).alias("files"))
+    base = F.concat(F.lit("First line.\n- of "), F.col("p_name"), F.lit("\nLast line."))
+    variant = lambda word: F.concat(F.lit("First line.\n- of "), F.col("p_name"), F.lit(f"\n- {word} "), F.col("p_brand"), F.lit("\nLast line."))
+    arms = F.array(F.struct(F.lit(0).alias("i"), F.lit("base").alias("arm"), base.alias("prompt")), F.struct(F.lit(1).alias("i"), F.lit("governing").alias("arm"), variant("governs").alias("prompt")), F.struct(F.lit(2).alias("i"), F.when(how == 4, "governing").otherwise("matched").alias("arm"), variant("matches").alias("prompt")))
+    files = t.part.select(k, F.explode(arms).alias("f")).filter((how != 2) | (F.col("f.i") != 2))
+    return triplets, files.select(F.concat_ws("/", s("p_partkey"), F.col("f.i").cast("string")).alias("path"), "f.arm", "f.prompt", F.when((how == 3) & (F.col("f.i") == 1), "torn").alias("error"))
+
+
+@query("SELECT r_name, grp::INT AS \"group\", string_agg(n_name, '|' ORDER BY n_nationkey) AS names FROM (SELECT 'all' AS r_name, n_nationkey, n_name, ntile(4) OVER (ORDER BY n_nationkey) AS grp FROM nation) GROUP BY 1, 2 UNION ALL SELECT 'customers', grp::INT, min(c_custkey) || '..' || max(c_custkey) FROM (SELECT c_custkey, ntile(7) OVER (ORDER BY c_custkey) AS grp FROM customer) GROUP BY 2")
+def entries_of_all(t: Tables) -> DataFrame:
+    few = generate.partition_entries(t.nation, "n_nationkey", "n_name", 4).select(F.lit("all").alias("r_name"), "group", F.array_join("names", "|").alias("names"))
+    many = generate.partition_entries(t.customer.select("c_custkey", s("c_custkey").alias("name")), "c_custkey", "name", 7)
+    return few.unionByName(many.select(F.lit("customers").alias("r_name"), "group", F.concat_ws("..", F.element_at("names", 1), F.element_at("names", -1)).alias("names")))

@@ -430,7 +430,7 @@ def final_responses(t: Tables) -> DataFrame:
     return conversations.final_responses(nodes.join(has, "conversation_id", "left_semi"), "user")
 
 
-@query("WITH x AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN substr(text, 1, 40) END AS rep FROM conversations) SELECT conv_id, string_agg('## Report from n' || turn || chr(10) || chr(10) || coalesce(rep, '(no report)'), chr(10) || chr(10) ORDER BY turn, rep) AS told FROM x GROUP BY 1")
+@query("WITH x AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN substr(text, 1, 40) END AS rep FROM conversations) SELECT conv_id, string_agg('## Report from n' || turn || chr(10) || chr(10) || coalesce(rep, '[no report was returned by this sub-agent]'), chr(10) || chr(10) ORDER BY turn, rep) AS told FROM x GROUP BY 1")
 def rendered_reports(t: Tables) -> DataFrame:
     own = F.struct("turn", F.when(F.col("turn") % 2 == 0, F.substring("text", 1, 40)).alias("rep"))
     trees = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(own)).alias("x"))
@@ -498,6 +498,11 @@ def audited_distractors(t: Tables) -> DataFrame:
     return generate.audited(t.customer.select("c_custkey", shared.alias("shared"), votes.alias("votes"))).select("c_custkey", "inert", "accepted")
 
 
+@query(f"SELECT count(*) AS considered, count(*) FILTER (WHERE c_nationkey % 3 > 0 AND c_custkey % 4 = 3) AS accepted, count(*) FILTER (WHERE NOT (c_nationkey % 3 > 0 AND c_custkey % 4 = 3)) AS refused, {r('avg((c_nationkey % 3 > 0 AND c_custkey % 4 = 3)::INT)')} AS rate FROM customer")
+def audit_summary(t: Tables) -> DataFrame:
+    return generate.audit_summary(audited_distractors(t))
+
+
 FILES_SQL = """cf AS (SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN 'none' WHEN 5 THEN '7' ELSE (c_custkey % 6 % 4)::VARCHAR END AS ord, c_custkey % 5 AS a, c_custkey % 4 AS b, c_custkey % 3 AS c, c_custkey % 7 AS d FROM customer)"""
 
 

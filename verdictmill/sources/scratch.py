@@ -33,3 +33,11 @@ class Written:
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/*")
+
+
+def written(rows: DataFrame, name: str = "kept") -> DataFrame:
+    """The rows, computed once, written and read again: for what several parts of a plan use."""
+    table = Written(rows.sparkSession, name)
+    table.schema = rows.schema
+    rows.write.parquet(f"{table.path}/part=0")
+    return table.read()
