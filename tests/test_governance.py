@@ -426,3 +426,15 @@ def test_corpus_check_is_the_union_of_its_parts(spark):
     assert "stump" in found and any(k.startswith("leak:") for k in found)
     assert not any(r.key == "stump" for r in corpus.stump_findings(corpus.featured(turns.select("id", "should_fire", "turn"), "turn", corpus.FEATURES), list(corpus.FEATURES), "should_fire", "id", max_lift=0.5).collect())
     assert corpus.MAX_LIFT == 0.10
+
+
+def test_trigger_sets_with_a_baseline(spark):
+    from verdictmill.operators import gates
+
+    rows = lambda shape, *x: spark.createDataFrame(list(x), shape)
+    skills, sets = rows("skill string", ("a",), ("b",), ("c",)), rows("name string, skill string, error string", ("a", "a", None), ("b", None, None), ("z", "z", None))
+    cases = rows("name string, should_fire boolean", ("a", True), ("a", False), ("b", True), ("b", None))
+    found = rows("key string, message string", ("known", "k"), ("new", "n"))
+    none = rows("key string, message string", ("x", "x")).limit(0)
+    got = gates.check_trigger_sets(skills, sets, cases, rows("key string, message string", ("b", "length")), none, found, rows("key string", ("known",), ("gone",)))
+    assert sorted(map(tuple, got.collect())) == sorted([("c", "no trigger set"), ("z", "a set of no skill"), ("b", "declares no skill"), ("b", "no negative cases"), ("b", "length"), ("new", "n"), ("gone", "in the baseline and no longer found")])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .documents import anchor_findings, normalise_markup
 from .guards import require, union_issues
-from .integrity import reachable
+from .integrity import apply_baseline, reachable
 
 #: How many commits a document's subject may move past its review; what decorates a published number.
 CEILING = 10
@@ -72,6 +72,40 @@ def claim_findings(claims: DataFrame) -> DataFrame:
     return anchor_findings(claims).filter("message <> 'value not in quote'").unionByName(numeric_findings(claims))
 
 
+def reference_findings(claims: DataFrame, published: DataFrame) -> DataFrame:
+    """Of a register's claims (claim_id, source) and what documents publish (claim_id, document): claims that nothing publishes, published ids (one row each, at their first
+    document) that are not declared, and claims that their own source publishes, whose anchor would be rewritten from what it is to check."""
+    declared, told = claims.select("claim_id", "source").distinct(), published.select("claim_id", "document").distinct()
+    rows = lambda df, key, message: df.select(F.col(key).cast("string").alias("key"), F.lit(message).alias("message"), F.col("claim_id").cast("string").alias("claim"))
+    idle = declared.select("claim_id").distinct().join(told, "claim_id", "left_anti")
+    unknown = told.join(declared.select("claim_id"), "claim_id", "left_anti").groupBy("claim_id").agg(F.min("document").alias("document"))
+    own = declared.join(told.withColumnRenamed("document", "source"), ["claim_id", "source"], "left_semi")
+    return union_issues(rows(idle, "claim_id", "declared and not published"), rows(unknown, "document", "published and not declared"), rows(own, "source", "published by its own source"))
+
+
+def trigger_set_findings(skills: DataFrame, sets: DataFrame, cases: DataFrame) -> DataFrame:
+    """(key, message) of skills (skill), sets as filed (name, skill: as declared, error: why it does not read, or null) and their cases (name, should_fire): skills
+    without a set, sets of no skill, and of the others those that do not read, declare another skill than they are filed under, or have no negative case."""
+    known, filed = skills.select(F.col("skill").alias("name")).distinct(), sets.select("name", "skill", "error")
+    rows = lambda df, message: df.select(F.col("name").alias("key"), message.alias("message"))
+    bare = rows(known.join(filed, "name", "left_anti"), F.lit("no trigger set"))
+    orphan = rows(filed.join(known, "name", "left_anti"), F.lit("a set of no skill"))
+    held = filed.join(known, "name", "left_semi")
+    torn, sound = rows(held.filter("error is not null"), F.col("error")), held.filter("error is null")
+    other = rows(sound.filter(~F.col("skill").eqNullSafe(F.col("name"))), F.concat(F.lit("declares "), F.coalesce("skill", F.lit("no skill"))))
+    negative = cases.filter("should_fire = false").select("name").distinct()
+    return union_issues(bare, orphan, torn, other, rows(sound.join(negative, "name", "left_anti"), F.lit("no negative cases")))
+
+
+def check_trigger_sets(skills: DataFrame, sets: DataFrame, cases: DataFrame, separability: DataFrame, routes: DataFrame, corpus_findings: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(key, message): everything wrong with the trigger sets. The findings of sets, lengths and routes (key, message) always count; those of the corpus rules only
+    where the ``baseline`` (key) does not know them, and what the baseline knows and no longer occurs counts too: it may only shrink."""
+    state = apply_baseline(corpus_findings, baseline)
+    new = corpus_findings.join(state.filter("state = 'issue'").select("key"), "key", "left_semi").select("key", "message")
+    stale = state.filter("state = 'stale'").select("key", F.lit("in the baseline and no longer found").alias("message"))
+    return union_issues(trigger_set_findings(skills, sets, cases), separability, routes, new, stale)
+
+
 def run_findings(plans: DataFrame) -> DataFrame:
     """Of planned runs (run, committed, skill, skill_sha256, analysis, analysis_sha256, baseline, low, high, budget, cost): why each may not start, in the order in which it
     is easiest to mend. An unknown baseline, cost or hash is a reason too; a baseline at an end of its band is within it, and a cost of the whole budget is affordable."""

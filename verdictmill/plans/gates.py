@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing, text
-from ..operators import casefiles, corpus, gates, generate
+from ..functions import rates as forms
+from ..operators import casefiles, conversations, corpus, documents, gates, generate, provenance
+from ..sources import keys
 from ..sources.scratch import shared_path
 from ..streaming import sinks
 from .proxies import doc_verdicts
@@ -176,3 +178,74 @@ def entries_of_all(t: Tables) -> DataFrame:
     few = generate.partition_entries(t.nation, "n_nationkey", "n_name", 4).select(F.lit("all").alias("r_name"), "group", F.array_join("names", "|").alias("names"))
     many = generate.partition_entries(t.customer.select("c_custkey", s("c_custkey").alias("name")), "c_custkey", "name", 7)
     return few.unionByName(many.select(F.lit("customers").alias("r_name"), "group", F.concat_ws("..", F.element_at("names", 1), F.element_at("names", -1)).alias("names")))
+
+
+@query(
+    """WITH d AS (SELECT c_custkey AS k, c_nationkey AS src FROM customer WHERE c_custkey % 3 <> 0), p AS (SELECT DISTINCT o_custkey AS k, o_orderkey % 25 AS doc FROM orders)
+ SELECT k::VARCHAR AS key, 'declared and not published' AS message, k::VARCHAR AS claim FROM d WHERE k NOT IN (SELECT k FROM p) UNION ALL SELECT min(doc)::VARCHAR, 'published and not declared', k::VARCHAR FROM p WHERE k NOT IN (SELECT k FROM d) GROUP BY k
+ UNION ALL SELECT src::VARCHAR, 'published by its own source', d.k::VARCHAR FROM d JOIN p ON p.k = d.k AND p.doc = d.src"""
+)
+def reference_findings(t: Tables) -> DataFrame:
+    claims = t.customer.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("claim_id"), F.col("c_nationkey").cast("long").alias("source"))
+    return gates.reference_findings(claims, t.orders.select(F.col("o_custkey").alias("claim_id"), (F.col("o_orderkey") % 25).alias("document")))
+
+
+SETS_SQL = "sk AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 5 <> 0), st AS (SELECT s_suppkey AS k, s_suppkey % 7 = 1 AS torn, s_suppkey % 7 = 2 AS other FROM supplier WHERE s_suppkey % 4 <> 0), ne AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R')"
+
+
+@query(
+    f"""WITH {SETS_SQL} SELECT k::VARCHAR AS key, 'no trigger set' AS message FROM sk WHERE k NOT IN (SELECT k FROM st) UNION ALL SELECT k::VARCHAR, 'a set of no skill' FROM st WHERE k NOT IN (SELECT k FROM sk)
+ UNION ALL SELECT k::VARCHAR, 'torn' FROM st WHERE torn AND k IN (SELECT k FROM sk) UNION ALL SELECT k::VARCHAR, 'declares x' || k FROM st WHERE other AND k IN (SELECT k FROM sk) UNION ALL SELECT k::VARCHAR, 'no negative cases' FROM st WHERE NOT torn AND k IN (SELECT k FROM sk) AND k NOT IN (SELECT k FROM ne)"""
+)
+def trigger_set_findings(t: Tables) -> DataFrame:
+    """Suppliers are skills and sets, their lines the cases."""
+    k, name = F.col("s_suppkey"), s("s_suppkey")
+    sets = t.supplier.filter(k % 4 != 0).select(name.alias("name"), F.when(k % 7 == 2, F.concat(F.lit("x"), name)).otherwise(name).alias("skill"), F.when(k % 7 == 1, "torn").alias("error"))
+    cases = t.lineitem.select(s("l_suppkey").alias("name"), (~((F.col("l_quantity") > 45) & (F.col("l_returnflag") == "R"))).alias("should_fire"))
+    return gates.trigger_set_findings(t.supplier.filter(k % 5 != 0).select(name.alias("skill")), sets, cases)
+
+
+# --- small operators: each over a whole table, and each wrong if the operator is
+
+
+@query("SELECT conv_id, turn, turn % 3 <> 0 AND turn % 4 <> 1 AS transformed FROM conversations")
+def transformed_reports(t: Tables) -> DataFrame:
+    report = F.when(F.col("turn") % 4 != 1, F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("~"), "text")))
+    return t.conversations.select("conv_id", "turn", conversations.was_transformed(report, F.col("text")).alias("transformed"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_returnflag || ' ' || l_linestatus AS name FROM lineitem")
+def span_names(t: Tables) -> DataFrame:
+    return t.lineitem.select("l_orderkey", "l_linenumber", provenance.span_name(F.col("l_returnflag"), F.col("l_linestatus")).alias("name"))
+
+
+@query("WITH m AS (SELECT o_custkey AS document, CASE WHEN o_custkey % 11 <> 0 THEN count(*) FILTER (WHERE o_orderstatus = 'F') END AS commits FROM orders GROUP BY 1) SELECT document, commits FROM m WHERE commits IS NULL OR commits <> 0")
+def review_worklist(t: Tables) -> DataFrame:
+    moved = t.orders.groupBy(F.col("o_custkey").alias("document")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("n"))
+    return documents.worklist(moved.select("document", F.when(F.col("document") % 11 != 0, F.col("n")).alias("commits")))
+
+
+@query(f"SELECT l_suppkey, count(*) = count(DISTINCT l_orderkey) AS inert, {r('avg(l_discount)')} AS point, avg(l_discount) BETWEEN 0.045 AND 0.055 AS within FROM lineitem GROUP BY 1")
+def inert_clusters(t: Tables) -> DataFrame:
+    per = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("k"), F.avg("l_discount").alias("point"))
+    return per.select("l_suppkey", forms.clustering_is_inert(F.col("n"), F.col("k")).alias("inert"), "point", forms.within(F.col("point"), 0.045, 0.055).alias("within"))
+
+
+@query("SELECT doc_id, should_fire, count(*) AS n FROM (SELECT doc_id, quality = 1 AS should_fire FROM labels) WHERE should_fire IS NOT NULL GROUP BY 1, 2")
+def split_cases(t: Tables) -> DataFrame:
+    cases = t.labels.select("doc_id", (F.col("quality") == 1).alias("should_fire"))
+    return keys.positives(cases).unionByName(keys.negatives(cases)).groupBy("doc_id", "should_fire").agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey, s_name || chr(10) || s_nationkey || chr(10) || chr(10) || chr(10) || repeat('=', 60) || chr(10) || chr(10) || 'Who?' || chr(10) AS prompt FROM supplier")
+def ablated_prompts(t: Tables) -> DataFrame:
+    return t.supplier.select("s_suppkey", generate.ablate(F.array(F.col("s_name"), s("s_nationkey")), F.lit("Who?")).alias("prompt"))
+
+
+@query("SELECT c_custkey, c_custkey % 10 BETWEEN 3 AND 6 AS inside FROM customer")
+def marks_within_band(t: Tables) -> DataFrame:
+    """A mark after as many tenths of a prompt as the last digit of the key says."""
+    k = F.col("c_custkey") % 10
+    pad = lambda n: F.repeat(F.lit("x"), n.cast("int"))
+    prompt = F.concat(pad(k * 100), F.lit("MARK"), pad(996 - k * 100))
+    return t.customer.select("c_custkey", generate.within_band(prompt, F.array(F.lit("MARK"))).alias("inside"))
