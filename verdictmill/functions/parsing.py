@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import casefold
+from .text import casefold, let
 
 #: A flat JSON object; the first one counts.
 FLAT_OBJECT = r"\{[^{}]*\}"
@@ -60,7 +60,10 @@ def json_candidates(text: Column, nested: bool = False) -> Column:
 
     With ``nested`` the other balanced objects follow, outermost first: they find a verdict that holds an object and has braces in the prose beside it.
     """
-    bare = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    return let(F.regexp_replace(text, r"^\s+|\s+$", ""), lambda bare: _candidates(bare, nested))
+
+
+def _candidates(bare: Column, nested: bool) -> Column:
     first, last = F.locate("{", bare), F.length(bare) - F.locate("}", F.reverse(bare)) + 1
     slice_ = F.when((first > 0) & F.contains(bare, F.lit("}")) & (first < last), F.substr(bare, first, last - first + 1))
     parts = [F.array(bare, slice_), F.regexp_extract_all(bare, F.lit(FLAT_OBJECT), F.lit(0))]
@@ -73,7 +76,7 @@ def json_candidates(text: Column, nested: bool = False) -> Column:
 def first_object(text: Column, accept: Callable[[Column], Column], nested: bool = False) -> Column:
     """The first candidate, as a variant, that is a JSON object which ``accept`` takes."""
     # The parser stops behind the first value: an object has to be the whole candidate.
-    whole = lambda c: F.exists(balanced_objects(c), lambda o: (o["first"] == 0) & (o["last"] == F.length(c) - 1))
+    whole = lambda c: c.startswith("{") & c.endswith("}") & (c.rlike(f"^{FLAT_OBJECT}$") | F.exists(balanced_objects(c), lambda o: (o["first"] == 0) & (o["last"] == F.length(c) - 1)))
     objects = F.transform(F.filter(json_candidates(text, nested), whole), lambda c: F.try_parse_json(c))
     return F.get(F.filter(objects, lambda v: F.coalesce(v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT") & accept(v), F.lit(False))), F.lit(0))
 
@@ -81,15 +84,18 @@ def first_object(text: Column, accept: Callable[[Column], Column], nested: bool
 def boolean_decision(text: Column, field: str = "decision", nested: bool = False) -> Column:
     """The boolean ``field`` of the first candidate that has one; a text or a number is none."""
     is_boolean = lambda v: F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant")) == "BOOLEAN"
-    return F.try_variant_get(first_object(text, is_boolean, nested), f"$.{field}", "boolean")
+    return let(first_object(text, is_boolean, nested), lambda v: F.try_variant_get(v, f"$.{field}", "boolean"))
 
 
 def judged(text: Column, verdicts: Sequence[str], nested: bool = False) -> Column:
     """Struct (verdict, confidence) of the first candidate whose ``verdict`` is one of ``verdicts``; the confidence is null unless a number in [0, 1]."""
-    found = first_object(text, lambda v: F.try_variant_get(v, "$.verdict", "string").isin(*verdicts), nested)
-    kind = F.schema_of_variant(F.try_variant_get(found, "$.confidence", "variant"))
-    number = F.when(~kind.isin("STRING", "BOOLEAN"), F.try_variant_get(found, "$.confidence", "double"))
-    return F.struct(F.try_variant_get(found, "$.verdict", "string").alias("verdict"), F.when(number.between(0.0, 1.0), number).alias("confidence"))
+
+    def told(found: Column) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(found, "$.confidence", "variant"))
+        number = F.when(~kind.isin("STRING", "BOOLEAN"), F.try_variant_get(found, "$.confidence", "double"))
+        return F.struct(F.try_variant_get(found, "$.verdict", "string").alias("verdict"), F.when(number.between(0.0, 1.0), number).alias("confidence"))
+
+    return let(first_object(text, lambda v: F.try_variant_get(v, "$.verdict", "string").isin(*verdicts), nested), told)
 
 
 def normalise(text: Column) -> Column:
