@@ -51,6 +51,23 @@ def _near(x, y):
         return False
 
 
+def test_inert_clusters_to_the_last_digit(spark, small, tmp_path):
+    """Supplier 1 has the mean 0.0521875 but for the order of its sum; the second table has suppliers without a key, an order or a discount, in three files."""
+
+    def both(folder, files):
+        want = duckdb.sql(SQL["inert_clusters"].replace("FROM lineitem", f"FROM read_parquet('{files}')")).fetchall()
+        return [sorted(map(tuple, x), key=str) for x in (QUERIES["inert_clusters"](spark, folder).collect(), want)]
+
+    got, want = both(small, f"{small}/lineitem.parquet")
+    assert got == want
+    rows = [(k if k < 4 else None, i if i % 9 else None, (i * 37 % 11) / 100 if k else None) for k in range(5) for i in range(60)] + [(5, 1, -0.0), (5, 2, None), (6, 1, 0.05)]
+    (tmp_path / "lineitem.parquet").mkdir()
+    for n in range(3):
+        pd.DataFrame(rows[n::3], columns=["l_suppkey", "l_orderkey", "l_discount"]).astype({"l_suppkey": "Int64", "l_orderkey": "Int64"}).to_parquet(tmp_path / "lineitem.parquet" / f"{n}.parquet")
+    got, want = both(str(tmp_path), f"{tmp_path}/lineitem.parquet/*.parquet")
+    assert got == want and len(got) == 7
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
