@@ -255,6 +255,30 @@ def test_bootstrap_is_reproducible_and_contains_the_point(spark):
     assert 1 / 401 <= p < 0.02
 
 
+def test_bootstrap_draws_are_counted_up_by_tasks(spark, monkeypatch):
+    """No list of the clusters stands in the plan, which the driver would hold; the draws are those of the numbered clusters, however these are dealt."""
+    import hashlib
+
+    many = spark.range(30_000).select(F.col("id").alias("c"), F.lit(1.0).alias("v"))
+    assert "Range (0, 90000," in resample.replicate_means(many, "v", "c", 3, 1)._jdf.queryExecution().optimizedPlan().toString()
+    rng = random.Random(8)
+    rows = [(f"c{rng.randrange(500):03}", float(rng.randrange(9))) for _ in range(1500)]
+    sums = {}
+    for c, v in rows:
+        s, n = sums.get(c, (0.0, 0))
+        sums[c] = s + v, n + 1
+    order = [sums[c] for c in sorted(sums)]
+    want = []
+    for r in range(4):
+        drawn = [order[int(hashlib.md5(f"7:{r}:{j}".encode()).hexdigest()[:8], 16) % len(order)] for j in range(len(order))]
+        want.append(sum(s for s, _ in drawn) / sum(n for _, n in drawn))
+    df = spark.createDataFrame(rows, "c string, v double").repartition(5)
+    for most in (1_000_000, 10):
+        monkeypatch.setattr(resample, "BROADCAST_CLUSTERS", most)
+        got = {x.r: x["mean"] for x in resample.replicate_means(df, "v", "c", 4, 7).collect()}
+        assert [got[r] for r in range(4)] == pytest.approx(want)
+
+
 # --- agreement, calibration, reliability
 
 

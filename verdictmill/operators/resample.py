@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rates import design_effect
+from ..sources.scratch import written
 from .guards import require
 
 
@@ -23,8 +24,11 @@ def draw(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-#: Up to so many clusters, their numbered sums (24 bytes each) are broadcast to the draws; more are joined by shuffle, with the same result.
-BROADCAST_CLUSTERS = 100_000
+#: Up to so many clusters, their numbered sums (16 bytes each, in blocks of 2^BITS) are broadcast to the draws; more are joined by shuffle, with the same result.
+BROADCAST_CLUSTERS = 1_000_000
+BITS = 10
+#: Draws of a task, at most.
+TASK_DRAWS = 1 << 22
 #: How clusters are drawn, at any number of them: ``draws`` takes K of K with replacement, ``poisson`` gives each cluster a Poisson number of mean 1.
 SCHEMES = ("draws", "poisson")
 
@@ -34,6 +38,16 @@ def cluster_sums(rows: DataFrame, value: str, cluster: str) -> DataFrame:
     return rows.groupBy(F.col(cluster).alias("cluster")).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("n"))
 
 
+def sum_blocks(sums: DataFrame) -> DataFrame:
+    """(block, s, n): the clusters numbered in order from 0, the sums of 2^BITS numbers in a row as arrays. Each task sorts one range of the clusters, and no task all of them."""
+    dealt = written(sums.repartitionByRange("cluster").withColumn("_part", F.spark_partition_id()), "clusters")
+    ahead = dealt.groupBy("_part").agg(F.count("*").alias("_size")).select(F.col("_part").alias("_at"), F.coalesce(F.sum("_size").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    placed = dealt.withColumn("_k", F.row_number().over(W.partitionBy("_part").orderBy("cluster")) - 1).join(F.broadcast(ahead), F.col("_part") == F.col("_at"))  # a row per part
+    at = F.col("_k") + F.col("_ahead")
+    packed = placed.groupBy(F.shiftright(at, BITS).alias("block")).agg(F.array_sort(F.collect_list(F.struct(at.alias("k"), "s", "n"))).alias("x"))
+    return packed.select("block", F.transform("x", lambda x: x["s"]).alias("s"), F.transform("x", lambda x: x["n"]).alias("n"))
+
+
 def poisson_weight(u: Column, most: int = 12) -> Column:
     """How often a Poisson variable of mean 1 is drawn at a uniform ``u`` in [0, 1): its quantile."""
     steps, p, total = [], math.exp(-1), 0.0
@@ -52,18 +66,20 @@ def replicate_means(rows: DataFrame, value: str, cluster: str, replicates: int,
     """
     if scheme not in SCHEMES:
         raise ValueError(f"scheme must be one of {SCHEMES}, not {scheme!r}")
-    sums = cluster_sums(rows, value, cluster)
+    sums = written(cluster_sums(rows, value, cluster), "sums")
     n = sums.count()
     require(rows.sparkSession.range(1), fewer_than_two_clusters=F.lit(n < 2))
     if scheme == "poisson":
         spread = sums.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
         weighted = spread.withColumn("w", poisson_weight(draw(seed, F.col("r"), F.col("cluster")) / F.lit(2.0**32)))
         return weighted.groupBy(F.col("r").cast("long").alias("r")).agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
-    numbered = sums.withColumn("k", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("cluster")) - 1)
-    numbered = F.broadcast(numbered) if n <= BROADCAST_CLUSTERS else numbered
-    draws = rows.sparkSession.range(replicates).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    chosen = draws.select("r", F.pmod(draw(seed, F.col("r"), F.col("j")), F.lit(n)).alias("k"))
-    return chosen.join(numbered.select("k", "s", "n"), "k").groupBy("r").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    blocks = sum_blocks(sums)
+    blocks = F.broadcast(blocks) if n <= BROADCAST_CLUSTERS else blocks
+    # The draws are a range that tasks count up: a sequence of n in a plan would be a literal that the driver holds and sends with each task.
+    draws = rows.sparkSession.range(0, replicates * n, 1, max(rows.sparkSession.sparkContext.defaultParallelism, -(-replicates * n // TASK_DRAWS))).select(F.expr(f"id div {n}").alias("r"), F.expr(f"id % {n}").alias("j"))
+    drawn = draws.select("r", F.coalesce(F.pmod(draw(seed, F.col("r"), F.col("j")), F.lit(n)), F.lit(0)).alias("k"))  # never null: a join tests a key that might be, and so would hash twice
+    chosen = drawn.select("r", F.shiftright("k", BITS).alias("block"), F.col("k").bitwiseAND((1 << BITS) - 1).cast("int").alias("at")).join(blocks, "block")
+    return chosen.groupBy("r").agg((F.sum(F.get("s", "at")) / F.sum(F.get("n", "at"))).alias("mean"))
 
 
 def interval(means: DataFrame, column: str = "mean", confidence: float = 0.95) -> DataFrame:
