@@ -41,6 +41,16 @@ def test_unreadable_is_counted_and_never_taken_for_silence(spark):
     assert by["m"].recall == 0.0 and by["m"].mcc is None and by["m"].precision == 0.0
 
 
+@pytest.mark.parametrize("by", [[], ["band"]])
+def test_margins_beyond_a_long(spark, by):
+    """400,000 rows in one band: the product of the margins is 7e20."""
+    rows = spark.range(400_000).select(F.lit("s").alias("band"), (F.col("id") % 4 < 2).alias("should_fire"), (F.col("id") % 8 < 1).alias("fired"))
+    got = rates.summarise(rows, by)
+    assert one(got)["mcc"] == pytest.approx((50_000 * 200_000) / (50_000 * 200_000 * 200_000 * 350_000) ** 0.5)
+    if by:
+        assert one(reports.rate_lines(got, "band"))["line"].split() == ["s", "62.5%", "100.0%", "25.0%", "0.0%", "0.378"]
+
+
 def test_item_weights_count_every_item_once(spark):
     rows = [("a", k, k < 1, True, "s") for k in range(4)] + [("b", 0, False, False, "s")]
     got = one(rates.summarise(verdicts(spark, rows), weight="item"))

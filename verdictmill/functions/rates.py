@@ -28,9 +28,9 @@ def wilson(p: Column, n: Column, confidence: float = 0.95) -> tuple[Column, Colu
 
 
 def mcc(tp: Column, fp: Column, tn: Column, fn: Column) -> Column:
-    """Matthews correlation; null where a margin is empty."""
-    margins = (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)
-    return F.when(margins > 0, (tp * tn - fp * fn) / F.sqrt(margins.cast("double")))
+    """Matthews correlation; null where a margin is empty. The product of the margins is one of doubles: that of counts leaves the range of a long from some 110,000 rows on."""
+    margins = (tp + fp).cast("double") * (tp + fn) * (tn + fp) * (tn + fn)
+    return F.when(margins > 0, (tp * tn - fp * fn) / F.sqrt(margins))
 
 
 def design_effect(mean_size: Column, icc: Column) -> Column:
