@@ -1,5 +1,7 @@
 """Every registered query of the library against its SQL, on the smallest tables."""
 
+import random
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -68,6 +70,22 @@ def test_inert_clusters_to_the_last_digit(spark, small, tmp_path):
     assert got == want and len(got) == 7
 
 
+def test_text_features_beside_letters_outside_ascii(spark, tmp_path):
+    """What ends a word, and what a letter is where case is ignored, is the same in the queries as in their SQL."""
+    rng = random.Random(5)
+    marks = [*"\u00e9\u00f1_7 .,-'", "\u0301", "\u017f", "\u212a", "\u0130", "\u0131", "\u00df", "\u0416"]
+    hits = "loses LOST lo\u017ft exclude void penalty lapse requires must submit document 2024-01-02 1,200.5 should i here's below thread don't need lin\u212aed no advice a\u212a".split(" ")
+    rows = [(k, 0, "".join(rng.choice(marks if rng.random() < 0.6 else hits) for _ in range(12))) for k in range(3000)]
+    pd.DataFrame(rows, columns=["conv_id", "turn", "text"]).to_parquet(tmp_path / "conversations.parquet")
+    pd.DataFrame(rows, columns=["doc_id", "n", "text"]).to_parquet(tmp_path / "documents.parquet")
+    names = {"delta_features": ("conversations", "conv_id", ["delta_word_count", "numeral_count", "has_date", "penalty_lexicon_gap"]), "text_features": ("documents", "doc_id", ["says_should_i", "paste_cues", "declines_advice"])}
+    for name, (table, key, columns) in names.items():
+        got = QUERIES[name](spark, str(tmp_path)).toPandas().sort_values(key)
+        want = duckdb.sql(SQL[name].replace(f"FROM {table}", f"FROM '{tmp_path}/{table}.parquet'")).df().sort_values(key)
+        for c in columns:
+            assert got[c].tolist() == want[c].tolist(), c
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
