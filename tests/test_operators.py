@@ -369,6 +369,23 @@ def test_generation(spark):
     assert len(got) == 8 and sum(r.y for r in got) == 4
 
 
+def test_weaving_reads_the_padding_once_for_its_total(spark):
+    def woven(core, pad):
+        total, out, used, at = sum(len(x) + 1 for x in core + pad), [], 0, 0
+        for i, c in enumerate(core):
+            while at < len(pad) and used + len(pad[at]) + 1 <= 0.3 * float(total) + (0.6 - 0.3) * float(total) * (i + 0.5) / len(core):
+                used, at, out = used + len(pad[at]) + 1, at + 1, [*out, pad[at]]
+            used, out = used + len(c) + 1, [*out, c]
+        return out + pad[at:]
+
+    rng = random.Random(3)
+    rows = [(["c" * rng.randrange(30) for _ in range(rng.randrange(6))], ["p" * rng.randrange(25) + str(j) for j in range(rng.randrange(40))]) for _ in range(200)]
+    rows.append((["one", "two"], [f"pad {j}" for j in range(5000)]))
+    df = spark.createDataFrame(rows, "c array<string>, p array<string>").select("c", "p", generate.weave(F.col("c"), F.col("p")).alias("w"))
+    assert df._jdf.queryExecution().analyzed().toString().count("concat(c#") == 1
+    assert all(x.w == woven(x.c, x.p) for x in df.collect())
+
+
 def test_expressions(spark):
     names = {"x": F.lit(-7), "y": F.lit(2.5), "s": F.lit("ab")}
     for e in ("x // 2 + x % 3", "max(x, 3, y) if not x > 0 and y != 2 else 0", "abs(x) ** 2", "round(y)", "len(s) in (2, 3)", "min([x, 1]) - -y", "1 < y <= 2.5", "int(y) * float(x)"):
