@@ -169,6 +169,40 @@ def test_matched_statistics_of_one_triple(spark):
 # --- inference
 
 
+def test_null_leaks_rank_once_for_all_draws(spark, monkeypatch):
+    """The rate of a brute force, with ties and without values, and no table of a row per draw and value on the way."""
+    import hashlib
+
+    from verdictmill.sources import scratch
+
+    most = []
+
+    def recorded(rows, name="kept"):
+        out = scratch.written(rows, name)
+        most.append(out.count())
+        return out
+
+    monkeypatch.setattr(ranks, "written", recorded)
+    monkeypatch.setattr(corpus, "written", recorded, raising=False)
+    rng = random.Random(11)
+    rows = [(t, i == 0, float(rng.randrange(6)), rng.choice([None, 1.0, 2.5, rng.random()]), 3.0) for t in range(9) for i in range(3)]
+    got = one(corpus.null_leak_rate(spark.createDataFrame(rows, "t int, label boolean, a double, b double, c double"), ["a", "b", "c"], "label", "t", draws=40, leaks=1, seed=6))
+    order = lambda x: [(v is not None, v or 0.0) for v in x]
+    members = {t: sorted((r[2:] for r in rows if r[0] == t), key=order) for t in range(9)}
+    hits = 0
+    for r in range(40):
+        k = {t: int(hashlib.md5(f"6:{r}:{t}".encode()).hexdigest()[:8], 16) % 3 for t in members}
+        leaks = 0
+        for f in range(3):
+            pos = [m[k[t]][f] for t, m in members.items() if m[k[t]][f] is not None]
+            neg = [x[f] for t, m in members.items() for i, x in enumerate(m) if i != k[t] and x[f] is not None]
+            auc = sum((x > y) + 0.5 * (x == y) for x in pos for y in neg) / (len(pos) * len(neg)) if pos and neg else 0.5
+            leaks += not 0.4 <= auc <= 0.6
+        hits += leaks >= 1
+    assert got == {"draws": 40, "rate": pytest.approx(hits / 40)} and 0 < hits < 40
+    assert max(most) <= len(rows) * 3
+
+
 def test_mcnemar_hand_case(spark):
     rows = [(False, True)] * 8 + [(True, False)] * 2 + [(True, True)] * 5
     df = spark.createDataFrame(rows, "a boolean, b boolean")

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import DELTA_FEATURES, FEATURES, featured, sentences, word_count
+from ..sources.scratch import written
 from .guards import union_issues
-from .ranks import attainable_auc, auc, folded, long_form, matched
+from .ranks import attainable_auc, auc, folded, long_form, matched, running
 from .resample import draw
 
 # Word limits of the bands, the band of an AUC that tells nothing, the z that tells something.
@@ -129,12 +130,22 @@ def null_leak_rate(rows: DataFrame, names: list[str], label: str, triple: str, d
 
     Only for triples of equal size with one positive each: otherwise no row is returned.
     """
-    sizes = rows.groupBy(triple).agg(F.count("*").alias("n"), F.count_if(F.col(label)).alias("p"))
-    shape = sizes.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("p").alias("p0"), F.max("p").alias("p1")).filter("low = high and p0 = 1 and p1 = 1").select(F.col("low").alias("size"))
-    members = rows.groupBy(triple).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("m"))
-    drawn = members.join(F.broadcast(shape)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    chosen = drawn.select("r", (draw(seed, F.col("r"), F.col(triple)) % F.col("size")).alias("k"), F.posexplode("m").alias("i", "x")).select("r", (F.col("i") == F.col("k")).alias("label"), "x.*")
-    found = auc(long_form(chosen, names, "r", "label"), "value", "label", ["r", "feature"])
+    members = written(rows.groupBy(triple).agg(F.count("*").alias("n"), F.count_if(F.col(label)).alias("p"), F.array_sort(F.collect_list(F.struct(*names))).alias("m")), "members")
+    shape = members.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("p").alias("p0"), F.max("p").alias("p1")).filter("low = high and p0 = 1 and p1 = 1").select(F.col("low").alias("size"))
+    long = long_form(members.select(triple, F.posexplode("m").alias("i", "x")).select(triple, "i", "x.*"), names, triple, "i").filter("value is not null")
+    # A value's doubled mid-rank among all members is the same in every draw: it is found once, and a draw only sums those of its positives.
+    counts = written(long.groupBy("feature", "value").agg(F.count("*").alias("c")), "counts")
+    ranks = running(counts, ["feature"], "value", "c", once=False).select("feature", "value", (2 * F.col("c_below") + F.col("c")).alias("rank"))
+    picked = [F.max(F.when(F.col("feature") == name, F.col("rank"))).alias(f"_{k}") for k, name in enumerate(names)]
+    ranked = long.join(ranks, ["feature", "value"]).repartition(triple).groupBy(triple, "i").agg(*picked)
+    per_triple = ranked.groupBy(triple).agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct(*[f"_{k}" for k in range(len(names))]).alias("x")))).alias("m"))
+    drawn = per_triple.join(F.broadcast(shape)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    chosen = drawn.select("r", F.try_element_at("m", (draw(seed, F.col("r"), F.col(triple)) % F.col("size")).cast("int")).alias("x")).select("r", "x.*")
+    sums = chosen.groupBy("r").agg(*[f(f"_{k}").alias(f"{f.__name__}{k}") for k in range(len(names)) for f in (F.sum, F.count)])
+    told = sums.select("r", F.explode(F.array(*[F.struct(F.lit(name).alias("feature"), F.col(f"sum{k}").alias("s"), F.col(f"count{k}").alias("p")) for k, name in enumerate(names)])).alias("x")).select("r", "x.*")
+    p, q = F.col("p"), F.col("all") - F.col("p")
+    won = (F.col("s") - p * p) / 2  # the positives' ranks, without those among themselves
+    found = told.join(F.broadcast(counts.groupBy("feature").agg(F.sum("c").alias("all"))), "feature").select("r", F.when(p * q > 0, won / (p * q)).otherwise(F.lit(0.5)).alias("auc"))
     per = found.groupBy("r").agg(F.count_if(~F.col("auc").between(*BAND)).alias("n"))
     return per.agg(F.count("*").alias("draws"), F.avg((F.col("n") >= leaks).cast("int")).alias("rate"))
 
